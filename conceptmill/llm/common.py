@@ -45,3 +45,12 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Most rows of a side that may be broadcast, at 64 bytes a row at most 26 MB; a larger side is joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if its rows, counted, are few enough; to be called on staged tables."""
+    return F.broadcast(df) if df.count() <= rows else df

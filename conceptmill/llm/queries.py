@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from . import op2_warc, op4_chat
 from .op1_repair import op1_repair
+from .op3_simhash import op3_simhash
+from .op6_mix import op6_mix
 from .op7_counts import op7_token_counts
 
-QUERIES = {"op1_repair": op1_repair, "op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_repair": op1_repair,
+    "op2_warc": op2_warc.op2_warc,
+    "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat.op4_chat,
+    "op6_mix": op6_mix,
+    "op7_token_counts": op7_token_counts,
+}
+ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE}
