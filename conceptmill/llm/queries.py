@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_warc, op4_chat
+from . import op2_warc, op4_chat, op8_quality
 from .op1_repair import op1_repair
 from .op3_simhash import op3_simhash
+from .op5_decontaminate import op5_decontaminate
 from .op6_mix import op6_mix
 from .op7_counts import op7_token_counts
 
@@ -13,7 +14,9 @@ QUERIES = {
     "op2_warc": op2_warc.op2_warc,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat.op4_chat,
+    "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality.op8_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE, "op8_quality": op8_quality.ORACLE}
