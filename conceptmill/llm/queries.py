@@ -7,6 +7,7 @@ from .op1_repair import op1_repair
 from .op3_simhash import op3_simhash
 from .op5_decontaminate import op5_decontaminate
 from .op6_mix import op6_mix
+from .op9_extract import op9_extract
 from .op7_counts import op7_token_counts
 
 QUERIES = {
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality.op8_quality,
+    "op9_extract": op9_extract,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE, "op8_quality": op8_quality.ORACLE}
