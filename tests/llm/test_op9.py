@@ -32,7 +32,7 @@ def test_odd_pages():
 
 
 def test_surge_and_dive():
-    assert op.between([0, 0, 100, 5, 90, 0, 0, 0, 0, 70]) == (0, 7)
+    assert op.between([0, 0, 100, 5, 90] + [0] * 8 + [70]) == (0, 7)
     assert op.between([]) == (0, 0)
 
 
