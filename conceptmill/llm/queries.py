@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op2_warc, op4_chat, op8_quality
 from .op1_repair import op1_repair
+from .op10_lbl import op10_lbl
 from .op3_simhash import op3_simhash
 from .op5_decontaminate import op5_decontaminate
 from .op6_mix import op6_mix
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality.op8_quality,
     "op9_extract": op9_extract,
+    "op10_lbl": op10_lbl,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE, "op8_quality": op8_quality.ORACLE}
