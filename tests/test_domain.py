@@ -110,7 +110,7 @@ def test_files(spark, tmp_path):
     files.write_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
     assert json.loads(open(glob.glob(f"{tmp_path}/j/*.json")[0]).read()) == {"a": 1, "b": None}
     assert files.jsonl(spark, str(tmp_path / "j"), "a int, b string").first().a == 1
-    files.write_csv(spark.createDataFrame([('a"b', "c")], "x string, y string"), str(tmp_path / "c"))
+    files.write_csv(spark.createDataFrame([("a\"b", "c")], "x string, y string").coalesce(1), str(tmp_path / "c"))
     assert open(glob.glob(f"{tmp_path}/c/*.csv")[0]).read() == '"x","y"\n"a""b","c"\n'
     (tmp_path / "arr.json").write_text('["p", "q", "r"]')
     assert [r.item for r in files.positional(spark, str(tmp_path / "arr.json"), spark.createDataFrame([(0,), (2,)], "pos int")).orderBy("pos").collect()] == ["p", "r"]
