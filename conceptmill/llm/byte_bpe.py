@@ -29,6 +29,8 @@ class ByteBpe:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced_id = np.zeros(self.vocab_size, bool)
+        self.spaced_id[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
         self.cached_words = cached_words
         self._reset()
 
@@ -65,6 +67,16 @@ class ByteBpe:
         all_ids, all_lens = np.concatenate([ids, whole_ids]), np.concatenate([lens, whole_lens])
         return _gather(all_ids, _starts(all_lens)[order], all_lens[order]), all_lens[order]
 
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word with a space before it. Many go to the library as one text: there, too, each is cut off at its space,
+        and the ids that begin with a space tell where the words begin."""
+        texts = [" " + " ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
+        ids, _ = self._plain(texts)
+        begins = np.flatnonzero(self.spaced_id[ids])
+        if len(begins) != len(words):
+            return self._plain([" " + w for w in words])
+        return ids, np.diff(np.append(begins, len(ids)))
+
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.split_pattern(texts, " ")
         offsets = np.asarray(pieces.offsets).astype(np.int64)
@@ -73,22 +85,26 @@ class ByteBpe:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         words = coded.dictionary.to_pylist()
         # the first piece of a text has no space before it
-        first, inverse = np.unique(codes[offsets[:-1]], return_inverse=True)
-        keys = [" " + w for w in words] + [words[c] for c in first.tolist()]
-        codes[offsets[:-1]] = len(words) + inverse
-        counts = np.bincount(codes, minlength=len(keys))
-        known = np.fromiter(map(self.words.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        heads = offsets[:-1]
+        head_ids, head_lens = self._plain([words[c] for c in codes[heads].tolist()])
+        n = len(words)
+        inside = np.ones(len(codes), bool)
+        inside[heads] = False
+        counts = np.bincount(codes[inside], minlength=n)
+        known = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, n)
         fresh = np.flatnonzero((known < 0) & (counts > 0))
-        new_ids, new_lens = self._plain([keys[i] for i in fresh.tolist()])
-        starts, lens = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        old = known >= 0
+        new_ids, new_lens = self._spaced([words[i] for i in fresh.tolist()])
+        starts, lens = np.zeros(n + len(heads), np.int64), np.zeros(n + len(heads), np.int64)
+        old = np.flatnonzero(known >= 0)
         starts[old], lens[old] = self.starts[known[old]], self.lens[known[old]]
         starts[fresh], lens[fresh] = len(self.ids) + _starts(new_lens), new_lens
-        flat = np.concatenate([self.ids, new_ids])
+        starts[n:], lens[n:] = len(self.ids) + len(new_ids) + _starts(head_lens), head_lens
+        codes[heads] = n + np.arange(len(heads))
+        flat = np.concatenate([self.ids, new_ids, head_ids])
         out_lens = lens[codes]
         out = _gather(flat, starts[codes], out_lens)
         ends = np.concatenate([[0], np.cumsum(out_lens)])[offsets]
-        self._keep(keys, fresh[counts[fresh] > 1], starts, lens, flat)
+        self._keep(words, fresh[counts[fresh] > 1], starts, lens, flat)
         return out, np.diff(ends)
 
     def _keep(self, keys: list[str], which: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:

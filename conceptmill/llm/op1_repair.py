@@ -43,7 +43,7 @@ def byte_bpe(path: str) -> ByteBpe:
 # --- the grammar -----------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, terminals: int, min_count: int = 8, rounds: int = 10, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, terminals: int, min_count: int = 8, rounds: int = 6, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids. Each round replaces the per_round most frequent pairs at once; where two of them overlap the
     left one is taken, and a rule that is then used less than twice is dropped. Returns symbols, rules (n x 2; the k-th
     is symbol terminals + k), and the length of each rule's expansion."""
@@ -60,13 +60,18 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = 8, rounds: int =
             break
         if len(found) > per_round:
             found = np.sort(found[np.argsort(-counts, kind="stable")[:per_round]])
-        at = np.searchsorted(found, pairs)
+        # a small table of hashes rules out most places before the search
+        maybe = np.zeros(1 << 16, bool)
+        maybe[_short_hash(found)] = True
+        mark = np.flatnonzero(maybe[_short_hash(pairs)])
+        at = np.searchsorted(found, pairs[mark])
         at[at == len(found)] = 0
-        mark = np.flatnonzero(found[at] == pairs)
-        mark = mark[_alternate(mark)]
-        uses = np.bincount(at[mark], minlength=len(found))
-        used = uses >= 2
-        mark = mark[used[at[mark]]]
+        hit = found[at] == pairs[mark]
+        mark, at = mark[hit], at[hit]
+        taken = _alternate(mark)
+        mark, at = mark[taken], at[taken]
+        used = np.bincount(at, minlength=len(found)) >= 2
+        mark, at = mark[used[at]], at[used[at]]
         if not len(mark):
             break
         number = np.cumsum(used) - 1 + terminals + len(rules)
@@ -75,11 +80,15 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = 8, rounds: int =
         size = np.concatenate([np.ones(terminals, np.int64), lengths])
         lengths = np.concatenate([lengths, size[new[:, 0]] + size[new[:, 1]]])
         rules = np.concatenate([rules, new])
-        seq[mark] = number[at[mark]]
+        seq[mark] = number[at]
         seq = np.delete(seq, mark + 1)
     return seq, rules, lengths
 
 
+def _short_hash(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
 def _alternate(mark: np.ndarray) -> np.ndarray:
     """Of each run of neighbouring positions, the first, third, fifth and so on."""
     if not len(mark):
@@ -250,7 +259,8 @@ def _read(index: DataFrame, schema: str, of) -> DataFrame:
                 made = [of(ids[a : a + n]) for a, n in zip(shard.starts.tolist(), shard.lens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids, pa.int64()), "start": pa.array(base + shard.starts, pa.int64()), "n_tokens": pa.array(shard.lens, pa.int64()), last: pa.array(made, pa.binary() if last == "ids" else pa.int64())})
 
-    return placed.repartition(F.xxhash64("path")).mapInArrow(read, schema)
+    # a number of partitions, as the rows are few and small: without one they would be one task
+    return placed.repartition(max(1, min(index.count(), 20_000) // 2), "path").mapInArrow(read, schema)
 
 
 def default_tokenizer() -> str:
