@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,16 +24,23 @@ def semantic_info(concepts: DataFrame) -> DataFrame:
     )
 
 
+def scored(candidates: DataFrame, lexical_weight: float = 0.30, clinical: bool = True) -> DataFrame:
+    """Adds rerank: similarity, lexical overlap (column lex), biases of group and type, and, unless the overlap is whole, penalties."""
+    penalty = F.when(F.col("lex") < 0.999, X.term_penalty(F.col("prefterm")) + X.span_penalty(F.col("raw"), F.col("prefterm"))).otherwise(0.0)
+    extra = _bias(K.GROUP_BIAS, "semantic_group") + _bias(K.TUI_BIAS, "tui") + penalty if clinical else F.lit(0.0)
+    return candidates.withColumn("rerank", F.col("score") + lexical_weight * F.col("lex") + extra)
+
+
+def _bias(table: dict[str, float], column: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(column)), F.lit(0.0))
+
+
 def choose(candidates: DataFrame, threshold: float = 0.5, lexical_weight: float = 0.30, margin: float = 0.04, clinical: bool = True) -> DataFrame:
     """candidates: mention_id, rank, score, raw, expanded, prefterm, tui, semantic_group. One row a mention whose best similarity
     reaches threshold: the candidate of the highest rerank score among those in the band. The first keeps its bare similarity
     as a floor: a candidate, itself included, must beat that."""
     lex = X.jaccard(X.token_set(F.col("expanded")), X.token_set(F.col("prefterm")))
-    biases = lambda d, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col(c)), F.lit(0.0))
-    c = candidates.withColumn("lex", lex)
-    penalty = F.when(F.col("lex") < 0.999, X.term_penalty(F.col("prefterm")) + X.span_penalty(F.col("raw"), F.col("prefterm"))).otherwise(0.0)
-    extra = biases(K.GROUP_BIAS, "semantic_group") + biases(K.TUI_BIAS, "tui") + penalty if clinical else F.lit(0.0)
-    c = c.withColumn("rerank", F.col("score") + lexical_weight * F.col("lex") + extra)
+    c = scored(candidates.withColumn("lex", lex), lexical_weight, clinical)
     c = c.withColumn("top", F.max("score").over(W.partitionBy("mention_id"))).filter(F.col("top") >= threshold)
     band = (F.col("score") >= threshold) & ((F.col("score") >= F.col("top") - margin) if margin >= 0 else F.lit(True))
     # order: rerank first, the earlier rank on ties; the floor (rank 0, bare similarity) wins ties against all

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from ..operators import etl, extract, rerank, review, silver, vector
+from ..operators import etl, extract, rerank, review, silver, training, vector
 from ..sources import terminology as T
 
 QUERIES: dict = {}
@@ -388,3 +388,80 @@ def info_nce(spark, d):
     batch = F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("w")))  # a training batch of 32
     s = e.join(batch, F.lit(True)).select("vec_id", "j", vector.dot(F.col("embedding"), F.col("w")).alias("s"))
     return s.groupBy("vec_id").agg(F.round(-F.ln(F.sum(F.when(F.col("j") == (F.col("vec_id") + 1) % 32, F.exp(F.col("s") / 0.07))) / F.sum(F.exp(F.col("s") / 0.07))), 6).alias("info_nce"))
+
+
+# --- training rows ---------------------------------------------------------------------------------------------
+
+_TPL = ", ".join(f"('{a}', '{b}')" for a, b in [*K.ASSERTION_TEMPLATES, *K.SUBJECT_TEMPLATES])
+_COND = ", ".join(f"('{c}')" for c in K.CONDITIONS)
+_SYN = f"(SELECT replace(template, '{{condition}}', entity) AS text, label, entity, 'synthetic' AS source FROM (VALUES {_TPL}) AS t(label, template), (VALUES {_COND}) AS c(entity))"
+
+
+@query(f"SELECT text, label, entity, source, CASE WHEN contains(text, entity) THEN replace(text, entity, '[entity] ' || entity || ' [entity]') ELSE text END AS marked FROM {_SYN}")
+def synthetic_examples(spark, d):
+    return training.all_synthetic(spark).withColumn("marked", training.marked(F.col("text"), F.col("entity")))
+
+
+@query(f"SELECT label, source, count(*) AS n FROM {_SYN} GROUP BY 1, 2")
+def synthetic_label_counts(spark, d):
+    return training.all_synthetic(spark).groupBy("label", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH notes AS {_NOTES}, m AS (SELECT note_id, text, unnest(regexp_extract_all(text, '(?i){K.CUE_PHRASES[0]}')) AS phrase, generate_subscripts(regexp_extract_all(text, '(?i){K.CUE_PHRASES[0]}'), 1) - 1 AS k FROM notes), s AS (SELECT *, instr(lower(text), lower(phrase)) - 1 AS at0 FROM m) SELECT note_id, CAST(k AS INT) AS k, phrase, substring(text, greatest(0, at0 - 50) + 1, at0 - greatest(0, at0 - 50) + length(phrase) + 50) AS \"window\" FROM s")
+def mined_phrases(spark, d):
+    return training.mined(notes(spark, d), K.CUE_PHRASES[0])
+
+
+@query("SELECT doc_id AS note_id, trim(line) AS line, CASE WHEN regexp_matches(line, '(?i)\\bthe\\b') THEN 'FAMILY' ELSE 'PATIENT' END AS label FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en') WHERE length(trim(line)) BETWEEN 10 AND 200 AND regexp_matches(line, '(?i)\\bthe\\b') <> regexp_matches(line, '(?i)\\band\\b')")
+def subject_lines(spark, d):
+    rows = t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("note_id"), "text")
+    return training.subject_lines(rows, r"\bthe\b", r"\band\b")
+
+
+@query("SELECT o_orderkey, item_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderkey < 500) JOIN benchmark ON item_id = idx % (SELECT count(*) FROM benchmark)")
+def dealt_examples(spark, d):
+    steps = t(spark, d, "orders").filter("o_orderkey < 500").select("o_orderkey", (F.row_number().over(W.orderBy("o_orderkey")) - 1).alias("idx"))
+    return training.dealt(steps, t(spark, d, "benchmark").select("item_id"), "idx", "item_id").select("o_orderkey", "item_id")
+
+
+@query("SELECT vec_id AS concept_row, CASE WHEN vec_id % 3 = 0 THEN (vec_id + 1) % (SELECT count(*) FROM embeddings) ELSE vec_id // 2 END AS neighbour FROM embeddings")
+def hard_negative_fill(spark, d):
+    e = t(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("concept_row"), F.array(F.when(F.col("vec_id") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("vec_id") / 2))).cast("array<long>").alias("neighbours"))
+    return training.neighbours(rows, e.count()).select("concept_row", F.col("neighbours")[0].alias("neighbour"))
+
+
+@query("SELECT p_partkey, ('0x' || substring(md5('13:' || p_partkey), 1, 8))::BIGINT < 3865470566 AS is_train FROM part")
+def train_split(spark, d):
+    return training.split(t(spark, d, "part").select("p_partkey"), "p_partkey")
+
+
+# --- silver rows and exports -----------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN least(e1, e2) - greatest(s1, s2) <= 0 OR least(e1 - s1, e2 - s2) <= 0 THEN 0 ELSE round((least(e1, e2) - greatest(s1, s2)) / least(e1 - s1, e2 - s2), 6) END AS overlap FROM (SELECT *, l_suppkey % 40 AS s1, l_suppkey % 40 + l_quantity AS e1, l_partkey % 40 AS s2, l_partkey % 40 + l_linenumber AS e2 FROM lineitem)")
+def span_overlap(spark, d):
+    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
+    x = X.overlap_ratio(a, a + F.col("l_quantity"), b, b + F.col("l_linenumber"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("overlap"))
+
+
+@query("SELECT event_id, 'x' || event_id AS mention, CAST(user_id AS INT) AS cui, round(value, 6) AS sim FROM events WHERE value >= 20 AND length(event_type) BETWEEN 3 AND 20 UNION ALL SELECT o_orderkey, 'o' || o_orderkey, CAST(o_custkey AS INT), 1.0 FROM orders WHERE o_orderkey % 10 = 0")
+def silver_union(spark, d):
+    e = t(spark, d, "events").filter((F.col("value") >= 20) & F.char_length("event_type").between(3, 20)).select("event_id", F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("mention"), F.col("user_id").cast("int").alias("cui"), F.round("value", 6).alias("sim"))
+    o = t(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("mention"), F.col("o_custkey").cast("int").alias("cui"), F.lit(1.0).alias("sim"))
+    return e.unionByName(o)
+
+
+@query("SELECT source AS note, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def top_notes(spark, d):
+    return t(spark, d, "documents").groupBy(F.col("source").alias("note")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "note").limit(50)
+
+
+@query(f"WITH {_CAND}, s AS (SELECT mention_id, list(rerank ORDER BY rerank DESC) AS r, max(CASE WHEN rank = 0 THEN lex END) AS lex, max(CASE WHEN rank > 0 THEN lex END) AS other, max(CASE WHEN rank = 0 THEN score END) AS score, max(CASE WHEN rank = 0 THEN semantic_group END) AS g, max(CASE WHEN rank = 0 THEN tui END) AS tui FROM scored GROUP BY 1) SELECT mention_id, CASE WHEN r[1] - r[2] < 0.010 THEN 5 WHEN r[1] - r[2] < 0.020 THEN 3 WHEN r[1] - r[2] < 0.040 THEN 1 ELSE 0 END + CASE WHEN lex < 0.2 AND other >= 0.5 THEN 2 ELSE 0 END + CASE WHEN score < 0.55 THEN 1 ELSE 0 END + CASE WHEN g IN ('CONC', 'UNKN') THEN 2 ELSE 0 END + CASE WHEN tui = 'T170' THEN 2 ELSE 0 END AS tricky FROM s")
+def tricky_scores(spark, d):
+    c = _candidates(spark, d)
+    lex = X.jaccard(X.token_set(F.col("expanded")), X.token_set(F.col("prefterm")))
+    c = rerank.scored(c.withColumn("lex", lex))
+    g = c.groupBy("mention_id").agg(F.collect_list(F.struct(F.col("rerank").alias("rerank_score"))).alias("cands"), F.max(F.when(F.col("rank") == 0, F.struct("lex", "score", "semantic_group", "tui"))).alias("p"), F.max(F.when(F.col("rank") > 0, F.col("lex"))).alias("other"))
+    return g.select("mention_id", review.tricky(F.col("p.score"), F.col("p.semantic_group"), F.col("p.tui"), review.margin(F.col("cands")), F.col("p.lex"), F.col("other")).alias("tricky"))
