@@ -22,10 +22,6 @@ def normalised(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-#: Bytes of query vectors that a task may hold; more queries are searched in several blocks.
-QUERY_BYTES = 256 << 20
-
-
 def exact_topk(queries: DataFrame, base: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """queries: query_id, v; base: concept_row, v. Returns query_id, rank (from 0), concept_row, score (double, inner product).
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
+from ..operators import concepts as C
 from ..operators import etl, extract, rerank, review, silver, training, vector
+from ..options import ExtractOptions
 from ..sources import terminology as T
 
 QUERIES: dict = {}
@@ -465,3 +467,18 @@ def tricky_scores(spark, d):
     c = rerank.scored(c.withColumn("lex", lex))
     g = c.groupBy("mention_id").agg(F.collect_list(F.struct(F.col("rerank").alias("rerank_score"))).alias("cands"), F.max(F.when(F.col("rank") == 0, F.struct("lex", "score", "semantic_group", "tui"))).alias("p"), F.max(F.when(F.col("rank") > 0, F.col("lex"))).alias("other"))
     return g.select("mention_id", review.tricky(F.col("p.score"), F.col("p.semantic_group"), F.col("p.tui"), review.margin(F.col("cands")), F.col("p.lex"), F.col("other")).alias("tricky"))
+
+
+# --- notes to concepts -----------------------------------------------------------------------------------------
+
+
+def term_concepts(spark):
+    """Concepts of the dictionary's expansions and the conditions, with the stand-in vectors."""
+    names = sorted({*K.ABBREVIATIONS.values(), *K.CONDITIONS, "chest pain", "knee pain", "pulmonary embolism", "breast cancer", "effusion", "fever", "rash", "edema", "nausea", "dizziness", "cough"})
+    rows = [(k, 100 + k, n, [[47, 184, 33, 61, 170][k % 5]]) for k, n in enumerate(names)]
+    return spark.createDataFrame(rows, "concept_row long, cui int, prefterm string, tuis array<int>").withColumn("v", C.ngram_vector(F.col("prefterm")))
+
+
+@query()
+def extract_concepts(spark, d):
+    return C.extract_concepts(notes(spark, d), term_concepts(spark), ExtractOptions(threshold=0.6))

@@ -139,3 +139,20 @@ def test_insert_lines(spark):
 def test_tokens(spark):
     row = spark.sql("select '' as e, 'A/b  a' as t").select(X.jaccard(X.token_set(F.col("e")), X.token_set(F.col("e"))), silver.lexical(F.col("e"), F.col("t")), X.space_tokens(F.col("t"))).first()
     assert tuple(row) == (1.0, 0.0, ["a", "b"])
+
+
+def test_concepts_of_notes(spark):
+    from conceptmill.operators.concepts import extract_concepts
+    from conceptmill.options import ExtractOptions, bias_map
+
+    notes = spark.createDataFrame([(1, "Patient denies HTN. Severe left knee pain. Hypertension, no."), (2, None), (3, "zzzz qqqq")], "note_id long, text string")
+    rows = extract_concepts(notes, Q.term_concepts(spark), ExtractOptions(threshold=0.9, include_candidates=True)).collect()
+    got = {(r.note_id, r.text, r.preferred_term, r.assertion, r.severity, r.laterality) for r in rows}
+    assert got == {(1, "HTN", "hypertension", "ABSENT", None, None), (1, "Severe left knee pain", "knee pain", "PRESENT", "severe", "left"), (1, "Hypertension", "hypertension", "PRESENT", None, None)}
+    assert all(r.candidates[0]["score"] >= r.candidates[-1]["score"] for r in rows)
+    assert bias_map("diso=0.1, T184=-1") == {"DISO": 0.1, "T184": -1.0}
+    for bad in ({"threshold": 2}, {"top_k": 0}):
+        with pytest.raises(ValueError):
+            ExtractOptions(**bad)
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    assert extract_concepts(notes, Q.term_concepts(spark), ExtractOptions(threshold=0.9, relation_rerank=True), edges).count() == 3
