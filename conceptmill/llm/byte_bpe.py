@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 #: Words kept between batches; a bound on memory, not on what is encoded.
 CACHED_WORDS = 400_000
+_TEXTS = 256
 #: White space as the library sees it, for RE2.
 _WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -44,9 +45,13 @@ class ByteBpe:
         """The library's ids of each text, flat, and how many each has."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+        # few at a time: an encoding holds far more than its ids
+        flat, lens = [], []
+        for k in range(0, len(texts), _TEXTS):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + _TEXTS], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lens)
 
     def _odd(self, texts: pa.Array) -> np.ndarray:
         odd = pc.match_substring_regex(texts, rf" (?:[{_WHITE}]|\z)")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the prefix histogram, and the keys that a subtrie should hold at most (it may hold more below the last bit).
 PREFIX_BITS, SUBTRIE_KEYS = 16, 1 << 18
-_CHUNK, _SMALL = 1 << 19, 16
+_CHUNK, _SMALL = 1 << 17, 16
 
 
 class Forest:
