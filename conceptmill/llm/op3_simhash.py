@@ -1,25 +1,27 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by a binary trie self-join.
 
 Two uses. simhash_components links fingerprints of 64 bits at a small Hamming distance, nothing else. near_duplicates
-takes five-word shingles and a similarity: it makes fingerprints of 256 bits of them, whose Hamming distance estimates
-the cosine, and finds the pairs to compare by the trie self-join of eight 32-bit fingerprints of two-word shingles,
-which differ less between near copies than the longer shingles do.
+takes five-word shingles and a similarity: it finds loose groups by the trie self-join of sixteen 32-bit fingerprints of
+two-word shingles, checked by fingerprints of 256 bits of the five-word shingles with a wide margin, and compares the
+members of each group by the exact Jaccard similarity of their sets of five-word shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sized, staged, table, text_or_empty
 from .components import components
-from .trie import trie_forest
+from .trie import Forest, trie_forest
 
 #: Shingles handled at a time, so that the longest text needs bounded memory.
 _BLOCK = 1 << 16
@@ -114,34 +116,181 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     return made.join(found, "key").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of the long fingerprint (256 bits), and the bands of the candidate search: each 32 bits, with up to two of them apart.
-FULL, BANDS, BAND_BITS, BAND_BUDGET = 4, 8, 32, 2
+#: Words of the long fingerprint (256 bits), and the bands of the candidate search: each 32 bits, with up to three of them apart.
+FULL, BANDS, BAND_BITS, BAND_BUDGET = 4, 16, 32, 3
+#: Representatives that one task compares with each other, and those that a task of small groups holds in about.
+_GROUP, _TASK = 512, 2000
 
 
 def similarity_bits(similarity: float, bits: int) -> int:
-    """The Hamming distance that fingerprints of bits bits have on average at a Jaccard similarity of two sets of equal size."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * math.acos(cosine) / math.pi)
+    """The Hamming distance that fingerprints of bits bits have at most, but for four standard deviations, at a Jaccard similarity
+    of two sets of equal size."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart)))
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, width)]))
+
+
+def set_fingerprint(hashes: np.ndarray, n: int) -> list[int]:
+    """n fingerprints of 64 bits of a set: a bit is set if over half of the hashes have it."""
+    counts = np.zeros((n, 64), np.int64)
+    for lo in range(0, len(hashes), _BLOCK):
+        for k in range(n):
+            counts[k] += bit_counts(_remix(hashes[lo : lo + _BLOCK], k))
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def _set_prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id, h (a hash of the text), node (a hash of its set of width-word shingles), full (FULL fingerprints of that set) and short
+    (those of the set of two-word shingles, two bands each)."""
+    short = BANDS * BAND_BITS // 64
+
+    def column(rows: list[list[int]], n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(rows) + 1, n), pa.int32()), pa.array(np.array(rows, np.uint64).reshape(-1).view(np.int64)))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                piece = batch.slice(lo, 1000)
+                node, full, pairs = [], [], []
+                for t in piece.column(2).to_pylist():
+                    words = words_of(t)
+                    whole = shingle_set(words, width)
+                    node.append(xxhash.xxh64_intdigest(whole.tobytes(), 42))
+                    full.append(set_fingerprint(whole, FULL))
+                    pairs.append(set_fingerprint(shingle_set(words, 2), short))
+                columns = [piece.column(0), piece.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), column(full, FULL), column(pairs, short)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "full", "short"])
+
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    return rows.mapInArrow(make, "id long, h long, node long, full array<long>, short array<long>")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """component, node, shingles (the hashes of the whole set, as bytes) of rows component, node, t; texts without a word are left out."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                piece = batch.slice(lo, 500)
+                made = pa.array([shingle_set(words_of(t), width).tobytes() for t in piece.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), made], names=["component", "node", "shingles"])
+
+    return texts.select("component", "node", "t").mapInArrow(make, "component long, node long, shingles binary").filter(F.length("shingles") > 0)
+
+
+def similar_links(sets: list[np.ndarray], ask: np.ndarray, similarity: float) -> np.ndarray:
+    """The least row that each row reaches by pairs, one of them in ask, whose sets' Jaccard similarity is similarity at least."""
+    forest, sizes = Forest(len(sets)), np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    held = np.zeros(int(ids.max()) + 1, np.int32)
+    for r in ask.tolist():
+        if not forest.label.any():  # all are one group
+            break
+        own = ids[starts[r] : starts[r] + sizes[r]]
+        held[own] = 1
+        both = np.add.reduceat(held[ids], starts)
+        held[own] = 0
+        near = np.flatnonzero(both >= similarity * (sizes[r] + sizes - both) - 1e-9)
+        forest.link(np.full(len(near), r), near)
+    return forest.label
+
+
+def _compared(rows: DataFrame, similarity: float, unit: list[str]) -> DataFrame:
+    """u, v: a forest of the links within each unit and component of rows (with component, node, side, shingles) that have a row of side 0."""
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        for _, group in frame.groupby("component", sort=False):
+            node = group["node"].to_numpy()
+            label = similar_links([np.frombuffer(x, np.uint64) for x in group["shingles"]], np.flatnonzero(group["side"].to_numpy() == 0), similarity)
+            held = np.flatnonzero(label != np.arange(len(node)))
+            found.append(np.stack([node[held], node[label[held]]], axis=1))
+        made = np.concatenate(found)
+        return pd.DataFrame({"u": made[:, 0], "v": made[:, 1]})
+
+    return rows.groupBy(*unit).applyInPandas(link, "u long, v long").filter("u <> v")
+
+
+def _near_pivots(sets: DataFrame, similarity: float) -> DataFrame:
+    """component, node, pivot: for large components, the rows similar to one of a few of the component's own rows."""
+    pivots = sets.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(8)).alias("k")).agg(F.min("node").alias("node"))
+    pivots = sets.join(pivots.select("component", "node"), ["component", "node"])
+    pivots = staged(pivots.groupBy("component").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots")), "op3-pivots")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["shingles"], np.uint64)
+                for p in row["pivots"]:
+                    other = np.frombuffer(p["shingles"], np.uint64)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if both >= similarity * (len(own) + len(other) - both) - 1e-9:
+                        out.append((row["component"], row["node"], p["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["component", "node", "pivot"])
+
+    return sets.join(sized(pivots, 1000), "component").select("component", "node", "shingles", "pivots").mapInArrow(near, "component long, node long, pivot long")
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links whose components are those of all pairs of sets (component, node, shingles; staged) of one component with the
+    given Jaccard similarity. Small components are compared within a task. Of a large one, the rows similar to its best pivot are
+    linked to it by one pass, and only the rest is compared with all, a block of each in a task."""
+    sizes = staged(sets.groupBy("component").agg(F.count("*").alias("n")), "op3-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sized_ = sets.join(sized(sizes), "component")
+    small = sized_.filter(F.col("n").between(2, _GROUP)).withColumn("side", F.lit(0)).withColumn("unit", F.pmod(F.xxhash64("component"), F.lit(total // _TASK + 1)))
+    # few bytes, much work: a number of partitions of our own, which isn't coalesced
+    links = _compared(small.repartition(total // _TASK + 1, "unit"), similarity, ["unit"])
+    if not sizes.filter(F.col("n") > _GROUP).head(1):
+        return links
+    large = staged(sized_.filter(F.col("n") > _GROUP), "op3-large")
+    near = staged(_near_pivots(large.select("component", "node", "shingles"), similarity), "op3-near")
+    best = near.groupBy("component", "pivot").count().groupBy("component").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    done = near.join(best, ["component", "pivot"]).select("node")
+    rest = staged(large.join(done, "node", "left_anti"), "op3-rest")
+    parts = rest.groupBy("component").agg(F.ceil(F.count("*") / _GROUP).alias("rests"))
+    block = lambda k: F.pmod(F.xxhash64(F.lit(k), "node"), F.ceil(F.col("n") / _GROUP) if k else F.col("rests"))
+    both = rest.join(parts, "component").withColumn("i", block(0)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / _GROUP) - 1))).withColumn("side", F.lit(0))
+    both = both.unionByName(large.join(parts, "component").withColumn("j", block(1)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1))).withColumn("side", F.lit(1)))
+    across = _compared(both, similarity, ["component", "i", "j"])
+    return links.union(near.filter("node <> pivot").select("node", "pivot")).union(across)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: id, h (XXH64 of the text), node (its fingerprint's), least_id, least_h: the row of its group that is
-    least by id (null first), then h. A group is what links of the given similarity reach, as fingerprints of width-word shingles
-    estimate it; rows of equal fingerprints are linked. Texts without a word are one group; repeated rows stay."""
+    """A row per row of docs: id, h (XXH64 of the text), node (of its set of shingles), least_id, least_h: the row of its group that
+    is least by id (null first), then h. A group is what pairs of the given similarity reach: the exact Jaccard similarity of their
+    sets of distinct width-word shingles. Pairs are sought among representatives of equal sets that the fingerprints, compared with
+    a wide margin, bring into one loose group. Texts without a word are one group; repeated rows stay."""
     most = similarity_bits(similarity, 64 * FULL)
     words = BANDS * BAND_BITS // 64
     names = [f"f{k}" for k in range(FULL)]
-    made = fingerprints(docs, {"full": (width, FULL), "short": (2, words)}, id_col, text_col)
-    made = made.select("id", "h", *[F.col("full")[k].alias(n) for k, n in enumerate(names)], "short").withColumn("node", F.xxhash64(*names))
-    made = staged(made, "op3-fingerprints")
-    firsts = staged(made.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min_by(F.struct(*names, "short"), F.struct("id", "h")).alias("f")), "op3-distinct")
+    made = _set_prints(docs, width, id_col, text_col)
+    made = staged(made.select("id", "h", "node", *[F.col("full")[k].alias(n) for k, n in enumerate(names)], "short"), "op3-fingerprints")
+    firsts = staged(made.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.first(F.struct(*names, "short")).alias("f")), "op3-distinct")
     half = [F.struct(F.lit(2 * k + s).alias("band"), F.shiftrightunsigned(F.col("f.short")[k], 32 * s).bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")) for k in range(words) for s in (0, 1)]
-    keys = firsts.select("node", "f", F.explode(F.array(*half)).alias("b")).select("b.band", "b.key", "node", *[F.col(f"f.{n}") for n in names])
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(axis=1) <= most
 
-    links = staged(trie_forest(keys, BAND_BITS, BAND_BUDGET, names, close, tasks=2), "op3-links")
+    def joined(bands: list[Column]) -> DataFrame:
+        keys = firsts.select("node", "f", F.explode(F.array(*bands)).alias("b")).select("b.band", "b.key", "node", *[F.col(f"f.{n}") for n in names])
+        return staged(trie_forest(keys, BAND_BITS, BAND_BUDGET, names, close, tasks=2), "op3-loose")
+
+    # a few bands at a time: the driver holds a histogram of each
+    loose = reduce(DataFrame.union, [joined(half[lo : lo + 4]) for lo in range(0, BANDS, 4)])
+    wanted = components(loose).join(firsts, "node").select("node", "component", F.col("least.id").alias("__id"), F.col("least.h").alias("__h"))
+    wanted = staged(wanted, "op3-wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    texts = texts.join(sized(wanted), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).dropDuplicates(["node"])
+    sets = staged(_sets(texts, width), "op3-sets")
+    links = staged(exact_links(sets, similarity), "op3-links")
     groups = components(links)
     least = groups.join(firsts, "node").groupBy("component").agg(F.min("least").alias("group_least"))
     linked = staged(groups.join(least, "component").select("node", "group_least"), "op3-groups")

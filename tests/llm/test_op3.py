@@ -97,3 +97,65 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, *range(40)]
     assert op.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_near(rows, width=5, similarity=0.8):
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    least = {}
+    for x, (i, _) in zip(label, rows, strict=True):
+        least[x] = min(least.get(x, i), i)
+    return {i: least[x] for x, (i, _) in zip(label, rows, strict=True)}
+
+
+def contiguous_edits():
+    """Texts, each with a copy that has a passage appended, replaced or cut in one piece, from similarity 0.70 to 0.90."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    rows = []
+    for k in range(240):
+        w, s = some(300), (0.70, 0.75, 0.79, 0.80, 0.81, 0.85, 0.90)[k % 7]
+        if k % 3 == 0:
+            copy = w + some(round(296 / s) - 296)
+        elif k % 3 == 1:
+            n = round(300 * (1 - s) / (1 + s)) - 4
+            at = rng.randrange(300 - n)
+            copy = w[:at] + some(n) + w[at + n :]
+        else:
+            copy = w[: 4 + round(296 * s)]
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(copy))]
+    # few distinct shingles that fill the text, and much else that differs
+    return rows + [(5000 + k, "the same five words again " * 400 + " ".join(some(100))) for k in range(2)]
+
+
+def test_contiguous_edits_against_brute_force(spark):
+    rows = contiguous_edits()
+    want = brute_near(rows)
+    got = {r.id: r.least_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 100 and all(got[i] in (i, want[i]) for i in want)  # none too many
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+
+
+def test_large_group_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "_GROUP", 8)
+    rng = random.Random(4)
+    w = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(60):  # a chain: each differs a little more from the first
+        rows.append((k, " ".join(w)))
+        w[(k * 7) % 200] = f"x{k}"
+        if k % 5 == 4:
+            at = rng.randrange(180)
+            w[at : at + 12] = [f"y{k}-{x}" for x in range(12)]
+    want = brute_near(rows)
+    got = {r.id: r.least_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
