@@ -43,15 +43,13 @@ def byte_bpe(path: str) -> ByteBpe:
 # --- the grammar -----------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, terminals: int, min_count: int = 8, rounds: int = 6, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over ids. Each round replaces the per_round most frequent pairs at once; where two of them overlap the
+def compress(ids: np.ndarray, terminals: int, min_count: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair over ids, until no pair occurs min_count times. Each round replaces the per_round most frequent pairs at once; where two of them overlap the
     left one is taken, and a rule that is then used less than twice is dropped. Returns symbols, rules (n x 2; the k-th
     is symbol terminals + k), and the length of each rule's expansion."""
     seq = ids.astype(np.int64)
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pairs = (seq[:-1] << 32) | seq[1:]
         found, counts = np.unique(pairs, return_counts=True)
         good = counts >= min_count

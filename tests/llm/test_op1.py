@@ -39,6 +39,16 @@ def test_grammar_round_trip_and_random_access():
     assert len(data) < 4 * len(ids)
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 900, 1000)
+    ids = np.concatenate([np.append(passage, rng.integers(0, 900, 3)) for _ in range(64)]).astype(np.uint32)
+    symbols, rules, lengths = op.compress(ids, 1000)
+    assert lengths.max() >= 500 and len(symbols) < 64 * 8  # with symbols of 64 ids at most, a copy takes 16 or more
+    assert np.unique((symbols[:-1] << 32) | symbols[1:], return_counts=True)[1].max() < 8
+    assert (op.expand(symbols, rules, 1000) == ids).all()
+
+
 def test_query_against_brute_force(spark, tmp_path):
     rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(ODD)] + [(4, "again", "y"), (4, "again", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
