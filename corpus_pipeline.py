@@ -24,8 +24,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item: thirteen tokens in a row that differ in two at most."""
-    return op5_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of a benchmark item: thirteen tokens in a row that differ in two at most;
+    of a shorter item, all of it."""
+    return op5_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,26 @@ def test_against_brute_force(spark):
     assert op.contaminated(frame, bench.limit(0)).count() == 0 == op.contaminated(frame.limit(0), bench).count()
 
 
+def test_each_length_with_its_substitutions(spark):
+    items, docs, want = [], [], {}
+    for n in range(1, 14):
+        item = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        most = n * 2 // 13
+        for bad in [c for k in range(most + 2) for c in itertools.combinations(range(n), k)]:
+            i = len(docs)
+            part = ["other" if j in bad else x for j, x in enumerate(item)]
+            docs.append((i, " ".join(["before", "it", *part, "after"])))
+            if len(bad) <= most:
+                want[i] = [n]
+    items += [(20, "今日は天気がとても良いので散歩に行きます"), (21, "我们昨天")]
+    docs += [(10_000, "前置き。今日は天気がとても良いので散歩へ行きます。"), (10_001, "他说我们昨天去了"), (10_002, "天気")]
+    want |= {10_000: [20], 10_001: [21]}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.id: r["items"] for r in op.contaminated(frame, bench, short_items=True).collect()} == want
+
+
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
