@@ -9,6 +9,7 @@ before other white space or at the end of a text) and texts that hold an added t
 from __future__ import annotations
 
 import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ _WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 
 class ByteBpe:
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        # a task has one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,7 +39,7 @@ class ByteBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -72,14 +75,14 @@ class ByteBpe:
         all_ids, all_lens = np.concatenate([ids, whole_ids]), np.concatenate([lens, whole_lens])
         return _gather(all_ids, _starts(all_lens)[order], all_lens[order]), all_lens[order]
 
-    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word with a space before it. Many go to the library as one text: there, too, each is cut off at its space,
         and the ids that begin with a space tell where the words begin."""
-        texts = [" " + " ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
-        ids, _ = self._plain(texts)
+        groups = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 64), len(words)), pa.int32()), words)
+        ids, _ = self._plain([" " + x for x in pc.binary_join(groups, " ").to_pylist()])
         begins = np.flatnonzero(self.spaced_id[ids])
         if len(begins) != len(words):
-            return self._plain([" " + w for w in words])
+            return self._plain([" " + w for w in words.to_pylist()])
         return ids, np.diff(np.append(begins, len(ids)))
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +91,17 @@ class ByteBpe:
         offsets = offsets - offsets[0]
         coded = pieces.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         # the first piece of a text has no space before it
         heads = offsets[:-1]
-        head_ids, head_lens = self._plain([words[c] for c in codes[heads].tolist()])
+        head_ids, head_lens = self._plain(words.take(pa.array(codes[heads])).to_pylist())
         n = len(words)
         inside = np.ones(len(codes), bool)
         inside[heads] = False
         counts = np.bincount(codes[inside], minlength=n)
-        known = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, n)
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero((known < 0) & (counts > 0))
-        new_ids, new_lens = self._spaced([words[i] for i in fresh.tolist()])
+        new_ids, new_lens = self._spaced(words.take(pa.array(fresh)))
         starts, lens = np.zeros(n + len(heads), np.int64), np.zeros(n + len(heads), np.int64)
         old = np.flatnonzero(known >= 0)
         starts[old], lens[old] = self.starts[known[old]], self.lens[known[old]]
@@ -109,17 +112,19 @@ class ByteBpe:
         out_lens = lens[codes]
         out = _gather(flat, starts[codes], out_lens)
         ends = np.concatenate([[0], np.cumsum(out_lens)])[offsets]
-        self._keep(words, fresh[counts[fresh] > 1], starts, lens, flat)
+        self._keep(words, fresh, counts, starts, lens, flat)
         return out, np.diff(ends)
 
-    def _keep(self, keys: list[str], which: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:
+    def _keep(self, words: pa.Array, which: np.ndarray, counts: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:
         which = which[lens[which] <= 16]
+        if len(self.words) + len(which) > self.cached_words:
+            which = which[counts[which] > 1]
         if len(self.words) + len(which) > self.cached_words:
             self._reset()
             which = which[: self.cached_words]
         at = len(self.ids) + _starts(lens[which])
         self.ids = np.concatenate([self.ids, _gather(flat, starts[which], lens[which])])
-        self.words.update(zip([keys[i] for i in which.tolist()], range(len(self.lens), len(self.lens) + len(which)), strict=True))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(which))])
         self.starts, self.lens = np.concatenate([self.starts, at]), np.concatenate([self.lens, lens[which]])
 
 

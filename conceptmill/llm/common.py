@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master is
+    local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="conceptmill-")
         spark.sparkContext.setCheckpointDir(root)
         root = f"file://{root}"
@@ -43,6 +50,17 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 2000, n_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of few rows and, but for a longer text, of few bytes of a text column."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        base = int(upto[lo - 1]) if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(upto, base + n_bytes, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

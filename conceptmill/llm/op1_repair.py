@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe
-from .common import new_path, staged, table, text_or_empty
+from .common import new_path, slices, staged, table, text_or_empty
 from .files import filesystem, make_dir
 
 MAGIC, STEP = 0x43475052, 512
@@ -45,46 +45,70 @@ def byte_bpe(path: str) -> ByteBpe:
 
 def compress(ids: np.ndarray, terminals: int, min_count: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids, until no pair occurs min_count times. Each round replaces the per_round most frequent pairs at once; where two of them overlap the
-    left one is taken, and a rule that is then used less than twice is dropped. Returns symbols, rules (n x 2; the k-th
+    left one is taken, and a rule that is then used less than twice is dropped. After the first round only places are counted that
+    touch a new symbol or held a frequent pair: any other pair can only have become rarer. Returns symbols, rules (n x 2; the k-th
     is symbol terminals + k), and the length of each rule's expansion."""
     seq = ids.astype(np.int64)
-    rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    while len(seq) > 1:
-        pairs = (seq[:-1] << 32) | seq[1:]
+    rules, size = [np.zeros((0, 2), np.int64)], np.ones(terminals, np.int64)
+    hot = np.arange(len(seq) - 1)
+    while len(hot):
+        pairs = (seq[hot] << 32) | seq[hot + 1]
         found, counts = np.unique(pairs, return_counts=True)
         good = counts >= min_count
         found, counts = found[good], counts[good]
-        if not len(found):
-            break
+        hot, at = _places(hot, pairs, found)
         if len(found) > per_round:
-            found = np.sort(found[np.argsort(-counts, kind="stable")[:per_round]])
-        # a small table of hashes rules out most places before the search
-        maybe = np.zeros(1 << 16, bool)
-        maybe[_short_hash(found)] = True
-        mark = np.flatnonzero(maybe[_short_hash(pairs)])
-        at = np.searchsorted(found, pairs[mark])
-        at[at == len(found)] = 0
-        hit = found[at] == pairs[mark]
-        mark, at = mark[hit], at[hit]
+            best = np.zeros(len(found), bool)
+            best[np.argsort(-counts, kind="stable")[:per_round]] = True
+        else:
+            best = np.ones(len(found), bool)
+        taken = best[at]
+        mark, which = hot[taken], at[taken]
         taken = _alternate(mark)
-        mark, at = mark[taken], at[taken]
-        used = np.bincount(at, minlength=len(found)) >= 2
-        mark, at = mark[used[at]], at[used[at]]
+        mark, which = mark[taken], which[taken]
+        used = np.bincount(which, minlength=len(found)) >= 2
+        mark, which = mark[used[which]], which[used[which]]
         if not len(mark):
             break
-        number = np.cumsum(used) - 1 + terminals + len(rules)
-        kept = found[used]
-        new = np.stack([kept >> 32, kept & 0xFFFFFFFF], axis=1)
-        size = np.concatenate([np.ones(terminals, np.int64), lengths])
-        lengths = np.concatenate([lengths, size[new[:, 0]] + size[new[:, 1]]])
-        rules = np.concatenate([rules, new])
-        seq[mark] = number[at]
-        seq = np.delete(seq, mark + 1)
-    return seq, rules, lengths
+        new = np.stack([found[used] >> 32, found[used] & 0xFFFFFFFF], axis=1)
+        number = len(size) - 1 + np.cumsum(used)
+        seq[mark] = number[which]
+        rules.append(new)
+        size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
+        # places in the shortened sequence
+        keep = np.ones(len(seq), bool)
+        keep[mark + 1] = False
+        moved = np.cumsum(keep) - 1
+        seq = seq[keep]
+        next_ = np.zeros(len(seq) + 1, bool)
+        next_[moved[hot[keep[hot]]]] = True
+        next_[moved[mark]] = True
+        next_[moved[mark] - 1] = True  # of the first symbol: the spare last place
+        hot = np.flatnonzero(next_[: max(0, len(seq) - 1)])
+    return seq, np.concatenate(rules), size[terminals:]
+
+
+def _places(places: np.ndarray, pairs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose pair is one of found (sorted), and which: by a table of hashes, and by a search where two of found share a slot."""
+    if not len(found):
+        return places[:0], places[:0]
+    slots = np.full(1 << 20, -1, np.int32)
+    own = _short_hash(found)
+    slots[own] = np.arange(len(found))
+    shared = np.zeros(1 << 20, bool)
+    shared[own[slots[own] != np.arange(len(found))]] = True
+    hashes = _short_hash(pairs)
+    at = slots[hashes]
+    kept = np.flatnonzero(at >= 0)
+    at = at[kept].astype(np.int64)
+    again = np.flatnonzero(shared[hashes[kept]])
+    at[again] = np.minimum(np.searchsorted(found, pairs[kept[again]]), len(found) - 1)
+    hit = found[at] == pairs[kept]
+    return places[kept[hit]], at[hit]
 
 
 def _short_hash(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
 
 def _alternate(mark: np.ndarray) -> np.ndarray:
@@ -97,7 +121,7 @@ def _alternate(mark: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """All ids that symbols stand for."""
+    """All ids that symbols stand for, level by level."""
     seq = symbols.astype(np.int64)
     while (deep := seq >= terminals).any():
         n = np.where(deep, 2, 1)
@@ -110,6 +134,14 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return seq.astype(np.uint32)
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """As expand, for a whole shard: each rule is expanded once, and the sequence is put together from copies."""
+    table = np.concatenate([np.arange(terminals, dtype=np.uint32), expand(np.arange(terminals, terminals + len(rules)), rules, terminals)])
+    size = np.concatenate([np.ones(terminals, np.int64), lengths])
+    starts, n = (np.cumsum(size) - size)[symbols], size[symbols]
+    return table[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 # --- the shard -------------------------------------------------------------------------------------------------
 
 
@@ -151,7 +183,7 @@ class Shard:
         self.symbols = take("<u2" if version == 1 else "<u4", symbols)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        return expand_all(self.symbols, self.rules, self.lengths, self.terminals)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if end <= start:
@@ -201,8 +233,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
             return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                piece = batch.slice(lo, 2000)
+            for piece in slices(batch, 1):
                 ids, lens = codec.encode(piece.column(1))
                 out = np.full(len(ids) + len(lens), end_id, np.uint32)
                 ends = np.cumsum(lens + 1) - 1
@@ -220,6 +251,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
                         yield close()
         if held:
             yield close()
+        # the worker is used again, by other operators too
+        pa.default_memory_pool().release_unused()
 
     make_dir(out_dir)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
