@@ -15,11 +15,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, staged, table, text_or_empty
+from .common import sized, slices, staged, table, text_or_empty
 from .components import components
 from .trie import Forest, trie_forest
 
@@ -48,11 +49,23 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.array([h(joined[a:b], 42) for a, b in zip(starts[lo : lo + _BLOCK].tolist(), ends[lo : lo + _BLOCK].tolist(), strict=True)], np.uint64)
 
 
-def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, least significant first."""
-    bits = _SPREAD[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)]
-    sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
-    return sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
+def bit_counts(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each run (of lens hashes) have each bit, least significant first: a row of 64 for each run."""
+    out = np.zeros((len(lens), 64), np.int64)
+    # a byte holds up to 255 ones: longer runs are summed in parts
+    parts = -(-lens // 255)
+    run = np.repeat(np.arange(len(lens)), parts)
+    starts = np.repeat(np.cumsum(lens) - lens, parts) + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
+    view = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    lo = 0
+    while lo < len(run):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _BLOCK)))
+        end = int(starts[hi]) if hi < len(run) else len(hashes)
+        sums = np.add.reduceat(_SPREAD[view[starts[lo] : end]], starts[lo:hi] - starts[lo], axis=0)
+        heads = np.flatnonzero(np.diff(run[lo:hi], prepend=-1))
+        out[run[lo:hi][heads]] += np.add.reduceat(sums.view(np.uint8).reshape(len(sums), 64).astype(np.int64), heads, axis=0)
+        lo = hi
+    return out
 
 
 def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -64,38 +77,28 @@ def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes
 
 
-def fingerprint(words: list[bytes], width: int, n: int = 1) -> list[int]:
-    """n fingerprints of 64 bits: a bit is set if over half of the hashes have it. No words: zero."""
-    counts, total = np.zeros((n, 64), np.int64), 0
-    for hashes in shingle_hashes(words, width):
-        total += len(hashes)
-        for k in range(n):
-            counts[k] += bit_counts(_remix(hashes, k))
-    set_ = (2 * counts > total).astype(np.uint8)
-    return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel().tolist()
+def fingerprints_of(hashes: np.ndarray, lens: np.ndarray, n: int = 1) -> np.ndarray:
+    """n fingerprints of 64 bits of each run of hashes: a bit is set if over half of them have it. An empty run: zero."""
+    made = [np.packbits(2 * bit_counts(_remix(hashes, k), lens) > lens[:, None], axis=1, bitorder="little").view("<u8") for k in range(n)]
+    return np.concatenate(made, axis=1)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def fingerprints(docs: DataFrame, parts: dict[str, tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
-    """id, h (a hash of the text) and, for each name of parts: (width, n), an array of n fingerprints (as signed long) of the whole text."""
-    schema = "id long, h long, " + ", ".join(f"{name} array<long>" for name in parts)
+def fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id, key: the fingerprint (as signed long) of the whole text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                piece = batch.slice(lo, 1000)
-                rows = [words_of(t) for t in piece.column(2).to_pylist()]
-                columns = [piece.column(0), piece.column(1)]
-                for width, n in parts.values():
-                    made = np.array([fingerprint(w, width, n) for w in rows], np.uint64).reshape(-1).view(np.int64)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) + 1, n), pa.int32()), pa.array(made)))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", *parts])
+            for piece in slices(batch, 1):
+                rows = [list(shingle_hashes(words_of(t), width)) for t in piece.column(1).to_pylist()]
+                lens = np.array([sum(map(len, r)) for r in rows], np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint64), *(x for r in rows for x in r)])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(flat, lens)[:, 0].view(np.int64))], names=["id", "key"])
 
-    text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(make, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(make, "id long, key long")
 
 
 # --- groups ----------------------------------------------------------------------------------------------------
@@ -106,7 +109,7 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     steps of budget bits at most. Null and empty texts have fingerprint zero, linked like any other; repeated rows stay;
     null ids stay and don't count as least (a component of null ids alone has a null component_id); extra columns are left
     out. Equal fingerprints are one node, so a group of copies of any size costs one row in the join."""
-    made = staged(fingerprints(docs, {"f": (width, 1)}, id_col, text_col).select("id", F.col("f")[0].alias("key")), "op3-fingerprints")
+    made = staged(fingerprints(docs, width, id_col, text_col), "op3-fingerprints")
     distinct = staged(made.groupBy("key").agg(F.min("id").alias("least")), "op3-distinct")
     links = staged(trie_forest(distinct.select(F.lit(0).alias("band"), "key", F.col("key").alias("node")), 64, budget), "op3-links")
     groups = components(links).withColumnRenamed("node", "key")
@@ -129,18 +132,45 @@ def similarity_bits(similarity: float, bits: int) -> int:
     return int(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart)))
 
 
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """The distinct shingles' hashes, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, width)]))
-
-
-def set_fingerprint(hashes: np.ndarray, n: int) -> list[int]:
-    """n fingerprints of 64 bits of a set: a bit is set if over half of the hashes have it."""
-    counts = np.zeros((n, 64), np.int64)
-    for lo in range(0, len(hashes), _BLOCK):
-        for k in range(n):
-            counts[k] += bit_counts(_remix(hashes[lo : lo + _BLOCK], k))
-    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel().tolist()
+def shingle_sets(texts: pa.Array, widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width, the distinct hashes of each text's shingles, ascending, flat, and how many each text has; fewer words than
+    width: of the whole sequence. A shingle's hash is a polynomial of its words' hashes, mixed; each distinct word is hashed once."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    offsets = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    real = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0
+    held = real[codes] if len(codes) else np.zeros(0, bool)
+    n = np.diff(np.append(0, np.cumsum(held))[offsets - offsets[0]])
+    words = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    words = words[codes[held]] if len(codes) else np.zeros(0, np.uint64)
+    starts = np.cumsum(n) - n
+    out = []
+    for width in widths:
+        sums, first = words.copy(), np.zeros(len(n), np.uint64)
+        for j in range(1, width + 1):
+            here = (n >= j) if j == width else n == j
+            first[here] = sums[starts[here]]
+            if j < width:
+                sums *= np.uint64(0x9E3779B97F4A7C15)
+                sums[: max(0, len(words) - j)] += words[j:]
+        m = np.where(n >= width, n - width + 1, n > 0)
+        ends = np.cumsum(m)
+        flat = sums[np.repeat(starts - (ends - m), m) + np.arange(int(m.sum()))]
+        flat[(ends - m)[(n > 0) & (n < width)]] = first[(n > 0) & (n < width)]
+        flat = _remix(flat, width)
+        for lo, hi in zip((ends - m).tolist(), ends.tolist(), strict=True):
+            flat[lo:hi].sort()
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[(ends - m)[m > 0]] = True
+        out.append((flat[new], np.diff(np.append(0, np.cumsum(new))[np.append(0, ends)])))
+    return out
+
+
+def _as_bytes(flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+    data, ends = flat.tobytes(), np.cumsum(8 * lens).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _set_prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -148,22 +178,17 @@ def _set_prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
     (those of the set of two-word shingles, two bands each)."""
     short = BANDS * BAND_BITS // 64
 
-    def column(rows: list[list[int]], n: int) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(rows) + 1, n), pa.int32()), pa.array(np.array(rows, np.uint64).reshape(-1).view(np.int64)))
+    def column(flat: np.ndarray, lens: np.ndarray, n: int) -> pa.Array:
+        made = fingerprints_of(flat, lens, n)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(lens) + 1, n), pa.int32()), pa.array(made.reshape(-1).view(np.int64)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                piece = batch.slice(lo, 1000)
-                node, full, pairs = [], [], []
-                for t in piece.column(2).to_pylist():
-                    words = words_of(t)
-                    whole = shingle_set(words, width)
-                    node.append(xxhash.xxh64_intdigest(whole.tobytes(), 42))
-                    full.append(set_fingerprint(whole, FULL))
-                    pairs.append(set_fingerprint(shingle_set(words, 2), short))
-                columns = [piece.column(0), piece.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), column(full, FULL), column(pairs, short)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "full", "short"])
+            for piece in slices(batch, 2):
+                whole, pairs = shingle_sets(piece.column(2), (width, 2))
+                node = np.array([xxhash.xxh64_intdigest(x, 42) for x in _as_bytes(*whole)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(node), column(*whole, FULL), column(*pairs, short)], names=["id", "h", "node", "full", "short"])
+        pa.default_memory_pool().release_unused()
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
@@ -175,9 +200,8 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                made = pa.array([shingle_set(words_of(t), width).tobytes() for t in piece.column(2).to_pylist()], pa.binary())
+            for piece in slices(batch, 2):
+                made = pa.array(_as_bytes(*shingle_sets(piece.column(2), (width,))[0]), pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), made], names=["component", "node", "shingles"])
 
     return texts.select("component", "node", "t").mapInArrow(make, "component long, node long, shingles binary").filter(F.length("shingles") > 0)

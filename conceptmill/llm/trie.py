@@ -2,12 +2,15 @@
 
 A pair of nodes of the same depth stands for all pairs of keys below them. It carries the bits in which the two
 prefixes differ and is dropped as soon as they exceed the budget; small pairs are compared key by key. The upper
-levels are walked on the driver over a histogram of prefixes (at most 65,536 a band) and give the pairs of
-subtries that meet; each such pair is a task. Tasks emit, of the links that they find, a spanning forest only.
+levels are columns: each key is dealt to the subtries whose prefixes differ from its own in budget bits at most (a
+subtrie with too many keys is cut by further bits), and each pair of subtries is a group of a task. Tasks emit, of
+the links that they find, a spanning forest only.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the prefix histogram, and the keys that a subtrie should hold at most (it may hold more below the last bit).
-PREFIX_BITS, SUBTRIE_KEYS = 16, 1 << 18
+from .common import sized, staged
+
+#: Most bits of a subtrie's prefix, further bits of one that holds too many keys, and the keys that it should hold at most.
+PREFIX_BITS, MORE_BITS, SUBTRIE_KEYS = 16, 8, 1 << 18
 _CHUNK, _SMALL = 1 << 17, 16
 
 
@@ -119,81 +124,45 @@ def _compare(ta: _Trie, tb: _Trie, level: int, i: np.ndarray, j: np.ndarray, sa:
 # --- spread over tasks -----------------------------------------------------------------------------------------
 
 
-def subtries(counts: dict[int, int], bits: int, target: int) -> list[tuple[int, int]]:
-    """Leaves (depth, prefix) of the upper trie: split until one holds at most target keys or has PREFIX_BITS bits."""
-    top = min(PREFIX_BITS, bits)
-    levels = [counts]
-    for _ in range(top):
-        up: dict[int, int] = {}
-        for p, n in levels[-1].items():
-            up[p >> 1] = up.get(p >> 1, 0) + n
-        levels.append(up)
-    leaves, todo = [], [(0, 0)]
-    while todo:
-        d, p = todo.pop()
-        if n := levels[top - d].get(p, 0):
-            if n <= target or d == top:
-                leaves.append((d, p))
-            else:
-                todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-    return leaves
-
-
-def meetings(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
-    """Pairs (i, j, depth) of leaves, i <= j, whose prefixes, as far as both go, differ in budget bits at most. Walks pairs of
-    nodes from the root as the tasks do."""
-    below: dict[tuple[int, int], list[int]] = {}
-    for k, (d, p) in enumerate(leaves):
-        for up in range(d + 1):
-            below.setdefault((d - up, p >> up), []).append(k)
-    at = {x: k for k, x in enumerate(leaves)}
-    found, todo = [], [((0, 0), (0, 0), 0)] if leaves else []
-    while todo:
-        x, y, cost = todo.pop()
-        kids = lambda z: [z] if z in at else [c for c in ((z[0] + 1, 2 * z[1]), (z[0] + 1, 2 * z[1] + 1)) if c in below]
-        if x in at and y in at:
-            found.append((min(at[x], at[y]), max(at[x], at[y]), min(x[0], y[0])))
-            continue
-        for cx in kids(x):
-            for cy in kids(y):
-                if x == y and cx > cy:
-                    continue
-                more = cost
-                if cx != x and cy != y:
-                    more += (cx[1] ^ cy[1]) & 1
-                elif cx != x or cy != y:  # one stays at a leaf: compare as far as both go
-                    d = min(cx[0], cy[0])
-                    more = ((cx[1] >> (cx[0] - d)) ^ (cy[1] >> (cy[0] - d))).bit_count()
-                if more <= budget:
-                    todo.append((cx, cy, more))
-    return sorted(set(found))
+def _masks(bits: int, budget: int) -> list[int]:
+    return [sum(1 << x for x in c) for n in range(min(bits, budget) + 1) for c in itertools.combinations(range(bits), n)]
+
+
+def met(keys: DataFrame, bits: int, budget: int, target: int) -> DataFrame:
+    """keys with a row for each subtrie that a key meets: lo and hi (the pair of subtries: its own and the other), depth (the bits
+    that both prefixes have) and side (0: its own is lo). Subtries have equal prefix lengths, so that they hold target keys on
+    average; one that holds four times as many is cut by up to MORE_BITS further bits."""
+    most = keys.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    depth = min(PREFIX_BITS, bits, max(0, math.ceil(math.log2(max(1, most / target)))))
+    more = min(MORE_BITS, bits - depth)
+    prefix = lambda n: F.shiftrightunsigned("key", bits - n) if n else F.lit(0).cast("long")
+    rows = keys.withColumn("p", prefix(depth))
+    hot = rows.groupBy("band", "p").count().filter(F.col("count") > 4 * target).select("band", "p", F.lit(True).alias("cut")) if more else None
+    deep = hot is not None and bool((hot := staged(hot, "trie-hot")).head(1))
+    other = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, budget)]))).withColumn("q", F.col("p").bitwiseXOR(F.col("mask")))
+    if not deep:
+        other = other.withColumn("own", F.col("p")).withColumn("of", F.col("q")).withColumn("depth", F.lit(depth))
+    else:
+        other = other.join(sized(hot), ["band", "p"], "left").withColumnRenamed("cut", "own_cut").join(sized(hot.withColumnRenamed("p", "q")), ["band", "q"], "left")
+        # a cut subtrie's number has a bit of its own, so that it equals no other's
+        name = lambda p: p.bitwiseOR(F.lit(1 << 40))
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(more, budget)])
+        left = F.filter(masks, lambda m: F.bit_count(m) + F.bit_count("mask") <= budget)
+        other = other.withColumn("more", F.explode(F.when(F.col("cut"), left).otherwise(F.array(F.lit(0).cast("long")))))
+        far = F.shiftleft("mask", more).bitwiseOR(F.col("more")).bitwiseXOR(prefix(depth + more))
+        other = other.withColumn("own", F.when(F.col("own_cut"), name(prefix(depth + more))).otherwise(F.col("p"))).withColumn("of", F.when(F.col("cut"), name(far)).otherwise(F.col("q")))
+        other = other.withColumn("depth", F.when(F.col("own_cut") & F.col("cut"), depth + more).otherwise(depth))
+    return other.select(*keys.columns, F.least("own", "of").alias("lo"), F.greatest("own", "of").alias("hi"), "depth", (F.col("own") > F.col("of")).cast("int").alias("side"))
 
 
 def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | None = None, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, tasks: int = 8) -> DataFrame:
-    """keys: band int, key long (bits low bits), node long, and the columns members. Returns u, v: nodes linked within a band by
+    """keys: band int, key long (bits low bits), node long, and the columns members; read more than once, so staged or cheap. Returns u, v: nodes linked within a band by
     keys of Hamming distance budget at most and, if given, by check(member rows of u, of v); of each task's links a spanning
     forest, so that components over u, v are those over all links. Rows of one band with equal keys are linked likewise."""
-    spark, members = keys.sparkSession, members or []
-    top = min(PREFIX_BITS, bits)
-    prefix = F.shiftrightunsigned("key", bits - top).cast("int") if bits > top else F.col("key").cast("int")
-    # bounded: PREFIX_BITS bits a band
-    histogram: dict[int, dict[int, int]] = {}
-    for band, p, n in keys.groupBy("band", prefix.alias("p")).count().collect():
-        histogram.setdefault(band, {})[p] = n
-    leaf_rows, pair_rows = [], []
-    for band, counts in sorted(histogram.items()):
-        total = sum(counts.values())
-        leaves = subtries(counts, bits, min(SUBTRIE_KEYS, max(1 << 12, total // tasks)))
-        for k, (d, p) in enumerate(leaves):
-            leaf_rows += [(band, (p << (top - d)) + x, k) for x in range(1 << (top - d)) if (p << (top - d)) + x in counts]
-        for i, j, d in meetings(leaves, budget):
-            n = len(pair_rows) and pair_rows[-1][0] + 1
-            pair_rows.append((n, band, i, d, 0))
-            if i != j:
-                pair_rows.append((n, band, j, d, 1))
-    leaf_of = spark.createDataFrame(leaf_rows, "band int, p int, leaf int")
-    pairs = spark.createDataFrame(pair_rows, "pair int, band int, leaf int, depth int, side int")
-    dealt = keys.withColumn("p", prefix).join(F.broadcast(leaf_of), ["band", "p"]).join(F.broadcast(pairs), ["band", "leaf"]).select("pair", "depth", "side", "key", "node", *members)
+    members = members or []
+    bands, total = keys.agg(F.countDistinct("band"), F.count("*")).first()
+    target = min(SUBTRIE_KEYS, max(1 << 12, total // max(1, bands) // tasks))
+    dealt = met(keys, bits, budget, target)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         key, side = frame["key"].to_numpy().view(np.uint64), frame["side"].to_numpy()
@@ -202,7 +171,9 @@ def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | No
         order = np.lexsort((key, side))
         key, side = key[order], side[order]
         half = int(np.searchsorted(side, 1))
-        two = half < len(key)
+        two = bool(frame["lo"].iloc[0] != frame["hi"].iloc[0])
+        if two and half in (0, len(key)):  # one of the subtries is empty
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
         sets = Forest(len(key))
         blocks = []
         for lo, hi in ((0, half), (half, len(key))):
@@ -245,5 +216,6 @@ def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | No
         held = np.flatnonzero(sets.label != np.arange(len(node)))
         return pd.DataFrame({"u": node[held], "v": node[sets.label[held]]})
 
-    # few bytes, much work: a number of partitions of our own, which isn't coalesced
-    return dealt.repartition(max(1, min(len(pair_rows), 4096)), "pair").groupBy("pair").applyInPandas(join, "u long, v long")
+    # few bytes, much work: a number of partitions of our own, which isn't coalesced; about two groups in each
+    groups = sum(1 for _ in _masks(min(PREFIX_BITS, max(0, math.ceil(math.log2(max(1, total / max(1, bands) / target))))), budget)) * -(-total // target)
+    return dealt.repartition(max(1, min(groups, 200_000)), "band", "lo", "hi").groupBy("band", "lo", "hi").applyInPandas(join, "u long, v long")

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from conceptmill.llm import op3_simhash as op
 from conceptmill.llm.components import components
-from conceptmill.llm.trie import meetings, subtries, walk
+from conceptmill.llm.trie import met, walk
 
 
 def brute_fingerprint(text, width=3):
@@ -59,21 +60,37 @@ def test_query_on_table(spark, sf_dir):
     assert got == brute_components(rows)
 
 
-def test_walk_finds_all_pairs():
+def test_walk_finds_all_pairs(spark):
     rng = np.random.default_rng(0)
     for bits, budget, n in ((64, 2, 2000), (32, 3, 3000), (16, 2, 400)):
         k = rng.integers(0, 2**bits - 1, n, dtype=np.uint64)
-        k = np.unique(np.concatenate([k, k[:300] ^ (np.uint64(1) << rng.integers(0, bits, 300).astype(np.uint64))]))
+        k = np.concatenate([k, k[:300] ^ (np.uint64(1) << rng.integers(0, bits, 300).astype(np.uint64))])
+        # a prefix that holds more keys than others, and is cut further
+        k = np.unique(np.concatenate([k, (k[0] >> np.uint64(bits - 6) << np.uint64(bits - 6)) | (rng.integers(0, 2 ** (bits - 6), 600, dtype=np.uint64))]))
         want = {(a, b) for a in range(len(k)) for b in (np.flatnonzero(np.bitwise_count(k[a + 1 :] ^ k[a]) <= budget) + a + 1).tolist()}
-        counts = {}
-        for p in (k >> np.uint64(bits - min(16, bits))).tolist():
-            counts[p] = counts.get(p, 0) + 1
-        leaves, got = subtries(counts, bits, 300), set()
-        below = [np.flatnonzero(k >> np.uint64(bits - d) == p) if d else np.arange(len(k)) for d, p in leaves]
-        for i, j, d in meetings(leaves, budget):
-            for x, y in walk(k[below[i]], None if i == j else k[below[j]], bits, d, budget):
-                got |= {(min(p), max(p)) for p in zip(below[i][x].tolist(), below[j][y].tolist(), strict=True)}
-        assert got == want
+        keys = spark.createDataFrame([(0, x, i) for i, x in enumerate(k.view(np.int64).tolist())], "band int, key long, node long")
+        for target in (60, 10_000):
+            frame, got = met(keys, bits, budget, target).toPandas(), set()
+            assert (frame["lo"] >= 1 << 40).any() == (target == 60)
+            for (lo, hi), group in frame.groupby(["lo", "hi"]):
+                a, b = (np.sort(group["node"][group["side"] == s].to_numpy()) for s in (0, 1))
+                if lo == hi or len(a) and len(b):
+                    for x, y in walk(k[a], None if lo == hi else k[b], bits, int(group["depth"].iloc[0]), budget):
+                        got |= {(min(p), max(p)) for p in zip(a[x].tolist(), (a if lo == hi else b)[y].tolist(), strict=True)}
+            assert got == want
+
+
+def test_sets_against_brute_force():
+    texts = ["", " \n", "One", "one  TWO", "\ta b c d e f", "é É a", "x " * 600, "a b c d e f"]
+    made = op.shingle_sets(pa.array(texts), (5, 2))
+    for width, (flat, lens) in zip((5, 2), made, strict=True):
+        sets = np.split(flat, np.cumsum(lens)[:-1])
+        words = [t.encode().lower().split() for t in texts]
+        brute = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)) if w} for w in words]
+        assert [len(s) for s in sets] == [len(b) for b in brute]
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(brute[i] & brute[j])
 
 
 def test_components_of_a_chain(spark):
