@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, in Java and in Python: a run without space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,10 +68,21 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-#: Most rows of a side that may be broadcast, at 64 bytes a row at most 26 MB; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Most rows and bytes of a side that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 1 << 25
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its rows, counted, are few enough; to be called on staged tables."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(field: T.StructField) -> Column:
+    """About the bytes of a column in a row."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows, counted, and their bytes, summed, are few enough; to be called on staged tables."""
+    n, total = df.agg(F.count("*"), F.sum(reduce(add, [_bytes(f) for f in df.schema], F.lit(16)).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= n_bytes else df

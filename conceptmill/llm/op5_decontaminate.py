@@ -71,25 +71,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = staged(items.filter(F.size("words") >= (1 if short_items else LEAST)), "op5-items")
     lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()]
     masks = sorted({m for n in lengths for m in masks_of(n)}) or list(MASKS)
-    seeds = staged(_placed(items, masks, "item_id", own=True).withColumnsRenamed({"seed": "item_seed", "place": "item_place"}), "op5-seeds")
+    seeds = staged(_placed(items.withColumn("n_item", F.size("words")), masks, "item_id", "n_item", own=True).withColumnsRenamed({"seed": "item_seed", "place": "item_place"}), "op5-seeds")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), tokens(F.col(text_col)).alias("words"))
     hits = _placed(rows, masks, "id", "h").join(sized(seeds), F.col("seed") == F.col("item_seed"))
-    hits = hits.select("id", "h", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    named = hits.join(items.select(F.col("item_id").alias("i"), F.col("words").alias("item")).dropDuplicates(["i", "item"]), F.col("item_id").eqNullSafe(F.col("i")))
-    laid = staged(named.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("item_id", "shift", "item")).alias("laid")), "op5-hits")
-    texts = docs.join(sized(laid, 20_000), _same_row(id_col, text_col)).dropDuplicates(["__id", "__h"]).select(F.col("__id").alias("id"), F.col("__h").alias("h"), "laid", tokens(F.col(text_col)).alias("words"))
-    texts = staged(texts, "op5-texts")  # so that the words are made once
-    # the text's tokens under each item, and which of them are equal
-    under = F.transform("laid", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), F.size(x["item"]).alias("n"), _same(x["item"], F.col("words"), x["shift"]).alias("same")))
-    good = F.filter(under, lambda x: _window(x["same"], x["n"]))
-    found = F.transform(good, lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), F.aggregate(x["same"], F.lit(0), lambda acc, y: acc + y).alias("n_equal")))
-    return staged(texts.select("id", "h", found.alias("found")), "op5-overlaps").filter(F.size("found") > 0)
-
-
-def _same(item: Column, words: Column, shift: Column) -> Column:
+    hits = hits.select("id", "h", "item_id", "n_item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    laid = staged(hits.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("item_id", "n_item", "shift")).alias("__laid")), "op5-hits")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(sized(laid), _same_row("id", "text")).dropDuplicates(["__id", "__h"]).select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__laid").alias("laid"), tokens(F.col("text")).alias("words"))
+    # the text's tokens under each item, a row for each; the text itself goes no further
+    under = F.transform("laid", lambda x: F.struct(x["item_id"].alias("item_id"), x["n_item"].alias("n_item"), x["shift"].alias("shift"), _under(F.col("words"), x["shift"], x["n_item"]).alias("under")))
+    each = staged(texts.select("id", "h", F.explode(under).alias("x")).select("id", "h", "x.*"), "op5-under")
+    named = items.select(F.col("item_id").alias("i"), F.col("words").alias("item"), F.size("words").alias("n")).dropDuplicates(["i", "item"])
+    named = each.join(sized(named), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("n_item") == F.col("n")))
+    same = _same(F.col("item"), F.col("under"), F.col("shift"))
+    good = named.withColumn("same", same).filter(_window(F.col("same"), F.col("n_item")))
+    found = F.struct("item_id", "shift", F.aggregate("same", F.lit(0), lambda acc, y: acc + y).alias("n_equal"))
+    return staged(good.groupBy("id", "h").agg(F.array_sort(F.collect_set(found)).alias("found")), "op5-overlaps")
+
+
+def _under(words: Column, shift: Column, n: Column) -> Column:
+    """The text's tokens that lie under an item of n tokens laid at shift."""
+    lo, hi = F.greatest(F.lit(0), -shift), F.least(n, F.size(words) - shift)
+    return F.slice(words, lo + shift + 1, hi - lo)
+
+
+def _same(item: Column, under: Column, shift: Column) -> Column:
     """1 or 0 for each token of the item that lies over the text."""
-    lo, hi = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(words) - shift)
-    return F.zip_with(F.slice(item, lo + 1, hi - lo), F.slice(words, lo + shift + 1, hi - lo), lambda x, y: (x == y).cast("int"))
+    return F.zip_with(F.slice(item, F.greatest(F.lit(0), -shift) + 1, F.size(under)), under, lambda x, y: (x == y).cast("int"))
 
 
 def _window(same: Column, n: Column) -> Column:
@@ -101,7 +109,10 @@ def _window(same: Column, n: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
-    """id, h, items (ids, ascending), n_equal (most equal tokens of an overlap): a row for each text that holds an overlap."""
+    """id, h, items (ids, ascending), n_equal (most equal tokens of an overlap): a row for each text that holds an overlap.
+
+    A null text holds nothing; a null id is kept apart from others; rows alike in id and text are one; an empty table of documents or
+    items gives no row; a null item is skipped; items alike in id count once for each text that they have; other columns don't matter."""
     found = overlaps(docs, benchmark, id_col, text_col, short_items)
     return found.select("id", "h", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"]))).alias("items"), F.array_max(F.transform("found", lambda x: x["n_equal"])).cast("long").alias("n_equal"))
 
@@ -111,14 +122,15 @@ def _same_row(id_col: str, text_col: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
-    """docs without the rows that hold an overlap with an item; columns stay as they are."""
+    """docs without the rows that hold an overlap with an item; columns stay as they are, whatever their names. Rows with null texts
+    stay, repeated rows share their fate, and an empty benchmark drops none."""
     found = staged(contaminated(docs, benchmark, id_col, text_col, short_items).select(F.col("id").alias("__id"), F.col("h").alias("__h")), "op5-found")
     return docs.join(sized(found), _same_row(id_col, text_col), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, contaminated, items, n_equal."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = staged(contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True), "op5-found")
     marked = docs.join(sized(found.withColumnsRenamed({"id": "__id", "h": "__h"})), _same_row("doc_id", "text"), "left")
     return marked.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("n_equal", F.lit(0)).cast("long").alias("n_equal"))

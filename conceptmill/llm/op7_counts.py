@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, staged, table, text_or_empty
+from .common import new_path, sized, slices, staged, table, text_or_empty
 
-#: Most rows of a side that may be broadcast: 56 bytes each, so 22 MB. A larger side is joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Rows of one digest that are joined to its count in one part.
+PART_ROWS = 200
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 _counters: dict[str, object] = {}
@@ -71,31 +71,32 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     known = staged(keyed, "op7-digests")
 
     stored = open_cache(spark, cache_path)
-    holders = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.count("id").alias("n_ids"))
+    sizes = staged(known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "op7-distinct")
+    misses = sizes
     if stored is not None:
         stored = stored.filter(F.col("tokenizer") == version).select("digest", "n_tokens")
-        holders = holders.join(stored.select("digest").distinct(), "digest", "left_anti")
-    holders = staged(holders, "op7-misses")
+        misses = staged(sizes.join(stored.select("digest").distinct(), "digest", "left_anti"), "op7-misses")
+    # a digest that many rows have is dealt to parts of PART_ROWS, so that no task gets them all
+    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    salted = known.join(sized(staged(sizes.filter(F.col("n") > PART_ROWS).select("digest", parts(F.col("n")).alias("parts")), "op7-large")), "digest", "left")
+    salted = salted.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))).otherwise(0).cast("int"))
     mine = rows.withColumn("digest", F.unhex(F.sha2("t", 256)))
-    others = holders.filter("n > 1").select("digest", "least")
-    if stored is None and others.count() <= BROADCAST_ROWS:
-        # nearly every row is to be encoded: take away the rows that repeat another's text
-        work = mine.join(F.broadcast(others), "digest", "left").filter(F.col("least").eqNullSafe(F.col("id")) | F.col("least").isNull())
-    else:
-        firsts = holders.select("digest", "least")
-        firsts = F.broadcast(firsts) if holders.count() <= BROADCAST_ROWS else firsts
-        work = mine.join(firsts, "digest").filter(F.col("least").eqNullSafe(F.col("id")))
+    # the rows that hold the misses: where nothing is stored, all but those that repeat another's text
+    firsts = misses if stored is not None else misses.filter("n > 1")
+    firsts = sized(staged(firsts.select("digest", "least"), "op7-firsts"))
+    first = F.col("least").eqNullSafe(F.col("id"))
+    work = mine.join(firsts, "digest").filter(first) if stored is not None else mine.join(firsts.withColumn("again", F.lit(True)), "digest", "left").filter(first | F.col("again").isNull())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
+            for piece in slices(batch, 1, 500):
                 yield pa.RecordBatch.from_pydict({"tokenizer": pa.array([version] * piece.num_rows, pa.string()), "digest": piece.column(0).cast(pa.binary()), "n_tokens": pa.array(count(piece.column(1).to_pylist()), pa.int64())})
 
     work.select("digest", "t").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     counts = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return known.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    counts = counts.join(sizes.select("digest", "n"), "digest").select("digest", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("part"), "n_tokens")
+    return salted.join(counts, ["digest", "part"]).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def default_tokenizer() -> str:
@@ -105,5 +106,6 @@ def default_tokenizer() -> str:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    """Every document: doc_id, n_bytes, n_tokens, over_limit. The query's cache is new, so that its result is all its own."""
     counts = token_counts(table(spark, sf_dir, "documents"), default_tokenizer(), new_path(spark, "op7-cache"))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -75,8 +75,8 @@ RULES: dict[str, Rule] = BASE | {
     "repeated_lines": lambda t: 100 * t.n_dup_lines > 40 * len(t.lines),
     "long_word": lambda t: max(map(len, t.words), default=0) > 4000,
 }
-#: Rows of the sample: the first of a twentieth of the table, this many at most.
-SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.05
+#: The sample is a random twentieth of the table, or, of a large table, about this many rows of it.
+SAMPLE_ROWS, SAMPLE_SHARE = 5000, 0.05
 
 
 def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, text_col: str = "text") -> dict[str, tuple[float, float]]:
@@ -94,7 +94,9 @@ def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, text_col: str = "t
         if n:
             yield pa.RecordBatch.from_pydict({"name": list(rules), "cost": list(cost.values()), "rejected": pa.array(list(rejected.values()), pa.int64()), "n": pa.array([n] * len(rules), pa.int64())})
 
-    sample = docs.select(text_or_empty(text_col).alias("t")).sample(SAMPLE_SHARE, seed=8).limit(SAMPLE_ROWS)
+    # each partition sums its own rows; the sample isn't gathered
+    share = min(SAMPLE_SHARE, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.select(text_or_empty(text_col).alias("t")).sample(share, seed=8)
     sums = sample.mapInArrow(run, "name string, cost double, rejected long, n long").groupBy("name").agg(F.sum("cost"), F.sum("rejected"), F.sum("n")).collect()
     return {name: (cost / n, rejected / n) for name, cost, rejected, n in sums}
 

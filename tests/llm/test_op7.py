@@ -32,7 +32,6 @@ def test_cache_is_used_and_grows(spark, tmp_path, monkeypatch):
     op.token_counts(docs, path, cache).collect()
     assert op.open_cache(spark, cache).count() == 2
     more = docs.union(spark.createDataFrame([(4, "d e f"), (5, "a b"), (6, "d e f")], "doc_id long, text string"))
-    monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
     got = {r.doc_id: r.n_tokens for r in op.token_counts(more, path, cache).collect()}
     assert op.open_cache(spark, cache).count() == 3
     assert got[1] == got[5] and got[4] == got[6] and len(got) == 6
