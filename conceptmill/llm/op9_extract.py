@@ -1,9 +1,9 @@
 """Main text of web pages by the distribution of text over lines.
 
-The page's markup is stripped into blocks, one a line, in page order. Parts whose tags or names say that they aren't the article
-(menus, headers, footers, forms, scripts, comments and so on) are struck out first. Over what is left, the text lengths of each
-few neighbouring lines are summed; the curve surges where the article begins and dives where it ends, and the lines between are
-the text. Where the page marks its article, only lines inside weigh anything.
+The page's markup is stripped into lines, one a block, in page order. Menus, headers, footers, forms, scripts, comments and so on
+leave empty lines. Over the lines the text lengths of each few neighbouring ones are summed; the curve surges where text begins and
+dives where it ends: where all lines of a window are empty or mostly links. The lines from a surge to the next dive are the text.
+Tags and names only say where lines and the borders of the article are, and which elements can't be text.
 """
 
 from __future__ import annotations
@@ -17,48 +17,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Elements that hold no main text, elements without an end tag, and elements that begin and end a block.
 _SKIPPED = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg math canvas object audio video dialog menu head title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img script style template".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
-#: Words in class, id and role that name something other than the article.
-_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|pagination|pager|popup|modal|promo\w*|related|recommend\w*|replies|share|sharing|sidebar|side|social|sponsor\w*|subscribe|subscription|toolbar|widget|login|signup|search|copyright|legal|alert|contentinfo|complementary|navigation|form)(?:$|[\s_-])")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?i)(?:^|[\s/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: Whole words of class and role, and whole ids, of elements other than the article.
+_NAMES = frozenset("""
+    ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments comment-list comment-section cookie cookies cookie-banner cookie-notice
+    consent disqus disqus_thread footer site-footer header site-header masthead menu main-menu nav navbar navigation newsletter notice notices pagination pager
+    popup modal promo related related-posts related-articles replies share sharing share-buttons sidebar side-bar social sponsor sponsored subscribe subscription
+    toolbar widget login signup search alert contentinfo complementary form
+""".split())
+#: A quote counts after an equals sign alone, so that a stray one hides no end of a tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""(?i)(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WHITE = re.compile(r"\s+")
 #: An open p ends where one of these begins.
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul details dialog figcaption menu".split())
 _ITEMS = ("li", "dt", "dd", "tr", "td", "th", "option")
-_KEPT_NAMES = re.compile(r"(?i)^(?:article|main|body|html)$")
+_KEPT, _ARTICLE = frozenset("article main body html".split()), frozenset("article main".split())
+#: Elements whose lines count in full even if they are links.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 
 
-class Block:
-    __slots__ = ("inside", "links", "text")
+class Element:
+    """An element that isn't text, unless it turns out to hold the article; by: "tag", or "name" of its class, id or role."""
 
-    def __init__(self, text: str, inside: bool, links: int):
-        self.text, self.inside, self.links = text, inside, links
+    __slots__ = ("by", "holds", "size")
+
+    def __init__(self, by: str):
+        self.by, self.holds, self.size = by, False, 0
+
+
+class Line:
+    __slots__ = ("gone", "inside", "text", "weight")
+
+    def __init__(self, text: str, weight: int, inside: bool, gone: tuple[Element, ...]):
+        self.text, self.weight, self.inside, self.gone = text, weight, inside, gone
 
 
 def _named(rest: str) -> bool:
     for m in _ATTR.finditer(rest):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name in ("class", "id", "role") and _NAMES.search(value)):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name in ("class", "id", "role") and not _NAMES.isdisjoint(value.split())):
             return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order, without those struck out: the text, whether it is inside article or main, and the
-    characters of it that are in links."""
-    out: list[Block] = []
+def lines_of(page: str) -> list[Line]:
+    """The page's lines of text, in order: the text, what it weighs (nothing if it is mostly links, but in a paragraph or heading),
+    whether it is inside article or main, and the elements around it that aren't text. The borders of article and main are empty lines."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, struck out, article
+    stack: list[tuple[str, Element | None, bool]] = []  # open elements: name, if it isn't text, article
     count: Counter[str] = Counter()  # of open elements, so that the stack is searched only for what it holds
-    links = struck = inside = 0
-    in_link = False
+    links = inside = 0
+    gone: tuple[Element, ...] = ()
     at = 0
 
     def flush() -> None:
@@ -66,23 +83,31 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, inside > 0, links))
+                block = next((s[0] for s in reversed(stack) if s[0] not in _INLINE), "")
+                out.append(Line(text, 0 if 2 * links > len(text) and block not in _PROSE else len(text), inside > 0, gone))
+                for e in gone:
+                    e.size += len(text)
             parts, links = [], 0
 
+    def border() -> None:
+        out.extend([Line("", 0, inside > 0, ())] * WIDTH)
+
     def close(k: int) -> None:
-        nonlocal struck, inside, in_link
-        for name, out_, article in stack[k:]:
-            struck -= out_
+        nonlocal inside, gone
+        for name, element, article in stack[k:]:
+            if article:
+                border()
             inside -= article
-            in_link = in_link and name != "a"
             count[name] -= 1
+            if element is not None:
+                gone = tuple(e for e in gone if e is not element)
         del stack[k:]
 
     def say(text: str) -> None:
         nonlocal links
-        if text and not struck:
+        if text:
             parts.append(text)
-            if in_link:
+            if count["a"]:
                 links += len(text.strip())
 
     while at < len(page):
@@ -107,7 +132,8 @@ def blocks(page: str) -> list[Block]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None) if count[name] else None
             if block:
                 flush()
-            if k is not None and not (name not in ("article", "main", "body", "html") and any(s[0] in ("article", "main") for s in stack[k + 1 :]) and not stack[k][1]):
+            # a stray end tag doesn't close the article
+            if k is not None and (name in _KEPT or stack[k][1] is not None or not any(s[2] for s in stack[k + 1 :])):
                 close(k)
             continue
         if block:
@@ -127,15 +153,22 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        article = name in _ARTICLE
+        element = None
         # a header inside an article holds its title
-        own = name in _SKIPPED and not (name == "header" and inside)
-        gone = own or (not _KEPT_NAMES.match(name) and _named(m["rest"]))
-        article = name in ("article", "main")
-        stack.append((name, gone, article))
+        if name in _SKIPPED and not (name == "header" and inside):
+            element = Element("tag")
+        elif name not in _KEPT and _named(m["rest"]):
+            element = Element("name")
+        if article:
+            border()
+            for e in gone:
+                e.holds = True
+        stack.append((name, element, article))
         count[name] += 1
-        struck += gone
         inside += article
-        in_link = in_link or name == "a"
+        if element is not None:
+            gone = (*gone, element)
     flush()
     return out
 
@@ -144,38 +177,41 @@ def blocks(page: str) -> list[Block]:
 WIDTH, SURGE = 3, 60
 
 
-def weights(found: list[Block]) -> list[int]:
-    """What each line adds to the curve: its length, and nothing for one that is mostly links. Where the page marks its article,
-    lines outside add nothing and lines inside add the surge as well, so that a short heading or paragraph doesn't dive."""
-    if any(b.inside for b in found):
-        return [SURGE + len(b.text) if b.inside else 0 for b in found]
-    own = [0 if 2 * b.links > len(b.text) else len(b.text) for b in found]
-    return own if any(own) else [len(b.text) for b in found]
-
-
-def between(lengths: list[int], width: int = WIDTH, surge: int = SURGE) -> tuple[int, int]:
-    """The lines from surge to dive. The curve at a line is the sum over it and the next width - 1 lines. A stretch begins where
-    it reaches surge and ends with the last window that does before width lines stay below; the one with most text counts."""
-    sums = [sum(lengths[k : k + width]) for k in range(len(lengths))]
-    surge = min(surge, max(sums, default=0))
-    high = [k for k, n in enumerate(sums) if n and n >= surge]
-    best, i = (0, 0, 0), 0
-    while i < len(high):
-        j = i
-        while j + 1 < len(high) and high[j + 1] - high[j] <= width:
-            j += 1
-        end = min(high[j] + width, len(lengths))
-        best = max(best, (sum(lengths[high[i] : end]), -high[i], end))
-        i = j + 1
-    return -best[1], best[2]
+def stretches(weights: list[int], width: int = WIDTH, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The lines from a surge to the next dive, in order. The curve at a line is the sum over it and the next width - 1 lines; it dives
+    where that is nothing. A stretch between two dives counts if the curve reaches surge in it; it begins and ends with a line that weighs."""
+    sums = [sum(weights[k : k + width]) for k in range(len(weights))]
+    surge = max(1, min(surge, max(sums, default=0)))
+    found, k = [], 0
+    while k < len(sums):
+        if not sums[k]:
+            k += 1
+            continue
+        end = k
+        while end < len(sums) and sums[end]:
+            end += 1
+        if max(sums[k:end]) >= surge:
+            heavy = [i for i in range(k, end) if weights[i]]
+            found.append((heavy[0], heavy[-1] + 1))
+        k = end
+    return found
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a whole page; empty if there is none."""
-    found = blocks(page or "")
-    lengths = weights(found)
-    a, b = between(lengths)
-    return "\n".join(x.text for x, n in zip(found[a:b], lengths[a:b], strict=True) if n)
+    """The main text of a whole page; empty if there is none. Where article or main has text, lines outside are none, and inside any
+    text is a surge; elsewhere an element isn't struck out by its name if most of the page's text is in it."""
+    found = lines_of(page or "")
+    marked = any(x.inside for x in found if x.text and not any(e.by == "tag" and not e.holds for e in x.gone))
+    most = sum(len(x.text) for x in found) / 2
+    lines: list[Line] = []
+    for x in found:
+        out = any(not e.holds and (marked or e.by == "tag" or e.size <= most) for e in x.gone) or (marked and not x.inside)
+        lines += [Line("", 0, x.inside, ())] * WIDTH if out else [x]
+    weights = [x.weight for x in lines]
+    if not any(weights):  # nothing but links
+        weights = [len(x.text) for x in lines]
+    kept = stretches(weights, surge=1 if marked else SURGE)
+    return "\n".join(x.text for a, b in kept for x in lines[a:b] if x.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -184,8 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
+            for piece in slices(batch, 2, 500):
                 texts = [main_text(p) for p in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=["page_id", "url", "text", "n_chars"])
 
@@ -194,4 +229,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars."""
     return extract(table(spark, sf_dir, "pages"))

@@ -1,4 +1,5 @@
 import html
+import html.parser
 import random
 
 from conceptmill.llm import op9_extract as op
@@ -31,9 +32,88 @@ def test_odd_pages():
     assert op.main_text("<article><p>x <script>if (a</article>b)</script>y</p></article>") == "x y"
 
 
+def brute_stretches(weights, width, surge):
+    """A window of each line; a line belongs to a stretch if a chain of windows that aren't empty leads to one that surges."""
+    window = [sum(weights[k : k + width]) for k in range(len(weights))]
+    surge = max(1, min(surge, max(window, default=0)))
+    found = set()
+    for k, n in enumerate(window):
+        if n >= surge:
+            lo, hi = k, k
+            while lo and window[lo - 1]:
+                lo -= 1
+            while hi + 1 < len(window) and window[hi + 1]:
+                hi += 1
+            heavy = [i for i in range(lo, hi + 1) if weights[i]]
+            found.add((min(heavy), max(heavy) + 1))
+    return sorted(found)
+
+
 def test_surge_and_dive():
-    assert op.between([0, 0, 100, 5, 90] + [0] * 8 + [70]) == (0, 7)
-    assert op.between([]) == (0, 0)
+    assert op.stretches([0, 0, 100, 5, 90] + [0] * 8 + [70]) == [(2, 5), (13, 14)]
+    assert op.stretches([0, 0, 100, 5, 90] + [0] * 8 + [50]) == [(2, 5)]
+    assert op.stretches([]) == [] == op.stretches([0, 0]) and op.stretches([3, 0, 0, 2]) == [(0, 4)]
+    rng = random.Random(6)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 0, 1, 20, 70]) for _ in range(rng.randrange(25))]
+        for width, surge in ((3, 60), (2, 90), (1, 1)):
+            assert op.stretches(weights, width, surge) == brute_stretches(weights, width, surge)
+
+
+def test_the_curve_decides():
+    links = "".join(f"<div><a href=/{k}>Section number {k}</a></div>" for k in range(6))
+    few = "".join(f"<div>{x}</div>" for x in ("Home", "Mon", "12"))
+    text = "".join(f"<div>{k} {'word ' * 30}</div>" for k in range(3))
+    want = "\n".join(f"{k} {('word ' * 30).strip()}" for k in range(3))
+    # nothing is marked or named: links and short lines far from text dive
+    assert op.main_text(f"<body>{links}{text}{links}</body>") == want
+    assert op.main_text(f"<body>{few}{links}{text}{links}{few}</body>") == want
+    # a short list or table in the middle doesn't
+    items = "<ul>" + "".join(f"<li>item {k}</li>" for k in range(8)) + "</ul>"
+    assert op.main_text(f"<body>{links}{text}{items}{text}</body>") == "\n".join([want, *(f"item {k}" for k in range(8)), want])
+    # links at the end of a marked article dive, a paragraph that is a link doesn't
+    assert op.main_text(f"<article><h1><a href=x>Title</a></h1><p>Text.</p><p><a href=y>A paragraph.</a></p>{links}</article>") == "Title\nText.\nA paragraph."
+
+
+def test_names_are_whole_words():
+    for name in ("has-sidebar", "with-sidebar", "no-comments", "page nav-closed", "content nav-open", "related-work", "legal"):
+        assert op.main_text(f"<div class='{name}' id=legal><p>{'word ' * 30}</p></div>") == ("word " * 30).strip()
+    # a name doesn't strike what holds the article, or most of the text
+    assert op.main_text("<div class='sidebar'><article><p>x</p></article></div>") == "x"
+    assert op.main_text(f"<form class=menu><div class=header><article>y</article></div></form><div class=ad>{'buy ' * 60}</div>") == "y"
+    assert op.main_text(f"<div class=notice>{'word ' * 60}</div><div class=ad>{'buy ' * 20}</div>") == ("word " * 60).strip()
+    assert op.main_text('<p class=a">A</p><p>He said "yes"</p>') == 'A\nHe said "yes"'
+    assert op.main_text('<p title="a > b">A</p>') == "A"
+
+
+class Article(html.parser.HTMLParser):
+    """The article's blocks, for pages without nesting other than p, b and br."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "br", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_all_pages_against_a_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        parser = Article()
+        parser.feed(r.html)
+        assert op.main_text(r.html) == "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x), r.page_id
 
 
 def test_table(spark, sf_dir):
