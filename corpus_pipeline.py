@@ -19,26 +19,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): that of the least doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): that of the least doc_id, null
+    first; of rows alike in id and text, one. Texts without a word, null or empty, are one group. An empty table stays empty."""
     return op3_simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item: thirteen tokens in a row that differ in two at most;
-    of a shorter item, all of it."""
+    of a shorter item, all of it. Null and empty texts hold none and stay, as do null ids; repeated rows share their fate; an empty
+    table, of documents or items, is fine."""
     return op5_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows alike in doc_id, text and source share their fate."""
-    mixed = op6_mix.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__source"), "copies").distinct()
+    mixed = op6_mix.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__h")) & F.col("source").eqNullSafe(F.col("__source"))
     taken = docs.join(sized(staged(mixed, "mixture")), same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards in the shared folder; a row per document of the mix, read back from them: doc_id, start, n_tokens, ids_crc32."""
+    """Token shards in the shared folder; a row per document of the mix, read back from them: doc_id, start, n_tokens, ids_crc32. A
+    null text is the end id alone; null ids come first; repeated rows stay; other columns are left out; an empty table gives no row."""
     return op1_repair.read_digests(op1_repair.token_shards(docs))
 
 
