@@ -1,91 +1,62 @@
-"""Mentions of a sentence, with offsets: an Arrow UDF, as the trims feed one another and each must keep the span."""
+"""Mentions of a sentence, with offsets, as columns: the sentence is marked where it is to be cut, split there, and each piece trimmed."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 from .. import constants as K
+from .pieces import MARK, SPACE, around, let, placed, plain, stripped, without_head, without_tail
 
-# fixed values: characters stripped from the content and from each mention, separators, and fragments at either end
-_CONTENT, _EDGE = " \t\r\n-:|+", " \t\r\n-:()[]{}.,!?|+"
-_SEPARATOR = re.compile(r"\s*(?:\t+|\s{3,}|,|;|/|~|\||\band\b|\bor\b)\s*", re.I)
-_HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9 /\\-]{0,40})\s*:\s*")
-_MID_HEADER = re.compile(r"\s+([A-Za-z][A-Za-z0-9/\\-]*(?: [A-Za-z0-9/\\-]+){0,6})\s*:\s*")
-_PREPOSITION, _DETERMINER = "(?:of|for|with|without|in|on|at|to|from)", "(?:the|a|an)"
-_LEAD = re.compile(rf"{_PREPOSITION}\s+{_DETERMINER}\s+", re.I)
-_TAIL = re.compile(rf"(?:\s+{_PREPOSITION}\s+{_DETERMINER}|\s+{_PREPOSITION}|\s+{_DETERMINER})\s*$", re.I)
-_FIELD = re.compile(r"\s+(?:start\s+date|end\s+date|stop\s+date|types?)\s*$", re.I)
-_HEADERS = frozenset(K.SECTION_HEADERS)
-SAFE_SHORT = frozenset(k for k in K.ABBREVIATIONS if len(k) == 2)
-
-
-def _known_header(text: str) -> bool:
-    return re.sub(r"\s+", " ", re.sub(r"\s*/\s*", "/", text.strip().lower()).rstrip(":")) in _HEADERS
-
-
-class _Span:
-    """A stretch of a sentence that only shrinks."""
-
-    def __init__(self, sentence: str, start: int, end: int):
-        self.sentence, self.start, self.end = sentence, start, end
-
-    @property
-    def text(self) -> str:
-        return self.sentence[self.start : self.end]
-
-    def strip(self, chars: str) -> _Span:
-        kept = self.text.lstrip(chars)
-        self.start = self.end - len(kept)
-        self.end = self.start + len(kept.rstrip(chars))
-        return self
-
-    def cut_head(self, pattern: re.Pattern, wanted=lambda m: True) -> None:
-        while (m := pattern.match(self.text)) and wanted(m):
-            self.start += m.end()
-            self.start += len(self.text) - len(self.text.lstrip(_EDGE))
-
-    def cut_tail(self, pattern: re.Pattern) -> None:
-        while m := pattern.search(self.text):
-            self.end = self.start + m.start()
-            self.end = self.start + len(self.text.rstrip(_EDGE))
-
-
-def split_mentions(sentence: str, prefix: str) -> list[tuple[str, int, int]]:
-    """(text, start, end) of each mention of a trimmed sentence, after its context prefix; the whole sentence if there is none."""
-    if len(sentence) <= 3:
-        return []
-    body = _Span(sentence, len(prefix), len(sentence)).strip(_CONTENT)
-    found = []
-    if len(body.text) > 2:
-        head = _HEADER.match(body.text)
-        after = body.start + head.end() if head and _known_header(head[1]) else body.start
-        cuts = {m.start(1) for m in _MID_HEADER.finditer(sentence, body.start, body.end)}
-        points = sorted({body.start, body.end, *(c for c in cuts if body.start < c < body.end and c >= after)})
-        for lo, hi in zip(points, points[1:], strict=False):
-            edges = [lo, *(x for m in _SEPARATOR.finditer(sentence, lo, hi) for x in m.span()), hi]
-            for start, end in zip(edges[::2], edges[1::2], strict=True):
-                span = _Span(sentence, start, end).strip(_EDGE)
-                span.cut_head(_HEADER, lambda m: _known_header(m[1]))
-                span.cut_head(_LEAD)
-                span.cut_tail(_TAIL)
-                span.cut_tail(_FIELD)
-                if len(span.text) > 2 or span.text.upper() in SAFE_SHORT and len(span.text) == 2:
-                    found.append((span.text, span.start, span.end))
-        found = found or [(body.text, body.start, body.end)]
-    return found or [(sentence, 0, len(sentence))]
 
+def _known_headers() -> str:
+    """A pattern of the section headers, as they may be written before a colon."""
+    words = sorted(K.SECTION_HEADERS, key=len, reverse=True)
+    flexible = ["".join({" ": " +", "/": " */ *"}.get(c, re.escape(c)) for c in w) for w in words]
+    return rf"{SPACE}*(?:{'|'.join(flexible)}){SPACE}*:{SPACE}*"
+
+
+def _wide(pattern: str) -> str:
+    return pattern.replace(r"\s", SPACE)
+
+
+_HEADERS = f"(?i:{_known_headers()})"
+#: Each trim removes its fragment as often as it stands there, with the edge characters behind it.
+_HEAD = f"(?:{_HEADERS}{K.EDGE_CLASS}*)+"
+_LEAD = f"(?i:{_wide(K.LEAD_FRAGMENT)}{K.EDGE_CLASS}*)+"
+_GAP = rf"(?:{SPACE}|{K.EDGE_CLASS})*"
+_TAIL = f"{K.EDGE_CLASS}*(?i:{_wide(K.TAIL_FRAGMENT)}{_GAP})+"
+_FIELD = f"{K.EDGE_CLASS}*(?i:{_wide(K.TAIL_FIELD)}{_GAP})+"
 
-def mentions(sentence: Column, prefix: Column) -> Column:
-    """array<struct<text,start,end>> of each sentence."""
 
-    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sentences, prefixes in batches:
-            yield pd.Series([[{"text": t, "start": a, "end": b} for t, a, b in split_mentions(s or "", p or "")] for s, p in zip(sentences, prefixes, strict=True)], dtype=object)
+def _cut(body: Column) -> Column:
+    """The pieces of a sentence's content between headers inside it and separators, with their offsets in it."""
+    # a header inside the sentence cuts it, but not within the header that it begins with
+    upto = F.char_length(F.regexp_extract(body, f"^{_HEADERS}", 0))
+    segments = placed(F.split(F.regexp_replace(body, _wide(K.MID_HEADER), f"$1{MARK}$2"), MARK))
+    marked = F.array_join(F.transform(segments, lambda p, i: F.when((i == 0) | (p["at"] < upto), p["part"]).otherwise(F.concat(F.lit(MARK + MARK), p["part"]))), "")
+    every = placed(F.split(around(marked, f"(?i){_wide(K.SEPARATORS)}"), MARK))
+    return F.filter(every, lambda p, i: i % 2 == 0)
 
-    return F.pandas_udf(split, "array<struct<text:string,start:int,end:int>>", PandasUDFType.SCALAR_ITER)(sentence, prefix)
+
+def _trimmed(p: Column) -> Column:
+    for step in (lambda x: stripped(x, K.EDGE_CLASS), lambda x: without_head(x, _HEAD), lambda x: without_head(x, _LEAD), lambda x: without_tail(x, _TAIL), lambda x: without_tail(x, _FIELD)):
+        p = let(p, step)
+    return p
+
+
+def mentions(sentence: Column, prefix: Column) -> Column:
+    """array<struct<text,start,end>> of a trimmed sentence, after its context prefix; the whole content if no piece is left, the whole
+    sentence if there is no content."""
+
+    def of(body: Column) -> Column:
+        found = F.filter(F.transform(_cut(body["part"]), _trimmed), lambda p: (F.char_length(p["part"]) > 2) | F.upper(p["part"]).isin(K.SAFE_PAIRS))
+        return let(found, lambda ps: F.when(F.char_length(body["part"]) <= 2, F.array(F.struct(F.lit(0).alias("at"), s.alias("part")))).when(F.size(ps) == 0, F.array(F.struct(F.lit(0).alias("at"), body["part"].alias("part")))).otherwise(ps))
+
+    s = plain(sentence)
+    skip = F.char_length(prefix)
+    content = stripped(F.struct(skip.alias("at"), F.substr(s, skip + 1, F.char_length(s)).alias("part")), K.CONTENT_CLASS)
+    spans = let(content, lambda body: let(F.when(F.char_length(body["part"]) > 2, body["at"]).otherwise(0), lambda base: F.transform(of(body), lambda p: F.struct((base + p["at"]).alias("start"), (base + p["at"] + F.char_length(p["part"])).alias("end")))))
+    return F.transform(spans, lambda x: F.struct(F.substr(sentence, x["start"] + 1, x["end"] - x["start"]).alias("text"), x["start"].alias("start"), x["end"].alias("end")))

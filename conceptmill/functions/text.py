@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -9,30 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .pieces import MARK, SPACE, around, matches, placed, plain, stripped
 
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
-
-def sentence_spans(text: Column) -> Column:
-    """array<struct<start,end,text>>: runs between `.`, `;`, `!` and line feeds, trimmed, of more than three characters. The
-    runs and the delimiters are both extracted, so that lengths add up to offsets."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.;!\n]+|[.;!\n]+"), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        return F.struct((acc["at"] + F.char_length(part)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), part.alias("part"))).alias("out"))
-
-    placed = F.aggregate(parts, state, step, lambda acc: acc["out"])
-    words = F.filter(placed, lambda p: ~p["part"].rlike(r"^[.;!\n]"))
-    trimmed = F.transform(words, lambda p: _trimmed(p))
-    return F.when(F.char_length(F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")) > 3, F.filter(trimmed, lambda s: s["end"] - s["start"] > 3))
-
-
-def _trimmed(p: Column) -> Column:
-    left = F.regexp_replace(p["part"], rf"^{_SPACE}+", "")
-    start = p["at"] + F.char_length(p["part"]) - F.char_length(left)
-    whole = F.regexp_replace(left, rf"{_SPACE}+$", "")
-    return F.struct(start.alias("start"), (start + F.char_length(whole)).alias("end"), whole.alias("text"))
+def sentence_spans(text: Column, extract_all: bool = True) -> Column:
+    """array<struct<start,end,text>>: runs between `.`, `;`, `!` and line feeds, trimmed, of more than three characters; without
+    extract_all, all of the text is one. The runs and the delimiters are both extracted, so that lengths add up to offsets."""
+    whole = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.;!\n]+|[.;!\n]+" if extract_all else r"(?s).+"), F.lit(0))
+    words = F.filter(placed(parts), lambda p: ~p["part"].rlike(r"^[.;!\n]")) if extract_all else placed(parts)
+    trimmed = F.filter(F.transform(words, lambda p: stripped(p, SPACE)), lambda p: F.char_length(p["part"]) > 3)
+    return F.when(F.char_length(whole) > 3, F.transform(trimmed, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text"))))
 
 
 def context(sentence: Column) -> Column:
@@ -65,17 +53,62 @@ def allowed_span(text: Column) -> Column:
     return (F.char_length(t) >= 4) | F.upper(t).isin(K.SHORT_SPANS)
 
 
-def expand(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS) -> Column:
-    """Whole-word keys replaced by their expansions: any case, but two-letter keys in capitals only. Text is cut into words and
-    what is between them, so the pass is one, whatever the dictionary's size."""
-    table = F.create_map(*[F.lit(x) for kv in dictionary.items() for x in (kv[0].upper(), kv[1])])
-    parts = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
+def _keys(dictionary: dict[str, str], min_length: int) -> dict[str, str]:
+    return {k.upper(): v for k, v in dictionary.items() if len(k) >= min_length}
+
+
+def _alternation(keys: list[str]) -> str:
+    """Whole words, the longest key first; keys are grouped by their first character, so that few are tried at a place."""
+    by_first: dict[str, list[str]] = {}
+    for k in sorted(keys, key=len, reverse=True):
+        by_first.setdefault(k[0], []).append(re.escape(k[1:]))
+    return r"(?i)\b(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")\b"
+
+
+def _table(keys: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
+
+
+def _expansion(p: Column, keys: dict[str, str]) -> Column:
+    """What a found key stands for; one of two letters must be in capitals."""
+    return F.when((F.char_length(p) > 2) | (p == F.upper(p)), F.try_element_at(_table(keys), F.upper(p)))
+
+
+def _found(dictionary: dict[str, str], min_length: int) -> tuple[dict[str, str], str]:
+    keys = {k: v for k, v in _keys(dictionary, min_length).items() if len(k) >= 3 or k in K.SAFE_PAIRS}
+    return keys, _alternation(list(keys)) if keys else "(?!)"
 
-    def one(p: Column) -> Column:
-        hit = F.try_element_at(table, F.upper(p))
-        return F.when(hit.isNotNull() & ((F.char_length(p) > 2) | (p == F.upper(p))), hit).otherwise(p)
 
-    return F.array_join(F.transform(parts, one), "")
+def expand(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
+    """Whole-word keys replaced by their expansions: any case, but keys of two letters in capitals only, and of those the safe ones.
+    Keys may hold spaces and other characters; one pass, the longest key first."""
+    keys, pattern = _found(dictionary, min_length)
+    if not keys:
+        return text
+    parts = F.split(around(plain(text), pattern), MARK)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(_expansion(p, keys), p)).otherwise(p)), "")
+
+
+def expansions(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
+    """array<struct<original, expanded, start, end>> of what expand replaces, with offsets in text."""
+    keys, pattern = _found(dictionary, min_length)
+    found = F.transform(matches(text, pattern), lambda p: F.struct(p["part"].alias("original"), _expansion(p["part"], keys).alias("expanded"), p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end")))
+    return F.filter(found, lambda x: x["expanded"].isNotNull())
+
+
+def expansion_of(term: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
+    """A single term's expansion, in any case; null if it is none of the dictionary's."""
+    return F.try_element_at(_table(_keys(dictionary, min_length)), F.upper(F.trim(term)))
+
+
+def is_abbreviation(term: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
+    return F.coalesce(expansion_of(term, dictionary, min_length).isNotNull(), F.lit(False))
+
+
+def abbreviation_spans(text: Column, allowed: list[str] = K.SHORT_SPANS, dictionary: dict[str, str] = K.ABBREVIATIONS) -> Column:
+    """array<struct<start, end, text, normalized>>: words of 2 to 12 letters and digits, with a capital or a digit, that are allowed."""
+    found = F.filter(matches(text, r"\b[A-Za-z0-9]{2,12}\b"), lambda p: p["part"].rlike("[A-Z0-9]") & F.upper(p["part"]).isin(list(allowed)))
+    return F.transform(found, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text"), F.coalesce(expansion_of(p["part"], dictionary), p["part"]).alias("normalized")))
 
 
 def severity(text: Column) -> Column:
@@ -84,7 +117,7 @@ def severity(text: Column) -> Column:
 
 
 def laterality(text: Column) -> Column:
-    return F.nullif(F.replace(F.lower(F.regexp_extract(text, f"(?i){K.LATERALITY}", 1)), F.lit("\\"), F.lit("/")), F.lit(""))
+    return F.nullif(F.replace(F.lower(F.regexp_extract(text, f"(?i){K.LATERALITY}", 0)), F.lit("\\"), F.lit("/")), F.lit(""))
 
 
 def temporality(text: Column) -> Column:
@@ -93,7 +126,7 @@ def temporality(text: Column) -> Column:
 
 def without_modifiers(text: Column) -> Column:
     for pattern in (K.SEVERITY, K.LATERALITY, K.TEMPORALITY):
-        text = F.regexp_replace(text, f"(?i){pattern}", " ")
+        text = F.regexp_replace(text, f"(?i)(?:{pattern})", " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     text = F.regexp_replace(text, r"(?i)^(?:any|some|the|a|an)\s+", "")
     text = F.trim(F.regexp_replace(text, r"^(?:\d{1,4}\s+)+", ""))
@@ -162,3 +195,11 @@ def window(text: Column, start: Column, end: Column, chars: int = 80) -> Column:
 
 def score_bucket(score: Column) -> Column:
     return F.when(score < 0.55, "low").when(score >= 0.70, "high").otherwise("mid")
+
+
+def group_color(group: Column) -> Column:
+    return F.coalesce(F.try_element_at(_table(K.GROUP_COLORS), F.upper(F.trim(group))), F.lit(K.OTHER_GROUP))
+
+
+def assertion_color(assertion: Column) -> Column:
+    return F.coalesce(F.try_element_at(_table(K.ASSERTION_COLORS), F.upper(F.trim(assertion))), F.lit(K.OTHER_ASSERTION))

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
+from .. import constants as K
 from ..functions import text as X
 from ..options import ExtractOptions
+from ..staging import staged
 from . import extract, rerank, vector
 
-#: Distinct texts up to which they are searched exactly, block by block; beyond, by lists of an inverted file.
-EXACT_QUERIES = 1 << 16
-
-
 def ngram_vector(text: Column, dim: int = 64) -> Column:
     """A stand-in for a learned encoder: counts of hashed character trigrams, of length one. Each row stands alone, so batches
     don't change it."""
@@ -37,51 +36,77 @@ def ngram_vector(text: Column, dim: int = 64) -> Column:
     return F.pandas_udf(embed, "array<double>", PandasUDFType.SCALAR_ITER)(text)
 
 
-def extract_concepts(notes: DataFrame, concepts: DataFrame, options: ExtractOptions = ExtractOptions(), edges: DataFrame | None = None, embed=ngram_vector) -> DataFrame:
-    """notes: note_id, text; concepts: concept_row, cui, prefterm, tuis, v. One row a mention that links, best score first in a
-    note. Every distinct text is embedded and searched once, over all notes."""
+def _info(concepts: DataFrame) -> DataFrame:
+    return rerank.semantic_info(concepts.drop("v"))
+
+
+def extract_concepts(notes: DataFrame, concepts: DataFrame, options: ExtractOptions = ExtractOptions(), edges: DataFrame | None = None, embed=ngram_vector, index: tuple[DataFrame, DataFrame, int] | None = None, labeler: extract.Labeler = extract.constant_labels, dictionary: dict[str, str] = K.ABBREVIATIONS) -> DataFrame:
+    """notes: note_id, text; concepts: concept_row, cui, prefterm, tuis, v. One row a mention that links, a note's rows together, the
+    best score first. Mentions are staged; every distinct text is embedded once and searched exactly, at any size; index (lists,
+    centroids, probes) asks for the inverted file instead. labeler counts under use_model_labels only."""
     o = options
-    m = extract.note_mentions(notes).withColumn("mention_id", F.concat_ws(":", "note_id", "start", "end"))
+    if o.relation_rerank and edges is None:
+        raise ValueError("relation_rerank needs edges")
+    m = extract.note_mentions(notes, extract_all=o.extract_all, labeler=labeler if o.use_model_labels else extract.constant_labels, dictionary=dictionary)
+    m = staged(m.withColumn("mention_id", F.struct("note_id", "start", "end")).withColumn("sentence_id", F.struct("note_id", "s_start")), "concept-mentions")
     texts = m.select("normalized_text").distinct().select(F.xxhash64("normalized_text").alias("query_id"), embed(F.col("normalized_text")).alias("v"))
+    texts = staged(texts, "concept-texts")
     base = concepts.select("concept_row", "v")
-    n = texts.count()
-    if n <= EXACT_QUERIES:
-        found = vector.exact_topk(texts, base, o.top_k)
-    else:
-        nlist = max(1, int(math.sqrt(base.count())))
-        lists, centroids = vector.ivf_lists(base, nlist)
-        found = vector.ivf_topk(texts, lists, centroids, o.top_k, min(nlist, 32))
-    info = rerank.semantic_info(concepts.drop("v"))
-    c = m.withColumn("query_id", F.xxhash64("normalized_text")).join(found, "query_id").join(info, "concept_row")
-    c = c.withColumnsRenamed({"text": "raw", "expanded_text": "expanded"})
-    picked = rerank.choose(c.select("mention_id", "rank", "score", "raw", "expanded", "prefterm", "tui", "semantic_group"), o.threshold, o.lexical_weight, o.rerank_margin, o.clinical_rerank)
-    if o.relation_rerank and edges is not None:
-        picked = _with_relations(picked, c, edges, o)
-    rows = c.drop("score").join(picked, ["mention_id", "rank"])
+    found = vector.exact_topk(texts, base, o.top_k) if index is None else vector.ivf_topk(texts, index[0], index[1], o.top_k, index[2])
+    # the threshold holds for a text's best similarity, so texts below it end here
+    best = F.max("score").over(W.partitionBy("query_id"))
+    found = staged(found.withColumn("best", best).filter(F.col("best") >= o.threshold).drop("best"), "concept-found")
+    c = m.withColumn("query_id", F.xxhash64("normalized_text")).join(found, "query_id").join(_info(concepts), "concept_row")
+    c = rerank.scored(c.withColumnsRenamed({"text": "raw", "expanded_text": "expanded"}), o)
+    picked = rerank.choose(c, o)
+    if o.relation_rerank:
+        c, picked = staged(c, "concept-candidates"), staged(picked, "concept-picked")
+        chosen = c.select("sentence_id", "mention_id", "rank", "concept_row").join(picked.select("mention_id", "rank"), ["mention_id", "rank"])
+        c = rerank.relation_hits(c, chosen.select("sentence_id", "mention_id", "concept_row"), edges, o.relation_max_degree)
+        picked = rerank.choose_again(picked, c, o)
+    rows = c.drop("score", "lex").join(picked.select("mention_id", "rank", "score", "rerank_score"), ["mention_id", "rank"])
     rows = rows.select(
-        "note_id", F.col("raw").alias("text"), F.col("expanded").alias("expanded_text"), "normalized_text", X.cui_text(F.col("cui")).alias("cui"), F.col("prefterm").alias("preferred_term"),
+        "mention_id", "note_id", F.col("raw").alias("text"), F.col("expanded").alias("expanded_text"), "normalized_text", X.cui_text(F.col("cui")).alias("cui"), F.col("prefterm").alias("preferred_term"),
         "tui", "semantic_type", "semantic_group", "semantic_group_name", "assertion", "subject", "score", "rerank_score", "severity", "laterality", "temporality", "start", "end",
     )
-    if o.include_candidates:
-        cands = c.groupBy("note_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("rank", X.cui_text(F.col("cui")).alias("cui"), F.col("prefterm").alias("preferred_term"), "tui", "semantic_group", "score"))).alias("candidates"))
-        rows = rows.join(cands, ["note_id", "start", "end"])
+    rows = rows.repartition("note_id")
     if o.dedupe:
         rows = extract.best_of_each(rows, ["note_id", "cui", "assertion", "subject"], "score", "start")
     if o.groups:
         rows = rows.filter(F.col("semantic_group").isin(list(o.groups)))
-    return rows
-
-
-def _with_relations(picked: DataFrame, c: DataFrame, edges: DataFrame, o: ExtractOptions) -> DataFrame:
-    """A second pass: relation hits with what the sentence's other mentions chose raise a candidate; it must beat the first choice."""
-    own = c.select("mention_id", "note_id", "start", "rank", "concept_row", "score", "raw", "expanded", "prefterm", "tui", "semantic_group")
-    own = own.withColumn("sentence_id", F.col("note_id"))
-    chosen = own.join(picked.select("mention_id", "rank"), ["mention_id", "rank"]).select("sentence_id", "mention_id", "concept_row")
-    hit = rerank.relation_hits(own, chosen, edges, o.relation_max_degree)
-    hit = rerank.scored(hit.withColumn("lex", X.jaccard(X.token_set(F.col("expanded")), X.token_set(F.col("prefterm")))), o.lexical_weight, o.clinical_rerank)
-    hit = hit.withColumn("rerank", F.col("rerank") + o.relation_weight * F.col("relation_hits"))
-    first = picked.select("mention_id", F.col("rank").alias("r0"), F.col("score").alias("s0"), F.col("rerank_score").alias("x0"))
-    top = c.groupBy("mention_id").agg(F.max("score").alias("top"))
-    better = hit.join(first, "mention_id").join(top, "mention_id").filter((F.col("score") >= o.threshold) & (F.col("score") >= F.col("top") - o.rerank_margin) & (F.col("rerank") > F.col("x0")) & ((F.col("lex") >= 0.999) | (F.col("relation_hits") > 0)))
-    best = better.groupBy("mention_id").agg(F.max_by(F.struct("rank", "score", "rerank"), F.struct(F.round("rerank", 9), -F.col("rank"))).alias("x"))
-    return picked.join(best, "mention_id", "left").select("mention_id", F.coalesce("x.rank", "rank").alias("rank"), F.coalesce("x.score", "score").alias("score"), F.coalesce("x.rerank", "rerank_score").alias("rerank_score"))
+    if o.include_candidates:
+        rows = rows.join(candidate_lists(c, o), "mention_id").repartition("note_id")
+    return rows.drop("mention_id").sortWithinPartitions("note_id", F.desc("score"), "start")
+
+
+def candidate_lists(c: DataFrame, o: ExtractOptions) -> DataFrame:
+    """mention_id, candidates: an array of the mention's candidates by rank; relation hits raise the rerank score of those in the band."""
+    hits = F.col("relation_hits").cast("int") if "relation_hits" in c.columns else F.lit(0)
+    top = F.max("score").over(W.partitionBy("mention_id"))
+    c = c.withColumn("__hits", hits).withColumn("__band", (F.col("score") >= o.threshold) & ((F.col("score") >= top - o.rerank_margin) if o.rerank_margin >= 0 else F.lit(True)))
+    raised = F.col("rerank") + F.when(F.col("__band"), o.relation_weight * F.col("__hits")).otherwise(0.0)
+    one = F.struct(
+        F.col("rank").cast("int").alias("rank"), X.cui_text(F.col("cui")).alias("cui"), F.col("prefterm").alias("preferred_term"), "tui", "semantic_group", "score", "lex",
+        (F.col("score") >= o.threshold).alias("meets_threshold"), F.col("__hits").alias("relation_hits"), "bias", "penalty", raised.alias("rerank_score"),
+    )
+    return c.groupBy("mention_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+
+
+def extract_single(notes: DataFrame, concepts: DataFrame, options: ExtractOptions = ExtractOptions(threshold=0.5), **given) -> DataFrame:
+    """The best row of each note, whose text is taken as one span."""
+    rows = extract_concepts(notes, concepts, replace(options, extract_all=False, dedupe=True), **given)
+    return extract.best_of_each(rows, ["note_id"], "score", "start")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """note_id, json: a row of an extraction as JSON, nulls kept."""
+    return rows.select("note_id", F.to_json(F.struct(*[c for c in rows.columns if c != "note_id"]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def batch_results(notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row a note, those without rows included: note_id, extractions (array, best first), count."""
+    fields = [c for c in rows.columns if c != "note_id"]
+    each = rows.groupBy("note_id").agg(F.collect_list(F.struct((-F.col("score")).alias("__s"), F.col("start").alias("__t"), F.struct(*fields).alias("row"))).alias("x"))
+    found = F.transform(F.array_sort("x", lambda a, b: F.when(a["__s"] < b["__s"], -1).when(a["__s"] > b["__s"], 1).when(a["__t"] < b["__t"], -1).when(a["__t"] > b["__t"], 1).otherwise(0)), lambda r: r["row"])
+    out = notes.select("note_id").join(each, "note_id", "left").select("note_id", found.alias("extractions"))
+    return out.withColumn("count", F.coalesce(F.size("extractions"), F.lit(0))).withColumn("count", F.greatest("count", F.lit(0)))

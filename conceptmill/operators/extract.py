@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
 from ..functions.mentions import mentions
+from ..functions.pieces import let
 
 
-def sentences(notes: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
+def sentences(notes: DataFrame, id_col: str = "note_id", text_col: str = "text", extract_all: bool = True) -> DataFrame:
     """note_id, start, end, sentence, prefix, assertion, subject (rules only): one row a sentence, narrow, no shuffle."""
-    each = notes.select(F.col(id_col).alias("note_id"), F.explode(X.sentence_spans(F.col(text_col))).alias("s"))
+    each = notes.select(F.col(id_col).alias("note_id"), F.explode(X.sentence_spans(F.col(text_col), extract_all)).alias("s"))
     each = each.select("note_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("sentence"))
     return each.withColumn("c", X.context(F.col("sentence"))).select("note_id", "start", "end", "sentence", "c.prefix", "c.assertion", "c.subject")
 
 
-def note_mentions(notes: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
-    """One row a mention: spans, expansion, modifiers, normalised text, and the sentence's labels (PRESENT and PATIENT where no
-    rule gives one). The filters run before anything that embeds; a sentence's repeated expansions keep the first."""
-    s = sentences(notes, id_col, text_col).withColumnsRenamed({"start": "s_start", "end": "s_end"})
-    each = s.withColumn("m", F.explode(mentions(F.col("sentence"), F.col("prefix"))))
-    each = each.select(
-        "note_id", "s_start", (F.col("s_start") + F.col("m.start")).alias("start"), (F.col("s_start") + F.col("m.end")).alias("end"),
-        F.col("m.text").alias("text"), F.coalesce("assertion", F.lit("PRESENT")).alias("assertion"), F.coalesce("subject", F.lit("PATIENT")).alias("subject"),
-    ).withColumn("expanded_text", X.expand(F.col("text")))
-    e = F.col("expanded_text")
-    each = each.withColumn("normalized_text", X.without_modifiers(e))
-    each = each.withColumn("normalized_text", F.trim(F.when(F.col("normalized_text") != "", F.col("normalized_text")).otherwise(e)))
-    each = each.filter(mention_filter(F.col("text"), F.col("normalized_text")))
-    first = W.partitionBy("note_id", "s_start", F.lower(F.trim("expanded_text"))).orderBy("start")
-    each = each.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
-    return each.select("note_id", "start", "end", "text", "expanded_text", "normalized_text", "assertion", "subject", X.severity(e).alias("severity"), X.laterality(e).alias("laterality"), X.temporality(e).alias("temporality"))
+Labeler = Callable[[Column], tuple[Column, Column]]
+
+
+def constant_labels(sentence: Column) -> tuple[Column, Column]:
+    """Assertion and subject of a sentence that no rule labels."""
+    return F.lit("PRESENT"), F.lit("PATIENT")
+
+
+def note_mentions(notes: DataFrame, id_col: str = "note_id", text_col: str = "text", extract_all: bool = True, labeler: Labeler = constant_labels, dictionary: dict[str, str] = K.ABBREVIATIONS) -> DataFrame:
+    """One row a mention: spans, the place of its sentence, expansion, modifiers, normalised text, and the sentence's labels: those of
+    the rules, else of labeler. The filters run before anything that embeds; of a sentence's equal expansions the first stays, while
+    they are one array. Narrow, no shuffle, no Python."""
+    each = sentences(notes, id_col, text_col, extract_all).withColumnsRenamed({"start": "s_start", "end": "s_end"})
+    assertion, subject = labeler(F.col("sentence"))
+    each = each.withColumn("assertion", F.coalesce("assertion", assertion)).withColumn("subject", F.coalesce("subject", subject))
+
+    def described(m: Column) -> Column:
+        return let(X.expand(m["text"], dictionary), lambda e: let(F.trim(X.without_modifiers(e)), lambda n: F.struct(*[m[k].alias(k) for k in ("text", "start", "end")], e.alias("expanded"), F.when(n != "", n).otherwise(F.trim(e)).alias("normal"))))
+
+    wanted = F.filter(F.transform(mentions(F.col("sentence"), F.col("prefix")), described), lambda m: mention_filter(m["text"], m["normal"]))
+    once = let(wanted, lambda ms: let(F.transform(ms, lambda m: F.lower(F.trim(m["expanded"]))), lambda keys: F.filter(ms, lambda m, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    each = each.select("note_id", "s_start", "assertion", "subject", F.explode(once).alias("m"))
+    e = F.col("m.expanded")
+    return each.select(
+        "note_id", "s_start", (F.col("s_start") + F.col("m.start")).alias("start"), (F.col("s_start") + F.col("m.end")).alias("end"), "m.text", e.alias("expanded_text"),
+        F.col("m.normal").alias("normalized_text"), "assertion", "subject", X.severity(e).alias("severity"), X.laterality(e).alias("laterality"), X.temporality(e).alias("temporality"),
+    )
 
 
 def scaffold(raw, candidate):

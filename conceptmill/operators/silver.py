@@ -12,11 +12,13 @@ from ..functions import text as X
 MERGED = "note_id long, start int, end int, text string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
 
 
-def usable(rows: DataFrame, min_score: float, min_chars: int, max_chars: int) -> DataFrame:
-    """Rows of enough score and length, each (note, span, text in lower case, teacher) once, the first."""
-    n = F.char_length(F.trim("text"))
-    w = W.partitionBy("note_id", "start", "end", F.lower("text"), "teacher").orderBy("seq")
-    return rows.filter((F.col("score") >= min_score) & (n >= min_chars) & (n <= max_chars)).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+def usable(rows: DataFrame, min_score: float, text_length: str | None = None) -> DataFrame:
+    """Rows of enough score whose span is in the note (of that length, if the column is given) and whose text isn't blank, each (note,
+    span, text in lower case, teacher) once, the first."""
+    w = W.partitionBy("note_id", "start", "end", F.lower(F.trim("text")), "teacher").orderBy("seq")
+    inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & ((F.col("end") <= F.col(text_length)) if text_length else F.lit(True))
+    good = rows.filter((F.col("score") >= min_score) & inside & (F.trim("text") != ""))
+    return good.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.05) -> DataFrame:
@@ -25,10 +27,13 @@ def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.05) -> DataFr
     fold in order and not a matter of connected components. A note is one group, which a document bounds."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        # a span overlaps no cluster whose representatives all end before it; ends only matter while they lie ahead
         spans = sorted(frame[["start", "end", "score", "teacher", "text", "label"]].itertuples(index=False, name=None), key=lambda s: (s[0], s[1], -s[2], s[3]))
         clusters: list[list[tuple]] = []
+        near: list[list[tuple]] = []
         for s in spans:
-            for c in clusters:
+            near = [c for c in near if max(m[1] for m in c) > s[0]]
+            for c in near:
                 r = c[0]
                 shorter, inter = min(s[1] - s[0], r[1] - r[0]), min(s[1], r[1]) - max(s[0], r[0])
                 if shorter > 0 and inter > 0 and inter / shorter >= overlap:
@@ -36,7 +41,8 @@ def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.05) -> DataFr
                     c.sort(key=lambda m: (-m[2], m[1] - m[0], m[0]))
                     break
             else:
-                clusters.append([s])
+                near.append([s])
+                clusters.append(near[-1])
         out = []
         for c in clusters:
             names = sorted({m[3] for m in c})
@@ -49,7 +55,47 @@ def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.05) -> DataFr
 
 
 def kept(merged: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:
-    return merged.filter((F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence))
+    """Merged spans that enough teachers or one sure one found, but for section headers and short spans that aren't allowed."""
+    good = ~X.is_section_header(F.col("text")) & X.allowed_span(F.col("text"))
+    return merged.filter(good & ((F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence)))
+
+
+def note_stats(raw: DataFrame, post: DataFrame, merged: DataFrame, kept_: DataFrame) -> DataFrame:
+    """note_id, mentions_raw, mentions_post, mentions_merged, mentions_kept."""
+    each = [df.select("note_id", F.lit(k).alias("k")) for k, df in enumerate((raw, post, merged, kept_))]
+    names = ("mentions_raw", "mentions_post", "mentions_merged", "mentions_kept")
+    return each[0].union(each[1]).union(each[2]).union(each[3]).groupBy("note_id").agg(*[F.count_if(F.col("k") == k).alias(n) for k, n in enumerate(names)])
+
+
+def note_rows(merged: DataFrame) -> DataFrame:
+    """note_id, mentions: an array of a note's merged spans by start, end and score, the highest first."""
+    fields = [c for c in merged.columns if c not in ("note_id", "start", "end")]
+    one = F.struct("start", "end", (-F.col("score")).alias("__s"), F.to_json(F.struct(*fields)).alias("__j"), F.struct(*fields).alias("__f"))
+    mentions = F.transform(F.array_sort(F.collect_list(one)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[m["__f"][f].alias(f) for f in fields]))
+    return merged.groupBy("note_id").agg(mentions.alias("mentions"))
+
+
+def embeddable(mentions: DataFrame, min_chars: int = 3, max_chars: int = 80, min_score: float = 0.0) -> DataFrame:
+    """Mentions (text, normalized, score) that may be linked, with text_for_embed: the normalised text, else the text."""
+    t = F.coalesce(F.nullif(F.trim(F.coalesce("normalized", F.lit(""))), F.lit("")), F.trim("text"))
+    return mentions.withColumn("text_for_embed", t).filter(F.char_length("text_for_embed").between(min_chars, max_chars) & (F.coalesce("score", F.lit(0.0)) >= min_score) & (F.col("text_for_embed") != ""))
+
+
+def linked(candidates: DataFrame, min_sim: float = 0.0, min_lex: float = 0.0, rerank: bool = True, lexical_weight: float = 0.30, margin: float = 0.04) -> DataFrame:
+    """candidates: mention_id, rank, sim, text_for_embed, preferred_term and what belongs to them. A row a mention: its best candidate by similarity
+    and, with rerank, lexical overlap (lex) inside the band, the earlier of equal ones; dropped below min_sim or, if above 0, min_lex."""
+    c = candidates.withColumn("lex", lexical(F.col("text_for_embed"), F.col("preferred_term")))
+    top = F.max("sim").over(W.partitionBy("mention_id"))
+    band = F.col("sim") >= top - margin if rerank and margin >= 0 else F.lit(True)
+    c = c.withColumn("__in", band if rerank else F.col("rank") == 0).filter("__in")
+    score = F.round(F.col("sim") + (lexical_weight * F.col("lex") if rerank else 0.0), 9)
+    c = c.withColumn("__n", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc(score), "rank"))).filter("__n = 1").drop("__n", "__in")
+    return c.filter((F.col("sim") >= min_sim) & ((F.col("lex") >= min_lex) if min_lex > 0 else F.lit(True)))
+
+
+def with_base(base: DataFrame, silver: DataFrame) -> DataFrame:
+    """Training pairs (mention, cui, sim): the base ones, then the silver ones."""
+    return base.unionByName(silver)
 
 
 def pairs(rows: DataFrame, min_sim: float, min_lex: float, min_teachers: int, min_chars: int, max_chars: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.pieces import SPACE, matches
+from . import silver
 
 
 def filled(spark: SparkSession, templates: list[tuple[str, str]], conditions: list[str]) -> DataFrame:
@@ -15,13 +17,22 @@ def filled(spark: SparkSession, templates: list[tuple[str, str]], conditions: li
     return a.crossJoin(F.broadcast(b)).select(F.replace("template", F.lit("{condition}"), F.col("entity")).alias("text"), "label", "entity", F.lit("synthetic").alias("source"))
 
 
-def mined(notes: DataFrame, pattern: str, around: int = 50) -> DataFrame:
-    """note_id, k, phrase, window: every phrase that matches, with up to around characters on both sides of its first place."""
-    whole = F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0))
-    each = notes.select("note_id", "text", F.posexplode(whole).alias("k", "phrase"))
-    start = F.instr(F.lower("text"), F.lower("phrase")) - 1
-    left = F.greatest(F.lit(0), start - around)
-    return each.select("note_id", "k", "phrase", F.substr("text", left + 1, start - left + F.char_length("phrase") + around).alias("window"))
+def mined(notes: DataFrame, patterns: list[str] = K.MINED_PATTERNS, around: int = 50, most: int | None = None) -> DataFrame:
+    """note_id, pattern, start, end, phrase, window: all that each pattern finds in a note, in the order of the patterns, with up to around
+    characters on both sides of its own place; the first most of a note, if that is given."""
+    def found_by(k: int, pattern: str) -> Column:
+        return F.transform(matches(F.col("text"), f"(?i){pattern}"), lambda m: F.struct(F.lit(k).alias("pattern"), m["at"].alias("start"), (m["at"] + F.char_length(m["part"])).alias("end")))
+
+    found = F.concat(*[found_by(k, p) for k, p in enumerate(patterns)])
+    each = notes.select("note_id", "text", F.explode(F.slice(found, 1, most) if most else found).alias("m")).select("note_id", "text", "m.*")
+    left = F.greatest(F.lit(0), F.col("start") - around)
+    cut = lambda a, b: F.substr("text", a + 1, b - a)
+    return each.select("note_id", "pattern", "start", "end", cut(F.col("start"), F.col("end")).alias("phrase"), cut(left, F.col("end") + around).alias("window"))
+
+
+def confident(examples: DataFrame, least: float = 0.7) -> DataFrame:
+    """Labelled examples of which the labeller is sure."""
+    return examples.filter(F.col("confidence") > least)
 
 
 def marked(text: Column, entity: Column, tag: str = "[entity]") -> Column:
@@ -30,11 +41,10 @@ def marked(text: Column, entity: Column, tag: str = "[entity]") -> Column:
     return F.when(at > 0, F.overlay(text, F.concat(F.lit(f"{tag} "), entity, F.lit(f" {tag}")), at, F.char_length(entity))).otherwise(text)
 
 
-def subject_lines(notes: DataFrame, family: str, patient: str, least: int = 10, most: int = 200) -> DataFrame:
-    """note_id, line, label: lines that one of the two patterns matches, and not the other."""
-    line = F.trim(F.col("line"))
-    each = notes.select("note_id", F.explode(F.split("text", "\n")).alias("line")).select("note_id", line.alias("line")).filter(F.char_length("line").between(least, most))
-    f, p = F.col("line").rlike(f"(?i){family}"), F.col("line").rlike(f"(?i){patient}")
+def subject_lines(notes: DataFrame, family: list[str] = K.FAMILY_LINES, patient: list[str] = K.PATIENT_LINES, least: int = 10, most: int = 200) -> DataFrame:
+    """note_id, line, label: trimmed lines that a pattern of one of the two sets finds, and none of the other."""
+    each = notes.select("note_id", F.explode(F.split("text", "\n")).alias("line")).select("note_id", F.regexp_replace("line", rf"^{SPACE}+|{SPACE}+$", "").alias("line")).filter(F.char_length("line").between(least, most))
+    f, p = (F.col("line").rlike("(?i)" + "|".join(f"(?:{x})" for x in xs)) for xs in (family, patient))
     return each.filter(f != p).select("note_id", "line", F.when(f, "FAMILY").otherwise("PATIENT").alias("label"))
 
 
@@ -49,6 +59,12 @@ def neighbours(rows: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("neighbours", F.transform("neighbours", lambda x: F.when(x < 0, F.pmod(F.col("concept_row") + 1, F.lit(total))).otherwise(x)))
 
 
+def concept_sample(concepts: DataFrame, synonyms: DataFrame, n: int, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+    """n concepts (cui, ...) by MD5, and the synonyms that belong to them."""
+    chosen = silver.hash_sample(concepts, "cui", n, seed)
+    return chosen, synonyms.join(chosen.select("cui"), "cui", "left_semi")
+
+
 def split(rows: DataFrame, key: str, share: float = 0.9, seed: int = 13) -> DataFrame:
     """is_train by the MD5 of seed and key."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
@@ -57,3 +73,8 @@ def split(rows: DataFrame, key: str, share: float = 0.9, seed: int = 13) -> Data
 
 def all_synthetic(spark: SparkSession) -> DataFrame:
     return filled(spark, K.ASSERTION_TEMPLATES, K.CONDITIONS).unionByName(filled(spark, K.SUBJECT_TEMPLATES, K.CONDITIONS))
+
+
+def with_clinical(synthetic: DataFrame, clinical: DataFrame) -> DataFrame:
+    """Synthetic examples (text, label, entity, source) and those from notes (text, label, entity, confidence); synthetic ones have no confidence."""
+    return synthetic.withColumn("confidence", F.lit(None).cast("double")).unionByName(clinical.withColumn("source", F.lit("clinical_note")).select("text", "label", "entity", "source", "confidence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import small, staged
+
+#: Most queries and base rows of a block; a block of each meets in one group of a task.
+QUERY_BLOCK, BASE_BLOCK, _ROWS = 4096, 65_536, 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -22,42 +28,31 @@ def normalised(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def exact_topk(queries: DataFrame, base: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """queries: query_id, v; base: concept_row, v. Returns query_id, rank (from 0), concept_row, score (double, inner product).
-
-    The queries are cut into blocks by hash and broadcast block by block, a bounded size each; a task multiplies a batch of base
-    vectors with a block and keeps its own k best a query, so the shuffle holds k rows a query and task, not all pairs. Ties go to
-    the smaller concept_row."""
-    q = queries.select("query_id", "v").toPandas() if queries.count() <= block else None
-    if q is not None:
-        return _rank(base.mapInPandas(_searcher(q, k), "query_id long, concept_row long, score double"), k)
-    n = -(-queries.count() // block)
-    parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
-    found = None
-    for part in parts:
-        one = base.mapInPandas(_searcher(part.select("query_id", "v").toPandas(), k), "query_id long, concept_row long, score double")
-        found = one if found is None else found.union(one)
-    return _rank(found, k)
-
-
-def _searcher(q: pd.DataFrame, k: int):
-    ids = q["query_id"].to_numpy(np.int64)
-    m = np.stack(q["v"].to_list()).astype(np.float64) if len(q) else np.zeros((0, 1))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, scores = None, None
-        for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            own = batch["concept_row"].to_numpy(np.int64)
-            s = m @ np.stack(batch["v"].to_list()).astype(np.float64).T
-            r = np.broadcast_to(own, s.shape)
-            if rows is not None:
-                s, r = np.concatenate([scores, s], axis=1), np.concatenate([rows, r], axis=1)
-            best = np.lexsort((r, -s), axis=1)[:, :k]
-            scores, rows = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
-        if rows is not None:
-            yield pd.DataFrame({"query_id": np.repeat(ids, rows.shape[1]), "concept_row": rows.ravel(), "score": scores.ravel()})
+def best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line of scores, the smaller row first of equal ones; rows: of each column, or of each score."""
+    rows = np.broadcast_to(rows, scores.shape)
+    if scores.shape[1] > k:
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        # ties at the k-th score: few lines, sorted whole
+        tied = np.flatnonzero((scores >= kth).sum(axis=1) > k)
+        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        if len(tied):
+            at[tied] = np.lexsort((rows[tied], -scores[tied]), axis=1)[:, :k]
+        scores, rows = np.take_along_axis(scores, at, 1), np.take_along_axis(rows, at, 1)
+    order = np.lexsort((rows, -scores), axis=1)
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
+
+
+def _search(k: int):
+    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"query_id": [], "concept_row": [], "score": []}).astype({"query_id": "int64", "concept_row": "int64"})
+        m, rows = np.stack(q["v"].to_list()).astype(np.float64), b["concept_row"].to_numpy(np.int64)
+        found = None
+        for lo in range(0, len(b), _ROWS):
+            s, r = best(m @ np.stack(b["v"].iloc[lo : lo + _ROWS].to_list()).astype(np.float64).T, rows[None, lo : lo + _ROWS], k)
+            found = (s, r) if found is None else best(np.concatenate([found[0], s], axis=1), np.concatenate([found[1], r], axis=1), k)
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(np.int64), found[1].shape[1]), "concept_row": found[1].ravel(), "score": found[0].ravel()})
 
     return search
 
@@ -67,6 +62,30 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("query_id", "rank", "concept_row", "score")
 
 
+def _blocked(queries: DataFrame, base: DataFrame, k: int, query_block: int, base_block: int) -> DataFrame:
+    """Both have list_id: the k best base rows of a query within its lists. Each list is cut into blocks of queries and of base rows by
+    hash, and each pair of blocks is a group; a group emits k rows a query. Neither side passes the driver, and no list is one task."""
+    sizes = queries.groupBy("list_id").agg(F.count("*").alias("n_q")).join(base.groupBy("list_id").agg(F.count("*").alias("n_b")), "list_id")
+    sizes = small(staged(sizes.select("list_id", F.ceil(F.col("n_q") / query_block).cast("int").alias("nq"), F.ceil(F.col("n_b") / base_block).cast("int").alias("nb")), "vector-sizes"))
+    groups = sizes.agg(F.coalesce(F.sum(F.col("nq") * F.col("nb")), F.lit(0))).first()[0]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, "list_id").select("list_id", "query_id", "v", own("query_id", "nq").alias("qb"), every("nb").alias("bb"))
+    b = base.join(sizes, "list_id").select("list_id", "concept_row", "v", own("concept_row", "nb").alias("bb"), every("nq").alias("qb"))
+    n, keys = max(1, min(groups, 20_000)), ("list_id", "qb", "bb")
+    q, b = q.repartition(n, *keys).groupBy(*keys), b.repartition(n, *keys).groupBy(*keys)
+    return _rank(q.cogroup(b).applyInPandas(_search(k), "query_id long, concept_row long, score double"), k)
+
+
+def exact_topk(queries: DataFrame, base: DataFrame, k: int, query_block: int | None = None, base_block: int = BASE_BLOCK) -> DataFrame:
+    """queries: query_id, v; base: concept_row, v (both cheap to read again, or staged). Returns query_id, rank (from 0), concept_row,
+    score (double, inner product), ties to the smaller concept_row, whatever the blocks."""
+    if query_block is None:  # blocks for every core
+        query_block = min(QUERY_BLOCK, max(256, -(-queries.count() // queries.sparkSession.sparkContext.defaultParallelism)))
+    one = F.lit(0).alias("list_id")
+    return _blocked(queries.select(one, "query_id", F.col("v").alias("v")), base.select(one, "concept_row", F.col("v").alias("v")), k, query_block, base_block)
+
+
 def ivf_lists(base: DataFrame, nlist: int, sample: int = 200_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(base with list_id, centroids): KMeans over at most sample rows, every row assigned to its nearest list."""
     total = max(1, base.count())
@@ -74,12 +93,79 @@ def ivf_lists(base: DataFrame, nlist: int, sample: int = 200_000, seed: int = 7)
     model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="features", predictionCol="list_id").fit(data.sample(min(1.0, sample / total), seed=seed))
     spark = base.sparkSession
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list_id int, c array<double>")
-    return model.transform(data).drop("features"), centroids
+    return staged(model.transform(data).drop("features"), "vector-lists"), centroids
+
+
+def _probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    near = exact_topk(queries, centroids.select(F.col("list_id").cast("long").alias("concept_row"), F.col("c").alias("v")), nprobe)
+    return near.select("query_id", F.col("concept_row").cast("int").alias("list_id"), F.col("rank").alias("probe"))
 
 
 def ivf_topk(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Searches the nprobe lists whose centroids have the largest inner product; an equi-join on list_id. centroids: nlist rows."""
-    near = queries.crossJoin(F.broadcast(centroids)).select("query_id", "v", "list_id", dot(F.col("v"), F.col("c")).alias("p"))
-    w = W.partitionBy("query_id").orderBy(F.desc("p"), "list_id")
-    probes = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= nprobe).select("query_id", F.col("v").alias("qv"), "list_id")
-    return _rank(probes.join(lists, "list_id").select("query_id", "concept_row", dot(F.col("qv"), F.col("v")).alias("score")), k)
+    """Searches the nprobe lists whose centroids have the largest inner product: an equi-join on list_id, by blocks."""
+    probes = queries.join(_probes(queries, centroids, nprobe), "query_id").select("list_id", "query_id", "v")
+    return _rank(_blocked(staged(probes, "vector-probes"), lists.select("list_id", "concept_row", "v"), k, QUERY_BLOCK, BASE_BLOCK), k)
+
+
+def probes_for(lists: DataFrame, centroids: DataFrame, k: int = 10, recall: float = 0.9, queries: int = 512, seed: int = 7) -> int:
+    """The fewest lists to probe for the wanted recall at k, measured against the exact search over all rows, with about so many base
+    rows as queries."""
+    asked = lists.select(F.col("concept_row").alias("query_id"), "v")
+    asked = staged(asked.sample(min(1.0, queries / max(1, asked.count())), seed=seed), "vector-asked")
+    found = exact_topk(asked, lists.select("concept_row", "v"), k).join(lists.select("concept_row", "list_id"), "concept_row")
+    nlist = centroids.count()
+    need = found.join(_probes(asked, centroids, nlist), ["query_id", "list_id"]).groupBy("probe").count().orderBy("probe").collect()
+    total, upto = sum(r["count"] for r in need), 0
+    for r in need:
+        upto += r["count"]
+        if upto >= recall * total:
+            return r["probe"] + 1
+    return nlist
+
+
+def index_config(lists: DataFrame, centroids: DataFrame, nprobe: int, sample: int = 200_000, seed: int = 7) -> DataFrame:
+    """One row: index_type, n_vectors, dim, nlist, nprobe, train_sample, seed."""
+    return lists.agg(F.lit("ivf").alias("index_type"), F.count("*").alias("n_vectors"), F.max(F.size("v")).alias("dim"), F.lit(centroids.count()).alias("nlist"), F.lit(nprobe).alias("nprobe"), F.lit(sample).alias("train_sample"), F.lit(seed).alias("seed"))
+
+
+def self_test(base: DataFrame, first: int = 3, k: int = 5) -> DataFrame:
+    """The k nearest rows of the first vectors; each must find itself."""
+    q = base.filter(F.col("concept_row") < first).select(F.col("concept_row").alias("query_id"), "v")
+    return exact_topk(q, base, k)
+
+
+def checked(base: DataFrame, dim: int, rows: int | None = None) -> DataFrame:
+    """base (concept_row, v), or an error: every vector has dim numbers, rows are 0, 1, 2 and so on, and as many as the metadata says."""
+    n, least, most, distinct, odd = base.agg(F.count("*"), F.min("concept_row"), F.max("concept_row"), F.count_distinct("concept_row"), F.count_if(F.coalesce(F.size("v") != dim, F.lit(True)))).first()
+    if odd:
+        raise ValueError(f"{odd} vectors don't have {dim} numbers")
+    if n and (least, most, distinct) != (0, n - 1, n):
+        raise ValueError("rows must be numbered from 0 without gaps")
+    if rows is not None and rows != n:
+        raise ValueError(f"{rows} rows of metadata for {n} vectors")
+    return base
+
+
+def info_nce(pairs: DataFrame, batch: int = 32, temperature: float = 0.07) -> DataFrame:
+    """pairs: idx (numbered from 0), pred, target (vectors). idx and loss: the cross entropy of each row's own target among those of its
+    batch (batch rows in order of idx), vectors normalised. A batch is a group."""
+    return _loss(pairs.withColumn("negatives", F.lit(None).cast("array<array<double>>")), batch, temperature)
+
+
+def hard_negative_loss(pairs: DataFrame, batch: int = 32, temperature: float = 0.07) -> DataFrame:
+    """As info_nce, with the row's own hard negatives (column negatives, an array of vectors) beside the targets of its batch."""
+    return _loss(pairs, batch, temperature)
+
+
+def _loss(pairs: DataFrame, batch: int, temperature: float) -> DataFrame:
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+
+    def loss(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        p, t = (unit(np.stack(frames[c].to_list()).astype(np.float64)) for c in ("pred", "target"))
+        logits = p @ t.T / temperature
+        extra = [unit(np.stack(list(x)).astype(np.float64)) @ p[i] / temperature if x is not None and len(x) else np.zeros(0) for i, x in enumerate(frames["negatives"])]
+        out = [math.log(np.exp(logits[i]).sum() + np.exp(e).sum()) - logits[i, i] for i, e in enumerate(extra)]
+        return pd.DataFrame({"idx": frames["idx"], "loss": out})
+
+    return pairs.withColumn("b", F.floor(F.col("idx") / batch)).groupBy("b").applyInPandas(loss, "idx long, loss double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..operators import concepts as C
-from ..operators import etl, extract, rerank, review, silver, training, vector
+from ..operators import etl, evaluate, extract, rerank, review, silver, training, vector, view
 from ..options import ExtractOptions
 from ..sources import terminology as T
 
@@ -42,12 +42,12 @@ OPENINGS = [
 ]
 _N = len(OPENINGS)
 _VALUES = ", ".join("('" + o + f"', {k})" for k, o in enumerate(OPENINGS))
-_NOTES = f"(SELECT doc_id AS note_id, source AS note_type, opening || '. ' || substring(text, 1, 400) AS text FROM documents JOIN (VALUES {_VALUES}) AS o(opening, k) ON doc_id % {_N} = k WHERE lang = 'en')"
+_NOTES = f"(SELECT doc_id AS note_id, source AS note_type, opening || '. ' || coalesce(text, '') AS text FROM documents JOIN (VALUES {_VALUES}) AS o(opening, k) ON doc_id % {_N} = k)"
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % _N + 1).cast("int"))
-    return t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("note_id"), F.col("source").alias("note_type"), F.concat(opening, F.lit(". "), F.substring("text", 1, 400)).alias("text"))
+    return t(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.col("source").alias("note_type"), F.concat(opening, F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 _SENT = r"""
@@ -83,7 +83,7 @@ _STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(
 _NORM = rf"trim(regexp_replace(trim(regexp_replace(regexp_replace({_STRIP}, '(?i)^(?:any|some|the|a|an)\s+', ''), '^(?:\d{{1,4}}\s+)+', '')), '\s+\d+(?:\.\d+)?\s*$', ''))"
 
 
-@query(f"WITH notes AS {_NOTES}, {_SENT}, x AS (SELECT note_id, start, sentence AS s FROM sents) SELECT note_id, start, nullif(regexp_replace(lower(regexp_extract(s, '(?i){K.SEVERITY}', 1)), 'ly$', ''), '') AS severity, nullif(replace(lower(regexp_extract(s, '(?i){K.LATERALITY}', 1)), '\\', '/'), '') AS laterality, nullif(lower(regexp_extract(s, '(?i){K.TEMPORALITY}', 1)), '') AS temporality, {_NORM} AS normalized FROM x")
+@query(f"WITH notes AS {_NOTES}, {_SENT}, x AS (SELECT note_id, start, sentence AS s FROM sents) SELECT note_id, start, nullif(regexp_replace(lower(regexp_extract(s, '(?i){K.SEVERITY}', 1)), 'ly$', ''), '') AS severity, nullif(replace(lower(regexp_extract(s, '(?i){K.LATERALITY}')), '\\', '/'), '') AS laterality, nullif(lower(regexp_extract(s, '(?i){K.TEMPORALITY}', 1)), '') AS temporality, {_NORM} AS normalized FROM x")
 def modifiers(spark, d):
     s = F.col("sentence")
     return extract.sentences(notes(spark, d)).select("note_id", "start", X.severity(s).alias("severity"), X.laterality(s).alias("laterality"), X.temporality(s).alias("temporality"), X.without_modifiers(s).alias("normalized"))
@@ -97,6 +97,28 @@ def abbreviation_expansion(spark, d):
     return notes(spark, d).select("note_id", X.expand(F.col("text")).alias("expanded"))
 
 
+_TOKENS = r"tok AS (SELECT note_id, part, i, CAST(coalesce(sum(length(part)) OVER (PARTITION BY note_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM (SELECT note_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+')) AS part, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+'), 1) AS i FROM notes))"
+
+
+@query(f"WITH notes AS {_NOTES}, {_TOKENS} SELECT note_id, start, CAST(start + length(part) AS INT) AS \"end\", part AS original, v AS expanded FROM tok JOIN (VALUES {_DICT}) AS d(k, v) ON k = upper(part) WHERE length(part) > 2 OR part = upper(part)")
+def expansion_offsets(spark, d):
+    return notes(spark, d).select("note_id", F.explode(X.expansions(F.col("text"))).alias("x")).select("note_id", "x.start", "x.end", "x.original", "x.expanded")
+
+
+@query(f"WITH notes AS {_NOTES}, {_TOKENS} SELECT note_id, start, CAST(start + length(part) AS INT) AS \"end\", part AS text, coalesce(v, part) AS normalized FROM tok LEFT JOIN (VALUES {_DICT}) AS d(k, v) ON k = upper(part) WHERE regexp_full_match(part, '[A-Za-z0-9]{{2,12}}') AND regexp_matches(part, '[A-Z0-9]') AND upper(part) IN (" + ", ".join(f"'{x}'" for x in K.SHORT_SPANS) + ")")
+def abbreviation_spans(spark, d):
+    return notes(spark, d).select("note_id", F.explode(X.abbreviation_spans(F.col("text"))).alias("x")).select("note_id", "x.start", "x.end", "x.text", "x.normalized")
+
+
+_LOOKED = ["' htn '", "'Dm'", "'xyz'", "'COPD'"]
+
+
+@query(f"SELECT p_partkey, v IS NOT NULL AS known, v AS expansion FROM (SELECT p_partkey, [{', '.join(_LOOKED)}][p_partkey % 4 + 1] AS term FROM part) LEFT JOIN (VALUES {_DICT}) AS d(k, v) ON k = upper(trim(term))")
+def term_lookups(spark, d):
+    term = F.element_at(F.array(*[F.lit(x.strip("'")) for x in _LOOKED]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", X.is_abbreviation(term).alias("known"), X.expansion_of(term).alias("expansion"))
+
+
 _PAIR = "SELECT a.p_partkey, a.p_name AS a, b.p_name || ' ' || b.p_type AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 
 
@@ -176,14 +198,27 @@ def vector_norm_cosine(spark, d):
 
 @query()
 def vector_ivf_recall(spark, d):
-    """Recall of the inverted file (8 of 16 lists) against the exact search, one row."""
+    """One row: recall of the inverted file, with as many probes as its own measurement asks for, against the exact search."""
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("concept_row"), F.col("embedding").alias("v"))
     q = e.filter("concept_row % 20 = 0").select(F.col("concept_row").alias("query_id"), "v")
     lists, centroids = vector.ivf_lists(e, 16)
-    near = vector.ivf_topk(q, lists, centroids, 8, 8).select("query_id", "concept_row", F.lit(1).alias("hit"))
+    near = vector.ivf_topk(q, lists, centroids, 8, vector.probes_for(lists, centroids, 8, 0.95)).select("query_id", "concept_row", F.lit(1).alias("hit"))
     return _topk(spark, d).join(near, ["query_id", "concept_row"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+@query("SELECT 'ivf' AS index_type, count(*) AS n_vectors, 64 AS dim, 16 AS nlist, 8 AS nprobe, 200000 AS train_sample, 7 AS seed FROM embeddings")
+def vector_index_config(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("concept_row"), F.col("embedding").alias("v"))
+    lists, centroids = vector.ivf_lists(vector.checked(e, 64), 16)
+    return vector.index_config(lists, centroids, 8).select("index_type", "n_vectors", F.col("dim").cast("int").alias("dim"), "nlist", "nprobe", "train_sample", "seed")
+
+
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, concept_row, round(score, 6) AS score FROM ({_TOPK.replace('q.vec_id % 20 = 0', 'q.vec_id < 3')}) WHERE rank < 5")
+def vector_self_test(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("concept_row"), F.col("embedding").alias("v"))
+    return vector.self_test(e).select("query_id", "rank", "concept_row", F.round("score", 6).alias("score"))
+
+
 def concepts(spark, d):
     tuis = F.when(F.col("label") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.element_at(F.array(*map(F.lit, [47, 184, 33, 61, 170, 121, 23])), (F.col("vec_id") % 7 + 1).cast("int"))))
     term = F.element_at(F.array(*map(F.lit, _TERMS)), (F.col("vec_id") % 7 + 1).cast("int"))
@@ -214,15 +249,15 @@ def _candidates(spark, d):
 
 @query(f"WITH {_CAND}, ok AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY round(rerank, 9) DESC, rank) AS n FROM scored WHERE score >= 0.5 AND score >= top - 0.1 AND round(rerank, 9) > round(top, 9)) SELECT m.mention_id, CAST(coalesce(ok.rank, 0) AS INT) AS rank, round(coalesce(ok.score, m.top), 6) AS score, round(coalesce(ok.rerank, m.top), 6) AS rerank_score FROM (SELECT DISTINCT mention_id, top FROM scored WHERE top >= 0.5) m LEFT JOIN ok ON ok.mention_id = m.mention_id AND n = 1")
 def rerank_choice(spark, d):
-    c = rerank.choose(_candidates(spark, d), margin=0.1)
+    c = rerank.choose(_candidates(spark, d), ExtractOptions(threshold=0.5, rerank_margin=0.1))
     return c.select("mention_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
-_EDGE = "edges AS (SELECT l_partkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem)"
+_EDGE = "edges AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 
 
 def _edges(spark, d):
-    return t(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst"))
+    return t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
 
 
 @query(f"WITH {_CAND}, {_EDGE}, chosen AS (SELECT mention_id // 100 AS sentence_id, mention_id, concept_row FROM cand WHERE rank = 1), deg AS (SELECT src FROM edges GROUP BY src HAVING count(*) <= 125) SELECT c.mention_id, CAST(c.rank AS INT) AS rank, CAST(coalesce(h.n, 0) AS BIGINT) AS relation_hits FROM cand c LEFT JOIN (SELECT c.mention_id, c.rank, count(*) AS n FROM cand c JOIN chosen o ON o.mention_id = c.mention_id JOIN edges e ON e.src = c.concept_row JOIN deg USING (src) JOIN (SELECT DISTINCT sentence_id, concept_row AS dst FROM chosen) x ON x.sentence_id = c.mention_id // 100 AND x.dst = e.dst WHERE e.dst <> o.concept_row GROUP BY 1, 2) h ON h.mention_id = c.mention_id AND h.rank = c.rank")
@@ -258,13 +293,14 @@ def first_synonyms(spark, d):
     return etl.first_per_key(rows, "cui", "p_partkey", 3)
 
 
-@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS v0, '''' || replace(p_name, ' ', ', ') || '''''s' AS v1, p_brand AS v2 FROM part")
+# quotes at both ends go, those inside stay
+@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS v0, replace(p_name, ' ', ', ') || '''''s' AS v1, p_brand AS v2, CAST(3 AS INT) AS n FROM part")
 def insert_lines(spark, d):
     quoted = F.concat(F.lit("''"), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit("''s"))
-    line = F.concat(F.lit("INSERT INTO CUI_TERMS VALUES("), F.col("p_partkey").cast("string"), F.lit(",'"), quoted, F.lit("','"), F.col("p_brand"), F.lit("')"))
+    line = F.concat(F.lit("INSERT INTO CUI_TERMS VALUES("), F.col("p_partkey").cast("string"), F.lit(",'"), quoted, F.lit("',  '"), F.col("p_brand"), F.lit("',)"))
     v = T.insert_values(F.col("line"), "CUI_TERMS")
     out = t(spark, d, "part").select("p_partkey", line.alias("line")).select("p_partkey", v.alias("v"))
-    return out.select("p_partkey", F.col("v")[0].alias("v0"), F.regexp_replace(F.col("v")[1], "^''", "'").alias("v1"), F.col("v")[2].alias("v2"))
+    return out.select("p_partkey", F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"), F.col("v")[2].alias("v2"), F.size("v").alias("n"))
 
 
 @query("WITH r AS (SELECT l_partkey % 300 AS a, l_suppkey % 300 AS b, CASE l_linenumber % 3 WHEN 0 THEN 'PAR' WHEN 1 THEN 'RO' ELSE 'CHD' END AS rel FROM lineitem WHERE l_returnflag <> 'A'), e AS (SELECT a, b FROM r WHERE rel <> 'RO' AND a < 150 AND b < 150), u AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e) SELECT src, count(*) AS degree, CAST(sum(count(*)) OVER (ORDER BY src) AS BIGINT) AS indptr FROM u GROUP BY src")
@@ -274,8 +310,57 @@ def relation_degrees(spark, d):
     sup = F.when(F.col("l_returnflag") == "A", "Y").otherwise("N")
     line = F.concat(F.format_string("C%07d", F.col("l_partkey") % 300), F.lit("|||"), rel, F.lit("|"), F.format_string("C%07d", F.col("l_suppkey") % 300), F.lit("||||||||||"), sup, F.lit("|"))
     known = spark.range(150).select(F.col("id").cast("int").alias("cui"), F.col("id").alias("concept_row"))
-    deg = etl.out_degrees(etl.edges(T.mrrel(li.select(line.alias("line"))), known))
-    return deg.select("src", "degree", F.sum("degree").over(W.orderBy("src")).alias("indptr"))
+    return etl.prefix_sums(etl.out_degrees(etl.edges(T.mrrel(li.select(line.alias("line"))), known)), "src", "degree", "indptr")
+
+
+_REL = "rel AS (SELECT l_partkey AS src, l_suppkey AS dst, l_orderkey * 8 + l_linenumber AS place FROM lineitem), rows AS (SELECT p_partkey AS concept_row FROM part)"
+
+
+def _rel(spark, d):
+    e = t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
+    return e, t(spark, d, "part").select(F.col("p_partkey").alias("concept_row"))
+
+
+@query(f"WITH {_REL}, n AS (SELECT concept_row, count(src) AS n, coalesce(string_agg(dst, ',' ORDER BY place, dst), '') AS neighbours FROM rows LEFT JOIN rel ON src = concept_row GROUP BY 1) SELECT concept_row, CAST(sum(n) OVER w - n AS BIGINT) AS start, CAST(sum(n) OVER w AS BIGINT) AS \"end\", neighbours FROM n WINDOW w AS (ORDER BY concept_row)")
+def relation_adjacency(spark, d):
+    e, rows = _rel(spark, d)
+    return etl.adjacency(e, rows, "place").withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
+
+
+@query(f"WITH {_REL} SELECT (SELECT count(*) FROM rows) AS n_concepts, CAST(sum(n) AS BIGINT) AS n_edges, count(*) AS with_edges, max(n) AS max_degree FROM (SELECT src, count(*) AS n FROM rel GROUP BY 1)")
+def relation_meta(spark, d):
+    return etl.relation_meta(*_rel(spark, d))
+
+
+@query("SELECT o_orderkey FROM orders SEMI JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 2 = 0) ON o_custkey = k")
+def universe_members(spark, d):
+    known = t(spark, d, "lineitem").filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("cui"))
+    return etl.in_universe(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cui")), known).select("o_orderkey")
+
+
+@query("SELECT c_custkey AS cui, coalesce(string_agg(o_orderkey % 200, ',' ORDER BY o_orderkey), '') AS tuis FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 = 0 GROUP BY 1")
+def concept_tuis(spark, d):
+    tuis = t(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("cui"), (F.col("o_orderkey") % 200).cast("int").alias("tui"), F.col("o_orderkey").alias("place"))
+    out = etl.with_tuis(t(spark, d, "customer").select(F.col("c_custkey").alias("cui")), tuis)
+    return out.select("cui", F.array_join(F.col("tuis").cast("array<string>"), ",").alias("tuis"))
+
+
+@query("SELECT count(*) AS cuis, CAST(sum(n) AS BIGINT) AS synonyms, avg(n) AS average, count(*) FILTER (n >= 10) AS filled FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+def synonym_totals(spark, d):
+    terms = t(spark, d, "orders").select(F.col("o_custkey").alias("cui"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("place"))
+    return etl.synonym_totals(etl.synonym_lists(terms), 10)
+
+
+@query("SELECT o_orderkey, c_custkey + 7 AS concept_row FROM orders JOIN customer ON o_custkey = c_custkey")
+def synonym_rows(spark, d):
+    known = t(spark, d, "customer").select(F.col("c_custkey").alias("cui"), (F.col("c_custkey") + 7).alias("concept_row"))
+    return etl.synonym_rows(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cui")), known).select("o_orderkey", "concept_row")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders SEMI JOIN (SELECT c_custkey FROM customer ORDER BY md5('13:' || c_custkey), c_custkey LIMIT 50) c ON o_custkey = c_custkey")
+def sampled_synonyms(spark, d):
+    cs, syn = t(spark, d, "customer").select(F.col("c_custkey").alias("cui")), t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cui"))
+    return training.concept_sample(cs, syn, 50)[1].select("o_orderkey", F.col("cui").alias("o_custkey"))
 
 
 @query("SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS o_orderstatuss FROM orders GROUP BY o_custkey")
@@ -292,7 +377,7 @@ def last_values(spark, d):
 
 
 def _votes(spark, d):
-    w = notes(spark, d).select("note_id", F.posexplode(F.slice(F.split("text", " "), 1, 30)).alias("k", "text"))
+    w = notes(spark, d).select("note_id", F.posexplode(F.split("text", " ")).alias("k", "text"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "note_id", "k").cast("binary")), 1, 4), 16, 10).cast("int")
     w = w.withColumn("h", h).withColumn("teacher", F.explode(F.array(F.lit("one"), F.lit("two"))))
     start = F.col("k") * 8 + F.when(F.col("teacher") == "two", F.col("h") % 3).otherwise(0)
@@ -301,10 +386,34 @@ def _votes(spark, d):
 
 @query()
 def teacher_merge(spark, d):
-    merged = silver.merge(silver.usable(_votes(spark, d), 0.2, 2, 40))
+    merged = silver.merge(silver.usable(_votes(spark, d), 0.2))
     return silver.kept(merged).select("note_id", "start", "end", "text", F.concat_ws(",", "teachers").alias("teachers"), F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
+@query()
+def teacher_stats(spark, d):
+    raw = _votes(spark, d)
+    post = silver.usable(raw, 0.2)
+    merged = silver.merge(post)
+    return silver.note_stats(raw, post, merged, silver.kept(merged))
+
+
+_LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_linenumber, p_name, 1 - l_discount * 2 - l_linenumber / 1000.0 AS sim, o_orderpriority AS text, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS lex FROM (SELECT *, " + _WS.format("p_name || ' ' || p_type") + " AS b, " + _WS.format("'small ' || split_part(p_name, ' ', 1) || ' steel'") + " AS a FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))"
+
+
+@query(f"SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, round(sim, 6) AS sim, round(lex, 6) AS lex FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(s, 9) DESC, l_linenumber) AS n FROM ({_LINK}) WHERE sim >= top - 0.04) WHERE n = 1 AND sim >= 0.9 AND lex >= 0.1")
+def silver_links(spark, d):
+    x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    x = x.select(F.col("l_orderkey").alias("mention_id"), F.col("l_linenumber").alias("rank"), (1 - F.col("l_discount") * 2 - F.col("l_linenumber") / 1000.0).alias("sim"), F.concat(F.lit("small "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" steel")).alias("text_for_embed"), F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"))
+    return silver.linked(x, 0.9, 0.1).select(F.col("mention_id").alias("l_orderkey"), F.col("rank").cast("int").alias("l_linenumber"), F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END AS text_for_embed FROM part WHERE length(CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END) BETWEEN 3 AND 18 AND p_size >= 10")
+def silver_mentions(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.col("p_type")).alias("normalized"), F.col("p_size").alias("score"))
+    return silver.embeddable(x, 3, 18, 10).select("p_partkey", "text_for_embed")
+
+
 @query("SELECT p_partkey, p_name, cui FROM (SELECT *, p_partkey % 50 AS cui, row_number() OVER (PARTITION BY lower(trim(p_name)), p_partkey % 50 ORDER BY p_partkey) AS n FROM part WHERE p_size % 10 / 10.0 >= 0.3 AND (p_size % 3 = 0 OR p_size % 3 >= 2) AND length(trim(p_name)) BETWEEN 3 AND 60) WHERE n = 1")
 def silver_pairs(spark, d):
     rows = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), (F.col("p_partkey") % 50).alias("cui"), ((F.col("p_size") % 10) / 10).alias("sim"), F.lit(1.0).alias("lex"), (F.col("p_size") % 3).alias("teacher_count"), F.col("p_partkey").alias("seq"))
@@ -319,16 +428,37 @@ def hash_sample(spark, d):
 # --- review and view -------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (g = '') AS unlabeled, count(*) FILTER (g IN ('NONE', 'NO', 'NULL', 'N/A')) AS gold_none, count(*) FILTER (g = 'NONE' AND p IS NULL) AS none_correct, count(*) FILTER (g NOT IN ('', 'NONE') AND p IS NULL) AS missing, count(*) FILTER (g NOT IN ('', 'NONE') AND g = p) AS correct, count(*) FILTER (g NOT IN ('', 'NONE') AND g <> p) AS wrong, count(*) FILTER (g NOT IN ('', 'NONE') AND p IS NOT NULL AND k) AS gold_in_topk, round(count(*) FILTER (g NOT IN ('', 'NONE') AND g = p) / count(*) FILTER (g NOT IN ('', 'NONE')), 6) AS accuracy FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN '' ELSE 'C' || o_orderkey % 3 END AS g, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'C' || o_custkey % 3 END AS p, o_orderkey % 2 = 0 AS k FROM orders)")
+_REVIEW = """rev AS (SELECT 'n' || o_custkey AS note_file, o_orderkey AS a, o_orderpriority AS nt, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN '' ELSE 'C' || o_orderkey % 3 END AS g FROM orders),
+run AS (SELECT 'n' || o_custkey AS note_file, o_orderkey AS a, o_orderstatus AS nt, 'C' || o_custkey % 3 AS p, o_orderkey % 2 AS k FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 4 > 0
+  UNION ALL SELECT 'n' || o_custkey, o_orderkey, o_orderstatus, 'C' || (o_custkey + 1) % 3, o_orderkey % 2 FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 4 = 0),
+j AS (SELECT g, coalesce(p, '') AS p, coalesce(run.nt, rev.nt) AS nt, upper(g) = 'NONE' AS none, coalesce(k = 0 AND g = 'C2', false) AS topk, CASE WHEN upper(g) = 'NONE' THEN p IS NULL ELSE coalesce(p = g, false) END AS good FROM rev LEFT JOIN run USING (note_file, a))"""
+
+
+def _review(spark, d):
+    o = t(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    keys = [F.concat(F.lit("n"), c.cast("string")).alias("note_file"), k.alias("start"), (k + 5).alias("end")]
+    gold = F.when(k % 5 == 0, " none ").when(k % 5 == 1, "").otherwise(F.concat(F.lit("C"), (k % 3).cast("string")))
+    run = o.filter(k % 7 > 0).withColumn("again", F.explode(F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    cands = F.when(k % 2 == 0, F.array(F.lit("C2"), F.lit("C9"))).otherwise(F.array().cast("array<string>"))
+    run = run.select(*keys, F.col("o_orderstatus").alias("note_type"), F.concat(F.lit("C"), ((c + F.col("again")) % 3).cast("string")).alias("cui"), cands.alias("candidates"), F.col("again").alias("seq"))
+    return o.select(*keys, F.col("o_orderpriority").alias("note_type"), gold.alias("gold_cui")), run
+
+
+@query(f"WITH {_REVIEW} SELECT *, round(correct / labeled, 6) AS accuracy, round(correct_positive / labeled_positive, 6) AS positive_accuracy FROM (SELECT count(*) AS n_rows, count(*) FILTER (g <> '') AS labeled, count(*) FILTER (g <> '' AND NOT none) AS labeled_positive, count(*) FILTER (none) AS labeled_none, count(*) FILTER (g <> '' AND good) AS correct, count(*) FILTER (g <> '' AND NOT none AND good) AS correct_positive, count(*) FILTER (none AND p <> '') AS false_positives, count(*) FILTER (g <> '' AND NOT none AND p = '') AS false_negatives, count(*) FILTER (g <> '' AND NOT none AND p <> '' AND NOT good) AS wrong_link, count(*) FILTER (g <> '' AND NOT none AND p <> '' AND topk) AS gold_in_topk FROM j)")
 def review_scores(spark, d):
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    gold = F.when(o % 5 == 0, " none ").when(o % 5 == 1, "").otherwise(F.concat(F.lit("c"), (o % 3).cast("string")))
-    return review.scores(t(spark, d, "orders").select(gold.alias("gold"), F.when(o % 7 != 0, F.concat(F.lit("C"), (c % 3).cast("string"))).alias("predicted"), (o % 2 == 0).alias("in_topk")))
+    return review.scores(*_review(spark, d))
+
 
+@query(f"WITH {_REVIEW} SELECT nt AS note_type, count(*) FILTER (good) AS correct, count(*) AS labeled, round(count(*) FILTER (good) / count(*), 6) AS accuracy FROM j WHERE g <> '' GROUP BY 1")
+def review_scores_by_type(spark, d):
+    return review.scores_by_type(*_review(spark, d))
 
-@query("WITH s AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, md5('13:' || o_orderkey)) AS r FROM orders) SELECT o_orderkey FROM s ORDER BY CASE WHEN r <= 20 THEN 1 ELSE 0 END DESC, o_totalprice DESC, md5('13:' || o_orderkey) LIMIT 103")
+
+@query("WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS nt, o_orderkey % 11 AS tricky, md5('13:' || o_orderkey) AS t, CASE WHEN o_orderkey % 11 >= 5 THEN 0 WHEN o_custkey % 100 / 100.0 < 0.55 THEN 1 ELSE 2 END AS c FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY nt, c ORDER BY t) AS pos, row_number() OVER (PARTITION BY nt, c > 0 ORDER BY t) AS pos2, least(count(*) FILTER (c = 0) OVER (PARTITION BY nt), 13) AS nt0 FROM r), f AS (SELECT *, CASE WHEN c = 0 THEN pos <= nt0 ELSE pos2 <= 20 - nt0 END AS first FROM p) SELECT k AS o_orderkey FROM f ORDER BY first DESC, CASE WHEN NOT first THEN c END, CASE WHEN NOT first THEN -tricky END, t LIMIT 103")
 def review_quota_sample(spark, d):
-    return review.quota_sample(t(spark, d, "orders"), "o_orderpriority", 103, F.col("o_totalprice"), "o_orderkey").select("o_orderkey")
+    rows = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("note_type"), (F.col("o_orderkey") % 11).alias("tricky"), (F.col("o_custkey") % 100 / 100.0).alias("score"))
+    return review.review_sample(rows, 103, "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT user_id, event_type, arg_max(round(value, 6), event_id) AS value, min(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -355,26 +485,98 @@ def highlight_spans(spark, d):
     return spans.select("note_id", F.explode(review.non_overlapping(F.col("s"))).alias("x")).select("note_id", "x.start", "x.end")
 
 
-@query("SELECT o_orderstatus, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) FILTER (o_orderpriority LIKE '2%') AS high, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+#: Rows of an extraction, made of order lines.
+_EXT = """(SELECT 'note' || l_suppkey || '.txt' AS note_file, l_orderkey * 8 + l_linenumber AS seq, CAST(l_partkey % 200 AS INT) AS start, CAST(l_partkey % 200 + l_linenumber AS INT) AS "end", p_name AS text, p_name || ' ' || p_type AS preferred_term,
+  printf('C%07d', l_partkey) AS cui, ['DISO', 'CHEM', 'PROC', 'CONC'][l_linenumber % 4 + 1] AS semantic_group, CASE l_returnflag WHEN 'A' THEN 'ABSENT' WHEN 'N' THEN 'PRESENT' ELSE 'POSSIBLE' END AS assertion,
+  CASE l_linestatus WHEN 'O' THEN 'PATIENT' ELSE 'FAMILY' END AS subject, 0.5 + l_discount AS score FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def extractions(spark, d):
+    x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    return x.select(
+        F.concat(F.lit("note"), F.col("l_suppkey").cast("string"), F.lit(".txt")).alias("note_file"), (F.col("l_orderkey") * 8 + n).alias("seq"), (k % 200).cast("int").alias("start"), (k % 200 + n).cast("int").alias("end"), F.col("p_name").alias("text"),
+        F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"), X.cui_text(k).alias("cui"), F.element_at(F.array(*map(F.lit, ["DISO", "CHEM", "PROC", "CONC"])), (n % 4 + 1).cast("int")).alias("semantic_group"),
+        F.when(F.col("l_returnflag") == "A", "ABSENT").when(F.col("l_returnflag") == "N", "PRESENT").otherwise("POSSIBLE").alias("assertion"), F.when(F.col("l_linestatus") == "O", "PATIENT").otherwise("FAMILY").alias("subject"), (0.5 + F.col("l_discount")).alias("score"),
+        *[F.lit(None).cast("string").alias(c) for c in ("expanded_text", "normalized_text", "tui", "semantic_type", "severity", "laterality", "temporality")],
+    )
+
+
+@query(f"SELECT semantic_group, count(*) AS rows, count(*) FILTER (assertion = 'PRESENT') AS present, count(*) FILTER (assertion = 'ABSENT') AS absent, count(*) FILTER (assertion = 'POSSIBLE') AS possible FROM {_EXT} GROUP BY 1")
 def export_summary(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority").like("1%")).alias("urgent"), F.count_if(F.col("o_orderpriority").like("2%")).alias("high"), F.countDistinct("o_custkey").alias("customers"))
+    return view.group_summary(extractions(spark, d))
 
 
-@query("SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, median(n_chars) AS median_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality")
-def label_distribution(spark, d):
-    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.median("n_chars").alias("median_chars"))
+@query(f"SELECT count(*) AS rows, count(DISTINCT note_file) AS unique_notes FROM {_EXT}")
+def export_totals(spark, d):
+    return view.totals(extractions(spark, d))
+
+
+@query(f"SELECT note_file, rows FROM (SELECT note_file, count(*) AS rows, min(seq) AS f FROM {_EXT} GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 50)")
+def top_notes(spark, d):
+    return view.top_notes(extractions(spark, d), "seq")
+
+
+_GROUP_FILL = "CASE semantic_group " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.GROUP_COLORS.items()) + f" ELSE '{K.OTHER_GROUP}' END"
+_ASSERT_FILL = "CASE assertion " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.ASSERTION_COLORS.items()) + f" ELSE '{K.OTHER_ASSERTION}' END"
+
 
+@query(f"SELECT seq, cui, assertion, {_GROUP_FILL} AS group_fill, {_ASSERT_FILL} AS assertion_fill FROM {_EXT}")
+def report_fills(spark, d):
+    rows = extractions(spark, d)
+    return view.report_rows(rows.withColumn("span", F.col("text")).withColumn("tui", F.col("seq").cast("string")), context=False).select(F.col("tui").cast("long").alias("seq"), "cui", "assertion", "group_fill", "assertion_fill")
 
-@query("SELECT d.doc_id, '\"' || replace(d.source, '\"', '\"\"') || '\",\"' || replace(substring(text, 1, 50), '\"', '\"\"') || '\"' AS csv, printf('%d:%d', d.doc_id, n_chars) || ':C1:PRESENT:PATIENT' AS key FROM documents d WHERE lower(text) LIKE '%the%'")
+
+@query(f"SELECT seq FROM {_EXT} WHERE assertion IN ('PRESENT', 'POSSIBLE') AND semantic_group <> 'CONC' AND (contains(lower(text), 'steel') OR contains(lower(preferred_term), 'steel') OR contains(lower(cui), 'steel'))")
+def shown_rows(spark, d):
+    return view.shown(extractions(spark, d), " Steel ", ["PRESENT", "POSSIBLE"], ["CONC"]).select("seq")
+
+
+@query(f"SELECT 'assertion' AS kind, assertion AS value, count(*) AS n FROM {_EXT} GROUP BY 2 UNION ALL SELECT 'group', semantic_group, count(*) FROM {_EXT} GROUP BY 2")
+def view_counts(spark, d):
+    return view.counts(extractions(spark, d))
+
+
+@query(f"SELECT string_agg(DISTINCT semantic_group, ',' ORDER BY semantic_group) AS groups, string_agg(DISTINCT assertion, ',' ORDER BY assertion) AS assertions FROM {_EXT}")
+def view_available(spark, d):
+    return view.available(extractions(spark, d)).select(F.array_join("groups", ",").alias("groups"), F.array_join("assertions", ",").alias("assertions"))
+
+
+@query(f"SELECT seq, '\"' || replace(note_file, '\"', '\"\"') || '\",\"' || replace(text, '\"', '\"\"') || '\"' AS csv, start || ':' || \"end\" || ':' || cui || ':' || assertion || ':' || subject AS key FROM {_EXT}")
 def view_rows(spark, d):
-    q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    x = t(spark, d, "documents").filter(F.lower("text").contains("the"))
-    return x.select("doc_id", F.concat_ws(",", q(F.col("source")), q(F.substring("text", 1, 50))).alias("csv"), F.concat_ws(":", "doc_id", "n_chars", F.lit("C1"), F.lit("PRESENT"), F.lit("PATIENT")).alias("key"))
+    k = view.key(*[F.col(c) for c in ("start", "end", "cui", "assertion", "subject")])
+    return extractions(spark, d).select("seq", view.csv_line(F.col("note_file"), F.col("text")).alias("csv"), k.alias("key"))
+
+
+@query(f"SELECT count(*) AS rows, count(DISTINCT note_file) AS notes_with_rows, round(avg(score), 6) AS mean_score, round(avg(j), 6) AS mean_jaccard, round(median(j), 6) AS median_jaccard, (SELECT count(*) FROM documents) AS notes FROM (SELECT *, len(list_intersect({_TOK.format('text')}, {_TOK.format('preferred_term')})) / len(list_distinct(list_concat({_TOK.format('text')}, {_TOK.format('preferred_term')}))) AS j FROM {_EXT})")
+def run_stats(spark, d):
+    return evaluate.run_stats(t(spark, d, "documents"), extractions(spark, d))
 
 
-@query("SELECT n.source, count(l.doc_id) AS labeled, count(*) AS notes FROM documents n LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+@query(f"SELECT 'note' || doc_id || '.txt' AS note_file, octet_length(encode(coalesce(text, ''))) AS bytes_read, length(coalesce(text, '')) AS chars, coalesce(n, 0) AS extractions FROM documents LEFT JOIN (SELECT note_file, count(*) AS n FROM {_EXT} GROUP BY 1) ON note_file = 'note' || doc_id || '.txt'")
 def per_file_summary(spark, d):
-    return t(spark, d, "documents").join(t(spark, d, "labels").withColumn("l", F.lit(1)), "doc_id", "left").groupBy("source").agg(F.count("l").alias("labeled"), F.count("*").alias("notes"))
+    return evaluate.file_summary(_files(spark, d), extractions(spark, d)).select("note_file", F.col("bytes_read").cast("long").alias("bytes_read"), F.col("chars").cast("long").alias("chars"), "extractions")
+
+
+def _files(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return t(spark, d, "documents").select(F.concat(F.lit("note"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("note_file"), F.octet_length(text).alias("bytes_read"), text.alias("text"))
+
+
+@query(f"SELECT seq, substring(d.text, greatest(0, start - 80) + 1, start - greatest(0, start - 80)) AS left_context, substring(d.text, start + 1, \"end\" - start) AS span, substring(d.text, \"end\" + 1, 80) AS right_context FROM {_EXT} e JOIN documents d ON note_file = 'note' || doc_id || '.txt'")
+def eval_contexts(spark, d):
+    return evaluate.eval_rows(_files(spark, d), extractions(spark, d)).select("seq", "left_context", "span", "right_context")
+
+
+@query("SELECT round(avg(n_chars / 1000.0), 6) AS mean_cosine, round(median(n_chars / 1000.0), 6) AS median_cosine, round(avg(CASE WHEN quality = toxic THEN 1 ELSE 0 END), 6) AS accuracy FROM documents JOIN labels USING (doc_id)")
+def validation_metrics(spark, d):
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return evaluate.validation(x.select((F.col("n_chars") / 1000.0).alias("cosine"), F.col("quality").alias("gold"), F.col("toxic").alias("predicted")))
+
+
+@query("SELECT quality, count(*) AS n FROM labels GROUP BY quality")
+def label_distribution(spark, d):
+    return evaluate.label_distribution(t(spark, d, "labels"), "quality")
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -384,12 +586,24 @@ def pending_notes(spark, d):
     return pending(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id").select("doc_id")
 
 
-@query("SELECT a.vec_id, round(-ln(exp(s / 0.07) / z), 6) AS info_nce FROM (SELECT a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % 32 WHERE a.vec_id < 32) a JOIN (SELECT a.vec_id, sum(exp(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / 0.07)) AS z FROM embeddings a, embeddings b WHERE a.vec_id < 32 AND b.vec_id < 32 GROUP BY 1) z USING (vec_id)")
+_NCE = "SELECT a.vec_id AS i, b.vec_id - 1 AS j, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 0.07 AS s FROM embeddings a JOIN embeddings b ON (b.vec_id - 1) // 32 = a.vec_id // 32 AND b.vec_id > 0 WHERE a.vec_id < (SELECT max(vec_id) FROM embeddings)"
+
+
+def _nce(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("pred")).join(e.select((F.col("vec_id") - 1).alias("idx"), F.col("embedding").cast("array<double>").alias("target")), "idx")
+
+
+@query(f"SELECT i AS idx, round(ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END), 6) AS loss FROM ({_NCE}) GROUP BY 1")
 def info_nce(spark, d):
-    e = t(spark, d, "embeddings").filter("vec_id < 32").select("vec_id", "embedding")
-    batch = F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("w")))  # a training batch of 32
-    s = e.join(batch, F.lit(True)).select("vec_id", "j", vector.dot(F.col("embedding"), F.col("w")).alias("s"))
-    return s.groupBy("vec_id").agg(F.round(-F.ln(F.sum(F.when(F.col("j") == (F.col("vec_id") + 1) % 32, F.exp(F.col("s") / 0.07))) / F.sum(F.exp(F.col("s") / 0.07))), 6).alias("info_nce"))
+    return vector.info_nce(_nce(spark, d)).select("idx", F.round("loss", 6).alias("loss"))
+
+
+@query(f"SELECT i AS idx, round(ln(sum(exp(s)) + max(h)) - max(CASE WHEN i = j THEN s END), 6) AS loss FROM ({_NCE}) JOIN (SELECT a.vec_id AS i, exp(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 0.07) AS h FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2) USING (i) GROUP BY 1")
+def hard_negative_loss(spark, d):
+    far = t(spark, d, "embeddings").select(F.col("vec_id").alias("half"), F.array(F.col("embedding").cast("array<double>")).alias("negatives"))
+    rows = _nce(spark, d).withColumn("half", F.floor(F.col("idx") / 2)).join(far, "half").drop("half")
+    return vector.hard_negative_loss(rows).select("idx", F.round("loss", 6).alias("loss"))
 
 
 # --- training rows ---------------------------------------------------------------------------------------------
@@ -409,20 +623,37 @@ def synthetic_label_counts(spark, d):
     return training.all_synthetic(spark).groupBy("label", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH notes AS {_NOTES}, m AS (SELECT note_id, text, unnest(regexp_extract_all(text, '(?i){K.CUE_PHRASES[0]}')) AS phrase, generate_subscripts(regexp_extract_all(text, '(?i){K.CUE_PHRASES[0]}'), 1) - 1 AS k FROM notes), s AS (SELECT *, instr(lower(text), lower(phrase)) - 1 AS at0 FROM m) SELECT note_id, CAST(k AS INT) AS k, phrase, substring(text, greatest(0, at0 - 50) + 1, at0 - greatest(0, at0 - 50) + length(phrase) + 50) AS \"window\" FROM s")
+#: Notes with phrases to be mined, several times.
+_MINE = "(SELECT doc_id AS note_id, 'Fever and pain. No Fever; renal failure, ' || coalesce(text, '') || ' Aspirin for pain' AS text FROM documents)"
+_MINED = " UNION ALL ".join(f"SELECT note_id, {k} AS pattern, text, unnest(string_split(regexp_replace(text, '(?i){p.replace('(', '(?:', 1)}', chr(1) || '\\\\0' || chr(1), 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(text, '(?i){p.replace('(', '(?:', 1)}', chr(1) || '\\\\0' || chr(1), 'g'), chr(1)), 1) AS i FROM notes" for k, p in enumerate(K.MINED_PATTERNS)).replace("\\\\", "\\")
+
+
+@query(f"WITH notes AS {_MINE}, parts AS ({_MINED}), placed AS (SELECT *, CAST(coalesce(sum(length(part)) OVER (PARTITION BY note_id, pattern ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM parts) SELECT note_id, CAST(pattern AS INT) AS pattern, start, CAST(start + length(part) AS INT) AS \"end\", part AS phrase, substring(text, greatest(0, start - 50) + 1, start + length(part) + 50 - greatest(0, start - 50)) AS \"window\" FROM placed WHERE i % 2 = 0")
 def mined_phrases(spark, d):
-    return training.mined(notes(spark, d), K.CUE_PHRASES[0])
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.concat(F.lit("Fever and pain. No Fever; renal failure, "), F.coalesce("text", F.lit("")), F.lit(" Aspirin for pain")).alias("text"))
+    return training.mined(rows)
 
 
-@query("SELECT doc_id AS note_id, trim(line) AS line, CASE WHEN regexp_matches(line, '(?i)\\bthe\\b') THEN 'FAMILY' ELSE 'PATIENT' END AS label FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en') WHERE length(trim(line)) BETWEEN 10 AND 200 AND regexp_matches(line, '(?i)\\bthe\\b') <> regexp_matches(line, '(?i)\\band\\b')")
+_FAM, _PAT = "|".join(f"(?:{x})" for x in K.FAMILY_LINES), "|".join(f"(?:{x})" for x in K.PATIENT_LINES)
+_LINES = ["Mother had breast cancer", "PMH: gout", "Family history: patient has asthma", "FHx: stroke", "Assessment / Plan: rest", "nothing"]
+_LINED = "(SELECT doc_id, [" + ", ".join(f"'{x}'" for x in _LINES) + "][doc_id % 6 + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"SELECT doc_id AS note_id, trim(line) AS line, CASE WHEN regexp_matches(line, '(?i){_FAM}') THEN 'FAMILY' ELSE 'PATIENT' END AS label FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {_LINED}) WHERE length(trim(line)) BETWEEN 10 AND 200 AND regexp_matches(line, '(?i){_FAM}') <> regexp_matches(line, '(?i){_PAT}')")
 def subject_lines(spark, d):
-    rows = t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("note_id"), "text")
-    return training.subject_lines(rows, r"\bthe\b", r"\band\b")
+    first = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return training.subject_lines(t(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.concat(first, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")))
+
 
+@query(f"SELECT text, label, source, CAST(NULL AS DOUBLE) AS confidence FROM {_SYN} UNION ALL SELECT p_name, p_brand, 'clinical_note', p_size / 50.0 FROM part WHERE p_size / 50.0 > 0.7")
+def assertion_examples(spark, d):
+    c = t(spark, d, "part").select(F.col("p_name").alias("text"), F.col("p_brand").alias("label"), F.col("p_type").alias("entity"), (F.col("p_size") / 50.0).alias("confidence"))
+    return training.with_clinical(training.all_synthetic(spark), training.confident(c)).select("text", "label", "source", "confidence")
 
-@query("SELECT o_orderkey, item_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderkey < 500) JOIN benchmark ON item_id = idx % (SELECT count(*) FROM benchmark)")
+
+@query("SELECT o_orderkey, item_id FROM orders JOIN benchmark ON item_id = o_orderkey % (SELECT count(*) FROM benchmark)")
 def dealt_examples(spark, d):
-    steps = t(spark, d, "orders").filter("o_orderkey < 500").select("o_orderkey", (F.row_number().over(W.orderBy("o_orderkey")) - 1).alias("idx"))
+    steps = t(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("idx"))
     return training.dealt(steps, t(spark, d, "benchmark").select("item_id"), "idx", "item_id").select("o_orderkey", "item_id")
 
 
@@ -448,25 +679,31 @@ def span_overlap(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("overlap"))
 
 
-@query("SELECT event_id, 'x' || event_id AS mention, CAST(user_id AS INT) AS cui, round(value, 6) AS sim FROM events WHERE value >= 20 AND length(event_type) BETWEEN 3 AND 20 UNION ALL SELECT o_orderkey, 'o' || o_orderkey, CAST(o_custkey AS INT), 1.0 FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT event_id, 'x' || event_id AS mention, CAST(user_id AS INT) AS cui, round(value, 6) AS sim FROM events WHERE value >= 20 AND length(event_type) BETWEEN 3 AND 20 UNION ALL SELECT o_orderkey, 'o' || o_orderkey, CAST(o_custkey AS INT), 1.0 FROM orders")
 def silver_union(spark, d):
     e = t(spark, d, "events").filter((F.col("value") >= 20) & F.char_length("event_type").between(3, 20)).select("event_id", F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("mention"), F.col("user_id").cast("int").alias("cui"), F.round("value", 6).alias("sim"))
-    o = t(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("mention"), F.col("o_custkey").cast("int").alias("cui"), F.lit(1.0).alias("sim"))
-    return e.unionByName(o)
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("mention"), F.col("o_custkey").cast("int").alias("cui"), F.lit(1.0).alias("sim"))
+    return silver.with_base(e, o)
 
 
-@query("SELECT source AS note, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def top_notes(spark, d):
-    return t(spark, d, "documents").groupBy(F.col("source").alias("note")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "note").limit(50)
+@query(f"WITH {_CAND}, s AS (SELECT mention_id, list(rerank ORDER BY rerank DESC) AS r, max(CASE WHEN rank = 0 THEN lex END) AS lex, max(CASE WHEN rank > 0 THEN lex END) AS other, max(CASE WHEN rank = 0 THEN score END) AS score, max(CASE WHEN rank = 0 THEN semantic_group END) AS g, max(CASE WHEN rank = 0 THEN tui END) AS tui, max(CASE WHEN rank = 0 THEN term END) AS term, bool_or(regexp_matches(term, '(?i)\\bctcae\\b|\\brndx\\b|\\breported\\s+by\\s+patient\\b|\\bhow\\s+often\\b|\\bquestion\\b|\\bwere\\s+you\\b|^when\\b')) AS weird FROM scored GROUP BY 1) SELECT mention_id, CASE WHEN regexp_matches(term, '(?i)\\bctcae\\b|\\brndx\\b|\\breported\\s+by\\s+patient\\b|\\bhow\\s+often\\b|\\bquestion\\b|\\bwere\\s+you\\b|^when\\b') THEN 10 ELSE 0 END + CASE WHEN weird THEN 5 ELSE 0 END + CASE WHEN r[1] - r[2] < 0.010 THEN 5 WHEN r[1] - r[2] < 0.020 THEN 3 WHEN r[1] - r[2] < 0.040 THEN 1 ELSE 0 END + CASE WHEN lex < 0.2 AND other >= 0.5 THEN 2 ELSE 0 END + CASE WHEN score < 0.55 THEN 1 ELSE 0 END + CASE WHEN g IN ('CONC', 'UNKN') THEN 2 ELSE 0 END + CASE WHEN tui = 'T170' THEN 2 ELSE 0 END AS tricky FROM s")
+def tricky_scores(spark, d):
+    return _extraction(spark, d).select("mention_id", review.tricky(F.col("e"), fix_weird_terms=True).alias("tricky"))
 
 
-@query(f"WITH {_CAND}, s AS (SELECT mention_id, list(rerank ORDER BY rerank DESC) AS r, max(CASE WHEN rank = 0 THEN lex END) AS lex, max(CASE WHEN rank > 0 THEN lex END) AS other, max(CASE WHEN rank = 0 THEN score END) AS score, max(CASE WHEN rank = 0 THEN semantic_group END) AS g, max(CASE WHEN rank = 0 THEN tui END) AS tui FROM scored GROUP BY 1) SELECT mention_id, CASE WHEN r[1] - r[2] < 0.010 THEN 5 WHEN r[1] - r[2] < 0.020 THEN 3 WHEN r[1] - r[2] < 0.040 THEN 1 ELSE 0 END + CASE WHEN lex < 0.2 AND other >= 0.5 THEN 2 ELSE 0 END + CASE WHEN score < 0.55 THEN 1 ELSE 0 END + CASE WHEN g IN ('CONC', 'UNKN') THEN 2 ELSE 0 END + CASE WHEN tui = 'T170' THEN 2 ELSE 0 END AS tricky FROM s")
-def tricky_scores(spark, d):
-    c = _candidates(spark, d)
-    lex = X.jaccard(X.token_set(F.col("expanded")), X.token_set(F.col("prefterm")))
-    c = rerank.scored(c.withColumn("lex", lex))
-    g = c.groupBy("mention_id").agg(F.collect_list(F.struct(F.col("rerank").alias("rerank_score"))).alias("cands"), F.max(F.when(F.col("rank") == 0, F.struct("lex", "score", "semantic_group", "tui"))).alias("p"), F.max(F.when(F.col("rank") > 0, F.col("lex"))).alias("other"))
-    return g.select("mention_id", review.tricky(F.col("p.score"), F.col("p.semantic_group"), F.col("p.tui"), review.margin(F.col("cands")), F.col("p.lex"), F.col("other")).alias("tricky"))
+def _extraction(spark, d):
+    """mention_id, e: the first candidate as a row of an extraction, with all candidates."""
+    c = rerank.scored(_candidates(spark, d))
+    one = F.struct("rank", F.col("cui").cast("string").alias("cui"), F.col("prefterm").alias("preferred_term"), "lex", F.col("rerank").alias("rerank_score"))
+    own = F.struct(F.col("cui").cast("string").alias("cui"), F.col("prefterm").alias("preferred_term"), "semantic_group", "tui", "score")
+    g = c.groupBy("mention_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"), F.max(F.when(F.col("rank") == 0, own)).alias("p"))
+    return g.select("mention_id", F.struct("p.*", "candidates").alias("e"))
+
+
+@query(f"WITH {_CAND} SELECT mention_id, term AS preferred_term, round(lex, 6) AS lex FROM scored WHERE rank = 2")
+def predicted_candidate(spark, d):
+    c = review.own_candidate(F.col("e.candidates"), F.col("e.candidates")[2]["cui"])
+    return _extraction(spark, d).select("mention_id", c.alias("c")).select("mention_id", "c.preferred_term", F.round("c.lex", 6).alias("lex"))
 
 
 # --- notes to concepts -----------------------------------------------------------------------------------------

@@ -22,10 +22,78 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def positional(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Items of a JSON array of strings at the wanted positions (column pos)."""
-    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item"))
-    return items.join(wanted.select("pos"), "pos", "left_semi")
+def jsonl_all(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of all *.jsonl files of a folder (or of one file), with note of the file and a sequence that follows the files' names."""
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.jsonl").json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rows.withColumn("seq", place)
+
+
+def json_array(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """pos, item of a file that is one JSON array of items of a type."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("pos", "item"))
+
+
+def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """key, value of a file that is one JSON object."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """concept_row, cui, prefterm, embedding_dim of a metadata file of parallel arrays."""
+    one = spark.read.schema("cuis array<int>, prefterms array<string>, embedding_dim int").option("multiLine", "true").json(path)
+    return one.select("embedding_dim", F.posexplode(F.arrays_zip("cuis", "prefterms")).alias("concept_row", "x")).select(F.col("concept_row").cast("long").alias("concept_row"), F.col("x.cuis").alias("cui"), F.col("x.prefterms").alias("prefterm"), "embedding_dim")
+
+
+def dictionary(spark: SparkSession, path: str, min_length: int = 2) -> dict[str, str]:
+    """An abbreviation dictionary, a JSON object that the code then holds; keys shorter than min_length are left out."""
+    return {r.key: r.value for r in json_map(spark, path, "string").collect() if len(r.key) >= min_length}
+
+
+def positional(spark: SparkSession, path: str, wanted: DataFrame, item: str = "string") -> DataFrame:
+    """Items of a JSON array at the wanted positions (column pos); an error when it runs if the array is too short for one."""
+    items = wanted.select("pos").join(json_array(spark, path, item), "pos", "left")
+    size = spark.read.text(path, wholetext=True).select(F.json_array_length("value").alias("n"))
+    short = F.when(F.col("pos") >= F.col("n"), F.raise_error(F.format_string("no item %d", "pos"))).otherwise(F.col("pos"))
+    return items.crossJoin(F.broadcast(size)).select(short.cast("int").alias("pos"), "item")  # one row of size
+
+
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """concept_row, v of a NumPy file with a matrix, read in tasks of 4096 rows each; the file must be where executors read it."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    local = path.removeprefix("file://")
+    rows, block = len(np.load(local, mmap_mode="r")), 4096
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.load(local, mmap_mode="r")
+        for frame in frames:
+            for k in frame["id"]:
+                part = np.asarray(m[k * block : (k + 1) * block], np.float32)
+                yield pd.DataFrame({"concept_row": np.arange(k * block, k * block + len(part)), "v": list(part)})
+
+    n = -(-rows // block)
+    return spark.range(n).repartition(max(1, n)).mapInPandas(read, "concept_row long, v array<float>")
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Files that each are one JSON array, a file a partition, rows in the order of the partition."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    each = rows.withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    arrays = each.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "j"))), lambda x: x["j"]), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("lineSep", "\n").text(path)
+
+
+def append_vectors(texts: DataFrame, embed, path: str, key: str = "concept_row") -> None:
+    """Adds key, v of the texts (key, text) that the table at path lacks: a run that was cut short goes on where it ended."""
+    spark = texts.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        texts = texts.join(spark.read.parquet(path).select(key), key, "left_anti")
+    texts.select(key, embed(F.col("text")).alias("v")).write.mode("append").parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.pieces import SPACE
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +41,10 @@ def mrrel(df: DataFrame, rels: list[str] = ("PAR", "CHD", "RB", "RN")) -> DataFr
 
 
 def insert_values(line: Column, table: str) -> Column:
-    """The values of `INSERT INTO table VALUES(...)`: cut at commas outside quotes; doubled quotes stay doubled; an empty last
-    value is dropped; null for other lines."""
-    body = F.regexp_extract(line, rf"^INSERT INTO {table} VALUES\((.*)\)", 1)
-    parts = F.regexp_extract_all(F.concat(body, F.lit(",")), F.lit(r"((?:'[^']*'|[^',])*),"), F.lit(1))
-    values = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), "^'|'$", ""))
-    kept = F.when(F.element_at(values, -1) == "", F.slice(values, F.lit(1), F.size(values) - 1)).otherwise(values)
-    return F.when(line.startswith(f"INSERT INTO {table} "), kept)
+    """The values of `INSERT INTO table VALUES(...)`: cut at commas outside quotes, without white space and then quotes at both ends; quotes
+    inside stay as they are; a last value of no characters is dropped; null for other lines."""
+    body = F.regexp_extract(line, rf"(?i)^INSERT INTO {table} VALUES\((.*)\)", 1)
+    parts = F.regexp_extract_all(body, F.lit(r"((?:'[^']*(?:'|\z)|[^',])*)(?:,|\z)"), F.lit(1))
+    # the pattern finds an empty part at the end, whatever stands before
+    values = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.regexp_replace(F.regexp_replace(p, rf"^{SPACE}+|{SPACE}+$", ""), "^'+|'+$", ""))
+    return F.when(line.startswith(f"INSERT INTO {table}") & line.rlike(rf"(?i)^INSERT INTO {table} VALUES\(.*\)"), values)
