@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept between batches; a bound on memory, not on what is encoded.
-CACHED_WORDS = 400_000
-_TEXTS = 256
+CACHED_WORDS = 200_000
+_TEXTS = 128
 #: White space as the library sees it, for RE2.
 _WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

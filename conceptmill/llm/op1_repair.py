@@ -230,10 +230,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
                 f.write(data)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{out_dir}/{name}"], "n_docs": [len(docs_)], "n_ids": [count], "n_bytes": [len(data)]})
             seq, count, held = seq + 1, 0, []
+            # the pool keeps what the texts before took
+            pa.default_memory_pool().release_unused()
             return row
 
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 1, n_bytes=1 << 21):
                 ids, lens = codec.encode(piece.column(1))
                 out = np.full(len(ids) + len(lens), end_id, np.uint32)
                 ends = np.cumsum(lens + 1) - 1
@@ -251,8 +253,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
                         yield close()
         if held:
             yield close()
-        # the worker is used again, by other operators too
-        pa.default_memory_pool().release_unused()
 
     make_dir(out_dir)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
