@@ -26,7 +26,7 @@ def eval_rows(notes: DataFrame, rows: DataFrame, context_chars: int = 80) -> Dat
 def run_stats(notes: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: rows, notes_with_rows, notes, mean_score, mean_jaccard, median_jaccard (of span and preferred term)."""
     lex = X.jaccard(X.token_set(F.col("text")), X.token_set(F.col("preferred_term")))
-    out = rows.agg(F.count("*").alias("rows"), F.count_distinct("note_file").alias("notes_with_rows"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(lex), 6).alias("mean_jaccard"), F.round(F.median(lex), 6).alias("median_jaccard"))
+    out = rows.agg(F.count("*").alias("rows"), F.count_distinct("note_file").alias("notes_with_rows"), F.avg("score").alias("mean_score"), F.avg(lex).alias("mean_jaccard"), F.median(lex).alias("median_jaccard"))
     return out.crossJoin(notes.agg(F.count("*").alias("notes")))  # two single rows
 
 

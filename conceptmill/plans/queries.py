@@ -398,14 +398,14 @@ def teacher_stats(spark, d):
     return silver.note_stats(raw, post, merged, silver.kept(merged))
 
 
-_LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_linenumber, p_name, 1 - l_discount * 2 - l_linenumber / 1000.0 AS sim, o_orderpriority AS text, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS lex FROM (SELECT *, " + _WS.format("p_name || ' ' || p_type") + " AS b, " + _WS.format("'small ' || split_part(p_name, ' ', 1) || ' steel'") + " AS a FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))"
+_LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_linenumber, l_partkey, p_name, 1 - l_discount * 2 - l_linenumber / 1000.0 AS sim, o_orderpriority AS text, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS lex FROM (SELECT *, " + _WS.format("p_name || ' ' || p_type") + " AS b, " + _WS.format("'small ' || split_part(p_name, ' ', 1) || ' steel'") + " AS a FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))"
 
 
-@query(f"SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, round(sim, 6) AS sim, round(lex, 6) AS lex FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(s, 9) DESC, l_linenumber) AS n FROM ({_LINK}) WHERE sim >= top - 0.04) WHERE n = 1 AND sim >= 0.9 AND lex >= 0.1")
+@query(f"SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, round(sim, 6) AS sim, round(lex, 6) AS lex FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(s, 9) DESC, l_linenumber, l_partkey) AS n FROM ({_LINK}) WHERE sim >= top - 0.0455) WHERE n = 1 AND sim >= 0.9 AND lex >= 0.1")
 def silver_links(spark, d):
     x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.select(F.col("l_orderkey").alias("mention_id"), F.col("l_linenumber").alias("rank"), (1 - F.col("l_discount") * 2 - F.col("l_linenumber") / 1000.0).alias("sim"), F.concat(F.lit("small "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" steel")).alias("text_for_embed"), F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"))
-    return silver.linked(x, 0.9, 0.1).select(F.col("mention_id").alias("l_orderkey"), F.col("rank").cast("int").alias("l_linenumber"), F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"))
+    x = x.select(F.col("l_orderkey").alias("mention_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("rank"), (1 - F.col("l_discount") * 2 - F.col("l_linenumber") / 1000.0).alias("sim"), F.concat(F.lit("small "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" steel")).alias("text_for_embed"), F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"))
+    return silver.linked(x, 0.9, 0.1, margin=0.0455).select(F.col("mention_id").alias("l_orderkey"), F.floor(F.col("rank") / 1_000_000).cast("int").alias("l_linenumber"), F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END AS text_for_embed FROM part WHERE length(CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END) BETWEEN 3 AND 18 AND p_size >= 10")
@@ -548,9 +548,10 @@ def view_rows(spark, d):
     return extractions(spark, d).select("seq", view.csv_line(F.col("note_file"), F.col("text")).alias("csv"), k.alias("key"))
 
 
-@query(f"SELECT count(*) AS rows, count(DISTINCT note_file) AS notes_with_rows, round(avg(score), 6) AS mean_score, round(avg(j), 6) AS mean_jaccard, round(median(j), 6) AS median_jaccard, (SELECT count(*) FROM documents) AS notes FROM (SELECT *, len(list_intersect({_TOK.format('text')}, {_TOK.format('preferred_term')})) / len(list_distinct(list_concat({_TOK.format('text')}, {_TOK.format('preferred_term')}))) AS j FROM {_EXT})")
+@query(f"SELECT count(*) AS rows, count(DISTINCT note_file) AS notes_with_rows, round(avg(score), 4) AS mean_score, round(avg(j), 4) AS mean_jaccard, round(median(j), 4) AS median_jaccard, (SELECT count(*) FROM documents) AS notes FROM (SELECT *, len(list_intersect({_TOK.format('text')}, {_TOK.format('preferred_term')})) / len(list_distinct(list_concat({_TOK.format('text')}, {_TOK.format('preferred_term')}))) AS j FROM {_EXT})")
 def run_stats(spark, d):
-    return evaluate.run_stats(t(spark, d, "documents"), extractions(spark, d))
+    stats = evaluate.run_stats(t(spark, d, "documents"), extractions(spark, d))
+    return stats.select("rows", "notes_with_rows", "notes", *[F.round(c, 4).alias(c) for c in ("mean_score", "mean_jaccard", "median_jaccard")])
 
 
 @query(f"SELECT 'note' || doc_id || '.txt' AS note_file, octet_length(encode(coalesce(text, ''))) AS bytes_read, length(coalesce(text, '')) AS chars, coalesce(n, 0) AS extractions FROM documents LEFT JOIN (SELECT note_file, count(*) AS n FROM {_EXT} GROUP BY 1) ON note_file = 'note' || doc_id || '.txt'")
