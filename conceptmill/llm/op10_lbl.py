@@ -32,6 +32,8 @@ BLOCK_TOKENS, VOCAB, DIM, NOISE, BATCH, ROUNDS = 1 << 20, 1022, 16, 64, 4096, 2
 END_TOKEN = " "
 OTHER, END, FIRST = 0, 1, 2
 SMOOTH = 0.1
+#: Models of a group of the sum.
+FAN_IN = 64
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------
@@ -245,7 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
 def _round(rows: DataFrame, model: Model, unigram: np.ndarray, k: int) -> Model:
     """Every task trains the model on the training texts of its partition, and the mean by tokens comes back: as long as the
-    model, whatever the corpus. The tasks' models are summed in Spark, a piece of the model in each group."""
+    model, whatever the corpus. The tasks' models are summed in Spark by a tree: a group holds a piece of FAN_IN models at most."""
     flat, size = model.flat(), 4096
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,16 +268,18 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, k: int) -> Model:
         if total:
             x = own.flat().astype(np.float64) * total
             pieces = [x[a : a + size].tolist() for a in range(0, len(x), size)]
-            yield pd.DataFrame({"piece": range(len(pieces)), "x": pieces, "n": [total] * len(pieces)})
-
-    def add(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = 0, 0
-        for frame in frames:
-            total, n = total + np.sum(np.stack(frame["x"].to_list()), axis=0), n + int(frame["n"].sum())
-        yield pd.DataFrame({"piece": [key[0]], "x": [total.tolist()], "n": [n]})
-
-    parts = rows.filter("not held_out").select("held_out", "entries").mapInPandas(train, "piece int, x array<double>, n long")
-    summed = parts.groupBy("piece").applyInPandas(lambda key, pdf: next(add(key, iter([pdf]))), "piece int, x array<double>, n long").orderBy("piece").collect()
+            yield pd.DataFrame({"task": TaskContext.get().partitionId(), "piece": range(len(pieces)), "x": pieces, "n": [total] * len(pieces)})
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"task": [key[0]], "piece": [key[1]], "x": [np.sum(np.stack(frame.sort_values("task")["x"].to_list()), axis=0).tolist()], "n": [int(frame["n"].sum())]})
+
+    schema = "task long, piece int, x array<double>, n long"
+    training = rows.filter("not held_out").select("held_out", "entries")
+    parts, tasks = training.mapInPandas(train, schema), training.rdd.getNumPartitions()
+    while tasks > 1:
+        parts = parts.groupBy(F.floor(F.col("task") / FAN_IN).alias("to"), "piece").applyInPandas(add, schema)
+        tasks = -(-tasks // FAN_IN)
+    summed = parts.orderBy("piece").collect()
     if not summed:
         return model
     return model.load(np.array(list(itertools.chain.from_iterable(r.x for r in summed))) / summed[0].n)
