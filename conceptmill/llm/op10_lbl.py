@@ -1,9 +1,11 @@
 """Scoring by a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-The model predicts a token from the two before it: the context vectors are mixed by a matrix for each place, and a token's
-score is the product of that prediction with its vector, plus its bias. Its vocabulary is the most frequent tokens, one
-entry for all others, and the end. Probabilities are normalised: a batch of distinct contexts times all vectors gives every
-score. The share of the one entry for others is dealt among the tokens it stands for by their smoothed counts.
+The model predicts a token from the two before it: the context vectors are mixed by a matrix for each place, and the score of
+a class, or of an entry within its class, is the product of that prediction with its vector, plus its bias. The vocabulary is
+the end, a band for the rare tokens of each power of two of their count, and the frequent tokens, whose number follows the
+root of that of all distinct tokens. An entry's probability is that of its class times its own within the class, each
+normalised: batches of distinct contexts times all class vectors, and times all vectors of a class, give every score. The share of a band is dealt
+among the tokens it stands for by their smoothed counts.
 
 Texts are coded in blocks. A block has a lexicon of its own; the lexicons are summed over the corpus and each block gets its
 tokens' counts back, so that no task holds the vocabulary of the corpus. Training is by rounds: every block of training texts
@@ -13,6 +15,7 @@ trains the model of the last round on its own, and the blocks' models are averag
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
 
-#: Tokens after which a block is closed; frequent tokens that have a vector; its length; noise tokens of a batch; tokens of a
-#: batch; passes over all training blocks.
-BLOCK_TOKENS, VOCAB, DIM, NOISE, BATCH, ROUNDS = 1 << 20, 1022, 16, 64, 4096, 2
-#: The end of a text, which no word can equal, and the entries of the model's vocabulary before the frequent tokens.
+#: Tokens after which a block is closed; frequent tokens that have a vector, as a multiple of the root of the distinct tokens; its
+#: length; noise classes of a batch, and noise entries of a class in it; tokens of a batch; passes over all training blocks.
+BLOCK_TOKENS, VOCAB_RATE, DIM, NOISE, MEMBERS, BATCH, ROUNDS = 1 << 20, 8, 16, 64, 4, 4096, 2
+#: The end of a text, which no word can equal, and the entries of the model's vocabulary before the frequent tokens: the end, then
+#: the bands, the first of which also stands for unknown tokens.
 END_TOKEN = " "
-OTHER, END, FIRST = 0, 1, 2
+END, BANDS = 0, 1
 SMOOTH = 0.1
 #: Models of a group of the sum.
 FAN_IN = 64
@@ -89,21 +93,29 @@ def coded(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
 
 
 class Model:
-    """q: a vector for each entry as target, r: as context, c: a mixing matrix for each of the two places, b: biases."""
+    """q: a vector for each entry within its class, g: for each class, r: for each entry as context, c: a mixing matrix for each of the
+    two places, b and d: biases of entries and classes. A class is a run of entries: those before first, then about the root of
+    their number each."""
 
-    def __init__(self, unigram: np.ndarray, dim: int = DIM, seed: int = 1):
+    def __init__(self, unigram: np.ndarray, first: int = 1, dim: int = DIM, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = len(unigram)
-        self.q, self.r = (rng.normal(0, 0.1, (n, dim)).astype(np.float32) for _ in range(2))
+        self.starts = np.concatenate([[0], np.arange(first, n, max(1, math.isqrt(max(0, n - first))))])
+        self.width = np.diff(np.append(self.starts, n))
+        self.of = np.repeat(np.arange(len(self.starts)), self.width)
+        self.share = np.add.reduceat(unigram, self.starts)
+        self.q, self.r, self.g = (rng.normal(0, 0.1, (m, dim)).astype(np.float32) for m in (n, n, len(self.starts)))
         self.c = np.stack([np.eye(dim, dtype=np.float32) * s for s in (0.8, 0.4)])
-        self.b = np.log(unigram).astype(np.float32)
+        self.b, self.d = np.log(unigram / self.share[self.of]).astype(np.float32), np.log(self.share).astype(np.float32)
+
+    NAMES = ("q", "r", "g", "c", "b", "d")
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.q, self.r, self.c, self.b)])
+        return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
 
     def load(self, flat: np.ndarray) -> Model:
         at = 0
-        for name in ("q", "r", "c", "b"):
+        for name in self.NAMES:
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
@@ -112,55 +124,103 @@ class Model:
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] @ self.c[0] + self.r[two] @ self.c[1]
 
-    def train(self, grams: np.ndarray, counts: np.ndarray, noise: np.ndarray, rate: float, seed: int) -> None:
-        """One pass of NCE over distinct trigrams (one before, two before, token) with counts, in shuffled batches. The noise tokens
-        of a batch are drawn from noise and shared by it; steps are scaled by AdaGrad."""
+    def train(self, grams: np.ndarray, counts: np.ndarray, rate: float, seed: int) -> None:
+        """One pass of NCE over distinct trigrams (one before, two before, token) with counts, in shuffled batches. The noise classes
+        of a batch are drawn by their share and serve all of it; the noise entries of a class are drawn alike and serve its tokens
+        in the batch. Steps are scaled by AdaGrad and touch the batch's rows alone."""
         rng = np.random.default_rng(seed)
-        sums = {k: np.full_like(getattr(self, k), 1e-8) for k in ("q", "r", "c", "b")}
+        sums = {name: np.full_like(getattr(self, name), 1e-8) for name in self.NAMES}
+        slots = np.empty(len(self.b), np.int64)
+
+        def step(name: str, rows: np.ndarray, values: np.ndarray) -> None:
+            at, g = _sums(rows, values, slots)
+            sums[name][at] += g * g
+            getattr(self, name)[at] += rate * g / np.sqrt(sums[name][at])
+
         # a frequent trigram comes in several batches, so that no batch is one trigram's
         copies = -(-counts // 16)
         order = rng.permutation(np.repeat(np.arange(len(grams)), copies))
-        n, k = len(self.b), NOISE
-        log_kn = np.log(k * noise)
+        log_kc = np.log(NOISE * self.share).astype(np.float32)
+        log_kw = np.log(MEMBERS / self.width).astype(np.float32)
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
+            part = part[np.argsort(grams[part, 2], kind="stable")]
             one, two, target = grams[part].T
             weight = (counts[part] / copies[part]).astype(np.float32)
             weight /= weight.sum()
-            drawn = rng.choice(n, k, p=noise)
             p = self.predict(one, two)
-            # wanted tokens against noise: sigmoid of the score less log(k times the noise's probability)
-            s = np.einsum("ij,ij->i", p, self.q[target]) + self.b[target] - log_kn[target]
-            e = (1 / (1 + np.exp(s)) * weight).astype(np.float32)
-            sn = p @ self.q[drawn].T + self.b[drawn] - log_kn[drawn]
-            en = (-1 / (1 + np.exp(-sn)) * weight[:, None]).astype(np.float32)
-            gp = e[:, None] * self.q[target] + en @ self.q[drawn]
-            grads = {
-                "q": _scatter(np.concatenate([target, drawn]), np.concatenate([e[:, None] * p, en.T @ p]), n),
-                "r": _scatter(np.concatenate([one, two]), np.concatenate([gp @ self.c[0].T, gp @ self.c[1].T]), n),
-                "c": np.stack([self.r[one].T @ gp, self.r[two].T @ gp]),
-                "b": np.bincount(np.concatenate([target, drawn]), np.concatenate([e, en.sum(axis=0)]), n).astype(np.float32),
-            }
-            for name, g in grads.items():
-                sums[name] += g * g
-                setattr(self, name, getattr(self, name) + rate * g / np.sqrt(sums[name]))
+            # wanted classes against noise: sigmoid of the score less log(k times the noise's probability)
+            kind = self.of[target]
+            drawn = rng.choice(len(self.share), NOISE, p=self.share / self.share.sum())
+            e = _miss(np.einsum("ij,ij->i", p, self.g[kind]) + self.d[kind] - log_kc[kind]) * weight
+            en = -_miss(log_kc[drawn] - p @ self.g[drawn].T - self.d[drawn]) * weight[:, None]
+            gp = e[:, None] * self.g[kind] + en @ self.g[drawn]
+            # wanted entries against others of their class; the batch is in order of entries, so a class is a run
+            heads = np.flatnonzero(np.diff(kind, prepend=-1))
+            here = kind[heads]
+            noise = self.starts[here][:, None] + (rng.random((len(here), MEMBERS)) * self.width[here][:, None]).astype(np.int64)
+            others = noise[np.repeat(np.arange(len(here)), np.diff(np.append(heads, len(kind))))]
+            vectors = self.q[others]
+            w = _miss(np.einsum("ij,ij->i", p, self.q[target]) + self.b[target] - log_kw[kind]) * weight
+            wn = -_miss(log_kw[kind][:, None] - np.einsum("ij,ikj->ik", p, vectors) - self.b[others]) * weight[:, None]
+            gp += w[:, None] * self.q[target] + np.einsum("ik,ikj->ij", wn, vectors)
+            q_noise = np.add.reduceat(wn[:, :, None] * p[:, None, :], heads).reshape(-1, p.shape[1])
+            g_runs, d_runs = np.add.reduceat(e[:, None] * p, heads), np.add.reduceat(e, heads)
+            mix = np.stack([self.r[one].T @ gp, self.r[two].T @ gp])
+            r_values = np.concatenate([gp @ self.c[0].T, gp @ self.c[1].T])
+            entries = np.concatenate([target, noise.ravel()])
+            step("q", entries, np.concatenate([w[:, None] * p, q_noise]))
+            step("b", entries, np.concatenate([w, np.add.reduceat(wn, heads).ravel()]))
+            step("g", np.concatenate([here, drawn]), np.concatenate([g_runs, en.T @ p]))
+            step("d", np.concatenate([here, drawn]), np.concatenate([d_runs, en.sum(axis=0)]))
+            step("r", np.concatenate([one, two]), r_values)
+            sums["c"] += mix * mix
+            self.c += rate * mix / np.sqrt(sums["c"])
 
     def log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural logarithms. Each distinct context is multiplied with all vectors once, in batches."""
+        """Normalised natural logarithms. Each distinct context is multiplied with all class vectors once, and once with the vectors of
+        each class that follows it, in batches."""
         n = len(self.b)
         contexts, at = np.unique(one.astype(np.int64) * n + two, return_inverse=True)
         p = self.predict(contexts // n, contexts % n)
-        z = np.empty(len(contexts), np.float32)
-        for lo in range(0, len(contexts), BATCH):
-            s = p[lo : lo + BATCH] @ self.q.T + self.b
-            top = s.max(axis=1)
-            z[lo : lo + BATCH] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return (np.einsum("ij,ij->i", p[at], self.q[target]) + self.b[target] - z[at]).astype(np.float64)
-
-
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values of each row."""
-    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+        kind = self.of[target]
+        pairs, which = np.unique(kind * len(contexts) + at, return_inverse=True)
+        bounds = np.searchsorted(pairs, np.arange(len(self.starts) + 1) * len(contexts))
+        z, zw = _log_sums(p, self.g, self.d), np.empty(len(pairs), np.float32)
+        for k, (a, m) in enumerate(zip(self.starts, self.width, strict=True)):
+            lo, hi = bounds[k], bounds[k + 1]
+            zw[lo:hi] = _log_sums(p[pairs[lo:hi] - k * len(contexts)], self.q[a : a + m], self.b[a : a + m])
+        own = p[at]
+        in_class = np.einsum("ij,ij->i", own, self.q[target]) + self.b[target] - zw[which]
+        return (np.einsum("ij,ij->i", own, self.g[kind]) + self.d[kind] - z[at] + in_class).astype(np.float64)
+
+
+def _miss(s: np.ndarray) -> np.ndarray:
+    """1 less the sigmoid of s."""
+    return 1 / (1 + np.exp(s))
+
+
+def _log_sums(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """For each row of p the logarithm of the sum of exponentials of its scores."""
+    z = np.empty(len(p), np.float32)
+    for lo in range(0, len(p), BATCH):
+        s = p[lo : lo + BATCH] @ vectors.T + bias
+        top = s.max(axis=1)
+        z[lo : lo + BATCH] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    return z
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the values of each. slots is room for a number a row."""
+    places = np.arange(len(rows))
+    slots[rows] = places
+    last = slots[rows]
+    head = last == places
+    at = (np.cumsum(head) - 1)[last]
+    n = int(head.sum())
+    if values.ndim == 1:
+        return rows[head], np.bincount(at, values, n).astype(np.float32)
+    return rows[head], np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
 def contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,41 +239,62 @@ def contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int | None = None, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (the model's
     log10 probability of the whole text).
 
     Rows whose CRC-32 of the id as text (a null id: of nothing) is 0 modulo 10 are held out: nothing is learnt from them.
     A null text is empty and has its end alone; repeated rows stay, and teach twice. Without training tokens every token is
-    unknown and base_score is 0, as is score. The vocabulary of the model (vocab tokens) bounds what is collected."""
+    unknown and base_score is 0, as is score. The model's frequent tokens are at most vocab, or VOCAB_RATE times the root of the
+    distinct training tokens; tokens of about the same count (an eighth of a power of two) are all among them or none. They are
+    collected: of ten thousand million distinct tokens 800,000 at most, a model of 106 MB."""
     spark = docs.sparkSession
     both = staged(coded(docs, id_col, text_col, block_tokens), "op10-coded", ["kind"])
     words = both.filter("kind = 'word'").select("block", "token", "code", "count")
     counts = staged(words.groupBy("token").agg(F.sum("count").alias("c")), "op10-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = counts.filter((F.col("c") > 0) & (F.col("token") != END_TOKEN)).orderBy(F.desc("c"), "token").limit(vocab).collect()
+    bucket = F.floor(F.log2(F.greatest("c", F.lit(1))) * 8).cast("int")
+    seen = counts.filter((F.col("c") > 0) & (F.col("token") != END_TOKEN)).withColumn("bucket", bucket)
+    # tokens and occurrences of each bucket, the most frequent first, until the vocabulary is full
+    sizes = {r.bucket: r for r in seen.groupBy("bucket").agg(F.count("*").alias("tokens"), F.sum("c").alias("c")).collect()}
+    left = math.ceil(VOCAB_RATE * math.sqrt(v)) if vocab is None else vocab
+    least = max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        if sizes[at].tokens > left:
+            break
+        left, least = left - sizes[at].tokens, at
+    top = sorted(seen.filter(F.col("bucket") >= least).select("token", "c").collect(), key=lambda r: (-r.c, r.token))
     end = counts.filter(F.col("token") == END_TOKEN).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    entries = spark.createDataFrame([(END_TOKEN, END), *((r.token, k + FIRST) for k, r in enumerate(top))], "token string, entry int")
-    c_top = np.array([0, end, *(r.c for r in top)], np.float64)
-    n_other, v_other = n - c_top.sum(), v - len(top) - (end > 0)
-    c_top[OTHER] = n_other + SMOOTH * (v_other + 1)
-    unigram = (c_top + SMOOTH) / (c_top + SMOOTH).sum()
+    # the smoothed mass of each band; the first has the unknown tokens'
+    mass = np.zeros(max(0, least - 1) // 8 + 1)
+    mass[0] = SMOOTH
+    for at in sizes:
+        if at < least:
+            mass[at // 8] += sizes[at].c + SMOOTH * sizes[at].tokens
+    first = BANDS + len(mass)
+    entries = spark.createDataFrame([(END_TOKEN, END), *((r.token, k + first) for k, r in enumerate(top))], "token string, entry int")
+    unigram = np.array([end, *mass, *(r.c for r in top)], np.float64) + SMOOTH
+    unigram /= unigram.sum()
+    width = "<u2" if len(unigram) <= 0xFFFF else "<u4"
 
     # each block's tokens with their counts over the corpus and their entries
-    known = words.join(counts, "token").join(F.broadcast(entries), "token", "left").select(F.col("block").alias("of"), F.col("code").alias("at"), "c", F.coalesce("entry", F.lit(OTHER)).alias("entry"))
-    base_z, other_z = n + SMOOTH * (v + 1), n_other + SMOOTH * (v_other + 1)
+    band = BANDS + F.floor(bucket / 8).cast("int")
+    known = words.join(counts, "token").join(F.broadcast(entries), "token", "left").select(F.col("block").alias("of"), F.col("code").alias("at"), "c", F.coalesce("entry", band).alias("entry"))
+    base_z = n + SMOOTH * (v + 1)
     texts = both.filter("kind = 'doc'").select("block", "id", "held_out", "n_tokens", "codes")
 
     def recode(lines: pd.DataFrame, lexicon: pd.DataFrame) -> pd.DataFrame:
         size = int(lexicon["at"].max()) + 1 if len(lexicon) else 0
-        c, entry = np.zeros(size, np.int64), np.zeros(size, np.int16)
+        c, entry = np.zeros(size, np.int64), np.zeros(size, np.int64)
         c[lexicon["at"]], entry[lexicon["at"]] = lexicon["c"], lexicon["entry"]
         base = np.log10((c + SMOOTH) / base_z) if n else np.zeros(size)
-        rest = np.where(entry == OTHER, np.log10((c + SMOOTH) / other_z), 0.0)
+        rest = np.zeros(size)
+        rare = (entry >= BANDS) & (entry < first)
+        rest[rare] = np.log10((c[rare] + SMOOTH) / mass[entry[rare] - BANDS])
         out = []
         for block, i, held_out, n_tokens, codes in zip(*(lines[x] for x in ("block", "id", "held_out", "n_tokens", "codes")), strict=True):
             k = np.frombuffer(codes, np.int32)
-            out.append((block, i, held_out, n_tokens, int((c[k] > 0).sum()), float(base[k].sum()), float(rest[k].sum()), entry[k].astype("<i2").tobytes()))
+            out.append((block, i, held_out, n_tokens, int((c[k] > 0).sum()), float(base[k].sum()), float(rest[k].sum()), entry[k].astype(width).tobytes()))
         made = pd.DataFrame(out, columns=["block", "id", "held_out", "n_tokens", "n_known", "base_score", "rest", "entries"])
         return made.astype({"id": "Int64"})
 
@@ -221,13 +302,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     schema = "block long, id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, entries binary"
     rows = staged(texts.groupBy("block").cogroup(known.groupBy("of")).applyInPandas(recode, schema), "op10-entries")
 
-    model = Model(unigram)
+    model = Model(unigram, first)
     for k in range(rounds if n else 0):
-        model = _round(rows, model, unigram, k)
+        model = _round(rows, model, unigram, first, width, k)
     flat = model.flat()
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(unigram).load(flat)
+        own = Model(unigram, first).load(flat)
         for frame in batches:
             made = np.zeros(len(frame))
             lo = 0
@@ -235,7 +316,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             upto = np.cumsum(lens)
             while lo < len(frame):
                 hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right")))
-                tokens = [np.frombuffer(x, "<i2") for x in frame["entries"].iloc[lo:hi]]
+                tokens = [np.frombuffer(x, width) for x in frame["entries"].iloc[lo:hi]]
                 logs = own.log_probs(*contexts(tokens)) / np.log(10)
                 made[lo:hi] = np.add.reduceat(logs, np.cumsum(lens[lo:hi]) - lens[lo:hi])
                 lo = hi
@@ -245,15 +326,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return out.withColumnRenamed("id", id_col)
 
 
-def _round(rows: DataFrame, model: Model, unigram: np.ndarray, k: int) -> Model:
+def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width: str, k: int) -> Model:
     """Every task trains the model on the training texts of its partition, and the mean by tokens comes back: as long as the
     model, whatever the corpus. The tasks' models are summed in Spark by a tree: a group holds a piece of FAN_IN models at most."""
     flat, size = model.flat(), 4096
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, total = Model(unigram).load(flat), 0
+        own, total = Model(unigram, first).load(flat), 0
         for step, frame in enumerate(batches):
-            tokens = [np.frombuffer(x, "<i2") for x, out in zip(frame["entries"], frame["held_out"], strict=True) if not out]
+            tokens = [np.frombuffer(x, width) for x, out in zip(frame["entries"], frame["held_out"], strict=True) if not out]
             lo = 0
             while lo < len(tokens):
                 hi, here = lo, 0
@@ -263,7 +344,7 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, k: int) -> Model:
                 one, two, target = contexts(tokens[lo:hi])
                 n = len(unigram)
                 grams, counts = np.unique((one * n + two) * n + target, return_counts=True)
-                own.train(np.stack([grams // (n * n), grams // n % n, grams % n], axis=1), counts, unigram, 0.03 / (1 + k), 1000 * k + step)
+                own.train(np.stack([grams // (n * n), grams // n % n, grams % n], axis=1), counts, 0.03 / (1 + k), 1000 * k + step)
                 total, lo = total + here, hi
         if total:
             x = own.flat().astype(np.float64) * total

@@ -40,9 +40,9 @@ def test_base_and_model(spark, sf_dir):
 def test_probabilities_are_normalised():
     rng = np.random.default_rng(0)
     unigram = rng.random(40)
-    model = op.Model(unigram / unigram.sum())
+    model = op.Model(unigram / unigram.sum(), 3)
     grams = rng.integers(0, 40, (500, 3))
-    model.train(grams, rng.integers(1, 60, 500), unigram / unigram.sum(), 0.1, 1)
+    model.train(grams, rng.integers(1, 60, 500), 0.1, 1)
     for one, two in ((0, 1), (7, 7)):
         logs = model.log_probs(np.full(40, one), np.full(40, two), np.arange(40))
         assert abs(np.exp(logs).sum() - 1) < 1e-4
