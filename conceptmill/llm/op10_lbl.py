@@ -30,14 +30,14 @@ from .common import staged, table, text_or_empty
 
 #: Tokens after which a block is closed; frequent tokens that have a vector, as a multiple of the root of the distinct tokens; its
 #: length; noise classes of a batch, and noise entries of a class in it; tokens of a batch; passes over all training blocks.
-BLOCK_TOKENS, VOCAB_RATE, DIM, NOISE, MEMBERS, BATCH, ROUNDS = 1 << 20, 8, 16, 64, 4, 4096, 2
+BLOCK_TOKENS, VOCAB_RATE, DIM, NOISE, MEMBERS, BATCH, ROUNDS = 1 << 20, 8, 16, 32, 4, 4096, 2
 #: The end of a text, which no word can equal, and the entries of the model's vocabulary before the frequent tokens: the end, then
 #: the bands, the first of which also stands for unknown tokens.
 END_TOKEN = " "
 END, BANDS = 0, 1
 SMOOTH = 0.1
-#: Models of a group of the sum.
-FAN_IN = 64
+#: Models of a group of the sum; training tokens of a task for each number of the model.
+FAN_IN, NUMBER_TOKENS = 64, 16
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------
@@ -134,8 +134,9 @@ class Model:
 
         def step(name: str, rows: np.ndarray, values: np.ndarray) -> None:
             at, g = _sums(rows, values, slots)
-            sums[name][at] += g * g
-            getattr(self, name)[at] += rate * g / np.sqrt(sums[name][at])
+            seen = sums[name][at] + g * g
+            sums[name][at] = seen
+            getattr(self, name)[at] += rate * g / np.sqrt(seen)
 
         # a frequent trigram comes in several batches, so that no batch is one trigram's
         copies = -(-counts // 16)
@@ -148,25 +149,29 @@ class Model:
             one, two, target = grams[part].T
             weight = (counts[part] / copies[part]).astype(np.float32)
             weight /= weight.sum()
-            p = self.predict(one, two)
+            r1, r2 = self.r[one], self.r[two]
+            p = r1 @ self.c[0] + r2 @ self.c[1]
             # wanted classes against noise: sigmoid of the score less log(k times the noise's probability)
             kind = self.of[target]
             drawn = rng.choice(len(self.share), NOISE, p=self.share / self.share.sum())
-            e = _miss(np.einsum("ij,ij->i", p, self.g[kind]) + self.d[kind] - log_kc[kind]) * weight
-            en = -_miss(log_kc[drawn] - p @ self.g[drawn].T - self.d[drawn]) * weight[:, None]
-            gp = e[:, None] * self.g[kind] + en @ self.g[drawn]
+            g_kind, g_drawn = self.g[kind], self.g[drawn]
+            e = _miss(np.einsum("ij,ij->i", p, g_kind) + (self.d - log_kc)[kind]) * weight
+            en = _miss((log_kc - self.d)[drawn] - p @ g_drawn.T)
+            en *= -weight[:, None]
+            gp = e[:, None] * g_kind + en @ g_drawn
             # wanted entries against others of their class; the batch is in order of entries, so a class is a run
             heads = np.flatnonzero(np.diff(kind, prepend=-1))
             here = kind[heads]
             noise = self.starts[here][:, None] + (rng.random((len(here), MEMBERS)) * self.width[here][:, None]).astype(np.int64)
             others = noise[np.repeat(np.arange(len(here)), np.diff(np.append(heads, len(kind))))]
-            vectors = self.q[others]
-            w = _miss(np.einsum("ij,ij->i", p, self.q[target]) + self.b[target] - log_kw[kind]) * weight
-            wn = -_miss(log_kw[kind][:, None] - np.einsum("ij,ikj->ik", p, vectors) - self.b[others]) * weight[:, None]
-            gp += w[:, None] * self.q[target] + np.einsum("ik,ikj->ij", wn, vectors)
+            vectors, q_target = self.q[others], self.q[target]
+            w = _miss(np.einsum("ij,ij->i", p, q_target) + self.b[target] - log_kw[kind]) * weight
+            wn = _miss(log_kw[kind][:, None] - np.einsum("ij,ikj->ik", p, vectors) - self.b[others])
+            wn *= -weight[:, None]
+            gp += w[:, None] * q_target + np.einsum("ik,ikj->ij", wn, vectors)
             q_noise = np.add.reduceat(wn[:, :, None] * p[:, None, :], heads).reshape(-1, p.shape[1])
             g_runs, d_runs = np.add.reduceat(e[:, None] * p, heads), np.add.reduceat(e, heads)
-            mix = np.stack([self.r[one].T @ gp, self.r[two].T @ gp])
+            mix = np.stack([r1.T @ gp, r2.T @ gp])
             r_values = np.concatenate([gp @ self.c[0].T, gp @ self.c[1].T])
             entries = np.concatenate([target, noise.ravel()])
             step("q", entries, np.concatenate([w[:, None] * p, q_noise]))
@@ -196,8 +201,10 @@ class Model:
 
 
 def _miss(s: np.ndarray) -> np.ndarray:
-    """1 less the sigmoid of s."""
-    return 1 / (1 + np.exp(s))
+    """1 less the sigmoid of s, in its place."""
+    np.exp(s, out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
 
 
 def _log_sums(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -206,7 +213,8 @@ def _log_sums(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarra
     for lo in range(0, len(p), BATCH):
         s = p[lo : lo + BATCH] @ vectors.T + bias
         top = s.max(axis=1)
-        z[lo : lo + BATCH] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        s -= top[:, None]
+        z[lo : lo + BATCH] = top + np.log(np.exp(s, out=s).sum(axis=1))
     return z
 
 
@@ -304,7 +312,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     model = Model(unigram, first)
     for k in range(rounds if n else 0):
-        model = _round(rows, model, unigram, first, width, k)
+        model = _round(rows, model, unigram, first, width, k, n)
     flat = model.flat()
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,9 +334,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return out.withColumnRenamed("id", id_col)
 
 
-def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width: str, k: int) -> Model:
+def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width: str, k: int, n: int) -> Model:
     """Every task trains the model on the training texts of its partition, and the mean by tokens comes back: as long as the
-    model, whatever the corpus. The tasks' models are summed in Spark by a tree: a group holds a piece of FAN_IN models at most."""
+    model, whatever the corpus. A task has at least NUMBER_TOKENS tokens for each number of the model, if that leaves a task a core, so that
+    the models stay a small share of the input. They are summed in Spark by a tree: a group holds a piece of FAN_IN models at most."""
     flat, size = model.flat(), 4096
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,20 +351,21 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width
                     here += len(tokens[hi])
                     hi += 1
                 one, two, target = contexts(tokens[lo:hi])
-                n = len(unigram)
-                grams, counts = np.unique((one * n + two) * n + target, return_counts=True)
-                own.train(np.stack([grams // (n * n), grams // n % n, grams % n], axis=1), counts, 0.03 / (1 + k), 1000 * k + step)
+                m = len(unigram)
+                grams, counts = np.unique((one * m + two) * m + target, return_counts=True)
+                own.train(np.stack([grams // (m * m), grams // m % m, grams % m], axis=1), counts, 0.03 / (1 + k), 1000 * k + step)
                 total, lo = total + here, hi
         if total:
-            x = own.flat().astype(np.float64) * total
+            x = own.flat() * np.float32(total / n)
             pieces = [x[a : a + size].tolist() for a in range(0, len(x), size)]
             yield pd.DataFrame({"task": TaskContext.get().partitionId(), "piece": range(len(pieces)), "x": pieces, "n": [total] * len(pieces)})
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"task": [key[0]], "piece": [key[1]], "x": [np.sum(np.stack(frame.sort_values("task")["x"].to_list()), axis=0).tolist()], "n": [int(frame["n"].sum())]})
 
-    schema = "task long, piece int, x array<double>, n long"
+    schema = "task long, piece int, x array<float>, n long"
     training = rows.filter("not held_out").select("held_out", "entries")
+    training = training.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, n // (NUMBER_TOKENS * len(flat))))
     parts, tasks = training.mapInPandas(train, schema), training.rdd.getNumPartitions()
     while tasks > 1:
         parts = parts.groupBy(F.floor(F.col("task") / FAN_IN).alias("to"), "piece").applyInPandas(add, schema)
@@ -363,7 +373,7 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width
     summed = parts.orderBy("piece").collect()
     if not summed:
         return model
-    return model.load(np.array(list(itertools.chain.from_iterable(r.x for r in summed))) / summed[0].n)
+    return model.load(np.array(list(itertools.chain.from_iterable(r.x for r in summed))) * (n / summed[0].n))
 
 
 def op10_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
