@@ -52,3 +52,18 @@ def test_contexts_begin_at_the_end_token():
     one, two, target = op.contexts([np.array([5, 6, 7]), np.array([1]), np.array([8, 9])])
     assert target.tolist() == [5, 6, 7, 1, 8, 9]
     assert one.tolist() == [op.END, 5, 6, op.END, op.END, 8] and two.tolist() == [op.END, op.END, 5, op.END, op.END, op.END]
+
+
+def test_vocabulary_of_odd_corpora(spark):
+    apart = [i for i in range(100) if out(i)]
+    learnt = [i for i in range(100) if not out(i)]
+    schema = "doc_id long, text string"
+    # nothing to learn from: every token is unknown
+    got = op.score(spark.createDataFrame([(apart[0], "a b"), (apart[1], None)], schema)).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(True, 0, 0, 0.0, 0.0)] * 2
+    # tokens that all occur once, and a vocabulary too small for any of them: bands alone
+    for vocab in (None, 1):
+        rows = [(i, f"w{i} x{i}") for i in learnt] + [(apart[0], "never seen")]
+        got = op.score(spark.createDataFrame(rows, schema), vocab=vocab).collect()
+        assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+        assert {r.n_known for r in got if r.held_out} == {1}
