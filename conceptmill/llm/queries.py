@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_warc, op4_chat, op8_quality, op12_resample
+from . import op2_warc, op4_chat, op8_quality, op12_resample, op13_minhash
 from .op1_repair import op1_repair
 from .op10_lbl import op10_lbl
 from .op3_simhash import op3_simhash
@@ -23,5 +23,6 @@ QUERIES = {
     "op9_extract": op9_extract,
     "op10_lbl": op10_lbl,
     "op12_resample": op12_resample.op12_resample,
+    "op13_minhash": op13_minhash.op13_minhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE, "op8_quality": op8_quality.ORACLE, "op12_resample": op12_resample.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_warc": op2_warc.ORACLE, "op4_chat": op4_chat.ORACLE, "op8_quality": op8_quality.ORACLE, "op12_resample": op12_resample.ORACLE, "op13_minhash": op13_minhash.ORACLE}
