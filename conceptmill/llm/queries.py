@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op2_warc, op4_chat, op8_quality, op12_resample, op13_minhash
 from .op1_repair import op1_repair
 from .op10_lbl import op10_lbl
+from .op11_runs import op11_runs
 from .op3_simhash import op3_simhash
 from .op5_decontaminate import op5_decontaminate
 from .op6_mix import op6_mix
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_quality": op8_quality.op8_quality,
     "op9_extract": op9_extract,
     "op10_lbl": op10_lbl,
+    "op11_runs": op11_runs,
     "op12_resample": op12_resample.op12_resample,
     "op13_minhash": op13_minhash.op13_minhash,
 }
