@@ -64,15 +64,23 @@ class SuffixRanks:
         found = np.zeros(len(i), np.int64)
         live = np.flatnonzero((i < self.n) & (j < self.n))
         live = live[self.levels[0][i[live]] == self.levels[0][j[live]]]
-        a, b = i[live].copy(), j[live].copy()
-        # a stretch that its sequence's end cuts off has a rank of its own, so that no step leaves a sequence
-        for level in range(len(self.levels) - 1, -1, -1):
-            rank, width = self.levels[level], 1 << level
-            go = np.flatnonzero((a < self.n) & (b < self.n))
-            go = go[rank[a[go]] == rank[b[go]]]
-            a[go] += width
-            b[go] += width
-        found[live] = a - i[live]
+        a, b = i[live], j[live]
+        # upwards to the longest stretch of 2^k equal words, then down; a stretch that its sequence's end cuts off has a rank of
+        # its own, so that no step leaves a sequence
+        top, at = np.zeros(len(live), np.int64), np.arange(len(live))
+        for level in range(1, len(self.levels)):
+            at = at[self.levels[level][a[at]] == self.levels[level][b[at]]]
+            if not len(at):
+                break
+            top[at] = level
+        out = np.left_shift(1, top)
+        for level in range(int(top.max(initial=0)) - 1, -1, -1):
+            at = np.flatnonzero(top > level)
+            x, y = a[at] + out[at], b[at] + out[at]
+            inside = (x < self.n) & (y < self.n)
+            at, x, y = at[inside], x[inside], y[inside]
+            out[at[self.levels[level][x] == self.levels[level][y]]] += 1 << level
+        found[live] = out
         return found
 
     def behind(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -150,12 +158,13 @@ class SuffixRanks:
         return np.where(i + depth < self.end[i], self.levels[0][np.minimum(i + depth, self.n - 1)], -1)
 
 
-def _nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """The place of the nearest smaller value to the left, -1 for none; by jumps, which double."""
+def _nearest_smaller(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The place of the nearest smaller value to the left, but not left of first; some place left of that for none. By jumps, which
+    double."""
     near = np.arange(len(values)) - 1
     live = np.arange(len(values))
     while True:
-        live = live[near[live] >= 0]
+        live = live[near[live] >= first[live]]
         live = live[values[near[live]] > values[live]]
         if not len(live):
             return near
@@ -164,11 +173,13 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
 
 def lz_blocks(s: SuffixRanks, lens: np.ndarray) -> np.ndarray:
     """The places where Lempel-Ziv blocks begin: each is the longest stretch that also begins earlier, or one new word."""
-    left = _nearest_smaller(s.sa)
-    right = s.n - 1 - _nearest_smaller(s.sa[::-1])[::-1]
+    # a sequence's suffixes are as far on in the suffix array as in the text
+    first = np.repeat(np.cumsum(lens) - lens, lens)
+    left = _nearest_smaller(s.sa, first)
+    right = s.n - 1 - _nearest_smaller(s.sa[::-1].copy(), s.n - s.end[::-1])[::-1]
     longest = np.zeros(s.n, np.int64)
     for other in (left, right):
-        at = np.flatnonzero((other >= 0) & (other < s.n))
+        at = np.flatnonzero((other >= first) & (other < s.end))
         i = s.sa[at]
         longest[i] = np.maximum(longest[i], s.ahead(i, s.sa[other[at]]))
     step = np.maximum(longest, 1).tolist()
@@ -287,7 +298,9 @@ def runs(codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     none = np.zeros(0, np.int64)
     if not len(codes):
         return none, none, none
-    s = SuffixRanks(codes.astype(np.int64), lens)
+    # in no order, as words in order of their first place make long chains of ever larger suffixes
+    order = np.random.default_rng(1).permutation(int(codes.max()) + 1)
+    s = SuffixRanks(order[codes], lens)
     start, period = covering_squares(s, lz_blocks(s, lens), lens)
     held = _primitive(s, start, period) if len(start) else np.zeros(0, bool)
     start, period = square_kinds(s, start[held], period[held])
