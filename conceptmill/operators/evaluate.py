@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..staging import staged
+from .ordinal import median
 
 
 def file_summary(notes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -26,13 +28,15 @@ def eval_rows(notes: DataFrame, rows: DataFrame, context_chars: int = 80) -> Dat
 def run_stats(notes: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: rows, notes_with_rows, notes, mean_score, mean_jaccard, median_jaccard (of span and preferred term)."""
     lex = X.jaccard(X.token_set(F.col("text")), X.token_set(F.col("preferred_term")))
-    out = rows.agg(F.count("*").alias("rows"), F.count_distinct("note_file").alias("notes_with_rows"), F.avg("score").alias("mean_score"), F.avg(lex).alias("mean_jaccard"), F.median(lex).alias("median_jaccard"))
+    each = staged(rows.select("note_file", "score", lex.alias("lex")), "run-stats")
+    out = each.agg(F.count("*").alias("rows"), F.count_distinct("note_file").alias("notes_with_rows"), F.avg("score").alias("mean_score"), F.avg("lex").alias("mean_jaccard"), F.lit(median(each, "lex")).cast("double").alias("median_jaccard"))
     return out.crossJoin(notes.agg(F.count("*").alias("notes")))  # two single rows
 
 
 def validation(rows: DataFrame) -> DataFrame:
-    """rows: cosine, gold and predicted labels. One row: mean_cosine, median_cosine, accuracy."""
-    return rows.agg(F.round(F.avg("cosine"), 6).alias("mean_cosine"), F.round(F.median("cosine"), 6).alias("median_cosine"), F.round(F.avg((F.col("gold") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
+    """rows: cosine, gold and predicted labels. One row: mean_cosine, median_cosine, accuracy; nulls without rows."""
+    each = staged(rows.select("cosine", (F.col("gold") == F.col("predicted")).cast("int").alias("right")), "validation")
+    return each.agg(F.round(F.avg("cosine"), 6).alias("mean_cosine"), F.round(F.lit(median(each, "cosine")).cast("double"), 6).alias("median_cosine"), F.round(F.avg("right"), 6).alias("accuracy"))
 
 
 def label_distribution(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -80,8 +80,10 @@ def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 def _joined(review: DataFrame, run: DataFrame, seq: str) -> DataFrame:
     keys = ["note_file", "start", "end"]
-    last = run.groupBy(*keys).agg(F.max_by(F.struct("note_type", "cui", "candidates"), seq).alias("r"))
-    # the tables' spans may be unset (null stands for -1)
+    unset = lambda df: df.withColumns({c: F.coalesce(c, F.lit(-1)) for c in keys[1:]})
+    last = unset(run).groupBy(*keys).agg(F.max_by(F.struct("note_type", "cui", "candidates"), seq).alias("r"))
+    # spans may be unset, by null or -1; unset ones of a note match each other
+    review = unset(review)
     j = review.join(last, keys, "left")
     gold, cui = F.trim(F.coalesce("gold_cui", F.lit(""))), F.coalesce("r.cui", F.lit(""))
     none = F.upper(gold).isin("NONE", "NO", "NULL", "N/A")
@@ -126,7 +128,8 @@ def retrieval(found: DataFrame, k: int) -> DataFrame:
 
 def non_overlapping(spans: Column) -> Column:
     """Spans (start, end, ...) in order of start, the longer first, each that begins before the last kept one's end skipped; empty
-    ones and those before the text are left out (see view.valid for those past its end)."""
+    ones and those before the text are left out (see view.valid for those past its end). For the few spans that a row of a page has:
+    each kept one copies the kept ones before it. fold.apart does the same over rows, for any number."""
     good = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]))
     ordered = F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"))))
     zero = F.struct(F.lit(-1).alias("upto"), F.array().cast("array<struct<start:int,neg_end:int>>").alias("out"))

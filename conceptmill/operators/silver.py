@@ -2,69 +2,111 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .fold import fold
 
-MERGED = "note_id long, start int, end int, text string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
+_MERGED = "start int, end int, text string, normalized string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
+MERGED = f"note_id long, {_MERGED}"
 
 
-def usable(rows: DataFrame, min_score: float, text_length: str | None = None) -> DataFrame:
-    """Rows of enough score whose span is in the note (of that length, if the column is given) and whose text isn't blank, each (note,
-    span, text in lower case, teacher) once, the first."""
-    w = W.partitionBy("note_id", "start", "end", F.lower(F.trim("text")), "teacher").orderBy("seq")
+def marked(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None) -> DataFrame:
+    """rows (note_id, start, end, text, score, teacher, seq) with usable: the score is min_score at least, or what by_teacher says for
+    its teacher, the span is in the note (of that length, if the column is given), the text isn't blank, and no usable row before
+    has the same note, span, text in lower case and teacher. Rows of a note end in one partition, which merge can use."""
+    least = F.lit(float(min_score))
+    for name, score in (by_teacher or {}).items():
+        least = F.when(F.col("teacher") == name, float(score)).otherwise(least)
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & ((F.col("end") <= F.col(text_length)) if text_length else F.lit(True))
-    good = rows.filter((F.col("score") >= min_score) & inside & (F.trim("text") != ""))
-    return good.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-
-
-def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.05) -> DataFrame:
+    good = F.coalesce((F.col("score") >= least) & inside & (F.trim("text") != ""), F.lit(False))
+    w = W.partitionBy("note_id", "start", "end", F.lower(F.trim("text")), "teacher", "__good").orderBy("seq")
+    dealt = rows.repartition("note_id").withColumn("__good", good)
+    return dealt.withColumn("usable", F.col("__good") & (F.row_number().over(w) == 1)).drop("__good")
+
+
+def usable(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None) -> DataFrame:
+    """The rows that marked finds usable."""
+    return marked(rows, min_score, text_length, by_teacher).filter("usable").drop("usable")
+
+
+def _merging(overlap: float, bonus: float):
+    class Merging:
+        """Clusters that a later span may still join: [representative, teachers, best score, sum of scores, spans, last end]."""
+
+        def __init__(self) -> None:
+            self.near: list[list] = []
+
+        def feed(self, columns: list[list], lo: int, hi: int, out: list[tuple]) -> None:
+            near = self.near
+            for start, end, score, teacher, text, normalized, label in zip(*[c[lo:hi] for c in columns], strict=True):
+                # spans come in order of start: a cluster whose representative could only end before it is settled
+                if near and any(c[5] <= start for c in near):
+                    for c in near:
+                        if c[5] <= start:
+                            self.settle(c, out)
+                    near = [c for c in near if c[5] > start]
+                for c in near:
+                    r = c[0]
+                    inter = min(end, r[2]) - max(start, r[1])
+                    if inter > 0 and inter / min(end - start, r[2] - r[1]) >= overlap:
+                        if (-score, end - start, start) < (r[0], r[2] - r[1], r[1]):
+                            c[0] = (-score, start, end, text, normalized, label)
+                        c[1].add(teacher)
+                        c[2], c[3], c[4], c[5] = max(c[2], score), c[3] + score, c[4] + 1, max(c[5], end)
+                        break
+                else:
+                    near.append([(-score, start, end, text, normalized, label), {teacher}, score, score, 1, end])
+            self.near = near
+
+        def settle(self, c: list, out: list[tuple]) -> None:
+            (_, start, end, text, normalized, label), names, top, total, n, _ = c
+            plain = (normalized or text or "").strip()
+            out.append((start, end, text, plain, (label or "").strip(), sorted(names), len(names), top, total / n, max(0.0, min(1.0, top + bonus * (len(names) - 1)))))
+
+        def end(self, out: list[tuple]) -> None:
+            for c in self.near:
+                self.settle(c, out)
+
+    return Merging
+
+
+def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.08, dealt: bool = False) -> DataFrame:
     """Spans of a note, in order, each joined to the first cluster whose present representative it overlaps enough. The
     representative is the member of the best score, then the shortest, then the first; it changes as members join, so this is a
-    fold in order and not a matter of connected components. A note is one group, which a document bounds."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        # a span overlaps no cluster whose representatives all end before it; ends only matter while they lie ahead
-        spans = sorted(frame[["start", "end", "score", "teacher", "text", "label"]].itertuples(index=False, name=None), key=lambda s: (s[0], s[1], -s[2], s[3]))
-        clusters: list[list[tuple]] = []
-        near: list[list[tuple]] = []
-        for s in spans:
-            near = [c for c in near if max(m[1] for m in c) > s[0]]
-            for c in near:
-                r = c[0]
-                shorter, inter = min(s[1] - s[0], r[1] - r[0]), min(s[1], r[1]) - max(s[0], r[0])
-                if shorter > 0 and inter > 0 and inter / shorter >= overlap:
-                    c.append(s)
-                    c.sort(key=lambda m: (-m[2], m[1] - m[0], m[0]))
-                    break
-            else:
-                near.append([s])
-                clusters.append(near[-1])
-        out = []
-        for c in clusters:
-            names = sorted({m[3] for m in c})
-            top, mean = max(m[2] for m in c), sum(m[2] for m in c) / len(c)
-            r = c[0]
-            out.append((frame["note_id"].iloc[0], r[0], r[1], r[4], r[5], names, len(names), top, mean, min(1.0, top + bonus * (len(names) - 1))))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in MERGED.split(", ")])
-
-    return rows.groupBy("note_id").applyInPandas(fold, MERGED)
+    fold in order and not a matter of connected components. Its text, normalised text (where rows have a column normalized; else, and
+    where that is empty, the text) and label are the cluster's. A task holds the clusters that reach a place of one note. dealt:
+    rows come from marked or usable, so that the rows of a note are in one partition."""
+    if "normalized" not in rows.columns:
+        rows = rows.withColumn("normalized", F.lit(None).cast("string"))
+    rows = rows.withColumn("score", F.col("score").cast("double")).withColumn("note_id", F.col("note_id").cast("long"))
+    columns = ["start", "end", "score", "teacher", "text", "normalized", "label"]
+    order = [F.col("start"), F.col("end"), F.desc("score"), F.col("teacher"), F.col("text"), F.col("label")]
+    return fold(rows, ["note_id"], order, columns, _merging(overlap, bonus), _MERGED, dealt)
+
+
+def keeps(min_teachers: int = 2, high_confidence: float = 0.9) -> Column:
+    """Of merged spans: enough teachers or one sure one found it, and it is neither a section header nor a short span that isn't allowed."""
+    good = ~X.is_section_header(F.col("text")) & X.allowed_span(F.col("text"))
+    return good & ((F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence))
 
 
 def kept(merged: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:
-    """Merged spans that enough teachers or one sure one found, but for section headers and short spans that aren't allowed."""
-    good = ~X.is_section_header(F.col("text")) & X.allowed_span(F.col("text"))
-    return merged.filter(good & ((F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence)))
+    return merged.filter(keeps(min_teachers, high_confidence))
 
 
-def note_stats(raw: DataFrame, post: DataFrame, merged: DataFrame, kept_: DataFrame) -> DataFrame:
-    """note_id, mentions_raw, mentions_post, mentions_merged, mentions_kept."""
-    each = [df.select("note_id", F.lit(k).alias("k")) for k, df in enumerate((raw, post, merged, kept_))]
+def note_stats(marks: DataFrame, merged: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:
+    """note_id, mentions_raw, mentions_post, mentions_merged, mentions_kept, of marked rows (see marked; staged, as both sides read
+    them) and of what their usable ones were merged to."""
     names = ("mentions_raw", "mentions_post", "mentions_merged", "mentions_kept")
-    return each[0].union(each[1]).union(each[2]).union(each[3]).groupBy("note_id").agg(*[F.count_if(F.col("k") == k).alias(n) for k, n in enumerate(names)])
+    zero = F.lit(0)
+    votes = marks.select("note_id", F.lit(1).alias(names[0]), F.col("usable").cast("int").alias(names[1]), zero.alias(names[2]), zero.alias(names[3]))
+    spans = merged.select("note_id", zero.alias(names[0]), zero.alias(names[1]), F.lit(1).alias(names[2]), keeps(min_teachers, high_confidence).cast("int").alias(names[3]))
+    return votes.union(spans).groupBy("note_id").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def note_rows(merged: DataFrame) -> DataFrame:
@@ -99,7 +141,7 @@ def with_base(base: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame, min_sim: float, min_lex: float, min_teachers: int, min_chars: int, max_chars: int) -> DataFrame:
-    """Training pairs; a teacher_count of 0 means that it isn't known, and passes."""
+    """Training pairs; a teacher_count of 0 means that it isn't known, and passes. See ordinal.first for the first so many of them."""
     n = F.char_length(F.trim("text"))
     good = (F.col("sim") >= min_sim) & (F.col("lex") >= min_lex) & ((F.col("teacher_count") == 0) | (F.col("teacher_count") >= min_teachers)) & (n >= min_chars) & (n <= max_chars)
     w = W.partitionBy(F.lower(F.trim("text")), "cui").orderBy("seq")

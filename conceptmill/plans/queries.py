@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..operators import concepts as C
-from ..operators import etl, evaluate, extract, rerank, review, silver, training, vector, view
+from ..operators import etl, evaluate, extract, fold, ordinal, rerank, review, silver, training, vector, view
 from ..options import ExtractOptions
 from ..sources import terminology as T
+from ..staging import staged
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -384,18 +385,19 @@ def _votes(spark, d):
     return w.filter(F.col("h") % 3 > 0).select("note_id", start.cast("int").alias("start"), (start + 8 + F.col("h") % 2).cast("int").alias("end"), "text", F.lit("PROBLEM").alias("label"), ((F.col("h") % 100) / 100).alias("score"), "teacher", (F.col("k") * 2).alias("seq"))
 
 
+_VOTES = "votes AS (SELECT note_id, k * 8 + CASE WHEN teacher = 'two' THEN h % 3 ELSE 0 END AS start, k * 8 + CASE WHEN teacher = 'two' THEN h % 3 ELSE 0 END + 8 + h % 2 AS \"end\", teacher FROM (SELECT note_id, k - 1 AS k, CAST('0x' || substr(md5(note_id || ':' || (k - 1)), 1, 4) AS INT) AS h FROM (SELECT note_id, generate_subscripts(string_split(text, ' '), 1) AS k FROM notes)), (VALUES ('one'), ('two')) AS t(teacher) WHERE h % 3 > 0)"
+
+
 @query()
 def teacher_merge(spark, d):
-    merged = silver.merge(silver.usable(_votes(spark, d), 0.2))
+    merged = silver.merge(silver.usable(_votes(spark, d), 0.2), bonus=0.05, dealt=True)
     return silver.kept(merged).select("note_id", "start", "end", "text", F.concat_ws(",", "teachers").alias("teachers"), F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 @query()
 def teacher_stats(spark, d):
-    raw = _votes(spark, d)
-    post = silver.usable(raw, 0.2)
-    merged = silver.merge(post)
-    return silver.note_stats(raw, post, merged, silver.kept(merged))
+    marks = staged(silver.marked(_votes(spark, d), 0.2, by_teacher={"two": 0.3}), "teacher-votes")
+    return silver.note_stats(marks, silver.merge(marks.filter("usable"), bonus=0.05))
 
 
 _LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_linenumber, l_partkey, p_name, 1 - l_discount * 2 - l_linenumber / 1000.0 AS sim, o_orderpriority AS text, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS lex FROM (SELECT *, " + _WS.format("p_name || ' ' || p_type") + " AS b, " + _WS.format("'small ' || split_part(p_name, ' ', 1) || ' steel'") + " AS a FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))"
@@ -420,6 +422,28 @@ def silver_pairs(spark, d):
     return silver.pairs(rows, 0.3, 0.5, 2, 3, 60).select("p_partkey", F.col("text").alias("p_name"), "cui")
 
 
+@query("SELECT p_partkey, p_name, cui FROM (SELECT *, p_partkey % 50 AS cui, row_number() OVER (PARTITION BY lower(trim(p_name)), p_partkey % 50 ORDER BY p_partkey) AS n FROM part WHERE p_size % 10 / 10.0 >= 0.3 AND (p_size % 3 = 0 OR p_size % 3 >= 2) AND length(trim(p_name)) BETWEEN 3 AND 60) WHERE n = 1 ORDER BY p_partkey LIMIT 500")
+def limited_pairs(spark, d):
+    """The first 500 silver pairs in the order of their rows."""
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), (F.col("p_partkey") % 50).alias("cui"), ((F.col("p_size") % 10) / 10).alias("sim"), F.lit(1.0).alias("lex"), (F.col("p_size") % 3).alias("teacher_count"), F.col("p_partkey").alias("seq"))
+    return ordinal.first(silver.pairs(rows, 0.3, 0.5, 2, 3, 60), 500, [F.col("seq")]).select("p_partkey", F.col("text").alias("p_name"), "cui")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS concept_row FROM lineitem")
+def numbered_rows(spark, d):
+    """Rows numbered from 0 in an order, as positions of concepts are."""
+    return ordinal.numbered(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), [F.col("l_orderkey"), F.col("l_linenumber")], "concept_row")
+
+
+@query("SELECT quantile_disc(l_extendedprice, 0.25) AS q1, median(l_extendedprice) AS q2, quantile_disc(l_extendedprice, 1.0) AS q4 FROM lineitem")
+def exact_quantiles(spark, d):
+    """Order statistics without a sort of all rows."""
+    rows = t(spark, d, "lineitem")
+    n = rows.count()
+    found = ordinal.order_statistics(rows, "l_extendedprice", {-(-n // 4) - 1, n - 1})
+    return spark.createDataFrame([(found[-(-n // 4) - 1], ordinal.median(rows, "l_extendedprice"), found[n - 1])], "q1 double, q2 double, q4 double")
+
+
 @query("SELECT p_partkey FROM part ORDER BY md5('13:' || p_partkey), p_partkey LIMIT 100")
 def hash_sample(spark, d):
     return silver.hash_sample(t(spark, d, "part").select("p_partkey"), "p_partkey", 100)
@@ -479,10 +503,12 @@ def retrieval_metrics(spark, d):
     return review.retrieval(f.select("query_id", (F.col("rank") - 1).alias("rank"), (F.col("la") == F.col("lb")).alias("hit")), 5)
 
 
-@query()
+_KEPT = 'SELECT note_id, s[1] AS start, s[2] AS "end" FROM (SELECT note_id, unnest(list_transform(range(1, len(r) // 2 + 1), lambda i: [r[2 * i], r[2 * i + 1]])) AS s FROM (SELECT note_id, list_reduce(list_prepend([CAST(0 AS BIGINT)], list(CAST([start, "end"] AS BIGINT[]) ORDER BY start, "end" DESC)), lambda kept, s: CASE WHEN s[1] >= kept[1] THEN list_concat([s[2]], kept[2:], s) ELSE kept END) AS r FROM votes GROUP BY note_id))'
+
+
+@query(f'WITH notes AS {_NOTES}, {_VOTES} SELECT note_id, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM ({_KEPT})')
 def highlight_spans(spark, d):
-    spans = _votes(spark, d).groupBy("note_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    return spans.select("note_id", F.explode(review.non_overlapping(F.col("s"))).alias("x")).select("note_id", "x.start", "x.end")
+    return fold.apart(_votes(spark, d), ["note_id"])
 
 
 #: Rows of an extraction, made of order lines.
