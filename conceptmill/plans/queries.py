@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from ..functions import text as X
 from ..operators import concepts as C
 from ..operators import etl, evaluate, extract, fold, ordinal, rerank, review, silver, training, vector, view
 from ..options import ExtractOptions
+from ..sources import json_arrays, npy
 from ..sources import terminology as T
-from ..staging import staged
+from ..staging import shared_dir, staged
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -189,6 +192,27 @@ def vector_topk(spark, d):
     return _topk(spark, d).select("query_id", "rank", "concept_row", F.round("score", 6).alias("score"))
 
 
+def _new(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dim, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
+def stored_vectors(spark, d):
+    """Vectors written as .npy parts and read back."""
+    e, path = t(spark, d, "embeddings"), _new(spark, "vectors")
+    npy.append(e.select(F.col("vec_id").alias("concept_row"), F.col("embedding").alias("v")), path)
+    v = npy.read(spark, path)
+    return v.select(F.col("concept_row").alias("vec_id"), F.size("v").alias("dim"), F.round(F.sqrt(vector.dot(F.col("v"), F.col("v"))), 5).alias("norm"))
+
+
+@query("SELECT doc_id, source, text FROM documents")
+def json_array_items(spark, d):
+    """Rows written as JSON arrays, a file a partition, and read back in splits."""
+    docs, path = t(spark, d, "documents"), _new(spark, "arrays")
+    json_arrays.write(docs.select("doc_id", "source", "text"), path)
+    return json_arrays.array(spark, path, "struct<doc_id:long,source:string,text:string>").select("item.doc_id", "item.source", "item.text")
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(lead AS DOUBLE[])), 6) AS cosine FROM (SELECT a.vec_id, a.embedding, b.embedding AS lead FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 def vector_norm_cosine(spark, d):
     e = t(spark, d, "embeddings")

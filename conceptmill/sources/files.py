@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import json_arrays
+from . import npy as npy_files
+
 
 def notes(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int | None = None, limit: int | None = None) -> DataFrame:
     """note_file, note_type, bytes_read, text of the .txt files (any case) under path, by name. The cap counts bytes; a character cut by
@@ -30,8 +33,8 @@ def jsonl_all(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def json_array(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """pos, item of a file that is one JSON array of items of a type."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("pos", "item"))
+    """pos, item of a file that is one JSON array of items of a type; see json_arrays, which reads it in splits."""
+    return json_arrays.array(spark, path, item)
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -40,9 +43,13 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """concept_row, cui, prefterm, embedding_dim of a metadata file of parallel arrays."""
-    one = spark.read.schema("cuis array<int>, prefterms array<string>, embedding_dim int").option("multiLine", "true").json(path)
-    return one.select("embedding_dim", F.posexplode(F.arrays_zip("cuis", "prefterms")).alias("concept_row", "x")).select(F.col("concept_row").cast("long").alias("concept_row"), F.col("x.cuis").alias("cui"), F.col("x.prefterms").alias("prefterm"), "embedding_dim")
+    """concept_row, cui, prefterm, embedding_dim of a metadata file of parallel arrays; an error when it runs if one is shorter."""
+    cuis = json_arrays.array(spark, path, "int", "cuis").withColumnRenamed("item", "cui").withColumn("__c", F.lit(True))
+    terms = json_arrays.array(spark, path, "string", "prefterms").withColumnRenamed("item", "prefterm").withColumn("__t", F.lit(True))
+    dim = spark.read.option("lineSep", ",").text(path).select(F.regexp_extract("value", r'"embedding_dim"\s*:\s*(\d+)', 1).alias("d")).filter("d <> ''").agg(F.max(F.col("d").cast("int")).alias("embedding_dim"))
+    both = cuis.join(terms, "pos", "full_outer")
+    row = F.when(F.col("__c").isNull() | F.col("__t").isNull(), F.raise_error(F.format_string("cuis and prefterms differ at %d", "pos"))).otherwise(F.col("pos"))
+    return both.crossJoin(F.broadcast(dim)).select(row.cast("long").alias("concept_row"), "cui", "prefterm", "embedding_dim")  # one row of dim
 
 
 def dictionary(spark: SparkSession, path: str, min_length: int = 2) -> dict[str, str]:
@@ -52,39 +59,17 @@ def dictionary(spark: SparkSession, path: str, min_length: int = 2) -> dict[str,
 
 def positional(spark: SparkSession, path: str, wanted: DataFrame, item: str = "string") -> DataFrame:
     """Items of a JSON array at the wanted positions (column pos); an error when it runs if the array is too short for one."""
-    items = wanted.select("pos").join(json_array(spark, path, item), "pos", "left")
-    size = spark.read.text(path, wholetext=True).select(F.json_array_length("value").alias("n"))
-    short = F.when(F.col("pos") >= F.col("n"), F.raise_error(F.format_string("no item %d", "pos"))).otherwise(F.col("pos"))
-    return items.crossJoin(F.broadcast(size)).select(short.cast("int").alias("pos"), "item")  # one row of size
+    return json_arrays.positional(spark, path, wanted, item)
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
-    """concept_row, v of a NumPy file with a matrix, read in tasks of 4096 rows each; the file must be where executors read it."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
-    local = path.removeprefix("file://")
-    rows, block = len(np.load(local, mmap_mode="r")), 4096
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = np.load(local, mmap_mode="r")
-        for frame in frames:
-            for k in frame["id"]:
-                part = np.asarray(m[k * block : (k + 1) * block], np.float32)
-                yield pd.DataFrame({"concept_row": np.arange(k * block, k * block + len(part)), "v": list(part)})
-
-    n = -(-rows // block)
-    return spark.range(n).repartition(max(1, n)).mapInPandas(read, "concept_row long, v array<float>")
+    """concept_row, v of a NumPy file with a matrix or a folder of them; see the data source in npy."""
+    return npy_files.read(spark, path)
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
     """Files that each are one JSON array, a file a partition, rows in the order of the partition."""
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    each = rows.withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    arrays = each.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "j"))), lambda x: x["j"]), ",\n"), F.lit("]")).alias("value"))
-    arrays.select("value").write.option("lineSep", "\n").text(path)
+    json_arrays.write(df, path)
 
 
 def append_vectors(texts: DataFrame, embed, path: str, key: str = "concept_row") -> None:
