@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..operators import concepts as C
-from ..operators import etl, evaluate, extract, fold, ordinal, rerank, review, silver, training, vector, view
+from ..operators import dictionary, etl, evaluate, extract, fold, ordinal, rerank, review, silver, training, vector, vector_index, view
 from ..options import ExtractOptions
 from ..sources import json_arrays, npy
 from ..sources import terminology as T
@@ -109,6 +109,21 @@ def expansion_offsets(spark, d):
     return notes(spark, d).select("note_id", F.explode(X.expansions(F.col("text"))).alias("x")).select("note_id", "x.start", "x.end", "x.original", "x.expanded")
 
 
+def _dictionary(spark):
+    return dictionary.keys_of(spark.createDataFrame(list(K.ABBREVIATIONS.items()), "key string, value string"))
+
+
+@query(ORACLE["abbreviation_expansion"])
+def dictionary_expansion(spark, d):
+    """As abbreviation_expansion, with the dictionary as a table."""
+    return dictionary.expand(notes(spark, d), _dictionary(spark))
+
+
+@query(ORACLE["expansion_offsets"])
+def dictionary_offsets(spark, d):
+    return dictionary.expansions(notes(spark, d), _dictionary(spark)).select("note_id", "start", "end", "original", "expanded")
+
+
 @query(f"WITH notes AS {_NOTES}, {_TOKENS} SELECT note_id, start, CAST(start + length(part) AS INT) AS \"end\", part AS text, coalesce(v, part) AS normalized FROM tok LEFT JOIN (VALUES {_DICT}) AS d(k, v) ON k = upper(part) WHERE regexp_full_match(part, '[A-Za-z0-9]{{2,12}}') AND regexp_matches(part, '[A-Z0-9]') AND upper(part) IN (" + ", ".join(f"'{x}'" for x in K.SHORT_SPANS) + ")")
 def abbreviation_spans(spark, d):
     return notes(spark, d).select("note_id", F.explode(X.abbreviation_spans(F.col("text"))).alias("x")).select("note_id", "x.start", "x.end", "x.text", "x.normalized")
@@ -192,6 +207,31 @@ def vector_topk(spark, d):
     return _topk(spark, d).select("query_id", "rank", "concept_row", F.round("score", 6).alias("score"))
 
 
+_LISTS = "lists AS (SELECT vec_id, embedding, list_id FROM (SELECT e.vec_id, e.embedding, c.vec_id AS list_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY 2 * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) - list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS n FROM embeddings e, embeddings c WHERE c.vec_id < 16) WHERE n = 1)"
+_PROBES = "probes AS (SELECT vec_id, embedding, list_id FROM (SELECT q.vec_id, q.embedding, c.vec_id AS list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS n FROM embeddings q, embeddings c WHERE c.vec_id < 16 AND q.vec_id % 20 = 0) WHERE n <= 4)"
+
+
+def _stored(spark, d):
+    """An index of all vectors, with the first sixteen as centroids; the last half of them appended."""
+    e, path = t(spark, d, "embeddings").select(F.col("vec_id").alias("concept_row"), F.col("embedding").alias("v")), _new(spark, "index")
+    centroids = e.filter("concept_row < 16").select(F.col("concept_row").alias("list_id"), F.col("v").alias("c"))
+    vector_index.build(e.filter("concept_row % 2 = 0"), path, nprobe=4, centroids=centroids)
+    vector_index.append(e, path)
+    return vector_index.open_index(spark, path, 64, e.count())
+
+
+@query(f"WITH {_LISTS} SELECT list_id, count(*) AS n, 64 AS dim FROM lists GROUP BY list_id")
+def stored_index_lists(spark, d):
+    return vector_index.sizes(_stored(spark, d)).select(F.col("list_id").cast("long").alias("list_id"), "n", "dim")
+
+
+@query(f"WITH {_LISTS}, {_PROBES} SELECT query_id, CAST(rank AS INT) AS rank, concept_row, round(score, 6) AS score FROM (SELECT p.vec_id AS query_id, l.vec_id AS concept_row, list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) DESC, l.vec_id) - 1 AS rank FROM probes p JOIN lists l USING (list_id)) WHERE rank < 8")
+def stored_index_topk(spark, d):
+    index = _stored(spark, d)
+    q = t(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return vector_index.search(index, q, 8).select("query_id", "rank", "concept_row", F.round("score", 6).alias("score"))
+
+
 def _new(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

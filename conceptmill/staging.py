@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df, marked for broadcast if its rows, counted, are few enough; to be called on staged or tiny tables of narrow rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(field: T.StructField) -> Column:
+    """About the bytes of a column in a row."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = 100_000, n_bytes: int = 1 << 25) -> DataFrame:
+    """df, marked for broadcast if its rows, counted, and their bytes, summed, are few enough; to be called on staged or tiny tables."""
+    n, total = df.agg(F.count("*"), F.sum(reduce(add, [_bytes(f) for f in df.schema], F.lit(16)).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= n_bytes else df
