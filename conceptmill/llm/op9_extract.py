@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of text over lines.
 
-The page's markup is stripped into lines, one a block, in page order. Menus, headers, footers, forms, scripts, comments and so on
-leave empty lines. Over the lines the text lengths of each few neighbouring ones are summed; the curve surges where text begins and
-dives where it ends: where all lines of a window are empty or mostly links. The lines from a surge to the next dive are the text.
-Tags and names only say where lines and the borders of the article are, and which elements can't be text.
+The page's markup is stripped into lines, one a block, in page order. A line weighs as much as its text is long; mostly linked ones and
+those of menus, headers, footers, adverts, comments and the like weigh nothing. The curve sums the weights of each few neighbouring
+lines; it surges where text begins and dives where it ends. From the lines between a surge and the next dive the innermost element
+around the heavy ones is found, and with it the light lines that belong to them: links in the middle, a list of references at the end.
+Tags and names cut lines, lower weights and bound elements; what is text the curve says, over all lines alike.
 """
 
 from __future__ import annotations
@@ -19,18 +20,19 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-#: Elements that hold no main text, elements without an end tag, and elements that begin and end a block.
-_SKIPPED = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg math canvas object audio video dialog menu head title".split())
+#: Elements without text of the page, such that hold other text than the article's, elements without an end tag, and such within a block.
+_DROPPED = frozenset("script style noscript template form button select textarea iframe svg math canvas object audio video dialog head title".split())
+_ASIDE = frozenset("nav header footer aside menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img script style template".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
-#: Whole words of class and role, and whole ids, of elements other than the article.
+#: Whole words of class and role, and whole ids, of elements other than the article; and what such a word may begin or end with.
 _NAMES = frozenset("""
-    ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments comment-list comment-section cookie cookies cookie-banner cookie-notice
-    consent disqus disqus_thread footer site-footer header site-header masthead menu main-menu nav navbar navigation newsletter notice notices pagination pager
-    popup modal promo related related-posts related-articles replies share sharing share-buttons sidebar side-bar social sponsor sponsored subscribe subscription
-    toolbar widget login signup search alert contentinfo complementary form
+    adbox banner breadcrumb breadcrumbs comment comment-list comment-section consent disqus_thread site-footer header site-header masthead main-menu navbar
+    navigation notice notices pagination pager popup modal promo related related-posts related-articles replies share sharing share-buttons side-bar social
+    subscribe subscription toolbar widget contentinfo complementary
 """.split())
+_PARTS = frozenset("ad ads advert adverts advertisement comments cookie cookies disqus footer menu nav newsletter sidebar sponsor sponsored".split())
 #: A quote counts after an equals sign alone, so that a stray one hides no end of a tag.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?i)(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -39,70 +41,94 @@ _WHITE = re.compile(r"\s+")
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul details dialog figcaption menu".split())
 _ITEMS = ("li", "dt", "dd", "tr", "td", "th", "option")
 _KEPT, _ARTICLE = frozenset("article main body html".split()), frozenset("article main".split())
-#: Elements whose lines count in full even if they are links.
+#: Elements whose lines count in full even if they are links, and whose names say nothing.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+#: What is around everything; lines have nothing in common by it.
+_ROOT = frozenset(("html", "body", ""))
 
 
 class Element:
-    """An element that isn't text, unless it turns out to hold the article; by: "tag", or "name" of its class, id or role."""
+    """An element whose lines weigh nothing, unless it turns out to hold the article or most of the page; around: the next such one."""
 
-    __slots__ = ("by", "holds", "size")
+    __slots__ = ("around", "holds", "kind", "size", "void")
 
-    def __init__(self, by: str):
-        self.by, self.holds, self.size = by, False, 0
+    def __init__(self, kind: str, around: Element | None):
+        self.kind, self.around, self.holds, self.size, self.void = kind, around, False, 0, False
+
+
+class Block:
+    """A block element: what is around it, its depth, its number by beginning, its lines (first to last), and the article or main around
+    it, itself included."""
+
+    __slots__ = ("around", "article", "depth", "first", "last", "name", "serial")
+
+    def __init__(self, name: str, around: Block | None, first: int, serial: int):
+        self.name, self.around, self.first, self.last, self.serial = name, around, first, -1, serial
+        self.depth = around.depth + 1 if around else 0
+        self.article = self if name in _ARTICLE else around.article if around else None
 
 
 class Line:
-    __slots__ = ("gone", "inside", "text", "weight")
+    __slots__ = ("block", "light", "text", "under")
 
-    def __init__(self, text: str, weight: int, inside: bool, gone: tuple[Element, ...]):
-        self.text, self.weight, self.inside, self.gone = text, weight, inside, gone
+    def __init__(self, text: str, light: bool, block: Block, under: Element | None):
+        self.text, self.light, self.block, self.under = text, light, block, under
 
 
-def _named(rest: str) -> bool:
+def _kind(name: str, rest: str, inside: bool) -> str:
+    """What an element's tag and attributes make of it: "dropped", "aside", "named" or nothing."""
+    named = ""
     for m in _ATTR.finditer(rest):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name in ("class", "id", "role") and not _NAMES.isdisjoint(value.split())):
-            return True
-    return False
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            return "dropped"
+        if key in ("class", "id", "role") and name not in _PROSE:
+            for word in value.split():
+                parts = re.split("[-_]", word)
+                if word in _NAMES or parts[0] in _PARTS or parts[-1] in _PARTS:
+                    named = "named"
+    if name in _DROPPED:
+        return "dropped"
+    # a header inside an article holds its title
+    if name in _ASIDE and not (name == "header" and inside):
+        return "aside"
+    return "" if name in _KEPT else named
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's lines of text, in order: the text, what it weighs (nothing if it is mostly links, but in a paragraph or heading),
-    whether it is inside article or main, and the elements around it that aren't text. The borders of article and main are empty lines."""
+    """The page's lines of text, in order, each with its block and the elements around it that may not be text; light: mostly links,
+    but in a paragraph or heading. Time and memory follow the page's length, however deep its elements."""
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, Element | None, bool]] = []  # open elements: name, if it isn't text, article
+    stack: list[tuple[str, Element | None, Block | None]] = []  # open elements: name, what under was before, what block was before
     count: Counter[str] = Counter()  # of open elements, so that the stack is searched only for what it holds
-    links = inside = 0
-    gone: tuple[Element, ...] = ()
-    at = 0
+    elements: list[Element] = []
+    links = 0
+    block, under = Block("", None, 0, 0), None
+    at = serial = 0
 
     def flush() -> None:
         nonlocal parts, links
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                block = next((s[0] for s in reversed(stack) if s[0] not in _INLINE), "")
-                out.append(Line(text, 0 if 2 * links > len(text) and block not in _PROSE else len(text), inside > 0, gone))
-                for e in gone:
-                    e.size += len(text)
+                out.append(Line(text, 2 * links > len(text) and block.name not in _PROSE, block, under))
+                if under is not None:
+                    under.size += len(text)
             parts, links = [], 0
 
-    def border() -> None:
-        out.extend([Line("", 0, inside > 0, ())] * WIDTH)
-
     def close(k: int) -> None:
-        nonlocal inside, gone
-        for name, element, article in stack[k:]:
-            if article:
-                border()
-            inside -= article
+        nonlocal block, under
+        for name, _, before in reversed(stack[k:]):
             count[name] -= 1
-            if element is not None:
-                gone = tuple(e for e in gone if e is not element)
+            if before is not None:
+                block.last, block = len(out), before
+        under = stack[k][1]
         del stack[k:]
 
+    def last(*names: str) -> int | None:
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in names), None) if any(count[n] for n in names) else None
+
     def say(text: str) -> None:
         nonlocal links
         if text:
@@ -127,25 +153,20 @@ def lines_of(page: str) -> list[Line]:
         if not m["name"]:
             continue
         name = m["name"].lower()
-        block = name not in _INLINE
+        is_block = name not in _INLINE
+        if is_block:
+            flush()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None) if count[name] else None
-            if block:
-                flush()
+            k = last(name)
             # a stray end tag doesn't close the article
-            if k is not None and (name in _KEPT or stack[k][1] is not None or not any(s[2] for s in stack[k + 1 :])):
+            if k is not None and (name in _KEPT or name in _ASIDE or name in _DROPPED or block.article is None or block.article.depth <= _depth(stack, k)):
                 close(k)
             continue
-        if block:
-            flush()
-        if name in _ENDS_P and count["p"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and not any(s[0] in _ENDS_P for s in stack[k + 1 :]):
-                close(k)
-        if name in _ITEMS and any(count[x] for x in _ITEMS):
+        if name in _ENDS_P and (k := last("p")) is not None and not any(s[0] in _ENDS_P for s in stack[k + 1 :]):
+            close(k)
+        if name in _ITEMS:
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (*same, "ul", "ol", "dl", "table", "select")), None)
-            if k is not None and stack[k][0] in same:
+            if any(count[x] for x in same) and (k := last(*same, "ul", "ol", "dl", "table", "select")) is not None and stack[k][0] in same:
                 close(k)
         if name in _VOID or m["rest"].rstrip().endswith("/"):
             continue
@@ -153,65 +174,105 @@ def lines_of(page: str) -> list[Line]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        article = name in _ARTICLE
-        element = None
-        # a header inside an article holds its title
-        if name in _SKIPPED and not (name == "header" and inside):
-            element = Element("tag")
-        elif name not in _KEPT and _named(m["rest"]):
-            element = Element("name")
-        if article:
-            border()
-            for e in gone:
-                e.holds = True
-        stack.append((name, element, article))
+        stack.append((name, under, block if is_block else None))
         count[name] += 1
-        inside += article
-        if element is not None:
-            gone = (*gone, element)
+        if is_block:
+            serial += 1
+            block = Block(name, block, len(out), serial)
+            if name in _ARTICLE and under is not None:
+                under.holds = True
+        if kind := _kind(name, m["rest"], block.article is not None):
+            under = Element(kind, under)
+            elements.append(under)
     flush()
+    while stack:
+        close(len(stack) - 1)
+    block.last = len(out)
+    for e in reversed(elements):
+        if e.around is not None:
+            e.around.size += e.size
+            e.around.holds |= e.holds
+    for e in elements:  # those around come first
+        e.void = (e.kind != "named" and not e.holds) or (e.around is not None and e.around.void)
+    marked = any(x.block.article is not None and not (x.under and x.under.void) for x in out)
+    most = sum(len(x.text) for x in out) / 2
+    for e in elements:  # an element that is most of a page without an article isn't struck by its name
+        own = not e.holds and (e.kind != "named" or marked or e.size <= most)
+        e.void = own or (e.around is not None and e.around.void)
     return out
 
 
-#: Lines of a window, and the sum at which the curve surges; a page whose curve stays below has its own highest sum as surge.
+def _depth(stack: list[tuple[str, Element | None, Block | None]], k: int) -> int:
+    """The depth of the block that the stack's k-th element is or is in."""
+    before = next((s[2] for s in stack[k:] if s[2] is not None), None)
+    return before.depth + 1 if before is not None and stack[k][2] is not None else 1 << 30
+
+
+#: Lines of a window, and the sum at which the curve surges; a page, or an article, whose curve stays below has its own highest sum as surge.
 WIDTH, SURGE = 3, 60
 
 
 def stretches(weights: list[int], width: int = WIDTH, surge: int = SURGE) -> list[tuple[int, int]]:
     """The lines from a surge to the next dive, in order. The curve at a line is the sum over it and the next width - 1 lines; it dives
     where that is nothing. A stretch between two dives counts if the curve reaches surge in it; it begins and ends with a line that weighs."""
+    return [(a, b) for a, b, top in _rises(weights, width) if top >= max(1, min(surge, _top(weights, width)))]
+
+
+def _top(weights: list[int], width: int) -> int:
+    return max((sum(weights[k : k + width]) for k in range(len(weights))), default=0)
+
+
+def _rises(weights: list[int], width: int) -> list[tuple[int, int, int]]:
+    """The stretches between two dives, whether they surge or not: first and after the last line that weighs, and the curve's top."""
     sums = [sum(weights[k : k + width]) for k in range(len(weights))]
-    surge = max(1, min(surge, max(sums, default=0)))
     found, k = [], 0
     while k < len(sums):
-        if not sums[k]:
-            k += 1
-            continue
         end = k
         while end < len(sums) and sums[end]:
             end += 1
-        if max(sums[k:end]) >= surge:
+        if end > k:
             heavy = [i for i in range(k, end) if weights[i]]
-            found.append((heavy[0], heavy[-1] + 1))
-        k = end
+            found.append((heavy[0], heavy[-1] + 1, max(sums[k:end])))
+        k = end + 1
     return found
 
 
+def _common(blocks: list[Block]) -> Block:
+    """The innermost block around all: that around the first and the last that began."""
+    a, b = min(blocks, key=lambda x: x.serial), max(blocks, key=lambda x: x.serial)
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.around
+        else:
+            b = b.around
+    return a
+
+
 def main_text(page: str | None) -> str:
-    """The main text of a whole page; empty if there is none. Where article or main has text, lines outside are none, and inside any
-    text is a surge; elsewhere an element isn't struck out by its name if most of the page's text is in it."""
-    found = lines_of(page or "")
-    marked = any(x.inside for x in found if x.text and not any(e.by == "tag" and not e.holds for e in x.gone))
-    most = sum(len(x.text) for x in found) / 2
-    lines: list[Line] = []
-    for x in found:
-        out = any(not e.holds and (marked or e.by == "tag" or e.size <= most) for e in x.gone) or (marked and not x.inside)
-        lines += [Line("", 0, x.inside, ())] * WIDTH if out else [x]
-    weights = [x.weight for x in lines]
+    """The main text of a whole page; empty if there is none. If the curve surges inside article or main, the stretches outside are
+    none of it; an article whose curve stays below the surge has its own top as surge."""
+    lines = lines_of(page or "")
+    void = [x.under is not None and x.under.void for x in lines]
+    weights = [0 if v or x.light else len(x.text) for x, v in zip(lines, void, strict=True)]
     if not any(weights):  # nothing but links
-        weights = [len(x.text) for x in lines]
-    kept = stretches(weights, surge=1 if marked else SURGE)
-    return "\n".join(x.text for a, b in kept for x in lines[a:b] if x.text)
+        weights = [0 if v else len(x.text) for x, v in zip(lines, void, strict=True)]
+    rises = _rises(weights, WIDTH)
+    least = max(1, min(SURGE, max((top for *_, top in rises), default=0)))
+    marked = [r for r in rises if any(lines[i].block.article for i in range(r[0], r[1]) if weights[i])]
+    if marked:
+        least = min(least, max(top for *_, top in marked))
+    kept: set[int] = set()
+    for a, b, top in marked or rises:
+        if top < least:
+            continue
+        heavy = [i for i in range(a, b) if weights[i] and (not marked or lines[i].block.article)]
+        around = _common([lines[i].block for i in heavy])
+        around = around.article or around
+        if around.name in _ROOT:
+            kept.update(range(heavy[0], heavy[-1] + 1))
+        else:  # with the light lines of the same element, at its ends too
+            kept.update(range(around.first, around.last))
+    return "\n".join(lines[i].text for i in sorted(kept) if not void[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

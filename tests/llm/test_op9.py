@@ -1,6 +1,8 @@
 import html
 import html.parser
 import random
+import re
+import time
 
 from conceptmill.llm import op9_extract as op
 
@@ -71,8 +73,40 @@ def test_the_curve_decides():
     # a short list or table in the middle doesn't
     items = "<ul>" + "".join(f"<li>item {k}</li>" for k in range(8)) + "</ul>"
     assert op.main_text(f"<body>{links}{text}{items}{text}</body>") == "\n".join([want, *(f"item {k}" for k in range(8)), want])
-    # links at the end of a marked article dive, a paragraph that is a link doesn't
-    assert op.main_text(f"<article><h1><a href=x>Title</a></h1><p>Text.</p><p><a href=y>A paragraph.</a></p>{links}</article>") == "Title\nText.\nA paragraph."
+    # links at the end of an article are its own
+    got = op.main_text(f"<article><h1><a href=x>Title</a></h1><p>Text.</p><p><a href=y>A paragraph.</a></p>{links}</article>{links}")
+    assert got == "\n".join(["Title", "Text.", "A paragraph.", *(f"Section number {k}" for k in range(6))])
+
+
+def test_light_lines_of_the_article_stay():
+    text = "".join(f"<p>{k} {'word ' * 30}</p>" for k in range(3))
+    want = "\n".join(f"{k} {('word ' * 30).strip()}" for k in range(3))
+    items = [f"Reference number {k}" for k in range(6)]
+    refs = "<ul>" + "".join(f"<li><a href=/{k}>{x}</a></li>" for k, x in enumerate(items)) + "</ul>"
+    for wrap in ("article", "main", "div", "section"):
+        whole = lambda inner, w=wrap: op.main_text(f"<body><nav><a href=x>Menu</a></nav><div class=ad>Buy this, it is cheap.</div><{w}>{inner}</{w}><footer>&copy; us, all of it</footer></body>")
+        assert whole(text + refs) == "\n".join([want, *items])
+        assert whole(text + "<ul><li><a href=q>only one</a></li></ul>") == want + "\nonly one"
+        assert whole(text + refs + text) == "\n".join([want, *items, want])
+        assert whole("<div><a href=x>opening</a></div>" + text) == "opening\n" + want
+        assert whole(f"<p class=notice>n</p><div id=login>l</div>{text}") == "n\nl\n" + want
+        assert whole(f"{text}<div class=reader-comments><p>{'c ' * 100}</p></div>") == want
+        assert whole(f"<div class=ad-slot>buy it now</div>{text}<aside>{'more ' * 40}</aside>") == want
+
+
+def test_marks_change_nothing_that_the_curve_finds(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = op.main_text(r.html)
+        for tag in ("div", "section", "td"):
+            assert op.main_text(re.sub(r"(</?)(article|main)\b", rf"\g<1>{tag}", r.html)) == want
+
+
+def test_deep_elements_cost_their_length():
+    for tag in ("nav", "div", "b", "li", "p", "section class=ad", "article", "form", "td"):
+        began = time.process_time()
+        op.main_text(f"<{tag}>x" * 16_000)
+        op.main_text("<article>" + f"<{tag}>x" * 8_000 + f"</{tag.split()[0]}>" * 8_000 + "</article>")
+        assert time.process_time() - began < 3, tag
 
 
 def test_names_are_whole_words():
