@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
@@ -19,6 +20,7 @@ from ..options import ExtractOptions
 from ..staging import staged
 from . import extract, rerank, vector
 
+
 def ngram_vector(text: Column, dim: int = 64) -> Column:
     """A stand-in for a learned encoder: counts of hashed character trigrams, of length one. Each row stands alone, so batches
     don't change it."""
@@ -110,3 +112,13 @@ def batch_results(notes: DataFrame, rows: DataFrame) -> DataFrame:
     found = F.transform(F.array_sort("x", lambda a, b: F.when(a["__s"] < b["__s"], -1).when(a["__s"] > b["__s"], 1).when(a["__t"] < b["__t"], -1).when(a["__t"] > b["__t"], 1).otherwise(0)), lambda r: r["row"])
     out = notes.select("note_id").join(each, "note_id", "left").select("note_id", found.alias("extractions"))
     return out.withColumn("count", F.coalesce(F.size("extractions"), F.lit(0))).withColumn("count", F.greatest("count", F.lit(0)))
+
+
+def extract_batch(notes: DataFrame, concepts: DataFrame, options: ExtractOptions = ExtractOptions(), **given) -> tuple[DataFrame, dict[str, int]]:
+    """batch_results of the notes, written once into the shared folder, and meta: ms, notes and count (of extractions). The counts are
+    taken as the rows are written, so that they cost no further pass."""
+    began, seen = time.monotonic(), Observation("extract_batch")
+    results = batch_results(notes, extract_concepts(notes, concepts, options, **given))
+    watched = results.observe(seen, F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    done = staged(watched, "extract-batch")
+    return done, {"ms": int(1000 * (time.monotonic() - began)), "notes": int(seen.get["notes"]), "count": int(seen.get["count"])}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ordinal
+
 
 def first_per_key(rows: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
     w = W.partitionBy(key).orderBy(order)
@@ -79,6 +81,22 @@ def adjacency(e: DataFrame, concepts: DataFrame, order: str | None = None) -> Da
     return out.select("concept_row", (F.col("end") - F.col("n")).alias("start"), "end", "neighbours")
 
 
+def adjacency_chunks(e: DataFrame, most: int = 1024) -> DataFrame:
+    """concept_row, chunk (from 0), start (place of its first neighbour among all, end to end), neighbours (at most so many, by dst): the
+    adjacency of e (src, dst) with no concept's neighbours in one row or task. Concepts without edges have no chunk."""
+    placed = ordinal.numbered(e.select("src", "dst"), [F.col("src"), F.col("dst")], "__at")
+    firsts = placed.groupBy("src").agg(F.min("__at").alias("__first"))
+    chunk = F.floor((F.col("__at") - F.col("__first")) / most)
+    cut = placed.join(firsts, "src").withColumn("chunk", chunk)
+    lists = cut.groupBy(F.col("src").alias("concept_row"), "chunk").agg(F.min("__at").alias("start"), F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    return lists.select("concept_row", "chunk", "start", "neighbours")
+
+
+def chunk_edges(chunks: DataFrame) -> DataFrame:
+    """src, dst of chunks, as relations are counted by."""
+    return chunks.select(F.col("concept_row").alias("src"), F.explode("neighbours").alias("dst"))
+
+
 def relation_meta(e: DataFrame, concepts: DataFrame) -> DataFrame:
     """One row: n_concepts, n_edges, with_edges, max_degree."""
     totals = out_degrees(e).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("n_edges"), F.count("*").alias("with_edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"))

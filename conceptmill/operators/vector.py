@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import small, staged
+from .fold import fold
 
 #: Most queries and base rows of a block; a block of each meets in one group of a task.
 QUERY_BLOCK, BASE_BLOCK, _ROWS = 4096, 65_536, 2048
@@ -28,6 +29,53 @@ def normalised(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def pooled(rows: DataFrame, key: str, mask: str | None = "mask") -> DataFrame:
+    """key, v, n: the mean of the vectors (column v) of each key whose mask is above 0, weighted by it, and the sum of the masks; without a
+    mask column of all. A key whose rows are all masked has a vector of zeros and n 0; null vectors and null masks count as masked.
+
+    Vectors are summed by key in each partition first, then over partitions; vectors of one key must have one length."""
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) if mask else F.lit(1.0)
+    given = rows.select(F.col(key).alias("k"), F.when(F.col("v").isNull(), 0.0).otherwise(weight).alias("w"), F.col("v").cast("array<double>").alias("v"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for k, w, v in zip(batch["k"], batch["w"], batch["v"], strict=True):
+                k = None if pd.isna(k) else k
+                s = sums.setdefault(k, [0.0, None])
+                s[0] += w
+                if v is not None:
+                    s[1] = w * np.asarray(v) if s[1] is None else s[1] + w * np.asarray(v)
+            if len(sums) > 10_000:
+                yield _sums(sums)
+                sums = {}
+        yield _sums(sums)
+
+    def _sums(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"k": pd.Series(list(sums), dtype=object), "w": [s[0] for s in sums.values()], "v": pd.Series([None if s[1] is None else s[1].tolist() for s in sums.values()], dtype=object)})
+
+    schema = f"k {kind}, w double, v array<double>"
+    parts = given.mapInPandas(add, schema)
+
+    class Sum:
+        """The sums of a key's parts."""
+
+        def __init__(self) -> None:
+            self.w, self.v = 0.0, None
+
+        def feed(self, columns: list[list], lo: int, hi: int, out: list[tuple]) -> None:
+            for w, v in zip(columns[0][lo:hi], columns[1][lo:hi], strict=True):
+                self.w += w
+                if v is not None:
+                    self.v = np.asarray(v) if self.v is None else self.v + np.asarray(v)
+
+        def end(self, out: list[tuple]) -> None:
+            out.append(((self.v / max(self.w, 1e-12 if self.w > 0 else 1.0)).tolist() if self.v is not None else None, self.w))
+
+    return fold(parts, ["k"], [], ["w", "v"], Sum, "v array<double>, n double").withColumnRenamed("k", key)
+
+
 def best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each line of scores, the smaller row first of equal ones; rows: of each column, or of each score."""
     rows = np.broadcast_to(rows, scores.shape)

@@ -392,6 +392,11 @@ def relation_adjacency(spark, d):
     return etl.adjacency(e, rows, "place").withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
 
 
+@query(f"WITH {_REL}, p AS (SELECT src, dst, rank() OVER (ORDER BY src) - 1 AS place, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM rel) SELECT src AS concept_row, CAST(i // 7 AS BIGINT) AS chunk, min(place + i) AS start, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM p GROUP BY src, i // 7")
+def relation_chunks(spark, d):
+    return etl.adjacency_chunks(_rel(spark, d)[0], 7).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
+
+
 @query(f"WITH {_REL} SELECT (SELECT count(*) FROM rows) AS n_concepts, CAST(sum(n) AS BIGINT) AS n_edges, count(*) AS with_edges, max(n) AS max_degree FROM (SELECT src, count(*) AS n FROM rel GROUP BY 1)")
 def relation_meta(spark, d):
     return etl.relation_meta(*_rel(spark, d))
@@ -677,6 +682,26 @@ def pending_notes(spark, d):
     return pending(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id").select("doc_id")
 
 
+@query("SELECT label, CAST(i AS INT) AS i, round(sum(CASE WHEN vec_id % 3 > 0 AND label % 7 > 0 THEN x ELSE 0 END) / greatest(sum(CASE WHEN vec_id % 3 > 0 AND label % 7 > 0 THEN 1 ELSE 0 END), 1), 6) + 0.0 AS mean FROM (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def pooled_vectors(spark, d):
+    """Means of the vectors of each label under a mask; some labels are masked as a whole."""
+    e = t(spark, d, "embeddings").select("label", F.col("embedding").alias("v"), ((F.col("vec_id") % 3 > 0) & (F.col("label") % 7 > 0)).cast("int").alias("mask"))
+    return vector.pooled(e, "label").select("label", F.posexplode("v").alias("i", "x")).select("label", "i", (F.round("x", 6) + 0.0).alias("mean"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def streamed_totals(spark, d):
+    """Events that come in micro-batches, into two outputs; the sums of the second one over all batches."""
+    from ..streaming.incremental import Output, run_batches, written
+
+    where, events = _new(spark, "stream"), t(spark, d, "events")
+    events.repartition(4).write.parquet(f"{where}/in")
+    outputs = [Output(f"{where}/rows", lambda b: b.select("event_id", "event_type")), Output(f"{where}/sums", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))]
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
+    run_batches(stream, f"{where}/checkpoint", outputs).awaitTermination()
+    return written(spark, outputs[1]).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
 _NCE = "SELECT a.vec_id AS i, b.vec_id - 1 AS j, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 0.07 AS s FROM embeddings a JOIN embeddings b ON (b.vec_id - 1) // 32 = a.vec_id // 32 AND b.vec_id > 0 WHERE a.vec_id < (SELECT max(vec_id) FROM embeddings)"
 
 
