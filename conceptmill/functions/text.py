@@ -107,7 +107,11 @@ def is_abbreviation(term: Column, dictionary: dict[str, str] = K.ABBREVIATIONS,
 
 def abbreviation_spans(text: Column, allowed: list[str] = K.SHORT_SPANS, dictionary: dict[str, str] = K.ABBREVIATIONS) -> Column:
     """array<struct<start, end, text, normalized>>: words of 2 to 12 letters and digits, with a capital or a digit, that are allowed."""
-    found = F.filter(matches(text, r"\b[A-Za-z0-9]{2,12}\b"), lambda p: p["part"].rlike("[A-Z0-9]") & F.upper(p["part"]).isin(list(allowed)))
+    # the allowed words alone are marked, in any case; few are found, and those without a capital or a digit dropped
+    words = [w for w in allowed if re.fullmatch("[A-Za-z0-9]{2,12}", w)]
+    if not words:
+        return F.array().cast("array<struct<start:int,end:int,text:string,normalized:string>>")
+    found = F.filter(matches(text, _alternation(words)), lambda p: p["part"].rlike("[A-Z0-9]"))
     return F.transform(found, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text"), F.coalesce(expansion_of(p["part"], dictionary), p["part"]).alias("normalized")))
 
 

@@ -12,9 +12,15 @@ from . import silver
 
 def filled(spark: SparkSession, templates: list[tuple[str, str]], conditions: list[str]) -> DataFrame:
     """text, label, entity, source: every template with every condition, two lists that the code holds."""
-    a = spark.createDataFrame(templates, "label string, template string")
-    b = spark.createDataFrame([(c,) for c in conditions], "entity string")
-    return a.crossJoin(F.broadcast(b)).select(F.replace("template", F.lit("{condition}"), F.col("entity")).alias("text"), "label", "entity", F.lit("synthetic").alias("source"))
+    return filled_with(spark.createDataFrame([(c,) for c in conditions], "entity string"), templates).select("text", "label", "entity", "source")
+
+
+def filled_with(entities: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """entities (entity, ...) with text, label and source: a row for every template, which are a list that the code holds. A null entity
+    gives a null text."""
+    each = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.lit(template).alias("template")) for label, template in templates]))
+    text = F.replace(F.col("t.template"), F.lit("{condition}"), F.col("entity"))
+    return entities.withColumn("t", each).select(*entities.columns, text.alias("text"), F.col("t.label").alias("label"), F.lit("synthetic").alias("source"))
 
 
 def mined(notes: DataFrame, patterns: list[str] = K.MINED_PATTERNS, around: int = 50, most: int | None = None) -> DataFrame:

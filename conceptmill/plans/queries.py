@@ -177,18 +177,20 @@ def code_formats(spark, d):
 
 
 _HEAD = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(h)), '\s*/\s*', '/', 'g'), ':+$', ''), '\s+', ' ', 'g')"
-_HEADS = ["  Assessment / Plan:", "Past  Medical History", "p_type", "LABS::", "Other: x", "HTN", "ab", "a-b-c-d", "Lab results 12", "Types: x"]
+_SPLIT_LINES = f"(SELECT note_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS h FROM (SELECT note_id, regexp_split_to_array(text, '[\\n:.]') AS l FROM {_NOTES}))"
 
 
-@query("WITH x(h) AS (VALUES " + ", ".join(f"('{h}')" for h in _HEADS) + f") SELECT h, {_HEAD} AS header, {_HEAD} IN (" + ", ".join(f"'{h}'" for h in K.SECTION_HEADERS) + ") AS is_header, length(regexp_replace(h, '[^A-Za-z0-9]', '', 'g')) >= 4 OR upper(regexp_replace(h, '[^A-Za-z0-9]', '', 'g')) IN (" + ", ".join(f"'{h}'" for h in K.SHORT_SPANS) + ") AS allowed FROM x")
+@query(f"SELECT note_id, CAST(k AS INT) AS k, {_HEAD} AS header, {_HEAD} IN (" + ", ".join(f"'{h}'" for h in K.SECTION_HEADERS) + ") AS is_header, length(regexp_replace(h, '[^A-Za-z0-9]', '', 'g')) >= 4 OR upper(regexp_replace(h, '[^A-Za-z0-9]', '', 'g')) IN (" + ", ".join(f"'{h}'" for h in K.SHORT_SPANS) + f") AS allowed FROM {_SPLIT_LINES}")
 def headers_and_short_spans(spark, d):
+    """What notes have between line ends, colons and full stops, as headers and as spans."""
+    each = notes(spark, d).select("note_id", F.posexplode(F.split("text", r"[\n:.]")).alias("k", "h"))
     h = F.col("h")
-    return spark.createDataFrame([(x,) for x in _HEADS], "h string").select("h", X.normal_header(h).alias("header"), X.is_section_header(h).alias("is_header"), X.allowed_span(h).alias("allowed"))
+    return each.select("note_id", "k", X.normal_header(h).alias("header"), X.is_section_header(h).alias("is_header"), X.allowed_span(h).alias("allowed"))
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_extract(text, '^(?:[^.;!\n]*[.;!\n]+){3}') = '' THEN text ELSE regexp_extract(text, '^(?:[^.;!\n]*[.;!\n]+){3}') END AS head, substring(text, 21, 80) AS left_ctx, substring(text, 101, 20) AS span, substring(text, 121, 80) AS right_ctx FROM documents WHERE length(text) > 300")
+@query(r"SELECT doc_id, CASE WHEN regexp_extract(text, '^(?:[^.;!\n]*[.;!\n]+){3}') = '' THEN text ELSE regexp_extract(text, '^(?:[^.;!\n]*[.;!\n]+){3}') END AS head, substring(text, 21, 80) AS left_ctx, substring(text, 101, 20) AS span, substring(text, 121, 80) AS right_ctx FROM documents")
 def head_and_window(spark, d):
-    x = t(spark, d, "documents").filter(F.char_length("text") > 300).withColumn("w", X.window(F.col("text"), F.lit(100), F.lit(120)))
+    x = t(spark, d, "documents").withColumn("w", X.window(F.col("text"), F.lit(100), F.lit(120)))
     return x.select("doc_id", X.first_sentences(F.col("text"), 3).alias("head"), F.col("w.left").alias("left_ctx"), F.col("w.span").alias("span"), F.col("w.right").alias("right_ctx"))
 
 
@@ -729,14 +731,23 @@ _COND = ", ".join(f"('{c}')" for c in K.CONDITIONS)
 _SYN = f"(SELECT replace(template, '{{condition}}', entity) AS text, label, entity, 'synthetic' AS source FROM (VALUES {_TPL}) AS t(label, template), (VALUES {_COND}) AS c(entity))"
 
 
-@query(f"SELECT text, label, entity, source, CASE WHEN contains(text, entity) THEN replace(text, entity, '[entity] ' || entity || ' [entity]') ELSE text END AS marked FROM {_SYN}")
+_FILLED = f"(SELECT p_partkey, replace(template, '{{condition}}', p_name) AS text, label, p_name AS entity, 'synthetic' AS source FROM (VALUES {_TPL}) AS t(label, template), part)"
+
+
+def _filled(spark, d):
+    names = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("entity"))
+    return training.filled_with(names, [*K.ASSERTION_TEMPLATES, *K.SUBJECT_TEMPLATES])
+
+
+@query(f"SELECT p_partkey, text, label, entity, source, CASE WHEN contains(text, entity) THEN replace(text, entity, '[entity] ' || entity || ' [entity]') ELSE text END AS marked FROM {_FILLED}")
 def synthetic_examples(spark, d):
-    return training.all_synthetic(spark).withColumn("marked", training.marked(F.col("text"), F.col("entity")))
+    """Every template with the name of every part."""
+    return _filled(spark, d).withColumn("marked", training.marked(F.col("text"), F.col("entity"))).select("p_partkey", "text", "label", "entity", "source", "marked")
 
 
-@query(f"SELECT label, source, count(*) AS n FROM {_SYN} GROUP BY 1, 2")
+@query(f"SELECT label, source, count(*) AS n FROM {_FILLED} GROUP BY 1, 2")
 def synthetic_label_counts(spark, d):
-    return training.all_synthetic(spark).groupBy("label", "source").agg(F.count("*").alias("n"))
+    return _filled(spark, d).groupBy("label", "source").agg(F.count("*").alias("n"))
 
 
 #: Notes with phrases to be mined, several times.
