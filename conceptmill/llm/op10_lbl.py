@@ -14,7 +14,6 @@ trains the model of the last round on its own, and the blocks' models are averag
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -357,23 +356,25 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width
                 total, lo = total + here, hi
         if total:
             x = own.flat() * np.float32(total / n)
-            pieces = [x[a : a + size].tolist() for a in range(0, len(x), size)]
+            pieces = [x[a : a + size].astype("<f4").tobytes() for a in range(0, len(x), size)]
             yield pd.DataFrame({"task": TaskContext.get().partitionId(), "piece": range(len(pieces)), "x": pieces, "n": [total] * len(pieces)})
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"task": [key[0]], "piece": [key[1]], "x": [np.sum(np.stack(frame.sort_values("task")["x"].to_list()), axis=0).tolist()], "n": [int(frame["n"].sum())]})
+        x = np.stack([np.frombuffer(x, "<f4") for x in frame.sort_values("task")["x"]]).sum(axis=0, dtype=np.float64)
+        return pd.DataFrame({"task": [key[0]], "piece": [key[1]], "x": [x.astype("<f4").tobytes()], "n": [int(frame["n"].sum())]})
 
-    schema = "task long, piece int, x array<float>, n long"
+    schema = "task long, piece int, x binary, n long"
     training = rows.filter("not held_out").select("held_out", "entries")
     training = training.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, n // (NUMBER_TOKENS * len(flat))))
-    parts, tasks = training.mapInPandas(train, schema), training.rdd.getNumPartitions()
+    # staged: an executor that is lost while models are summed costs no training
+    parts, tasks = staged(training.mapInPandas(train, schema), "op10-models"), training.rdd.getNumPartitions()
     while tasks > 1:
         parts = parts.groupBy(F.floor(F.col("task") / FAN_IN).alias("to"), "piece").applyInPandas(add, schema)
         tasks = -(-tasks // FAN_IN)
     summed = parts.orderBy("piece").collect()
     if not summed:
         return model
-    return model.load(np.array(list(itertools.chain.from_iterable(r.x for r in summed))) * (n / summed[0].n))
+    return model.load(np.concatenate([np.frombuffer(r.x, "<f4") for r in summed]) * np.float32(n / summed[0].n))
 
 
 def op10_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
