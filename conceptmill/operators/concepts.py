@@ -27,13 +27,17 @@ def ngram_vector(text: Column, dim: int = 64) -> Column:
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = []
-            for t in texts:
-                t, v = f"  {(t or '').lower()} ", np.zeros(dim)
-                for k in range(len(t) - 2):
-                    v[zlib.crc32(t[k : k + 3].encode()) % dim] += 1
-                out.append((v / max(np.linalg.norm(v), 1e-12)).tolist())
-            yield pd.Series(out, dtype=object)
+            padded = [f"  {(t or '').lower()} " for t in texts]
+            # all code points of a batch; each distinct trigram is hashed once
+            points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+            lens = np.fromiter(map(len, padded), np.int64, len(padded))
+            row = np.repeat(np.arange(len(padded)), lens)
+            at = np.flatnonzero(row[2:] == row[:-2]) if len(points) > 2 else np.zeros(0, np.int64)
+            grams, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
+            slot = np.array([zlib.crc32("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode()) % dim for g in grams.tolist()], np.int64)
+            counts = np.bincount(row[at] * dim + slot[which], minlength=len(padded) * dim).reshape(len(padded), dim).astype(np.float64)
+            norms = np.array([np.linalg.norm(v) for v in counts])
+            yield pd.Series((counts / np.maximum(norms, 1e-12)[:, None]).tolist(), dtype=object)
 
     return F.pandas_udf(embed, "array<double>", PandasUDFType.SCALAR_ITER)(text)
 

@@ -113,3 +113,15 @@ def test_sql_twins(spark, sf_dir, name):
     order = ", ".join(f'"{c}"' for c in got.columns)
     want = con.execute(f"select {order} from ({Q.ORACLE[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_stand_in_vectors_are_those_of_single_texts(spark):
+    import zlib
+
+    texts = ["", None, "a", "Left knee pain", "日本 é\U0001f600", "x" * 5000, "Left knee pain", "  "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    for r in frame.withColumn("v", concepts.ngram_vector(F.col("t"), 16)).collect():
+        t, v = f"  {(r.t or '').lower()} ", np.zeros(16)
+        for k in range(len(t) - 2):
+            v[zlib.crc32(t[k : k + 3].encode()) % 16] += 1
+        assert r.v == (v / max(np.linalg.norm(v), 1e-12)).tolist()
