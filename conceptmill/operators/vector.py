@@ -18,6 +18,8 @@ from .fold import fold
 
 #: Most queries and base rows of a block; a block of each meets in one group of a task.
 QUERY_BLOCK, BASE_BLOCK, _ROWS = 4096, 65_536, 2048
+#: Most numbers of the queries that are sent to every task.
+DIRECT_NUMBERS = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -125,13 +127,38 @@ def _blocked(queries: DataFrame, base: DataFrame, k: int, query_block: int, base
     return _rank(q.cogroup(b).applyInPandas(_search(k), "query_id long, concept_row long, score double"), k)
 
 
+def _direct(asked: list, base: DataFrame, k: int) -> DataFrame:
+    """The k best base rows of a few queries, which every task gets; base isn't moved, and a partition sends k rows a query."""
+    ids, m = np.array([r.query_id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = None
+        for b in frames:
+            rows = b["concept_row"].to_numpy(np.int64)
+            for lo in range(0, len(b), _ROWS):
+                s, r = best(m @ np.stack(b["v"].iloc[lo : lo + _ROWS].to_list()).astype(np.float64).T, rows[None, lo : lo + _ROWS], k)
+                found = (s, r) if found is None else best(np.concatenate([found[0], s], axis=1), np.concatenate([found[1], r], axis=1), k)
+        if found is not None:
+            yield pd.DataFrame({"query_id": np.repeat(ids, found[1].shape[1]), "concept_row": found[1].ravel(), "score": found[0].ravel()})
+
+    return _rank(base.mapInPandas(search, "query_id long, concept_row long, score double"), k)
+
+
 def exact_topk(queries: DataFrame, base: DataFrame, k: int, query_block: int | None = None, base_block: int = BASE_BLOCK) -> DataFrame:
     """queries: query_id, v; base: concept_row, v (both cheap to read again, or staged). Returns query_id, rank (from 0), concept_row,
-    score (double, inner product), ties to the smaller concept_row, whatever the blocks."""
-    if query_block is None:  # blocks for every core
-        query_block = min(QUERY_BLOCK, max(256, -(-queries.count() // queries.sparkSession.sparkContext.defaultParallelism)))
+    score (double, inner product), ties to the smaller concept_row, whatever the blocks. Up to QUERY_BLOCK queries, whose vectors are some
+    ten megabytes at most, go to the base; more meet it in blocks."""
+    own = base.select(F.col("concept_row").cast("long").alias("concept_row"), F.col("v").alias("v"))
+    if query_block is None:
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("v"))
+        held = asked.limit(QUERY_BLOCK + 1)
+        n, numbers = held.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+        if 0 < n <= QUERY_BLOCK and numbers <= DIRECT_NUMBERS:  # bounded by the limit
+            return _direct(held.collect(), own, k)
+        # blocks for every core
+        query_block = QUERY_BLOCK if n > QUERY_BLOCK else max(256, -(-n // queries.sparkSession.sparkContext.defaultParallelism))
     one = F.lit(0).alias("list_id")
-    return _blocked(queries.select(one, "query_id", F.col("v").alias("v")), base.select(one, "concept_row", F.col("v").alias("v")), k, query_block, base_block)
+    return _blocked(queries.select(one, "query_id", F.col("v").alias("v")), own.select(one, "concept_row", "v"), k, query_block, base_block)
 
 
 def ivf_lists(base: DataFrame, nlist: int, sample: int = 200_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
