@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +45,19 @@ FAN_IN, NUMBER_TOKENS = 64, 16
 CODED = "kind string, block long, id long, held_out boolean, n_tokens long, codes binary, token string, code int, count long"
 
 
+def _lexicon() -> defaultdict[bytes, int]:
+    """Gives each new word the next number."""
+    lexicon: defaultdict[bytes, int] = defaultdict()
+    lexicon.default_factory = lexicon.__len__
+    return lexicon
+
+
 def coded(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
     """Rows of two kinds: doc (block, id, held_out, n_tokens, codes: int32) and word (block, token, code, count in training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        lexicon: dict[bytes, int] = {}
+        lexicon = _lexicon()
         held: list[tuple[int | None, bool, np.ndarray]] = []
         total = 0
 
@@ -69,16 +77,14 @@ def coded(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
             for lo in range(0, len(words), 50_000):
                 n = len(words[lo : lo + 50_000])
                 yield rows("word", n, token=words[lo : lo + n], code=np.arange(lo, lo + n, dtype=np.int32), count=counts[lo : lo + n])
-            seq, total, lexicon, held = seq + 1, 0, {}, []
+            seq, total, lexicon, held = seq + 1, 0, _lexicon(), []
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = text.as_py().encode().lower().split()
                 words.append(END_TOKEN.encode())
-                codes = list(map(lexicon.get, words))
-                if None in codes:
-                    codes = [lexicon.setdefault(w, len(lexicon)) for w in words]
-                held.append((i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, np.array(codes, np.int32)))
+                codes = np.fromiter(map(lexicon.__getitem__, words), np.int32, len(words))
+                held.append((i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, codes))
                 total += len(codes)
                 if total >= block_tokens:
                     yield from close()
@@ -121,7 +127,7 @@ class Model:
         return self
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.r[one] @ self.c[0] + self.r[two] @ self.c[1]
+        return self.r.take(one, axis=0) @ self.c[0] + self.r.take(two, axis=0) @ self.c[1]
 
     def train(self, grams: np.ndarray, counts: np.ndarray, rate: float, seed: int) -> None:
         """One pass of NCE over distinct trigrams (one before, two before, token) with counts, in shuffled batches. The noise classes
@@ -129,55 +135,66 @@ class Model:
         in the batch. Steps are scaled by AdaGrad and touch the batch's rows alone."""
         rng = np.random.default_rng(seed)
         sums = {name: np.full_like(getattr(self, name), 1e-8) for name in self.NAMES}
-        slots = np.empty(len(self.b), np.int64)
+        # entries in few bytes are sorted by radix
+        short = np.min_scalar_type(len(self.b))
+        of, starts = self.of.astype(short), self.starts
+        firsts, seconds, targets = (grams[:, k].astype(short) for k in range(3))
+        upto = np.cumsum(self.share / self.share.sum())
 
         def step(name: str, rows: np.ndarray, values: np.ndarray) -> None:
-            at, g = _sums(rows, values, slots)
-            seen = sums[name][at] + g * g
+            at, g = _sums(rows, values)
+            seen = sums[name].take(at, axis=0)
+            seen += g * g
             sums[name][at] = seen
             getattr(self, name)[at] += rate * g / np.sqrt(seen)
 
         # a frequent trigram comes in several batches, so that no batch is one trigram's
         copies = -(-counts // 16)
+        shares = (counts / copies).astype(np.float32)
         order = rng.permutation(np.repeat(np.arange(len(grams)), copies))
         log_kc = np.log(NOISE * self.share).astype(np.float32)
         log_kw = np.log(MEMBERS / self.width).astype(np.float32)
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
-            part = part[np.argsort(grams[part, 2], kind="stable")]
-            one, two, target = grams[part].T
-            weight = (counts[part] / copies[part]).astype(np.float32)
+            part = part.take(np.argsort(targets.take(part), kind="stable"))
+            target, before = targets.take(part), np.concatenate([firsts.take(part), seconds.take(part)])
+            weight = shares.take(part)
             weight /= weight.sum()
-            r1, r2 = self.r[one], self.r[two]
+            r1, r2 = np.split(self.r.take(before, axis=0), 2)
             p = r1 @ self.c[0] + r2 @ self.c[1]
             # wanted classes against noise: sigmoid of the score less log(k times the noise's probability)
-            kind = self.of[target]
-            drawn = rng.choice(len(self.share), NOISE, p=self.share / self.share.sum())
-            g_kind, g_drawn = self.g[kind], self.g[drawn]
-            e = _miss(np.einsum("ij,ij->i", p, g_kind) + (self.d - log_kc)[kind]) * weight
+            kind = of.take(target)
+            drawn = np.searchsorted(upto, rng.random(NOISE), "right").clip(max=len(upto) - 1).astype(short)
+            g_kind, g_drawn = self.g.take(kind, axis=0), self.g.take(drawn, axis=0)
+            e = _miss(np.einsum("ij,ij->i", p, g_kind) + (self.d - log_kc).take(kind)) * weight
             en = _miss((log_kc - self.d)[drawn] - p @ g_drawn.T)
             en *= -weight[:, None]
             gp = e[:, None] * g_kind + en @ g_drawn
             # wanted entries against others of their class; the batch is in order of entries, so a class is a run
-            heads = np.flatnonzero(np.diff(kind, prepend=-1))
-            here = kind[heads]
-            noise = self.starts[here][:, None] + (rng.random((len(here), MEMBERS)) * self.width[here][:, None]).astype(np.int64)
-            others = noise[np.repeat(np.arange(len(here)), np.diff(np.append(heads, len(kind))))]
-            vectors, q_target = self.q[others], self.q[target]
-            w = _miss(np.einsum("ij,ij->i", p, q_target) + self.b[target] - log_kw[kind]) * weight
-            wn = _miss(log_kw[kind][:, None] - np.einsum("ij,ikj->ik", p, vectors) - self.b[others])
+            heads = _heads(kind)
+            here, ends = kind[heads], [*heads.tolist()[1:], len(kind)]
+            noise = starts[here][:, None] + (rng.random((len(here), MEMBERS)) * self.width[here][:, None]).astype(np.int64)
+            vectors, q_target = self.q.take(noise, axis=0), self.q.take(target, axis=0)
+            w = _miss(np.einsum("ij,ij->i", p, q_target) + self.b.take(target) - log_kw.take(kind)) * weight
+            gp += w[:, None] * q_target
+            wn = np.repeat(log_kw[here][:, None] - self.b[noise], np.diff(np.append(heads, len(kind))), axis=0)
+            for v, i, j in zip(vectors, heads.tolist(), ends, strict=True):
+                wn[i:j] -= p[i:j] @ v.T
+            _miss(wn)
             wn *= -weight[:, None]
-            gp += w[:, None] * q_target + np.einsum("ik,ikj->ij", wn, vectors)
-            q_noise = np.add.reduceat(wn[:, :, None] * p[:, None, :], heads).reshape(-1, p.shape[1])
+            q_noise = np.empty_like(vectors)
+            for v, out, i, j in zip(vectors, q_noise, heads.tolist(), ends, strict=True):
+                gp[i:j] += wn[i:j] @ v
+                np.matmul(wn[i:j].T, p[i:j], out=out)
             g_runs, d_runs = np.add.reduceat(e[:, None] * p, heads), np.add.reduceat(e, heads)
             mix = np.stack([r1.T @ gp, r2.T @ gp])
             r_values = np.concatenate([gp @ self.c[0].T, gp @ self.c[1].T])
-            entries = np.concatenate([target, noise.ravel()])
-            step("q", entries, np.concatenate([w[:, None] * p, q_noise]))
+            entries, kinds = np.concatenate([target, noise.ravel().astype(short)]), np.concatenate([here, drawn])
+            step("q", entries, np.concatenate([w[:, None] * p, q_noise.reshape(-1, p.shape[1])]))
             step("b", entries, np.concatenate([w, np.add.reduceat(wn, heads).ravel()]))
-            step("g", np.concatenate([here, drawn]), np.concatenate([g_runs, en.T @ p]))
-            step("d", np.concatenate([here, drawn]), np.concatenate([d_runs, en.sum(axis=0)]))
-            step("r", np.concatenate([one, two]), r_values)
+            step("g", kinds, np.concatenate([g_runs, en.T @ p]))
+            step("d", kinds, np.concatenate([d_runs, en.sum(axis=0)]))
+            step("r", before, r_values)
             sums["c"] += mix * mix
             self.c += rate * mix / np.sqrt(sums["c"])
 
@@ -185,18 +202,29 @@ class Model:
         """Normalised natural logarithms. Each distinct context is multiplied with all class vectors once, and once with the vectors of
         each class that follows it, in batches."""
         n = len(self.b)
-        contexts, at = np.unique(one.astype(np.int64) * n + two, return_inverse=True)
-        p = self.predict(contexts // n, contexts % n)
+        grams, at = np.unique((one.astype(np.int64) * n + two) * n + target, return_inverse=True)
+        pair, target = grams // n, grams % n
         kind = self.of[target]
-        pairs, which = np.unique(kind * len(contexts) + at, return_inverse=True)
-        bounds = np.searchsorted(pairs, np.arange(len(self.starts) + 1) * len(contexts))
-        z, zw = _log_sums(p, self.g, self.d), np.empty(len(pairs), np.float32)
+        # sorted, so that the grams of a context are a run, and in it those of a class, as classes are runs of entries
+        heads = _heads(pair)
+        contexts, which = pair[heads], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair))))
+        p = self.predict(contexts // n, contexts % n)
+        met = _heads(which * len(self.starts) + kind)
+        by = np.argsort(kind[met].astype(np.min_scalar_type(len(self.starts))), kind="stable")
+        bounds = np.searchsorted(kind[met].take(by), np.arange(len(self.starts) + 1))
+        z, zw = _log_sums(p, self.g, self.d), np.empty(len(met), np.float32)
         for k, (a, m) in enumerate(zip(self.starts, self.width, strict=True)):
-            lo, hi = bounds[k], bounds[k + 1]
-            zw[lo:hi] = _log_sums(p[pairs[lo:hi] - k * len(contexts)], self.q[a : a + m], self.b[a : a + m])
-        own = p[at]
-        in_class = np.einsum("ij,ij->i", own, self.q[target]) + self.b[target] - zw[which]
-        return (np.einsum("ij,ij->i", own, self.g[kind]) + self.d[kind] - z[at] + in_class).astype(np.float64)
+            rows = by[bounds[k] : bounds[k + 1]]
+            zw[rows] = _log_sums(p.take(which.take(met.take(rows)), axis=0), self.q[a : a + m], self.b[a : a + m])
+        own = p.take(which, axis=0)
+        in_class = np.einsum("ij,ij->i", own, self.q.take(target, axis=0)) + self.b.take(target) - np.repeat(zw, np.diff(np.append(met, len(pair))))
+        logs = np.einsum("ij,ij->i", own, self.g.take(kind, axis=0)) + self.d.take(kind) - z.take(which) + in_class
+        return logs.astype(np.float64).take(at)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
 
 
 def _miss(s: np.ndarray) -> np.ndarray:
@@ -217,17 +245,12 @@ def _log_sums(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarra
     return z
 
 
-def _sums(rows: np.ndarray, values: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of the values of each. slots is room for a number a row."""
-    places = np.arange(len(rows))
-    slots[rows] = places
-    last = slots[rows]
-    head = last == places
-    at = (np.cumsum(head) - 1)[last]
-    n = int(head.sum())
-    if values.ndim == 1:
-        return rows[head], np.bincount(at, values, n).astype(np.float32)
-    return rows[head], np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, ascending, and the sum of the values of each."""
+    by = np.argsort(rows, kind="stable")
+    at = rows.take(by)
+    heads = _heads(at)
+    return at[heads], np.add.reduceat(values.take(by, axis=0), heads)
 
 
 def contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
