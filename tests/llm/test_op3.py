@@ -176,3 +176,35 @@ def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     want = brute_near(rows)
     got = {r.id: r.least_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_groups_of_a_whole_table(spark):
+    """All pairs of the table by their shared shingles, against the groups: no link lost and none made."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders, label = [], {}, list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    links = 0
+    for k, (_, text) in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+        shared = {}
+        for s in sets[k]:
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(k)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(sets[k]) + len(sets[j]) - n):
+                links += 1
+                a, b = root(k), root(j)
+                label[max(a, b)] = min(a, b)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups[root(k)] = min(groups.get(root(k), i), i)
+    assert links > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.least_id for r in op.near_duplicates(docs).collect()} == {i: groups[root(k)] for k, (i, _) in enumerate(rows)}
