@@ -401,6 +401,7 @@ def _round(rows: DataFrame, model: Model, unigram: np.ndarray, first: int, width
 
 
 def op10_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are their end alone."""
     return score(table(spark, sf_dir, "documents"))
 
 

@@ -306,4 +306,5 @@ def token_shards(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
 
 
 def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, read back from the shards: doc_id, start, n_tokens, ids_crc32. Null texts hold the end id alone."""
     return read_digests(token_shards(table(spark, sf_dir, "documents")))

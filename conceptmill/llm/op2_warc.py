@@ -219,6 +219,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, read back from the bundles: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty
+    payload."""
     return read_bundles(write_bundles(table(spark, sf_dir, "pages"), new_path(spark, "op2-bundles")))
 
 

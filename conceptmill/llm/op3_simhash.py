@@ -108,7 +108,7 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     """A row per row of docs: id_col, fingerprint (16 hex digits), component_id: the least id over all fingerprints reachable by
     steps of budget bits at most. Null and empty texts have fingerprint zero, linked like any other; repeated rows stay;
     null ids stay and don't count as least (a component of null ids alone has a null component_id); extra columns are left
-    out. Equal fingerprints are one node, so a group of copies of any size costs one row in the join."""
+    out; an empty table gives no row. Equal fingerprints are one node, so a group of copies of any size costs one row in the join."""
     made = staged(fingerprints(docs, width, id_col, text_col), "op3-fingerprints")
     distinct = staged(made.groupBy("key").agg(F.min("id").alias("least")), "op3-distinct")
     links = staged(trie_forest(distinct.select(F.lit(0).alias("band"), "key", F.col("key").alias("node")), 64, budget), "op3-links")
@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """A row per row of docs: id, h (XXH64 of the text), node (of its set of shingles), least_id, least_h: the row of its group that
     is least by id (null first), then h. A group is what pairs of the given similarity reach: the exact Jaccard similarity of their
     sets of distinct width-word shingles. Pairs are sought among representatives of equal sets that the fingerprints, compared with
-    a wide margin, bring into one loose group. Texts without a word are one group; repeated rows stay."""
+    a wide margin, bring into one loose group. Texts without a word are one group; repeated rows stay; other columns are left out;
+    an empty table gives no row."""
     most = similarity_bits(similarity, 64 * FULL)
     words = BANDS * BAND_BITS // 64
     names = [f"f{k}" for k in range(FULL)]
@@ -324,7 +325,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with one row of each group of near_duplicates: the one of the least id (null first), then the least hash of the text;
-    of rows alike in both, one. Columns stay as they are."""
+    of rows alike in both, one. Columns stay as they are, but docs may have none named __id, __h, __gone_id, __gone_h, __again_id or
+    __again_h. Texts without a word, null ones too, are one group; an empty table stays empty."""
     groups = staged(near_duplicates(docs, width, similarity, id_col, text_col), "op3-rows")
     first = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("h") == F.col("least_h"))
     gone = groups.filter(~first).select(F.col("id").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct()
@@ -339,4 +341,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, fingerprint, component_id."""
     return simhash_components(table(spark, sf_dir, "documents"))

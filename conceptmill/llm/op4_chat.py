@@ -47,7 +47,8 @@ def prefix_targets(conversations: DataFrame, keep_tail: bool = True) -> DataFram
     Rows go by turn, nulls first; equal turns by role, then text; repeated rows stay. A null text or role is empty; null
     conv_ids are one conversation. With keep_tail, a conversation whose last turn isn't an assistant's gets one more example
     with all turns and no trainable span, so that the output holds every turn. Extra columns are left out. A conversation is
-    gathered in one row, and its examples together are as long as the square of its turns: that is what the format asks for."""
+    gathered in one row, and its examples together are as long as the square of its turns: that is what the format asks for.
+    An empty table gives no example."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -91,6 +92,7 @@ def digests(examples: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one made of control strings, read back from its formatted examples."""
     said = r"\### Assistant: </turn> ok"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return digests(prefix_targets(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))

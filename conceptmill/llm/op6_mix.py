@@ -88,5 +88,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, size, source_size, target, taken, copies. Null texts have size 0."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -130,7 +130,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: id_col, the base measures, base_failed, and kept, for which a text that the base passes goes
-    through the other rules of the cascade."""
+    through the other rules of the cascade. A null text is an empty one; repeated rows and null ids stay; other columns are left out;
+    an empty table gives no row."""
     cascade = ordered(RULES, estimate(docs, RULES, text_col))
     rest = {k: r for k, r in cascade.items() if k not in BASE}
     base = {k: r for k, r in cascade.items() if k in BASE}
@@ -153,6 +154,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the base measures, base_failed and kept. Null texts have no words and fail."""
     return measure(table(spark, sf_dir, "documents"))
 
 
