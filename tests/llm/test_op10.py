@@ -67,3 +67,39 @@ def test_vocabulary_of_odd_corpora(spark):
         got = op.score(spark.createDataFrame(rows, schema), vocab=vocab).collect()
         assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
         assert {r.n_known for r in got if r.held_out} == {1}
+
+
+def test_scores_against_plain_loops():
+    """The logarithm of the softmax over the classes times that within the class, a token at a time."""
+    for n, first, seed in ((7, 3, 0), (60, 4, 1), (700, 5, 2)):
+        rng = np.random.default_rng(seed)
+        unigram = rng.random(n) + 0.01
+        model = op.Model(unigram / unigram.sum(), first)
+        model.train(rng.integers(0, n, (3000, 3)), rng.integers(1, 60, 3000), 0.1, seed)
+        tokens = [rng.integers(0, n, k) for k in (1, 2, 3, 400)] + [np.array([5, 5, 5, 5, 5])]
+        got = model.log_probs(*op.contexts(tokens))
+        want = []
+        for text in tokens:
+            for i, t in enumerate(text):
+                one, two = text[i - 1] if i else op.END, text[i - 2] if i > 1 else op.END
+                p = model.r[one] @ model.c[0] + model.r[two] @ model.c[1]
+                classes = [math.exp(g @ p + d) for g, d in zip(model.g, model.d, strict=True)]
+                own = model.of[t]
+                members = {e: math.exp(model.q[e] @ p + model.b[e]) for e in range(n) if model.of[e] == own}
+                want.append(math.log(classes[own] / sum(classes)) + math.log(members[t] / sum(members.values())))
+        assert np.allclose(got, want, atol=2e-4)
+
+
+def test_sums_of_equal_rows():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 9, 200).astype(np.uint16)
+    values = rng.normal(size=(200, 4)).astype(np.float32)
+    at, got = op._sums(rows, values)
+    assert at.tolist() == sorted(set(rows.tolist()))
+    assert np.allclose(got, [values[rows == k].sum(axis=0) for k in at], atol=1e-4)
+    assert np.allclose(op._sums(rows, values[:, 0])[1], [values[rows == k, 0].sum() for k in at], atol=1e-4)
+
+
+def test_words_are_numbered_as_they_come():
+    lexicon = op._lexicon()
+    assert [lexicon[w] for w in (b"a", b"b", b"a", b"c", b"b")] == [0, 1, 0, 2, 1] and list(lexicon) == [b"a", b"b", b"c"]
