@@ -23,12 +23,20 @@ def _wide(pattern: str) -> str:
 
 
 _HEADERS = f"(?i:{_known_headers()})"
-#: Each trim removes its fragment as often as it stands there, with the edge characters behind it.
-_HEAD = f"(?:{_HEADERS}{K.EDGE_CLASS}*)+"
-_LEAD = f"(?i:{_wide(K.LEAD_FRAGMENT)}{K.EDGE_CLASS}*)+"
-_GAP = rf"(?:{SPACE}|{K.EDGE_CLASS})*"
-_TAIL = f"{K.EDGE_CLASS}*(?i:{_wide(K.TAIL_FRAGMENT)}{_GAP})+"
-_FIELD = f"{K.EDGE_CLASS}*(?i:{_wide(K.TAIL_FIELD)}{_GAP})+"
+#: Each trim removes its fragment as often as it stands there, with the edge characters behind it. Repeated groups are possessive:
+#: the JVM matches others by a call within a call for each repetition, and a long row of them ends the executor.
+_HEAD = f"(?:{_HEADERS}{K.EDGE_CLASS}*+)++"
+_LEAD = f"(?i:{_wide(K.LEAD_FRAGMENT)}{K.EDGE_CLASS}*+)++"
+_GAP = rf"[{SPACE}{K.EDGE_CLASS}]"
+
+
+def _row(fragment: str) -> str:
+    """A pattern of fragments, which begin with white space, in a row up to the end, edge characters before, between and behind them."""
+    word = rf"(?:{_wide(fragment.removeprefix(r"\s+"))})(?={_GAP}|\z)"
+    return rf"{K.EDGE_CLASS}*{SPACE}+(?i:{word}(?:{_GAP}++(?<={SPACE}){word})*+){_GAP}*+"
+
+
+_TAIL, _FIELD = _row(K.TAIL_FRAGMENT), _row(K.TAIL_FIELD)
 
 
 def _cut(body: Column) -> Column:

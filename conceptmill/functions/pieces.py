@@ -60,7 +60,8 @@ def matches(text: Column, pattern: str) -> Column:
 
 def stripped(p: Column, chars: str) -> Column:
     """A piece without the characters of a class at both ends."""
-    return let(F.regexp_replace(p["part"], f"^{chars}+", ""), lambda left: F.struct((p["at"] + F.char_length(p["part"]) - F.char_length(left)).alias("at"), F.regexp_replace(left, f"{chars}+$", "").alias("part")))
+    # only the first character of a run is tried, so that long runs cost no more than their length
+    return let(F.regexp_replace(p["part"], f"^{chars}+", ""), lambda left: F.struct((p["at"] + F.char_length(p["part"]) - F.char_length(left)).alias("at"), F.regexp_replace(left, f"(?<!{chars}){chars}++$", "").alias("part")))
 
 
 def without_head(p: Column, pattern: str) -> Column:

@@ -133,7 +133,7 @@ def without_modifiers(text: Column) -> Column:
         text = F.regexp_replace(text, f"(?i)(?:{pattern})", " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     text = F.regexp_replace(text, r"(?i)^(?:any|some|the|a|an)\s+", "")
-    text = F.trim(F.regexp_replace(text, r"^(?:\d{1,4}\s+)+", ""))
+    text = F.trim(F.regexp_replace(text, r"^(?:\d{1,4}\s+)++", ""))
     return F.trim(F.regexp_replace(text, r"\s+\d+(?:\.\d+)?\s*$", ""))
 
 
