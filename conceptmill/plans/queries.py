@@ -477,8 +477,8 @@ _LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey)
 @query(f"SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, round(sim, 6) AS sim, round(lex, 6) AS lex FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(s, 9) DESC, l_linenumber, l_partkey) AS n FROM ({_LINK}) WHERE sim >= top - 0.0455) WHERE n = 1 AND sim >= 0.9 AND lex >= 0.1")
 def silver_links(spark, d):
     x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.select(F.col("l_orderkey").alias("mention_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("rank"), (1 - F.col("l_discount") * 2 - F.col("l_linenumber") / 1000.0).alias("sim"), F.concat(F.lit("small "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" steel")).alias("text_for_embed"), F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"))
-    return silver.linked(x, 0.9, 0.1, margin=0.0455).select(F.col("mention_id").alias("l_orderkey"), F.floor(F.col("rank") / 1_000_000).cast("int").alias("l_linenumber"), F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"))
+    x = x.select(F.col("l_orderkey").alias("mention_id"), F.struct("l_linenumber", "l_partkey").alias("rank"), (1 - F.col("l_discount") * 2 - F.col("l_linenumber") / 1000.0).alias("sim"), F.concat(F.lit("small "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" steel")).alias("text_for_embed"), F.concat_ws(" ", "p_name", "p_type").alias("preferred_term"))
+    return silver.linked(x, 0.9, 0.1, margin=0.0455).select(F.col("mention_id").alias("l_orderkey"), F.col("rank.l_linenumber").cast("int").alias("l_linenumber"), F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END AS text_for_embed FROM part WHERE length(CASE WHEN p_size % 3 = 0 THEN trim(p_name) ELSE p_type END) BETWEEN 3 AND 18 AND p_size >= 10")
