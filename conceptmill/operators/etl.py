@@ -28,7 +28,10 @@ def edges(rel: DataFrame, concepts: DataFrame, undirected: bool = True) -> DataF
     """src, dst: concept rows of both ends; ends that aren't concepts drop the row, repeats stay."""
     a, b = concepts.select(F.col("cui").alias("cui1"), F.col("concept_row").alias("src")), concepts.select(F.col("cui").alias("cui2"), F.col("concept_row").alias("dst"))
     e = rel.join(a, "cui1").join(b, "cui2").select("src", "dst")
-    return e.union(e.select("dst", "src")) if undirected else e
+    if not undirected:
+        return e
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))  # rel is read once
+    return e.select(F.explode(both).alias("e")).select("e.src", "e.dst")
 
 
 def out_degrees(e: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.pieces import SPACE
+from ..functions.pieces import SPACE, let
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +35,12 @@ def mrconso(df: DataFrame, sab: list[str] = (), tty: list[str] = (), suppress: s
 
 
 def mrrel(df: DataFrame, rels: list[str] = ("PAR", "CHD", "RB", "RN")) -> DataFrame:
-    f = F.col("f")
-    out = _fields(df, 15).select(X.cui_of(f[0]).alias("cui1"), f[3].alias("rel"), X.cui_of(f[4]).alias("cui2"), f[14].alias("suppress"))
-    return out.filter(F.col("rel").isin(list(rels)) & (F.col("suppress") == "N") & F.col("cui1").isNotNull() & F.col("cui2").isNotNull()).select("cui1", "rel", "cui2")
+    def one(f: Column) -> Column:
+        return F.struct(X.cui_of(F.get(f, F.lit(0))).alias("cui1"), F.get(f, F.lit(3)).alias("rel"), X.cui_of(F.get(f, F.lit(4))).alias("cui2"))
+
+    # a line is cut once, and only wanted ones are looked at further; filters over a cut column would cut it again for each condition
+    good = let(F.split("line", r"\|"), lambda f: F.when((F.size(f) >= 15) & F.get(f, F.lit(3)).isin(list(rels)) & (F.get(f, F.lit(14)) == "N"), F.array(one(f))))
+    return df.select(F.explode(good).alias("r")).select("r.*").filter("cui1 is not null and cui2 is not null")
 
 
 def insert_values(line: Column, table: str) -> Column:

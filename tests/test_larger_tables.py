@@ -1,7 +1,9 @@
 """Queries on tables that are larger than those at hand in some respect."""
 
 import duckdb
+from conceptmill.operators import etl
 from conceptmill.plans import queries as Q
+from conceptmill.sources import terminology as T
 from pyspark.sql import functions as F
 
 
@@ -20,3 +22,16 @@ def test_silver_links_with_part_keys_over_a_million(spark, sf_dir, tmp_path):
     wanted = _tables(tmp_path, ["part", "lineitem", "orders"]).sql(Q.ORACLE["silver_links"]).fetchall()
     found = [tuple(r) for r in Q.silver_links(spark, str(tmp_path)).collect()]
     assert wanted and sorted(found) == sorted(wanted)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_read_relations_once(spark):
+    rel = T.mrrel(spark.createDataFrame([("C0000001|||PAR|C0000002||||||||||N|",), ("C0000001|||PAR|C0000002||||||||||Y|",), ("x|y",), (None,)], "line string"))
+    known = spark.createDataFrame([(1, 10), (2, 20)], "cui int, concept_row long")
+    both = etl.edges(rel, known)
+    assert sorted(map(tuple, both.collect())) == [(10, 20), (20, 10)] and "Union" not in _plan(both)
+    assert list(map(tuple, etl.edges(rel, known, undirected=False).collect())) == [(10, 20)]
+    assert _plan(rel).count("split(") == 1
