@@ -143,8 +143,9 @@ def token_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     """Of two token sets; two empty ones give both_empty, one gives 0."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    # no branch: what branches share is computed in each
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(float(both_empty)))
 
 
 def space_tokens(text: Column) -> Column:

@@ -155,5 +155,4 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 13) -> DataFrame:
 
 def lexical(a, b):
     """Overlap of words; 0 if either has none."""
-    ta, tb = X.space_tokens(a), X.space_tokens(b)
-    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(X.jaccard(ta, tb))
+    return X.jaccard(X.space_tokens(a), X.space_tokens(b), 0.0)

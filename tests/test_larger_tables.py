@@ -1,7 +1,8 @@
 """Queries on tables that are larger than those at hand in some respect."""
 
 import duckdb
-from conceptmill.operators import etl
+from conceptmill.functions import text as X
+from conceptmill.operators import etl, silver
 from conceptmill.plans import queries as Q
 from conceptmill.sources import terminology as T
 from pyspark.sql import functions as F
@@ -35,3 +36,11 @@ def test_edges_read_relations_once(spark):
     assert sorted(map(tuple, both.collect())) == [(10, 20), (20, 10)] and "Union" not in _plan(both)
     assert list(map(tuple, etl.edges(rel, known, undirected=False).collect())) == [(10, 20)]
     assert _plan(rel).count("split(") == 1
+
+
+def test_jaccard_without_branches(spark):
+    a, b = X.token_set(F.col("a")), X.token_set(F.col("b"))
+    rows = spark.createDataFrame([("a b", "b c"), ("", ""), ("", "a"), (None, "a"), (None, None)], "a string, b string")
+    out = rows.select(X.jaccard(a, b).alias("x"), silver.lexical(F.col("a"), F.col("b")).alias("y"))
+    assert list(map(tuple, out.collect())) == [(1 / 3, 1 / 3), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0), (1.0, 0.0)]
+    assert "CASE WHEN" not in _plan(out)
