@@ -28,27 +28,35 @@ def keys_of(table: DataFrame, min_length: int = 2, safe_pairs: tuple[str, ...] =
     return staged(held.withColumn("parts", F.size(F.split("key", r"\b", -1)) - F.when(F.col("key").rlike(r"\b$"), 1).otherwise(0)), "dictionary")
 
 
-def _windows(notes: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """id_col, key (in capitals), start, end of every window of so many parts that begins with a word."""
+def _windows(notes: DataFrame, lengths: list[int], id_col: str, text_col: str, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """id_col, key (in capitals), start, end, original of every window of so many parts that begins with a word; with wanted (keys by
+    their first part) of those that are among them."""
     kind = notes.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("key", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("key", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("original", T.StringType())])
+    known = {k for ks in wanted.values() for k in ks} if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a text at a time: its windows are a few times its size
                 parts = batch.column(1)[i].as_py() or []
-                ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-                words = [k for k, p in enumerate(parts) if p[:1].isalnum() or p[:1] == "_"]
                 upper = [p.translate(_UPPER) for p in parts]
-                keys, start, end = [], [], []
+                # a key's first part is a word
+                words = [k for k, p in enumerate(upper) if p in wanted] if wanted is not None else [k for k, p in enumerate(parts) if p[:1].isalnum() or p[:1] == "_"]
+                if not words:
+                    continue
+                ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+                keys, start, end, original = [], [], [], []
                 for n in lengths:
                     for k in words:
                         if k + n <= len(parts):
-                            keys.append("".join(upper[k : k + n]) if n > 1 else upper[k])
-                            start.append(int(ends[k]) - len(parts[k]))
-                            end.append(int(ends[k + n - 1]))
+                            key = "".join(upper[k : k + n]) if n > 1 else upper[k]
+                            if known is None or key in known:
+                                keys.append(key)
+                                start.append(int(ends[k]) - len(parts[k]))
+                                end.append(int(ends[k + n - 1]))
+                                original.append("".join(parts[k : k + n]))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[id_col, "key", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(original, pa.string())], names=[id_col, "key", "start", "end", "original"])
 
     # the JVM cuts, so that a word ends where it does in its patterns
     return notes.select(id_col, F.split(F.coalesce(text_col, F.lit("")), r"\b").alias("parts")).mapInArrow(run, schema)
@@ -57,6 +65,17 @@ def _windows(notes: DataFrame, lengths: list[int], id_col: str, text_col: str) -
 _UPPER = str.maketrans(_SMALL, _CAPITAL)
 
 
+def _few(keys: DataFrame, rows: int = 100_000, n_bytes: int = 1 << 24) -> dict[str, list[str]] | None:
+    """The keys by their first part, if they are few enough to be sent to every task; none if they are more."""
+    n, total = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    if n > rows or total > n_bytes:
+        return None
+    found: dict[str, list[str]] = {}
+    for r in keys.select("key", F.split("key", r"\b").getItem(0).alias("first")).collect():
+        found.setdefault(r["first"], []).append(r.key)
+    return found
+
+
 def expansions(notes: DataFrame, keys: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
     """id_col, start, end, original, expanded of the whole-word keys (see keys_of) in each text, in any case, but keys of two letters in
     capitals only; from left to right, the longest key at a place, without overlap.
@@ -66,12 +85,9 @@ def expansions(notes: DataFrame, keys: DataFrame, id_col: str = "note_id", text_
     lengths = sorted(r.parts for r in keys.select("parts").distinct().collect())  # odd numbers up to twice a key's words
     if not lengths:
         return notes.sparkSession.createDataFrame([], T.StructType([notes.schema[id_col], *T.StructType.fromDDL("start int, end int, original string, expanded string").fields]))
-    hits = _windows(notes, lengths, id_col, text_col).join(small(keys.select("key", "expanded")), "key")
+    hits = _windows(notes, lengths, id_col, text_col, _few(keys)).join(small(keys.select("key", "expanded")), "key")
     hits = staged(hits, "dictionary-hits")
-    kept = apart(hits.select(id_col, "start", "end"), [id_col]).join(hits, [id_col, "start", "end"])
-    found = kept.join(notes.select(id_col, F.col(text_col).alias("__t")), id_col)
-    original = F.substring(F.col("__t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    out = found.select(id_col, "start", "end", original.alias("original"), "expanded")
+    out = apart(hits.select(id_col, "start", "end"), [id_col]).join(hits, [id_col, "start", "end"]).select(id_col, "start", "end", "original", "expanded")
     return out.filter((F.char_length("original") > 2) | (F.col("original") == F.upper("original")))
 
 

@@ -2,7 +2,7 @@
 
 import duckdb
 from conceptmill.functions import text as X
-from conceptmill.operators import etl, silver
+from conceptmill.operators import dictionary, etl, silver
 from conceptmill.plans import queries as Q
 from conceptmill.sources import terminology as T
 from pyspark.sql import functions as F
@@ -44,3 +44,10 @@ def test_jaccard_without_branches(spark):
     out = rows.select(X.jaccard(a, b).alias("x"), silver.lexical(F.col("a"), F.col("b")).alias("y"))
     assert list(map(tuple, out.collect())) == [(1 / 3, 1 / 3), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0), (1.0, 0.0)]
     assert "CASE WHEN" not in _plan(out)
+
+
+def test_only_windows_of_known_keys_leave_a_task(spark):
+    notes = spark.createDataFrame([(1, "No htn, chest  pain or Chest Pain."), (2, None)], "note_id int, text string")
+    wanted = {"HTN": ["HTN"], "CHEST": ["CHEST PAIN"]}
+    found = dictionary._windows(notes, [1, 3], "note_id", "text", wanted).collect()
+    assert sorted(map(tuple, found)) == [(1, "CHEST PAIN", 23, 33, "Chest Pain"), (1, "HTN", 3, 6, "htn")]
