@@ -451,9 +451,10 @@ def last_values(spark, d):
 def _votes(spark, d):
     w = notes(spark, d).select("note_id", F.posexplode(F.split("text", " ")).alias("k", "text"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "note_id", "k").cast("binary")), 1, 4), 16, 10).cast("int")
-    w = w.withColumn("h", h).withColumn("teacher", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    # words without votes end in the generator: a filter on h would compute it twice
+    w = w.withColumn("h", h).withColumn("teacher", F.explode(F.when(F.col("h") % 3 > 0, F.array(F.lit("one"), F.lit("two")))))
     start = F.col("k") * 8 + F.when(F.col("teacher") == "two", F.col("h") % 3).otherwise(0)
-    return w.filter(F.col("h") % 3 > 0).select("note_id", start.cast("int").alias("start"), (start + 8 + F.col("h") % 2).cast("int").alias("end"), "text", F.lit("PROBLEM").alias("label"), ((F.col("h") % 100) / 100).alias("score"), "teacher", (F.col("k") * 2).alias("seq"))
+    return w.select("note_id", start.cast("int").alias("start"), (start + 8 + F.col("h") % 2).cast("int").alias("end"), "text", F.lit("PROBLEM").alias("label"), ((F.col("h") % 100) / 100).alias("score"), "teacher", (F.col("k") * 2).alias("seq"))
 
 
 _VOTES = "votes AS (SELECT note_id, k * 8 + CASE WHEN teacher = 'two' THEN h % 3 ELSE 0 END AS start, k * 8 + CASE WHEN teacher = 'two' THEN h % 3 ELSE 0 END + 8 + h % 2 AS \"end\", teacher FROM (SELECT note_id, k - 1 AS k, CAST('0x' || substr(md5(note_id || ':' || (k - 1)), 1, 4) AS INT) AS h FROM (SELECT note_id, generate_subscripts(string_split(text, ' '), 1) AS k FROM notes)), (VALUES ('one'), ('two')) AS t(teacher) WHERE h % 3 > 0)"
