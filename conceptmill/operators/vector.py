@@ -17,7 +17,9 @@ from ..staging import small, staged
 from .fold import fold
 
 #: Most queries and base rows of a block; a block of each meets in one group of a task.
-QUERY_BLOCK, BASE_BLOCK, _ROWS = 4096, 65_536, 2048
+QUERY_BLOCK, BASE_BLOCK = 4096, 32_768
+#: Most scores of a step within a block: some arrays of as many numbers are held beside the block.
+_SCORES = 1 << 20
 #: Most numbers of the queries that are sent to every task.
 DIRECT_NUMBERS = 1 << 21
 
@@ -93,14 +95,20 @@ def best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
 
 
+def _step(queries: int) -> int:
+    """Base rows that meet so many queries at once."""
+    return min(2048, max(64, _SCORES // max(1, queries)))
+
+
 def _search(k: int):
     def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
             return pd.DataFrame({"query_id": [], "concept_row": [], "score": []}).astype({"query_id": "int64", "concept_row": "int64"})
         m, rows = np.stack(q["v"].to_list()).astype(np.float64), b["concept_row"].to_numpy(np.int64)
         found = None
-        for lo in range(0, len(b), _ROWS):
-            s, r = best(m @ np.stack(b["v"].iloc[lo : lo + _ROWS].to_list()).astype(np.float64).T, rows[None, lo : lo + _ROWS], k)
+        step = _step(len(m))
+        for lo in range(0, len(b), step):
+            s, r = best(m @ np.stack(b["v"].iloc[lo : lo + step].to_list()).astype(np.float64).T, rows[None, lo : lo + step], k)
             found = (s, r) if found is None else best(np.concatenate([found[0], s], axis=1), np.concatenate([found[1], r], axis=1), k)
         return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(np.int64), found[1].shape[1]), "concept_row": found[1].ravel(), "score": found[0].ravel()})
 
@@ -130,13 +138,14 @@ def _blocked(queries: DataFrame, base: DataFrame, k: int, query_block: int, base
 def _direct(asked: list, base: DataFrame, k: int) -> DataFrame:
     """The k best base rows of a few queries, which every task gets; base isn't moved, and a partition sends k rows a query."""
     ids, m = np.array([r.query_id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)
+    step = _step(len(m))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = None
         for b in frames:
             rows = b["concept_row"].to_numpy(np.int64)
-            for lo in range(0, len(b), _ROWS):
-                s, r = best(m @ np.stack(b["v"].iloc[lo : lo + _ROWS].to_list()).astype(np.float64).T, rows[None, lo : lo + _ROWS], k)
+            for lo in range(0, len(b), step):
+                s, r = best(m @ np.stack(b["v"].iloc[lo : lo + step].to_list()).astype(np.float64).T, rows[None, lo : lo + step], k)
                 found = (s, r) if found is None else best(np.concatenate([found[0], s], axis=1), np.concatenate([found[1], r], axis=1), k)
         if found is not None:
             yield pd.DataFrame({"query_id": np.repeat(ids, found[1].shape[1]), "concept_row": found[1].ravel(), "score": found[0].ravel()})

@@ -2,7 +2,7 @@
 
 import duckdb
 from conceptmill.functions import text as X
-from conceptmill.operators import dictionary, etl, silver
+from conceptmill.operators import dictionary, etl, silver, vector
 from conceptmill.plans import queries as Q
 from conceptmill.sources import terminology as T
 from pyspark.sql import functions as F
@@ -51,3 +51,7 @@ def test_only_windows_of_known_keys_leave_a_task(spark):
     wanted = {"HTN": ["HTN"], "CHEST": ["CHEST PAIN"]}
     found = dictionary._windows(notes, [1, 3], "note_id", "text", wanted).collect()
     assert sorted(map(tuple, found)) == [(1, "CHEST PAIN", 23, 33, "Chest Pain"), (1, "HTN", 3, 6, "htn")]
+
+
+def test_scores_held_at_once_are_bounded():
+    assert all(vector._step(n) * n <= vector._SCORES for n in (1, 300, 4096, 16_384)) and vector._step(0) == vector._step(1) == 2048
