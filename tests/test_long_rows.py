@@ -7,6 +7,9 @@ from conceptmill import constants as K
 from conceptmill.functions import mentions as M
 from conceptmill.functions import text as X
 from conceptmill.functions.pieces import stripped, without_head, without_tail
+from conceptmill.operators import concepts
+from conceptmill.options import ExtractOptions
+from conceptmill.plans import queries as Q
 from pyspark.sql import functions as F
 
 
@@ -38,3 +41,11 @@ def test_trims_equal_plain_patterns(spark):
     for r in rows:
         for name, f in plain.items():
             assert r[name] == f(r.t), (name, r.t)
+
+
+def test_concepts_of_notes_with_long_rows(spark):
+    n = 20_000
+    texts = ["knee pain" + " of the" * n, "plan: " * n + "knee pain", "knee pain" + " end date" * n]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id long, text string").repartition(3)
+    found = concepts.extract_concepts(notes, Q.term_concepts(spark), ExtractOptions(threshold=0.9)).collect()
+    assert sorted((r.note_id, r.preferred_term) for r in found if r.preferred_term == "knee pain") == [(k, "knee pain") for k in range(3)]
