@@ -36,7 +36,8 @@ def context(sentence: Column) -> Column:
 
 def normal_header(text: Column) -> Column:
     t = F.lower(F.trim(text))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s*/\s*", "/"), ":+$", ""), r"\s+", " ")
+    # a plain word, by far the most common, is its own header
+    return F.when(t.rlike(r"[/:\s]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s*/\s*", "/"), ":+$", ""), r"\s+", " ")).otherwise(t)
 
 
 def is_section_header(text: Column) -> Column:
@@ -49,8 +50,7 @@ def alnum(text: Column) -> Column:
 
 def allowed_span(text: Column) -> Column:
     """At least four letters or digits, or one of the short spans."""
-    t = alnum(text)
-    return (F.char_length(t) >= 4) | F.upper(t).isin(K.SHORT_SPANS)
+    return text.rlike("[A-Za-z0-9](?:[^A-Za-z0-9]*+[A-Za-z0-9]){3}") | F.upper(alnum(text)).isin(K.SHORT_SPANS)
 
 
 def _keys(dictionary: dict[str, str], min_length: int) -> dict[str, str]:

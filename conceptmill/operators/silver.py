@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
-from .fold import fold
+from .clusters import SHORT, joined, stretches
 
 _MERGED = "start int, end int, text string, normalized string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
 MERGED = f"note_id long, {_MERGED}"
 
 
-def marked(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None) -> DataFrame:
-    """rows (note_id, start, end, text, score, teacher, seq) with usable: the score is min_score at least, or what by_teacher says for
-    its teacher, the span is in the note (of that length, if the column is given), the text isn't blank, and no usable row before
-    has the same note, span, text in lower case and teacher. Rows of a note end in one partition, which merge can use."""
+def _good(min_score: float, text_length: str | None, by_teacher: Mapping[str, float] | None) -> Column:
     least = F.lit(float(min_score))
     for name, score in (by_teacher or {}).items():
         least = F.when(F.col("teacher") == name, float(score)).otherwise(least)
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & ((F.col("end") <= F.col(text_length)) if text_length else F.lit(True))
-    good = F.coalesce((F.col("score") >= least) & inside & (F.trim("text") != ""), F.lit(False))
+    return F.coalesce((F.col("score") >= least) & inside & (F.trim("text") != ""), F.lit(False))
+
+
+def marked(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None) -> DataFrame:
+    """rows (note_id, start, end, text, score, teacher, seq) with usable: the score is min_score at least, or what by_teacher says for
+    its teacher, the span is in the note (of that length, if the column is given), the text isn't blank, and no usable row before
+    has the same note, span, text in lower case and teacher. Rows of a note end in one partition, which merge can use."""
+    good = _good(min_score, text_length, by_teacher)
     w = W.partitionBy("note_id", "start", "end", F.lower(F.trim("text")), "teacher", "__good").orderBy("seq")
     dealt = rows.repartition("note_id").withColumn("__good", good)
     return dealt.withColumn("usable", F.col("__good") & (F.row_number().over(w) == 1)).drop("__good")
@@ -75,24 +84,239 @@ def _merging(overlap: float, bonus: float):
     return Merging
 
 
+#: Rows that are looked at together in a task.
+_CHUNK = 1 << 16
+_ORDER = ["start", "end", "score", "teacher", "text", "normalized", "label"]
+
+
+def _scanned(rows: DataFrame, overlap: float, bonus: float, dealt: bool, repeats: bool = False) -> DataFrame:
+    """MERGED, n_raw, n_usable of rows (note_id, those of _ORDER; with repeats also seq, and a row that isn't usable has no start):
+    clusters, and rows that are null but for note_id and the two counts. Rows are sorted once, by Spark; a task holds a chunk of them, the clusters of one long
+    stretch, and the different votes of one span."""
+    own = [c for c in _ORDER if c in rows.columns]
+    rows = rows.withColumn("score", F.col("score").cast("double")).withColumn("note_id", F.col("note_id").cast("long"))
+    spread = rows if dealt else rows.repartition("note_id")
+    low = F.lower(F.trim("text"))
+    # with repeats, those of one vote stand together, the first one before the others; the votes of a span are put in order later
+    order = [low, F.col("teacher"), F.col("seq")] if repeats else [F.desc("score"), F.col("teacher"), F.col("text"), F.col("label")]
+    ready = spread.sortWithinPartitions("note_id", "start", "end", *order).select("note_id", *own, *([F.when(F.octet_length("text") > F.char_length("text"), low).alias("low")] if repeats else []))
+    kinds = StructType.fromDDL(f"{MERGED}, n_raw long, n_usable long")
+    arrow, merging = to_arrow_schema(kinds), _merging(overlap, bonus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows of a stretch that the next chunk may go on with
+        state, reach, at = None, 0, None  # a long stretch that is open: its clusters, its end and its note
+
+        def done(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, state, reach, at
+            n, before = rows.num_rows, held.num_rows if held is not None else 0
+            if "normalized" not in rows.column_names:
+                rows = rows.append_column("normalized", pa.nulls(n, pa.string()))
+            rows = (pa.concat_tables([held, rows]) if before else rows).combine_chunks()
+            held = None
+            out: list[tuple] = []
+            if repeats:
+                keep = _firsts(rows)
+                yield _counts(rows, keep, before, arrow)
+                rows = rows.filter(pa.array(keep)).combine_chunks()
+            if rows.num_rows:
+                given = rows  # as Spark sorted them: repeats stand together in the next chunk, too
+                rows = _ordered(rows) if repeats else rows
+                change = _changes(rows, ["note_id"])
+                note = np.cumsum(change) - 1
+                start, end = (rows[c].to_numpy().astype(np.int64) for c in ("start", "end"))
+                key = rows["note_id"][0].as_py()
+                if state is not None and key != at:
+                    state.end(out_ := [])
+                    out += [(at, *x, None, None) for x in out_]
+                    state = None
+                new = stretches(note, start, end, reach if state is not None else None)
+                heads = np.flatnonzero(new)
+                upto = rows.num_rows
+                if not last:
+                    # the last stretch may go on: a short one waits whole, of a long one the votes of its last span
+                    upto = int(heads[-1]) if len(heads) else 0
+                    if rows.num_rows - upto > SHORT or not len(heads):
+                        upto = int(np.flatnonzero(_changes(rows, ["note_id", "start", "end"]))[-1])
+                    held = given.slice(upto)
+                heads = heads[heads < upto]
+                bounds = np.append(heads, upto)
+                sizes = np.diff(bounds)
+                if state is not None and bounds[0]:
+                    state.feed(_lists(rows, 0, int(bounds[0])), 0, int(bounds[0]), out_ := [])
+                    out += [(at, *x, None, None) for x in out_]
+                    reach = max(reach, int(end[: bounds[0]].max()))
+                if state is not None and len(heads):
+                    state.end(out_ := [])
+                    out += [(at, *x, None, None) for x in out_]
+                    state = None
+                if len(heads):
+                    odd = pc.is_null(rows["teacher"]).to_numpy() | ~np.isfinite(rows["score"].to_numpy().astype(np.float64))
+                    odd = np.add.reduceat(odd[:upto].astype(np.int64), heads) > 0
+                    short = (sizes <= SHORT) & ~odd
+                    cut = held is not None and held.num_rows > 0 and not new[upto]
+                    short[-1] &= not cut
+                    for k in np.flatnonzero(~short).tolist():
+                        lo, hi = int(bounds[k]), int(bounds[k + 1])
+                        own, key = merging(), rows["note_id"][lo].as_py()
+                        own.feed(_lists(rows, lo, hi), 0, hi - lo, out_ := [])
+                        if cut and k + 1 == len(heads):
+                            state, reach, at = own, int(end[lo:hi].max()), key
+                        else:
+                            own.end(out_)
+                        out += [(key, *x, None, None) for x in out_]
+                    if short.any():
+                        which = np.flatnonzero(np.repeat(short, sizes)) + int(heads[0])
+                        ends = np.cumsum(sizes[short])
+                        yield _clusters(rows.take(pa.array(which)), ends - sizes[short], sizes[short], overlap, bonus, arrow)
+            if last and state is not None:
+                state.end(out_ := [])
+                out += [(at, *x, None, None) for x in out_]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        got: list[pa.RecordBatch] = []
+        for batch in batches:
+            got.append(batch)
+            if sum(b.num_rows for b in got) >= _CHUNK:
+                yield from done(pa.Table.from_batches(got), False)
+                got = []
+        if got or held is not None or state is not None:
+            yield from done(pa.Table.from_batches(got) if got else held.slice(0, 0), True)
+
+    return ready.mapInArrow(run, kinds)
+
+
+def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where one of the keys differs from the row before."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for k in keys:
+        c = rows[k].combine_chunks()
+        if isinstance(c, pa.ChunkedArray):
+            c = pa.concat_arrays(c.chunks)
+        c = c if pa.types.is_integer(c.type) and not c.null_count else c.dictionary_encode(null_encoding="encode").indices
+        c = c.to_numpy(zero_copy_only=False)
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _firsts(rows: pa.Table) -> np.ndarray:
+    """The rows that are usable and no repeat of the one before: of the same span and teacher, their texts equal in lower case. Spark's
+    own lower case stands in low for texts beyond ASCII."""
+    good = pc.is_valid(rows["start"]).to_numpy().astype(bool)
+    at = np.flatnonzero(good)
+    if len(at):
+        apart = _changes(rows.take(pa.array(at)), ["note_id", "start", "end", "teacher"])
+        again = np.flatnonzero(~apart)
+        both = np.unique(np.concatenate([again, again - 1]))
+        low = {k: x["low"] if x["low"] is not None else x["text"].strip(" ").lower() for k, x in zip(both.tolist(), rows.take(pa.array(at[both])).select(["text", "low"]).to_pylist(), strict=True)}
+        apart[again] = [low[k] != low[k - 1] for k in again.tolist()]
+        good[at] = apart
+    return good
+
+
+def _counts(rows: pa.Table, keep: np.ndarray, before: int, schema: pa.Schema) -> pa.RecordBatch:
+    """n_raw and n_usable of each note's rows behind the first before, which were counted."""
+    new, kept = rows.slice(before), keep[before:]
+    heads = np.flatnonzero(_changes(new, ["note_id"]))
+    raw = np.diff(np.append(heads, new.num_rows))
+    usable_ = np.add.reduceat(kept.astype(np.int64), heads) if len(heads) else raw
+    given = {"note_id": new["note_id"].take(pa.array(heads)).combine_chunks(), "n_raw": pa.array(raw, pa.int64()), "n_usable": pa.array(usable_, pa.int64())}
+    return _record(given, len(heads), schema)
+
+
+def _record(given: dict[str, pa.Array], n: int, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.Table.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema).combine_chunks().to_batches()[0] if n else pa.RecordBatch.from_pylist([], schema)
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    """The votes of each span by score, the highest first, teacher, text and label."""
+    change = _changes(rows, ["note_id", "start", "end"])
+    heads = np.flatnonzero(change)
+    sizes = np.diff(np.append(heads, len(change)))
+    if not (sizes > 1).any():
+        return rows
+    order = np.arange(len(change))
+    many = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    held = rows.take(pa.array(many)).select(["score", "teacher", "text", "label"]).to_pylist()
+    word = lambda x: (x is not None, x or "")
+    keys = [(x["score"] == x["score"], -x["score"], word(x["teacher"]), word(x["text"]), word(x["label"])) for x in held]
+    lo = 0
+    for n in sizes[sizes > 1].tolist():
+        order[many[lo : lo + n]] = many[sorted(range(lo, lo + n), key=keys.__getitem__)]
+        lo += n
+    return rows.take(pa.array(order)).combine_chunks()
+
+
+def _lists(rows: pa.Table, lo: int, hi: int) -> list[list]:
+    part = rows.slice(lo, hi - lo)
+    return [part[c].to_pylist() for c in _ORDER]
+
+
+def _bare(words: pa.ChunkedArray) -> pa.Array:
+    """Each word without white space at its ends, none for null; each distinct one is stripped once."""
+    coded = pa.concat_arrays(words.cast(pa.string()).chunks or [pa.array([], pa.string())]).fill_null("").dictionary_encode()
+    return pa.array([w.strip() for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def _clusters(rows: pa.Table, heads: np.ndarray, sizes: np.ndarray, overlap: float, bonus: float, schema: pa.Schema) -> pa.RecordBatch:
+    """The clusters of rows, which are whole stretches."""
+    start, end = (rows[c].to_numpy().astype(np.int64) for c in ("start", "end"))
+    score = rows["score"].to_numpy().astype(np.float64)
+    own, best = joined(start, end, score, heads, sizes, overlap)
+    n = len(best)
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, own, score)
+    coded = pa.concat_arrays(rows["teacher"].chunks).dictionary_encode()
+    names = coded.dictionary.cast(pa.string()).to_pylist()
+    ranks = np.empty(len(names), np.int64)
+    ranks[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    pairs = np.unique(own * len(names) + ranks[coded.indices.to_numpy()])
+    count = np.bincount(pairs // len(names), minlength=n)
+    teachers = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(sorted(names), pa.string()).take(pa.array(pairs % len(names))))
+    r = rows.select(["note_id", "start", "end", "text", "normalized", "label"]).take(pa.array(best)).combine_chunks()
+    said = pc.if_else(pc.equal(pc.fill_null(r["normalized"].cast(pa.string()), ""), ""), r["text"].cast(pa.string()), r["normalized"].cast(pa.string()))
+    given = {k: pa.concat_arrays(r[k].chunks) for k in ("note_id", "start", "end", "text")} | {"normalized": _bare(said), "label": _bare(r["label"]), "teachers": teachers, "teacher_count": pa.array(count, pa.int32())}
+    given |= {"max_score": pa.array(top), "mean_score": pa.array(np.bincount(own, weights=score, minlength=n) / np.bincount(own, minlength=n)), "score": pa.array(np.clip(top + bonus * (count - 1), 0.0, 1.0))}
+    return _record(given, n, schema)
+
+
 def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.08, dealt: bool = False) -> DataFrame:
     """Spans of a note, in order, each joined to the first cluster whose present representative it overlaps enough. The
     representative is the member of the best score, then the shortest, then the first; it changes as members join, so this is a
     fold in order and not a matter of connected components. Its text, normalised text (where rows have a column normalized; else, and
-    where that is empty, the text) and label are the cluster's. A task holds the clusters that reach a place of one note. dealt:
-    rows come from marked or usable, so that the rows of a note are in one partition."""
-    if "normalized" not in rows.columns:
-        rows = rows.withColumn("normalized", F.lit(None).cast("string"))
-    rows = rows.withColumn("score", F.col("score").cast("double")).withColumn("note_id", F.col("note_id").cast("long"))
-    columns = ["start", "end", "score", "teacher", "text", "normalized", "label"]
-    order = [F.col("start"), F.col("end"), F.desc("score"), F.col("teacher"), F.col("text"), F.col("label")]
-    return fold(rows, ["note_id"], order, columns, _merging(overlap, bonus), _MERGED, dealt)
+    where that is empty, the text) and label are the cluster's. Stretches of few spans that touch no other are taken side by side,
+    longer ones by a loop, which holds the clusters that reach a place of one note. dealt: rows come from marked or usable, so that the
+    rows of a note are in one partition."""
+    return _scanned(rows, overlap, bonus, dealt).drop("n_raw", "n_usable")
+
+
+def scan(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None, overlap: float = 0.80, bonus: float = 0.08, counts: bool = True) -> DataFrame:
+    """What merge makes of the usable rows (see marked), from one shuffle and one sort; with counts also rows that are null but for
+    note_id, n_raw and n_usable, whose sums are a note's numbers of rows and of usable ones."""
+    fields = [c for c in ("note_id", *_ORDER, "seq") if c in rows.columns]
+    good = _good(min_score, text_length, by_teacher)
+    if counts:
+        # of a row that isn't usable only its note is of interest
+        given = rows.withColumn("__good", good)
+        given = given.select("note_id", *[F.when(F.col("__good"), F.col(c)).alias(c) for c in fields if c != "note_id"])
+    else:
+        given = rows.filter(good).select(*fields)
+    found = _scanned(given, overlap, bonus, False, repeats=True)
+    return found if counts else found.filter("teacher_count is not null").drop("n_raw", "n_usable")
+
+
+def scan_stats(scanned: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:
+    """note_stats of what scan found, with its counts."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return scanned.groupBy("note_id").agg(total("n_raw", "mentions_raw"), total("n_usable", "mentions_post"), F.count("teacher_count").alias("mentions_merged"), total(keeps(min_teachers, high_confidence).cast("int"), "mentions_kept"))
 
 
 def keeps(min_teachers: int = 2, high_confidence: float = 0.9) -> Column:
     """Of merged spans: enough teachers or one sure one found it, and it is neither a section header nor a short span that isn't allowed."""
-    good = ~X.is_section_header(F.col("text")) & X.allowed_span(F.col("text"))
-    return good & ((F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence))
+    found = (F.col("teacher_count") >= min_teachers) | (F.col("max_score") >= high_confidence)
+    return found & X.allowed_span(F.col("text")) & ~X.is_section_header(F.col("text"))
 
 
 def kept(merged: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:

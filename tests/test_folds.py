@@ -72,6 +72,34 @@ def test_votes_merge_as_whole_clusters_do(spark):
     assert {n: (r.mentions_raw, r.mentions_merged) for n, r in stats.items()} == {n: (sum(x[0] == n for x in rows), sum(x[0] == n for x in want)) for n in {x[0] for x in rows}}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100, 1 << 16])
+def test_scan_is_usable_and_merge(spark, monkeypatch, chunk):
+    """One pass with repeats, ties, stretches of any length and chunks of any size, against whole clusters."""
+    monkeypatch.setattr(silver, "_CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(chunk, 10_000)))
+    try:
+        names = [x.split()[0] for x in VOTE.split(", ")]
+        rng, rows = random.Random(chunk), some_votes()
+        for k in range(2000):
+            a = 8 * rng.randrange(2000) + rng.randrange(3)
+            rows.append((rng.choice([5, 6, 7]), a, a + rng.choice([8, 9, 9, 20]), rng.choice(["a b", "A b ", "plan", "\x1cx "]), rng.choice(["L", None]), (rng.randrange(1000) * 4096 + k) / 2**22, rng.choice("xyz"), 3000 + k, rng.choice([None, " norm ", ""])))
+            rows.append((8, 3, 9, f"t{k % 40}", "L", 0.5 + (k % 7) / 32, rng.choice("xyz"), 9000 - k, None))
+        votes, by = spark.createDataFrame(rows, VOTE).repartition(5), {"x": 0.5, "z": 0.1}
+        post = brute_usable([dict(zip(names, r, strict=True)) for r in rows], 0.2, by)
+        found = silver.scan(votes, 0.2, by_teacher=by).cache()
+        want = brute_merge(post)
+        assert shown(found.filter("teacher_count is not null")) == want and shown(silver.scan(votes, 0.2, by_teacher=by, counts=False)) == want
+        count = lambda xs: {n: sum(1 for x in xs if x == n) for n in {r[0] for r in rows}}
+        raw, usable, merged = count([r[0] for r in rows]), count([r["note_id"] for r in post]), count([m[0] for m in want])
+        kept = {r.note_id: r["count"] for r in silver.kept(found).groupBy("note_id").count().collect()}
+        assert sorted(tuple(r) for r in silver.scan_stats(found).collect()) == sorted((n, raw[n], usable[n], merged[n], kept.get(n, 0)) for n in raw)
+        assert silver.scan_stats(silver.scan(votes.limit(0))).count() == 0
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_stats_and_merge_of_the_tables(spark, sf_dir):
     votes = [r.asDict() | {"normalized": None} for r in Q._votes(spark, sf_dir).collect()]
     post = brute_usable(votes, 0.2, {"two": 0.3})
