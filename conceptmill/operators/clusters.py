@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Most spans of a stretch that is taken with others; a longer one is for a loop.
-SHORT = 16
+SHORT = 40
 
 
 def stretches(note: np.ndarray, start: np.ndarray, end: np.ndarray, reach: int | None = None) -> np.ndarray:

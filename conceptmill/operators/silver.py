@@ -16,8 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as X
 from .clusters import SHORT, joined, stretches
 
-_MERGED = "start int, end int, text string, normalized string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
-MERGED = f"note_id long, {_MERGED}"
+MERGED = "note_id long, start int, end int, text string, normalized string, label string, teachers array<string>, teacher_count int, max_score double, mean_score double, score double"
 
 
 def _good(min_score: float, text_length: str | None, by_teacher: Mapping[str, float] | None) -> Column:
@@ -89,7 +88,7 @@ _CHUNK = 1 << 16
 _ORDER = ["start", "end", "score", "teacher", "text", "normalized", "label"]
 
 
-def _scanned(rows: DataFrame, overlap: float, bonus: float, dealt: bool, repeats: bool = False) -> DataFrame:
+def _scanned(rows: DataFrame, overlap: float, bonus: float, dealt: bool, repeats: bool = False, columns: list[str] | None = None) -> DataFrame:
     """MERGED, n_raw, n_usable of rows (note_id, those of _ORDER; with repeats also seq, and a row that isn't usable has no start):
     clusters, and rows that are null but for note_id and the two counts. Rows are sorted once, by Spark; a task holds a chunk of them, the clusters of one long
     stretch, and the different votes of one span."""
@@ -100,7 +99,9 @@ def _scanned(rows: DataFrame, overlap: float, bonus: float, dealt: bool, repeats
     # with repeats, those of one vote stand together, the first one before the others; the votes of a span are put in order later
     order = [low, F.col("teacher"), F.col("seq")] if repeats else [F.desc("score"), F.col("teacher"), F.col("text"), F.col("label")]
     ready = spread.sortWithinPartitions("note_id", "start", "end", *order).select("note_id", *own, *([F.when(F.octet_length("text") > F.char_length("text"), low).alias("low")] if repeats else []))
-    kinds = StructType.fromDDL(f"{MERGED}, n_raw long, n_usable long")
+    every = StructType.fromDDL(f"{MERGED}, n_raw long, n_usable long")
+    names = every.names
+    kinds = StructType([f for f in every if columns is None or f.name in columns])
     arrow, merging = to_arrow_schema(kinds), _merging(overlap, bonus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,8 @@ def _scanned(rows: DataFrame, overlap: float, bonus: float, dealt: bool, repeats
                 state.end(out_ := [])
                 out += [(at, *x, None, None) for x in out_]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                made = dict(zip(names, zip(*out, strict=True), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
         got: list[pa.RecordBatch] = []
         for batch in batches:
@@ -274,10 +276,15 @@ def _clusters(rows: pa.Table, heads: np.ndarray, sizes: np.ndarray, overlap: flo
     ranks[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
     pairs = np.unique(own * len(names) + ranks[coded.indices.to_numpy()])
     count = np.bincount(pairs // len(names), minlength=n)
-    teachers = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(sorted(names), pa.string()).take(pa.array(pairs % len(names))))
     r = rows.select(["note_id", "start", "end", "text", "normalized", "label"]).take(pa.array(best)).combine_chunks()
-    said = pc.if_else(pc.equal(pc.fill_null(r["normalized"].cast(pa.string()), ""), ""), r["text"].cast(pa.string()), r["normalized"].cast(pa.string()))
-    given = {k: pa.concat_arrays(r[k].chunks) for k in ("note_id", "start", "end", "text")} | {"normalized": _bare(said), "label": _bare(r["label"]), "teachers": teachers, "teacher_count": pa.array(count, pa.int32())}
+    given = {k: pa.concat_arrays(r[k].chunks) for k in ("note_id", "start", "end", "text")} | {"teacher_count": pa.array(count, pa.int32())}
+    if "teachers" in schema.names:
+        given["teachers"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(sorted(names), pa.string()).take(pa.array(pairs % len(names))))
+    if "normalized" in schema.names:
+        said = pc.if_else(pc.equal(pc.fill_null(r["normalized"].cast(pa.string()), ""), ""), r["text"].cast(pa.string()), r["normalized"].cast(pa.string()))
+        given["normalized"] = _bare(said)
+    if "label" in schema.names:
+        given["label"] = _bare(r["label"])
     given |= {"max_score": pa.array(top), "mean_score": pa.array(np.bincount(own, weights=score, minlength=n) / np.bincount(own, minlength=n)), "score": pa.array(np.clip(top + bonus * (count - 1), 0.0, 1.0))}
     return _record(given, n, schema)
 
@@ -292,9 +299,9 @@ def merge(rows: DataFrame, overlap: float = 0.80, bonus: float = 0.08, dealt: bo
     return _scanned(rows, overlap, bonus, dealt).drop("n_raw", "n_usable")
 
 
-def scan(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None, overlap: float = 0.80, bonus: float = 0.08, counts: bool = True) -> DataFrame:
+def scan(rows: DataFrame, min_score: float = 0.20, text_length: str | None = None, by_teacher: Mapping[str, float] | None = None, overlap: float = 0.80, bonus: float = 0.08, counts: bool = True, columns: list[str] | None = None) -> DataFrame:
     """What merge makes of the usable rows (see marked), from one shuffle and one sort; with counts also rows that are null but for
-    note_id, n_raw and n_usable, whose sums are a note's numbers of rows and of usable ones."""
+    note_id, n_raw and n_usable, whose sums are a note's numbers of rows and of usable ones. columns: those to be made, if not all."""
     fields = [c for c in ("note_id", *_ORDER, "seq") if c in rows.columns]
     good = _good(min_score, text_length, by_teacher)
     if counts:
@@ -303,10 +310,14 @@ def scan(rows: DataFrame, min_score: float = 0.20, text_length: str | None = Non
         given = given.select("note_id", *[F.when(F.col("__good"), F.col(c)).alias(c) for c in fields if c != "note_id"])
     else:
         given = rows.filter(good).select(*fields)
-    found = _scanned(given, overlap, bonus, False, repeats=True)
+    found = _scanned(given, overlap, bonus, False, True, columns if counts or columns is None else [*columns, "teacher_count"])
     return found if counts else found.filter("teacher_count is not null").drop("n_raw", "n_usable")
 
 
+#: The columns of scan that scan_stats reads.
+STATS = ["note_id", "text", "teacher_count", "max_score", "n_raw", "n_usable"]
+
+
 def scan_stats(scanned: DataFrame, min_teachers: int = 2, high_confidence: float = 0.9) -> DataFrame:
     """note_stats of what scan found, with its counts."""
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)

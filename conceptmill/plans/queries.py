@@ -15,7 +15,7 @@ from ..operators import dictionary, etl, evaluate, extract, fold, ordinal, reran
 from ..options import ExtractOptions
 from ..sources import json_arrays, npy
 from ..sources import terminology as T
-from ..staging import shared_dir, staged
+from ..staging import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -462,13 +462,13 @@ _VOTES = "votes AS (SELECT note_id, k * 8 + CASE WHEN teacher = 'two' THEN h % 3
 
 @query()
 def teacher_merge(spark, d):
-    merged = silver.scan(_votes(spark, d), 0.2, bonus=0.05, counts=False)
+    merged = silver.scan(_votes(spark, d), 0.2, bonus=0.05, counts=False, columns=["note_id", "start", "end", "text", "teachers", "teacher_count", "max_score", "mean_score", "score"])
     return silver.kept(merged).select("note_id", "start", "end", "text", F.concat_ws(",", "teachers").alias("teachers"), F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 @query()
 def teacher_stats(spark, d):
-    return silver.scan_stats(silver.scan(_votes(spark, d), 0.2, by_teacher={"two": 0.3}, bonus=0.05))
+    return silver.scan_stats(silver.scan(_votes(spark, d), 0.2, by_teacher={"two": 0.3}, bonus=0.05, columns=silver.STATS))
 
 
 _LINK = "SELECT *, sim + 0.3 * lex AS s, max(sim) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_linenumber, l_partkey, p_name, 1 - l_discount * 2 - l_linenumber / 1000.0 AS sim, o_orderpriority AS text, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS lex FROM (SELECT *, " + _WS.format("p_name || ' ' || p_type") + " AS b, " + _WS.format("'small ' || split_part(p_name, ' ', 1) || ' steel'") + " AS a FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))"
