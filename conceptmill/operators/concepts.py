@@ -20,24 +20,37 @@ from ..options import ExtractOptions
 from ..staging import staged
 from . import extract, rerank, vector
 
+#: Code points of the texts that ngram_vectors holds at once.
+_POINTS = 1 << 20
+
+
+def ngram_vectors(texts: pd.Series, dim: int = 64) -> list[list[float]]:
+    """Counts of hashed character trigrams, of length one. Each text stands alone; texts of about _POINTS code points are held at once,
+    a longer one alone."""
+    upto, lo, made = np.cumsum(np.fromiter((len(t or "") for t in texts), np.int64, len(texts))), 0, []
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _POINTS, "right")))
+        padded = [f"  {(t or '').lower()} " for t in texts.iloc[lo:hi]]
+        # all code points; each distinct trigram is hashed once
+        points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+        lens = np.fromiter(map(len, padded), np.int64, len(padded))
+        row = np.repeat(np.arange(len(padded)), lens)
+        at = np.flatnonzero(row[2:] == row[:-2]) if len(points) > 2 else np.zeros(0, np.int64)
+        grams, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
+        slot = np.array([zlib.crc32("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode()) % dim for g in grams.tolist()], np.int64)
+        counts = np.bincount(row[at] * dim + slot[which], minlength=len(padded) * dim).reshape(len(padded), dim).astype(np.float64)
+        norms = np.array([np.linalg.norm(v) for v in counts])
+        made += (counts / np.maximum(norms, 1e-12)[:, None]).tolist()
+        lo = hi
+    return made
+
 
 def ngram_vector(text: Column, dim: int = 64) -> Column:
-    """A stand-in for a learned encoder: counts of hashed character trigrams, of length one. Each row stands alone, so batches
-    don't change it."""
+    """ngram_vectors as a column, a stand-in for a learned encoder; batches don't change it."""
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            padded = [f"  {(t or '').lower()} " for t in texts]
-            # all code points of a batch; each distinct trigram is hashed once
-            points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
-            lens = np.fromiter(map(len, padded), np.int64, len(padded))
-            row = np.repeat(np.arange(len(padded)), lens)
-            at = np.flatnonzero(row[2:] == row[:-2]) if len(points) > 2 else np.zeros(0, np.int64)
-            grams, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
-            slot = np.array([zlib.crc32("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode()) % dim for g in grams.tolist()], np.int64)
-            counts = np.bincount(row[at] * dim + slot[which], minlength=len(padded) * dim).reshape(len(padded), dim).astype(np.float64)
-            norms = np.array([np.linalg.norm(v) for v in counts])
-            yield pd.Series((counts / np.maximum(norms, 1e-12)[:, None]).tolist(), dtype=object)
+            yield pd.Series(ngram_vectors(texts, dim), dtype=object)
 
     return F.pandas_udf(embed, "array<double>", PandasUDFType.SCALAR_ITER)(text)
 
@@ -58,10 +71,9 @@ def extract_concepts(notes: DataFrame, concepts: DataFrame, options: ExtractOpti
     texts = m.select("normalized_text").distinct().select(F.xxhash64("normalized_text").alias("query_id"), embed(F.col("normalized_text")).alias("v"))
     texts = staged(texts, "concept-texts")
     base = concepts.select("concept_row", "v")
-    found = vector.exact_topk(texts, base, o.top_k) if index is None else vector.ivf_topk(texts, index[0], index[1], o.top_k, index[2])
     # the threshold holds for a text's best similarity, so texts below it end here
-    best = F.max("score").over(W.partitionBy("query_id"))
-    found = staged(found.withColumn("best", best).filter(F.col("best") >= o.threshold).drop("best"), "concept-found")
+    found = vector.exact_topk(texts, base, o.top_k, least=o.threshold) if index is None else vector.reaching(vector.ivf_topk(texts, index[0], index[1], o.top_k, index[2]), o.threshold)
+    found = staged(found, "concept-found")
     c = m.withColumn("query_id", F.xxhash64("normalized_text")).join(found, "query_id").join(_info(concepts), "concept_row")
     c = rerank.scored(c.withColumnsRenamed({"text": "raw", "expanded_text": "expanded"}), o)
     picked = rerank.choose(c, o)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -153,21 +155,59 @@ def _direct(asked: list, base: DataFrame, k: int) -> DataFrame:
     return _rank(base.mapInPandas(search, "query_id long, concept_row long, score double"), k)
 
 
-def exact_topk(queries: DataFrame, base: DataFrame, k: int, query_block: int | None = None, base_block: int = BASE_BLOCK) -> DataFrame:
+def _to_each(queries: DataFrame, held: list, k: int, least: float | None) -> DataFrame:
+    """The k best of a few base rows, which every task gets, for each query; queries aren't moved."""
+    rows, m = np.array([r.concept_row for r in held], np.int64), np.array([r.v for r in held], np.float64)
+    step = max(64, _SCORES // len(rows))
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("concept_row", pa.int64()), ("score", pa.float64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                v = batch.column(1)
+                if v.null_count or pc.any(pc.not_equal(pc.list_value_length(v), m.shape[1])).as_py():
+                    raise ValueError(f"vectors of queries must have {m.shape[1]} numbers, as those of the base")
+                s, r = best(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64) @ m.T, rows[None, :], k)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                if least is not None:
+                    near = s[:, 0] >= least
+                    s, r, ids = s[near], r[near], ids[near]
+                n, found = s.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found), pa.int64()), pa.array(np.tile(np.arange(found, dtype=np.int32), n)), pa.array(r.ravel(), pa.int64()), pa.array(s.ravel(), pa.float64())], schema=schema)
+
+    return queries.mapInArrow(search, "query_id long, rank int, concept_row long, score double")
+
+
+def reaching(found: DataFrame, least: float) -> DataFrame:
+    """found without the queries whose best score is below least."""
+    return found.withColumn("best", F.max("score").over(W.partitionBy("query_id"))).filter(F.col("best") >= least).drop("best")
+
+
+def exact_topk(queries: DataFrame, base: DataFrame, k: int, query_block: int | None = None, base_block: int = BASE_BLOCK, least: float | None = None) -> DataFrame:
     """queries: query_id, v; base: concept_row, v (both cheap to read again, or staged). Returns query_id, rank (from 0), concept_row,
-    score (double, inner product), ties to the smaller concept_row, whatever the blocks. Up to QUERY_BLOCK queries, whose vectors are some
-    ten megabytes at most, go to the base; more meet it in blocks."""
+    score (double, inner product), ties to the smaller concept_row, whatever the blocks; with least, only queries whose best score reaches
+    it. Up to QUERY_BLOCK queries, whose vectors are some ten megabytes at most, go to the base; so few base rows go to the queries; more
+    of both meet in blocks."""
+    if least is not None and query_block is not None:
+        return reaching(exact_topk(queries, base, k, query_block, base_block), least)
     own = base.select(F.col("concept_row").cast("long").alias("concept_row"), F.col("v").alias("v"))
     if query_block is None:
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("v"))
         held = asked.limit(QUERY_BLOCK + 1)
         n, numbers = held.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
         if 0 < n <= QUERY_BLOCK and numbers <= DIRECT_NUMBERS:  # bounded by the limit
-            return _direct(held.collect(), own, k)
+            found = _direct(held.collect(), own, k)
+            return found if least is None else reaching(found, least)
+        near = own.limit(QUERY_BLOCK + 1)
+        rows, numbers = near.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+        if 0 < rows <= QUERY_BLOCK and numbers <= DIRECT_NUMBERS:
+            return _to_each(asked, near.collect(), k, least)
         # blocks for every core
         query_block = QUERY_BLOCK if n > QUERY_BLOCK else max(256, -(-n // queries.sparkSession.sparkContext.defaultParallelism))
     one = F.lit(0).alias("list_id")
-    return _blocked(queries.select(one, "query_id", F.col("v").alias("v")), own.select(one, "concept_row", "v"), k, query_block, base_block)
+    found = _blocked(queries.select(one, "query_id", F.col("v").alias("v")), own.select(one, "concept_row", "v"), k, query_block, base_block)
+    return found if least is None else reaching(found, least)
 
 
 def ivf_lists(base: DataFrame, nlist: int, sample: int = 200_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from ..operators import dictionary, etl, evaluate, extract, fold, ordinal, reran
 from ..options import ExtractOptions
 from ..sources import json_arrays, npy
 from ..sources import terminology as T
-from ..staging import shared_dir
+from ..staging import shared_dir, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -80,7 +80,7 @@ def context_labels(spark, d):
 
 @query()
 def note_mentions(spark, d):
-    return extract.note_mentions(notes(spark, d))
+    return extract.note_mentions(spread(notes(spark, d)))
 
 
 _STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?i)" + K.SEVERITY + "', ' ', 'g'), '(?i)" + K.LATERALITY + "', ' ', 'g'), '(?i)" + K.TEMPORALITY + r"', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -845,4 +845,4 @@ def term_concepts(spark):
 
 @query()
 def extract_concepts(spark, d):
-    return C.extract_concepts(notes(spark, d), term_concepts(spark), ExtractOptions(threshold=0.6))
+    return C.extract_concepts(spread(notes(spark, d)), term_concepts(spark), ExtractOptions(threshold=0.6))

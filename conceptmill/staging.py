@@ -34,6 +34,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, times: int = 4) -> DataFrame:
+    """df, a table as it is read, with its rows dealt over some tasks for each core if the files have fewer pieces (a row group is one)."""
+    wanted = times * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def _bytes(field: T.StructField) -> Column:
     """About the bytes of a column in a row."""
     c = F.col(f"`{field.name}`")

@@ -1,8 +1,12 @@
 """Queries on tables that are larger than those at hand in some respect."""
 
+import random
+import tracemalloc
+
 import duckdb
+import pandas as pd
 from conceptmill.functions import text as X
-from conceptmill.operators import dictionary, etl, silver, vector
+from conceptmill.operators import concepts, dictionary, etl, silver, vector
 from conceptmill.plans import queries as Q
 from conceptmill.sources import terminology as T
 from pyspark.sql import functions as F
@@ -55,3 +59,33 @@ def test_only_windows_of_known_keys_leave_a_task(spark):
 
 def test_scores_held_at_once_are_bounded():
     assert all(vector._step(n) * n <= vector._SCORES for n in (1, 300, 4096, 16_384)) and vector._step(0) == vector._step(1) == 2048
+
+
+def test_long_texts_are_embedded_in_bounded_memory():
+    rng = random.Random(3)
+    texts = pd.Series(["".join(rng.choices("abcdefgh ", k=50_000)) for _ in range(200)] + [None, ""])
+    tracemalloc.start()
+    found = concepts.ngram_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert found == [concepts.ngram_vectors(pd.Series([t]))[0] for t in texts]
+
+
+def test_many_queries_of_a_small_base_are_not_moved(spark):
+    rng = random.Random(4)
+    vectors = lambda n: [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(8)]) for i in range(n)]
+    q = spark.createDataFrame(vectors(vector.QUERY_BLOCK + 100), "query_id long, v array<double>")
+    base = spark.createDataFrame(vectors(50), "concept_row long, v array<double>")
+    found = vector.exact_topk(q, base, 4)
+    assert "CoGroup" not in _plan(found) and "Window" not in _plan(found)
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    wanted = rows(vector.exact_topk(q, base, 4, query_block=1000))
+    assert rows(found) == wanted
+    near = {r[0] for r in wanted if r[1] == 0 and r[3] >= 5}
+    assert near and rows(vector.exact_topk(q, base, 4, least=5.0)) == [r for r in wanted if r[0] in near]
+
+
+def test_notes_of_one_row_group_are_dealt_over_tasks(spark, sf_dir):
+    found = Q.note_mentions(spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
