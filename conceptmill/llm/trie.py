@@ -10,7 +10,6 @@ the links that they find, a spanning forest only.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,18 +127,37 @@ def _masks(bits: int, budget: int) -> list[int]:
     return [sum(1 << x for x in c) for n in range(min(bits, budget) + 1) for c in itertools.combinations(range(bits), n)]
 
 
-def met(keys: DataFrame, bits: int, budget: int, target: int) -> DataFrame:
+def _depth(keys: int, bits: int, target: int) -> int:
+    """The bits of a prefix by which so many keys are cut into subtries of target keys."""
+    return min(PREFIX_BITS, bits, max(0, (-(-keys // target) - 1).bit_length()))
+
+
+def turned(keys: DataFrame, bits: int, turns: int) -> DataFrame:
+    """keys, turns times over: the bits are cut into as many stretches, and each time another one is turned to the front; the bands are
+    numbered anew, by the turn. Keys that differ in fewer bits than there are stretches agree in one of them."""
+    step, low = bits // turns, F.lit(-1 if bits == 64 else (1 << bits) - 1).cast("long")
+
+    def key(s: int):
+        return F.shiftleft("key", s).bitwiseAND(low).bitwiseOR(F.shiftrightunsigned("key", bits - s)) if s else F.col("key")
+
+    each = F.explode(F.array(*[F.struct((F.col("band") * turns + k).alias("band"), key(k * step).alias("key")) for k in range(turns)]))
+    rest = [c for c in keys.columns if c not in ("band", "key")]
+    return keys.select(each.alias("turned"), *rest).select("turned.band", "turned.key", *rest)
+
+
+def met(keys: DataFrame, bits: int, budget: int, target: int, exact: int = 0) -> DataFrame:
     """keys with a row for each subtrie that a key meets: lo and hi (the pair of subtries: its own and the other), depth (the bits
     that both prefixes have) and side (0: its own is lo). Subtries have equal prefix lengths, so that they hold target keys on
-    average; one that holds four times as many is cut by up to MORE_BITS further bits."""
+    average; one that holds four times as many is cut by up to MORE_BITS further bits. Subtries that differ in one of the first exact
+    bits don't meet."""
     most = keys.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-    depth = min(PREFIX_BITS, bits, max(0, math.ceil(math.log2(max(1, most / target)))))
+    depth = _depth(most, bits, target)
     more = min(MORE_BITS, bits - depth)
     prefix = lambda n: F.shiftrightunsigned("key", bits - n) if n else F.lit(0).cast("long")
     rows = keys.withColumn("p", prefix(depth))
     hot = rows.groupBy("band", "p").count().filter(F.col("count") > 4 * target).select("band", "p", F.lit(True).alias("cut")) if more else None
     deep = hot is not None and bool((hot := staged(hot, "trie-hot")).head(1))
-    other = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, budget)]))).withColumn("q", F.col("p").bitwiseXOR(F.col("mask")))
+    other = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(max(0, depth - exact), budget)]))).withColumn("q", F.col("p").bitwiseXOR(F.col("mask")))
     if not deep:
         other = other.withColumn("own", F.col("p")).withColumn("of", F.col("q")).withColumn("depth", F.lit(depth))
     else:
@@ -158,11 +176,19 @@ def met(keys: DataFrame, bits: int, budget: int, target: int) -> DataFrame:
 def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | None = None, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, tasks: int = 8) -> DataFrame:
     """keys: band int, key long (bits low bits), node long, and the columns members; read more than once, so staged or cheap. Returns u, v: nodes linked within a band by
     keys of Hamming distance budget at most and, if given, by check(member rows of u, of v); of each task's links a spanning
-    forest, so that components over u, v are those over all links. Rows of one band with equal keys are linked likewise."""
+    forest, so that components over u, v are those over all links. Rows of one band with equal keys are linked likewise.
+
+    A key meets the more subtries the longer their prefixes. If they were more than budget + 1, keys are turned instead as often, and
+    meet subtries of their own stretch alone: so the rows of a key don't grow with the keys, as long as a stretch cuts them finely enough."""
     members = members or []
     bands, total = keys.agg(F.countDistinct("band"), F.count("*")).first()
-    target = min(SUBTRIE_KEYS, max(1 << 12, total // max(1, bands) // tasks))
-    dealt = met(keys, bits, budget, target)
+    each = -(-total // max(1, bands))
+    target = min(SUBTRIE_KEYS, max(1 << 12, -(-each // tasks)))
+    depth, exact, turns = _depth(each, bits, target), 0, 1
+    if bits > budget and len(_masks(depth, budget)) > budget + 1:
+        turns, exact = budget + 1, bits // (budget + 1)
+        keys = turned(keys, bits, turns)
+    dealt = met(keys, bits, budget, target, exact)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         key, side = frame["key"].to_numpy().view(np.uint64), frame["side"].to_numpy()
@@ -199,7 +225,7 @@ def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | No
                     verify(np.full(len(right), r), right)
 
         bb_ = bb if two else ba
-        if not two:
+        if not two and frame["band"].iloc[0] % turns == 0:  # equal keys are together in each turn
             for i in np.flatnonzero(np.diff(ba) > 1).tolist():
                 block = np.arange(ba[i], ba[i + 1])
                 if check is None:
@@ -217,5 +243,5 @@ def trie_forest(keys: DataFrame, bits: int, budget: int, members: list[str] | No
         return pd.DataFrame({"u": node[held], "v": node[sets.label[held]]})
 
     # few bytes, much work: a number of partitions of our own, which isn't coalesced; about two groups in each
-    groups = sum(1 for _ in _masks(min(PREFIX_BITS, max(0, math.ceil(math.log2(max(1, total / max(1, bands) / target))))), budget)) * -(-total // target)
+    groups = turns * len(_masks(max(0, depth - exact), budget)) * -(-total // target)
     return dealt.repartition(max(1, min(groups, 200_000)), "band", "lo", "hi").groupBy("band", "lo", "hi").applyInPandas(join, "u long, v long")

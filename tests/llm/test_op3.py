@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from conceptmill.llm import op3_simhash as op
+from conceptmill.llm import trie
 from conceptmill.llm.components import components
 from conceptmill.llm.trie import met, walk
 
@@ -208,3 +210,37 @@ def test_groups_of_a_whole_table(spark):
     assert links > 30
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id: r.least_id for r in op.near_duplicates(docs).collect()} == {i: groups[root(k)] for k, (i, _) in enumerate(rows)}
+
+
+def test_keys_meet_few_subtries_however_many_they_are(spark, monkeypatch):
+    rng = random.Random(9)
+    # an odd number of keys is cut as an even one is: into two subtries, not four
+    odd = spark.createDataFrame([(0, rng.getrandbits(32), k) for k in range(8195)], "band int, key long, node long")
+    given = []
+    monkeypatch.setattr(trie, "met", lambda keys, *rest: given.append(met(keys, *rest)) or given[-1])
+    trie.trie_forest(odd, 32, 3, tasks=2)
+    assert given[-1].count() == 2 * 8195
+    # many subtries: no more rows than stretches, and the links of all pairs
+    monkeypatch.setattr(trie, "SUBTRIE_KEYS", 24)
+    for bits, budget in ((32, 3), (64, 2), (11, 1)):
+        rows = []
+        for band in range(2):
+            for _ in range(220):
+                key = rng.getrandbits(bits)
+                rows.append((band, key))
+                for _ in range(rng.choice([0, 1, 2])):
+                    for b in rng.sample(range(bits), rng.randint(0, budget + 1)):
+                        key ^= 1 << b
+                    rows.append((band, key))
+        rows = [(band, key - (1 << 64) if key >> 63 else key, k) for k, (band, key) in enumerate(rows)]
+        keys = spark.createDataFrame(rows, "band int, key long, node long")
+        found = {(r.node, r.component) for r in components(trie.trie_forest(keys, bits, budget)).collect()}
+        assert given[-1].count() <= (budget + 1) * len(rows) * (1.5 if bits == 11 else 1)
+        label = list(range(len(rows)))
+        for i, (bi, ki, _) in enumerate(rows):
+            for j, (bj, kj, _) in enumerate(rows[:i]):
+                if bi == bj and ((ki ^ kj) & (1 << 64) - 1).bit_count() <= budget and label[i] != label[j]:
+                    a, b = sorted((label[i], label[j]))
+                    label = [a if x == b else x for x in label]
+        sizes = Counter(label)
+        assert found == {(k, x) for k, x in enumerate(label) if sizes[x] > 1}
