@@ -26,6 +26,8 @@ from .trie import Forest, trie_forest
 
 #: Shingles handled at a time, so that the longest text needs bounded memory.
 _BLOCK = 1 << 16
+#: Bytes of texts whose shingle sets are held at a time; a longer text is held alone.
+_TEXT_BYTES = 1 << 21
 #: Spreads a byte's bits over the bytes of a word.
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -184,7 +186,7 @@ def _set_prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 2):
+            for piece in slices(batch, 2, n_bytes=_TEXT_BYTES):
                 whole, pairs = shingle_sets(piece.column(2), (width, 2))
                 node = np.array([xxhash.xxh64_intdigest(x, 42) for x in _as_bytes(*whole)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(node), column(*whole, FULL), column(*pairs, short)], names=["id", "h", "node", "full", "short"])
