@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import slices, staged, table, text_or_empty
 
 #: Tokens after which a block is closed; frequent tokens that have a vector, as a multiple of the root of the distinct tokens; its
 #: length; noise classes of a batch, and noise entries of a class in it; tokens of a batch; passes over all training blocks.
@@ -52,44 +53,75 @@ def _lexicon() -> defaultdict[bytes, int]:
     return lexicon
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and the number of those before each text and after the last."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    # a text that begins or ends with white space has an empty word there
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def _numbered(words: list[pa.Array], lens: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words and then the end, and the numbers of all words, with that of the end behind each text; lens counts it."""
+    found = pa.chunked_array(words, words[0].type).dictionary_encode()
+    # without any words there are no chunks; otherwise all share one dictionary
+    distinct = found.chunk(0).dictionary if found.num_chunks else words[0]
+    codes, ends = np.empty(int(lens.sum()), np.int32), np.zeros(int(lens.sum()), bool)
+    ends[np.cumsum(lens) - 1] = True
+    codes[ends] = len(distinct)
+    codes[~ends] = np.concatenate([np.empty(0, np.int32), *(x.indices.to_numpy() for x in found.chunks)])
+    return pa.concat_arrays([distinct, pa.array([END_TOKEN], distinct.type)]), codes
+
+
+BLOCK_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("token", pa.string()), ("code", pa.int32()), ("count", pa.int64())])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], part: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The rows of coded for (id, text) of a partition."""
+    seq = total = 0
+    held: list[tuple[list[int | None], np.ndarray, np.ndarray, pa.Array]] = []
+
+    def rows(kind: str, n: int, **given) -> pa.RecordBatch:
+        given |= {"kind": [kind] * n, "block": np.full(n, (part << 24) + seq)}
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in BLOCK_SCHEMA], schema=BLOCK_SCHEMA)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal seq, total, held
+        ids, (out, lens) = [i for x in held for i in x[0]], (np.concatenate([x[k] for x in held]) for k in (1, 2))
+        lexicon, codes = _numbered([x[3] for x in held], lens)
+        counts = np.bincount(codes[np.repeat(~out, lens)], minlength=len(lexicon))
+        upto = np.cumsum(lens)
+        yield rows("doc", len(ids), id=ids, held_out=out, n_tokens=lens, codes=[codes[a:b].tobytes() for a, b in zip(upto - lens, upto, strict=True)])
+        for lo in range(0, len(lexicon), 50_000):
+            n = len(lexicon[lo : lo + 50_000])
+            yield rows("word", n, token=lexicon[lo : lo + n], code=np.arange(lo, lo + n, dtype=np.int32), count=counts[lo : lo + n])
+        seq, total, held = seq + 1, 0, []
+
+    for texts in (x for batch in batches for x in slices(batch, 1, n_bytes=1 << 21)):
+        ids = texts.column(0).to_pylist()
+        out = np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids), bool, len(ids))
+        words, upto = _words(texts.column(1))
+        # up to the text that fills the block, again and again
+        lo = 0
+        while lo < len(ids):
+            lens = np.diff(upto[lo:]) + 1
+            hi = lo + 1 + int(np.searchsorted(np.cumsum(lens)[:-1], block_tokens - total))
+            lens = lens[: hi - lo]
+            held.append((ids[lo:hi], out[lo:hi], lens, words[upto[lo] : upto[hi]]))
+            total, lo = total + int(lens.sum()), hi
+            if total >= block_tokens:
+                yield from close()
+    if held:
+        yield from close()
+
+
 def coded(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
     """Rows of two kinds: doc (block, id, held_out, n_tokens, codes: int32) and word (block, token, code, count in training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        lexicon = _lexicon()
-        held: list[tuple[int | None, bool, np.ndarray]] = []
-        total = 0
-
-        def rows(kind: str, n: int, **given) -> pa.RecordBatch:
-            schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("token", pa.string()), ("code", pa.int32()), ("count", pa.int64())])
-            given |= {"kind": [kind] * n, "block": np.full(n, (part << 24) + seq)}
-            return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal seq, total, lexicon, held
-            counts = np.zeros(len(lexicon), np.int64)
-            for _, out, codes in held:
-                if not out:
-                    counts += np.bincount(codes, minlength=len(lexicon))
-            yield rows("doc", len(held), id=[i for i, _, _ in held], held_out=[o for _, o, _ in held], n_tokens=[len(c) for _, _, c in held], codes=[c.tobytes() for _, _, c in held])
-            words = [w.decode() for w in lexicon]
-            for lo in range(0, len(words), 50_000):
-                n = len(words[lo : lo + 50_000])
-                yield rows("word", n, token=words[lo : lo + n], code=np.arange(lo, lo + n, dtype=np.int32), count=counts[lo : lo + n])
-            seq, total, lexicon, held = seq + 1, 0, _lexicon(), []
-
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = text.as_py().encode().lower().split()
-                words.append(END_TOKEN.encode())
-                codes = np.fromiter(map(lexicon.__getitem__, words), np.int32, len(words))
-                held.append((i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, codes))
-                total += len(codes)
-                if total >= block_tokens:
-                    yield from close()
-        if held:
-            yield from close()
+        return blocks(batches, TaskContext.get().partitionId(), block_tokens)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(run, CODED)
 
@@ -127,26 +159,34 @@ class Model:
         return self
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.r.take(one, axis=0) @ self.c[0] + self.r.take(two, axis=0) @ self.c[1]
+        made, dim = np.empty((len(one), self.q.shape[1]), np.float32), self.q.shape[1]
+        for lo in range(0, len(one), BATCH):
+            before = np.stack([one[lo : lo + BATCH], two[lo : lo + BATCH]], axis=1)
+            np.matmul(self.r.take(before, axis=0).reshape(len(before), -1), self.c.reshape(-1, dim), out=made[lo : lo + BATCH])
+        return made
 
     def train(self, grams: np.ndarray, counts: np.ndarray, rate: float, seed: int) -> None:
         """One pass of NCE over distinct trigrams (one before, two before, token) with counts, in shuffled batches. The noise classes
         of a batch are drawn by their share and serve all of it; the noise entries of a class are drawn alike and serve its tokens
         in the batch. Steps are scaled by AdaGrad and touch the batch's rows alone."""
         rng = np.random.default_rng(seed)
+        dim = self.q.shape[1]
         sums = {name: np.full_like(getattr(self, name), 1e-8) for name in self.NAMES}
         # entries in few bytes are sorted by radix
         short = np.min_scalar_type(len(self.b))
         of, starts = self.of.astype(short), self.starts
-        firsts, seconds, targets = (grams[:, k].astype(short) for k in range(3))
+        pairs, targets = grams[:, :2].astype(short), grams[:, 2].astype(short)
         upto = np.cumsum(self.share / self.share.sum())
 
-        def step(name: str, rows: np.ndarray, values: np.ndarray) -> None:
-            at, g = _sums(rows, values)
-            seen = sums[name].take(at, axis=0)
-            seen += g * g
-            sums[name][at] = seen
-            getattr(self, name)[at] += rate * g / np.sqrt(seen)
+        def step(at: np.ndarray, **gradients: np.ndarray) -> None:
+            for name, g in gradients.items():
+                seen = sums[name].take(at, axis=0)
+                seen += g * g
+                sums[name][at] = seen
+                g *= rate
+                g /= np.sqrt(seen, out=seen)
+                g += getattr(self, name).take(at, axis=0)
+                getattr(self, name)[at] = g
 
         # a frequent trigram comes in several batches, so that no batch is one trigram's
         copies = -(-counts // 16)
@@ -157,44 +197,52 @@ class Model:
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
             part = part.take(np.argsort(targets.take(part), kind="stable"))
-            target, before = targets.take(part), np.concatenate([firsts.take(part), seconds.take(part)])
+            target, before = targets.take(part), pairs.take(part, axis=0)
             weight = shares.take(part)
             weight /= weight.sum()
-            r1, r2 = np.split(self.r.take(before, axis=0), 2)
-            p = r1 @ self.c[0] + r2 @ self.c[1]
-            # wanted classes against noise: sigmoid of the score less log(k times the noise's probability)
+            # both places side by side meet both matrices, one above the other
+            r, c = self.r.take(before, axis=0).reshape(len(part), -1), self.c.reshape(-1, dim)
+            p = r @ c
+            # wanted classes against noise: sigmoid of the score less log(k times the noise's probability); a class that is drawn
+            # several times is scored once and counts as often
             kind = of.take(target)
-            drawn = np.searchsorted(upto, rng.random(NOISE), "right").clip(max=len(upto) - 1).astype(short)
+            drawn, times = np.unique(np.searchsorted(upto, rng.random(NOISE), "right").clip(max=len(upto) - 1).astype(short), return_counts=True)
             g_kind, g_drawn = self.g.take(kind, axis=0), self.g.take(drawn, axis=0)
             e = _miss(np.einsum("ij,ij->i", p, g_kind) + (self.d - log_kc).take(kind)) * weight
             en = _miss((log_kc - self.d)[drawn] - p @ g_drawn.T)
             en *= -weight[:, None]
-            gp = e[:, None] * g_kind + en @ g_drawn
+            en *= times.astype(np.float32)
+            g_kind *= e[:, None]
+            gp = en @ g_drawn
+            gp += g_kind
             # wanted entries against others of their class; the batch is in order of entries, so a class is a run
             heads = _heads(kind)
-            here, ends = kind[heads], [*heads.tolist()[1:], len(kind)]
+            here = kind[heads]
             noise = starts[here][:, None] + (rng.random((len(here), MEMBERS)) * self.width[here][:, None]).astype(np.int64)
-            vectors, q_target = self.q.take(noise, axis=0), self.q.take(target, axis=0)
+            q_target = self.q.take(target, axis=0)
             w = _miss(np.einsum("ij,ij->i", p, q_target) + self.b.take(target) - log_kw.take(kind)) * weight
-            gp += w[:, None] * q_target
-            wn = np.repeat(log_kw[here][:, None] - self.b[noise], np.diff(np.append(heads, len(kind))), axis=0)
-            for v, i, j in zip(vectors, heads.tolist(), ends, strict=True):
-                wn[i:j] -= p[i:j] @ v.T
+            q_target *= w[:, None]
+            gp += q_target
+            # runs in blocks of the same length, multiplied together; a block's rows beyond its run weigh nothing
+            run, at, inside = _blocks(heads, len(kind))
+            vectors, bias = self.q.take(noise, axis=0).take(run, axis=0), (log_kw[here][:, None] - self.b[noise]).take(run, axis=0)
+            p_in = p.take(at, axis=0)
+            wn = p_in @ vectors.transpose(0, 2, 1)
+            np.subtract(bias[:, None, :], wn, out=wn)
             _miss(wn)
-            wn *= -weight[:, None]
-            q_noise = np.empty_like(vectors)
-            for v, out, i, j in zip(vectors, q_noise, heads.tolist(), ends, strict=True):
-                gp[i:j] += wn[i:j] @ v
-                np.matmul(wn[i:j].T, p[i:j], out=out)
-            g_runs, d_runs = np.add.reduceat(e[:, None] * p, heads), np.add.reduceat(e, heads)
-            mix = np.stack([r1.T @ gp, r2.T @ gp])
-            r_values = np.concatenate([gp @ self.c[0].T, gp @ self.c[1].T])
-            entries, kinds = np.concatenate([target, noise.ravel().astype(short)]), np.concatenate([here, drawn])
-            step("q", entries, np.concatenate([w[:, None] * p, q_noise.reshape(-1, p.shape[1])]))
-            step("b", entries, np.concatenate([w, np.add.reduceat(wn, heads).ravel()]))
-            step("g", kinds, np.concatenate([g_runs, en.T @ p]))
-            step("d", kinds, np.concatenate([d_runs, en.sum(axis=0)]))
-            step("r", before, r_values)
+            wn *= np.where(inside, -weight.take(at), np.float32(0))[:, :, None]
+            gp += (wn @ vectors).reshape(-1, dim).take(np.flatnonzero(inside), axis=0)
+            q_noise, b_noise = wn.transpose(0, 2, 1) @ p_in, wn.sum(axis=1)
+            mix = (r.T @ gp).reshape(self.c.shape)
+            # the targets are sorted, so that their sums are those of runs
+            same = _heads(target)
+            own = np.concatenate([target[same], noise.take(run, axis=0).ravel().astype(short)])
+            at, q, b = _sums(own, np.concatenate([_run_sums(w[:, None] * p, same), q_noise.reshape(-1, dim)]), np.concatenate([np.add.reduceat(w, same), b_noise.ravel()]))
+            step(at, q=q, b=b)
+            at, g, d = _sums(np.concatenate([here, drawn]), np.concatenate([_run_sums(e[:, None] * p, heads), en.T @ p]), np.concatenate([np.add.reduceat(e, heads), en.sum(axis=0)]))
+            step(at, g=g, d=d)
+            at, g = _sums(before.ravel(), (gp @ c.T).reshape(-1, dim))
+            step(at, r=g)
             sums["c"] += mix * mix
             self.c += rate * mix / np.sqrt(sums["c"])
 
@@ -202,24 +250,34 @@ class Model:
         """Normalised natural logarithms. Each distinct context is multiplied with all class vectors once, and once with the vectors of
         each class that follows it, in batches."""
         n = len(self.b)
-        grams, at = np.unique((one.astype(np.int64) * n + two) * n + target, return_inverse=True)
-        pair, target = grams // n, grams % n
-        kind = self.of[target]
+        key = (one.astype(np.int64) * n + two) * n + target
+        order = np.argsort(key)
+        key = key.take(order)
+        distinct = _heads(key)
+        grams = key.take(distinct)
+        pair = grams // n
+        target = grams - pair * n
+        kind = self.of.take(target)
         # sorted, so that the grams of a context are a run, and in it those of a class, as classes are runs of entries
         heads = _heads(pair)
-        contexts, which = pair[heads], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair))))
-        p = self.predict(contexts // n, contexts % n)
+        contexts, which = pair.take(heads), np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair))))
+        earlier = contexts // n
+        p = self.predict(earlier, contexts - earlier * n)
         met = _heads(which * len(self.starts) + kind)
-        by = np.argsort(kind[met].astype(np.min_scalar_type(len(self.starts))), kind="stable")
-        bounds = np.searchsorted(kind[met].take(by), np.arange(len(self.starts) + 1))
+        kinds, whiches = kind.take(met), which.take(met)
+        by = np.argsort(kinds.astype(np.min_scalar_type(len(self.starts))), kind="stable")
+        bounds = np.searchsorted(kinds.take(by), np.arange(len(self.starts) + 1))
         z, zw = _log_sums(p, self.g, self.d), np.empty(len(met), np.float32)
         for k, (a, m) in enumerate(zip(self.starts, self.width, strict=True)):
             rows = by[bounds[k] : bounds[k + 1]]
-            zw[rows] = _log_sums(p.take(which.take(met.take(rows)), axis=0), self.q[a : a + m], self.b[a : a + m])
-        own = p.take(which, axis=0)
-        in_class = np.einsum("ij,ij->i", own, self.q.take(target, axis=0)) + self.b.take(target) - np.repeat(zw, np.diff(np.append(met, len(pair))))
-        logs = np.einsum("ij,ij->i", own, self.g.take(kind, axis=0)) + self.d.take(kind) - z.take(which) + in_class
-        return logs.astype(np.float64).take(at)
+            zw[rows] = _log_sums(p.take(whiches.take(rows), axis=0), self.q[a : a + m], self.b[a : a + m])
+        logs = self.d.take(kind) + self.b.take(target) - z.take(which) - np.repeat(zw, np.diff(np.append(met, len(pair))))
+        for lo in range(0, len(logs), BATCH):
+            here = slice(lo, lo + BATCH)
+            logs[here] += np.einsum("ij,ij->i", p.take(which[here], axis=0), self.g.take(kind[here], axis=0) + self.q.take(target[here], axis=0))
+        made = np.empty(len(key))
+        made[order] = np.repeat(logs, np.diff(np.append(distinct, len(key))))
+        return made
 
 
 def _heads(x: np.ndarray) -> np.ndarray:
@@ -235,22 +293,50 @@ def _miss(s: np.ndarray) -> np.ndarray:
 
 
 def _log_sums(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """For each row of p the logarithm of the sum of exponentials of its scores."""
+    """For each row of p the logarithm of the sum of exponentials of its scores. Few rows at a time, so that their scores stay in the
+    cache; the greatest score is taken off first only where lengths and biases don't bound all scores."""
     z = np.empty(len(p), np.float32)
-    for lo in range(0, len(p), BATCH):
-        s = p[lo : lo + BATCH] @ vectors.T + bias
-        top = s.max(axis=1)
-        s -= top[:, None]
-        z[lo : lo + BATCH] = top + np.log(np.exp(s, out=s).sum(axis=1))
-    return z
-
-
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, ascending, and the sum of the values of each."""
+    if not len(p):
+        return z
+    rows, across = max(64, (1 << 16) // len(vectors)), np.ascontiguousarray(vectors.T)
+    bound = math.sqrt(float(np.einsum("ij,ij->i", p, p).max()) * float(np.einsum("ij,ij->i", vectors, vectors).max())) + float(np.abs(bias).max())
+    times = np.exp(bias) if bound < 60 else None
+    for lo in range(0, len(p), rows):
+        s = p[lo : lo + rows] @ across
+        if times is not None:
+            z[lo : lo + rows] = np.exp(s, out=s) @ times
+        else:
+            s += bias
+            top = s.max(axis=1)
+            s -= top[:, None]
+            z[lo : lo + rows] = top + np.log(np.exp(s, out=s).sum(axis=1))
+    return z if times is None else np.log(z, out=z)
+
+
+def _run_sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows. Two numbers of four bytes side by side are added as one complex number."""
+    if values.ndim == 2 and values.dtype == np.float32 and values.shape[1] % 2 == 0:
+        return np.add.reduceat(np.ascontiguousarray(values).view(np.complex64), heads).view(np.float32)
+    return np.add.reduceat(values, heads)
+
+
+def _sums(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows, ascending, and the sum of each one's values, for each of values."""
     by = np.argsort(rows, kind="stable")
     at = rows.take(by)
     heads = _heads(at)
-    return at[heads], np.add.reduceat(values.take(by, axis=0), heads)
+    return at[heads], *(_run_sums(x.take(by, axis=0), heads) for x in values)
+
+
+def _blocks(heads: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of n rows cut into blocks, about as long as a run is on average and 4 to 32 rows: the run of each block, its rows
+    (block by block) and which of them belong to its run. Others are any rows."""
+    long = 1 << min(5, max(2, (n // len(heads)).bit_length() - 1))
+    ends = np.append(heads[1:], n)
+    blocks = -(-(ends - heads) // long)
+    run = np.repeat(np.arange(len(heads)), blocks)
+    at = (heads[run] + (np.arange(len(run)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * long)[:, None] + np.arange(long)
+    return run, at.clip(max=n - 1), at < ends[run][:, None]
 
 
 def contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -103,3 +103,97 @@ def test_sums_of_equal_rows():
 def test_words_are_numbered_as_they_come():
     lexicon = op._lexicon()
     assert [lexicon[w] for w in (b"a", b"b", b"a", b"c", b"b")] == [0, 1, 0, 2, 1] and list(lexicon) == [b"a", b"b", b"c"]
+
+
+def test_blocks_cost_no_counts_for_each_text(monkeypatch):
+    """Counting a text must not take a pass over the whole lexicon of its block: one count for a block."""
+    texts = [f"A{i} b\x0b\x0c É x \x1c {i % 7}\n" if i % 5 else " \t" for i in range(2000)]
+    calls = []
+    bincount = np.bincount
+    monkeypatch.setattr(op.np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    got = list(op.blocks(iter([op.pa.RecordBatch.from_arrays([op.pa.array([None, *range(1, 2000)], op.pa.int64()), op.pa.array(texts)], names=["id", "t"])]), 3, 1000))
+    docs = [r for b in got if b["kind"][0].as_py() == "doc" for r in b.to_pylist()]
+    words = [r for b in got if b["kind"][0].as_py() == "word" for r in b.to_pylist()]
+    n = len({r["block"] for r in docs})
+    assert len(calls) == n > 1 and [r["id"] for r in docs] == [None, *range(1, 2000)]
+    of = {(r["block"], r["code"]): r["token"] for r in words}
+    assert len(of) == len(words) == len({(r["block"], r["token"]) for r in words})
+    want, sizes = Counter(), Counter()
+    for r, t in zip(docs, texts, strict=True):
+        read = [of[r["block"], k] for k in np.frombuffer(r["codes"], np.int32).tolist()]
+        assert read == tokens(t) and r["n_tokens"] == len(read) and r["held_out"] == out(r["id"])
+        sizes[r["block"]] += len(read)
+        want.update((r["block"], x) for x in read if not r["held_out"])
+    assert {(r["block"], r["token"]): r["count"] for r in words if r["count"]} == dict(want)
+    # a block is closed behind the text that fills it
+    assert all(1000 <= k < 1010 for k in list(sizes.values())[:-1])
+
+
+def test_noise_drawn_again_is_scored_once(monkeypatch):
+    """A step scores the wanted class and each distinct noise class, not one for each draw."""
+    scored = []
+    miss = op._miss
+    monkeypatch.setattr(op, "_miss", lambda s: scored.append(s.shape) or miss(s))
+    rng = np.random.default_rng(0)
+    model = op.Model(np.full(30, 1 / 30), 3)
+    model.train(rng.integers(0, 30, (500, 3)), np.ones(500, np.int64), 0.1, 1)
+    assert max(shape[1] for shape in scored if len(shape) == 2) <= len(model.starts) < op.NOISE
+
+
+def test_training_against_plain_loops():
+    """The first batch's step: gradients of each trigram, of every draw and of every noise entry, summed one at a time."""
+    for n, first, rows in ((40, 3, 300), (900, 5, 800), (30, 30, 50)):
+        rng = np.random.default_rng(n)
+        unigram = rng.random(n) + 0.01
+        unigram /= unigram.sum()
+        grams, counts = rng.integers(0, n, (rows, 3)), rng.integers(1, 16, rows)
+        model, old = op.Model(unigram, first), op.Model(unigram, first)
+        model.train(grams, counts, 0.1, 7)
+        rng = np.random.default_rng(7)
+        order = rng.permutation(rows)
+        order = order[np.argsort(grams[order, 2], kind="stable")]
+        drawn = np.searchsorted(np.cumsum(old.share / old.share.sum()), rng.random(op.NOISE), "right").clip(max=len(old.starts) - 1)
+        here = sorted({int(old.of[t]) for t in grams[:, 2]})
+        noise = {k: old.starts[k] + (x * old.width[k]).astype(int) for k, x in zip(here, rng.random((len(here), op.MEMBERS)), strict=True)}
+        sums = {name: np.zeros(getattr(old, name).shape) for name in old.NAMES}
+        for i in order:
+            one, two, t = grams[i]
+            weight, kind = counts[i] / counts.sum(), old.of[t]
+            p = old.r[one] @ old.c[0] + old.r[two] @ old.c[1]
+            gp = np.zeros(p.shape)
+            near = [("g", "d", kind, op.NOISE * old.share[kind], True)] + [("g", "d", k, op.NOISE * old.share[k], False) for k in drawn]
+            near += [("q", "b", t, op.MEMBERS / old.width[kind], True)] + [("q", "b", k, op.MEMBERS / old.width[kind], False) for k in noise[kind]]
+            for vectors, biases, k, noisy, wanted in near:
+                v = getattr(old, vectors)[k]
+                x = 1 / (1 + math.exp(-(p @ v + getattr(old, biases)[k] - math.log(noisy))))
+                g = weight * ((1 - x) if wanted else -x)
+                sums[vectors][k] += g * p
+                sums[biases][k] += g
+                gp += g * v
+            sums["r"][one] += old.c[0] @ gp
+            sums["r"][two] += old.c[1] @ gp
+            sums["c"][0] += np.outer(old.r[one], gp)
+            sums["c"][1] += np.outer(old.r[two], gp)
+        for name in old.NAMES:
+            step = 0.1 * sums[name] / np.sqrt(1e-8 + sums[name] ** 2)
+            assert np.allclose(getattr(model, name), getattr(old, name) + step, atol=2e-3), name
+
+
+def test_log_sums_of_great_scores():
+    rng = np.random.default_rng(5)
+    for scale in (0.1, 1, 20):
+        p, v, bias = (scale * rng.normal(size=s).astype(np.float32) for s in ((700, 16), (90, 16), 90))
+        s = p.astype(np.float64) @ v.T.astype(np.float64) + bias
+        top = s.max(axis=1)
+        assert np.allclose(op._log_sums(p, v, bias), top + np.log(np.exp(s - top[:, None]).sum(axis=1)), rtol=1e-5, atol=1e-4)
+    assert len(op._log_sums(p[:0], v, bias)) == 0
+
+
+def test_blocks_of_runs():
+    rng = np.random.default_rng(6)
+    for runs in (1, 7, 900):
+        lens = rng.integers(1, 60, runs)
+        heads = np.cumsum(lens) - lens
+        run, at, inside = op._blocks(heads, int(lens.sum()))
+        assert at[inside].tolist() == list(range(lens.sum()))
+        assert (np.repeat(run[:, None], at.shape[1], axis=1)[inside] == np.repeat(np.arange(runs), lens)).all()
