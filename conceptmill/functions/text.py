@@ -4,34 +4,39 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .pieces import MARK, SPACE, around, matches, placed, plain, stripped
+from .pieces import MARK, SPACES, around, let, matches, placed, plain
 
 
 def sentence_spans(text: Column, extract_all: bool = True) -> Column:
     """array<struct<start,end,text>>: runs between `.`, `;`, `!` and line feeds, trimmed, of more than three characters; without
-    extract_all, all of the text is one. The runs and the delimiters are both extracted, so that lengths add up to offsets."""
-    whole = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.;!\n]+|[.;!\n]+" if extract_all else r"(?s).+"), F.lit(0))
-    words = F.filter(placed(parts), lambda p: ~p["part"].rlike(r"^[.;!\n]")) if extract_all else placed(parts)
-    trimmed = F.filter(F.transform(words, lambda p: stripped(p, SPACE)), lambda p: F.char_length(p["part"]) > 3)
-    return F.when(F.char_length(whole) > 3, F.transform(trimmed, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text"))))
+    extract_all, all of the text is one. The trimmed runs and what stands between them are both extracted, so that lengths add up to
+    offsets; a text of three characters at most has none, a null."""
+    cuts = r".;!\n" if extract_all else ""
+    inside = f"[^{cuts}]*" if extract_all else "(?s:.*)"
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{cuts}{SPACES}](?:{inside}[^{cuts}{SPACES}])?|[{cuts}{SPACES}]+"), F.lit(0))
+    # runs and what stands between them alternate
+    nth = lambda k: lambda ps: F.filter(placed(ps), lambda p, i: (i % 2 == k) & (F.char_length(p["part"]) > 3))
+    runs = let(parts, lambda ps: F.when(F.get(ps, F.lit(0)).rlike(f"^[{cuts}{SPACES}]"), nth(1)(ps)).otherwise(nth(0)(ps)))
+    found = F.transform(runs, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text")))
+    return F.when(text.rlike(f"(?s)[^{SPACES}].{{2,}}?[^{SPACES}]"), found)
 
 
 def context(sentence: Column) -> Column:
     """struct<prefix, assertion, subject> of the first context rule that matches; a prefix of over 80 characters is not stripped."""
-    out = F.struct(F.lit("").alias("prefix"), F.lit(None).cast("string").alias("assertion"), F.lit(None).cast("string").alias("subject"))
+    none = out = F.struct(F.lit("").alias("prefix"), F.lit(None).cast("string").alias("assertion"), F.lit(None).cast("string").alias("subject"))
     for pattern, assertion, subject in reversed(K.CONTEXT_RULES):
         prefix = F.regexp_extract(sentence, f"(?is){pattern}" if ".*?" not in pattern else f"(?i){pattern}", 0)
         kept = F.when(F.char_length(F.trim(prefix)) <= K.MAX_PREFIX, prefix).otherwise("")
         found = F.struct(kept.alias("prefix"), F.lit(assertion).cast("string").alias("assertion"), F.lit(subject).cast("string").alias("subject"))
         out = F.when(sentence.rlike(f"(?i){pattern}"), found).otherwise(out)
-    return out
+    # most sentences match no rule, which one pattern tells
+    return F.when(sentence.rlike(f"(?i)^(?:{'|'.join(pattern.removeprefix('^') for pattern, _, _ in K.CONTEXT_RULES)})"), out).otherwise(none)
 
 
 def normal_header(text: Column) -> Column:
@@ -40,8 +45,17 @@ def normal_header(text: Column) -> Column:
     return F.when(t.rlike(r"[/:\s]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s*/\s*", "/"), ":+$", ""), r"\s+", " ")).otherwise(t)
 
 
+def _header_starts() -> dict[int, list[str]]:
+    """What a text in lower case begins with if it is a section header, by length: letters, which the normal form leaves as they stand."""
+    found: dict[int, list[str]] = {}
+    for start in sorted({re.match("[a-z]{0,3}", h)[0] for h in K.SECTION_HEADERS}):
+        found.setdefault(len(start), []).append(start)
+    return found
+
+
 def is_section_header(text: Column) -> Column:
-    return normal_header(text).isin(K.SECTION_HEADERS)
+    start = F.lower(F.left(F.trim(text), F.lit(3)))
+    return reduce(or_, [F.left(start, F.lit(n)).isin(s) for n, s in _header_starts().items()]) & normal_header(text).isin(K.SECTION_HEADERS)
 
 
 def alnum(text: Column) -> Column:
@@ -62,7 +76,7 @@ def _alternation(keys: list[str]) -> str:
     by_first: dict[str, list[str]] = {}
     for k in sorted(keys, key=len, reverse=True):
         by_first.setdefault(k[0], []).append(re.escape(k[1:]))
-    return r"(?i)\b(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")\b"
+    return r"(?i)(?=[" + "".join(map(re.escape, by_first)) + r"])\b(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")\b"
 
 
 def _table(keys: dict[str, str]) -> Column:
@@ -79,6 +93,11 @@ def _found(dictionary: dict[str, str], min_length: int) -> tuple[dict[str, str],
     return keys, _alternation(list(keys)) if keys else "(?!)"
 
 
+def holds_key(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
+    """Whether expand looks at a word of text."""
+    return plain(text).rlike(_found(dictionary, min_length)[1])
+
+
 def expand(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
     """Whole-word keys replaced by their expansions: any case, but keys of two letters in capitals only, and of those the safe ones.
     Keys may hold spaces and other characters; one pass, the longest key first."""
@@ -86,7 +105,8 @@ def expand(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_lengt
     if not keys:
         return text
     parts = F.split(around(plain(text), pattern), MARK)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(_expansion(p, keys), p)).otherwise(p)), "")
+    expanded = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(_expansion(p, keys), p)).otherwise(p)), "")
+    return F.when(holds_key(text, dictionary, min_length), expanded).otherwise(plain(text))
 
 
 def expansions(text: Column, dictionary: dict[str, str] = K.ABBREVIATIONS, min_length: int = 2) -> Column:
@@ -115,20 +135,37 @@ def abbreviation_spans(text: Column, allowed: list[str] = K.SHORT_SPANS, diction
     return F.transform(found, lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.char_length(p["part"])).alias("end"), p["part"].alias("text"), F.coalesce(expansion_of(p["part"], dictionary), p["part"]).alias("normalized")))
 
 
+#: Any modifier; most places are passed over by their first letter, as they don't begin a word, or by their second character.
+_MODIFIER = rf"(?=[abclmprstuABCLMPRSTU])\b(?=[mM][aAiIoO]|[sS][eEiIlLuU]|[pP][rR]|[tT][rR]|[lL][eE]|[rR][iI]|[bB][iI/\\]|[uU][nN]|[aA][cC]|[cC][hH])(?i:{K.SEVERITY}|{K.LATERALITY}|{K.TEMPORALITY})"
+#: What else without_modifiers changes in a text, but for spaces at its ends.
+_UNTIDY = r"[\t\n\x0b\f\r\d]|\s\s|^\s?(?i:any|some|the|a|an)\s"
+
+
+def is_modified(text: Column) -> Column:
+    """Whether a severity, a side or a time is in text."""
+    return text.rlike(_MODIFIER)
+
+
 def severity(text: Column) -> Column:
     found = F.lower(F.regexp_extract(text, f"(?i){K.SEVERITY}", 1))
-    return F.nullif(F.regexp_replace(found, "ly$", ""), F.lit(""))
+    return F.when(is_modified(text), F.nullif(F.regexp_replace(found, "ly$", ""), F.lit("")))
 
 
 def laterality(text: Column) -> Column:
-    return F.nullif(F.replace(F.lower(F.regexp_extract(text, f"(?i){K.LATERALITY}", 0)), F.lit("\\"), F.lit("/")), F.lit(""))
+    found = F.replace(F.lower(F.regexp_extract(text, f"(?i){K.LATERALITY}", 0)), F.lit("\\"), F.lit("/"))
+    return F.when(is_modified(text), F.nullif(found, F.lit("")))
 
 
 def temporality(text: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(text, f"(?i){K.TEMPORALITY}", 1)), F.lit(""))
+    return F.when(is_modified(text), F.nullif(F.lower(F.regexp_extract(text, f"(?i){K.TEMPORALITY}", 1)), F.lit("")))
+
+
+def without_modifiers(text: Column, modified: Column | None = None) -> Column:
+    """modified: is_modified of text, if it is there already."""
+    return F.when((is_modified(text) if modified is None else modified) | text.rlike(_UNTIDY), _without_modifiers(text)).otherwise(F.trim(text))
 
 
-def without_modifiers(text: Column) -> Column:
+def _without_modifiers(text: Column) -> Column:
     for pattern in (K.SEVERITY, K.LATERALITY, K.TEMPORALITY):
         text = F.regexp_replace(text, f"(?i)(?:{pattern})", " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
