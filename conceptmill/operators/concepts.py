@@ -9,10 +9,11 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from .. import constants as K
 from ..functions import text as X
@@ -25,12 +26,17 @@ _POINTS = 1 << 20
 
 
 def ngram_vectors(texts: pd.Series, dim: int = 64) -> list[list[float]]:
-    """Counts of hashed character trigrams, of length one. Each text stands alone; texts of about _POINTS code points are held at once,
-    a longer one alone."""
-    upto, lo, made = np.cumsum(np.fromiter((len(t or "") for t in texts), np.int64, len(texts))), 0, []
+    """Counts of hashed character trigrams, of length one; a list a text."""
+    return [v for block in ngram_blocks(texts.tolist(), dim) for v in block.tolist()]
+
+
+def ngram_blocks(texts: list[str | None], dim: int) -> Iterator[np.ndarray]:
+    """The vectors of texts, in order, by blocks. Each text stands alone; texts of about _POINTS code points are held at once, a longer
+    one alone."""
+    upto, lo = np.cumsum(np.fromiter((len(t or "") for t in texts), np.int64, len(texts))), 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _POINTS, "right")))
-        padded = [f"  {(t or '').lower()} " for t in texts.iloc[lo:hi]]
+        padded = [f"  {(t or '').lower()} " for t in texts[lo:hi]]
         # all code points; each distinct trigram is hashed once
         points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
         lens = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -39,20 +45,21 @@ def ngram_vectors(texts: pd.Series, dim: int = 64) -> list[list[float]]:
         grams, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
         slot = np.array([zlib.crc32("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode()) % dim for g in grams.tolist()], np.int64)
         counts = np.bincount(row[at] * dim + slot[which], minlength=len(padded) * dim).reshape(len(padded), dim).astype(np.float64)
-        norms = np.array([np.linalg.norm(v) for v in counts])
-        made += (counts / np.maximum(norms, 1e-12)[:, None]).tolist()
+        # squares of counts are whole numbers, so that their sum is exact in any order
+        yield counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)[:, None]
         lo = hi
-    return made
 
 
 def ngram_vector(text: Column, dim: int = 64) -> Column:
     """ngram_vectors as a column, a stand-in for a learned encoder; batches don't change it."""
 
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(ngram_vectors(texts, dim), dtype=object)
+            blocks = [b.ravel() for b in ngram_blocks(texts.to_pylist(), dim)]
+            values = np.concatenate(blocks) if blocks else np.zeros(0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(values))
 
-    return F.pandas_udf(embed, "array<double>", PandasUDFType.SCALAR_ITER)(text)
+    return F.arrow_udf(embed, "array<double>", ArrowUDFType.SCALAR_ITER)(text)
 
 
 def _info(concepts: DataFrame) -> DataFrame:
@@ -67,13 +74,14 @@ def extract_concepts(notes: DataFrame, concepts: DataFrame, options: ExtractOpti
     if o.relation_rerank and edges is None:
         raise ValueError("relation_rerank needs edges")
     m = extract.note_mentions(notes, extract_all=o.extract_all, labeler=labeler if o.use_model_labels else extract.constant_labels, dictionary=dictionary)
-    m = staged(m.withColumn("mention_id", F.struct("note_id", "start", "end")).withColumn("sentence_id", F.struct("note_id", "s_start")), "concept-mentions")
-    texts = m.select("normalized_text").distinct().select(F.xxhash64("normalized_text").alias("query_id"), embed(F.col("normalized_text")).alias("v"))
-    texts = staged(texts, "concept-texts")
+    m = staged(m, "concept-mentions").withColumn("mention_id", F.struct("note_id", "start", "end")).withColumn("sentence_id", F.struct("note_id", "s_start"))
+    # texts are staged, not their vectors, which are many times as large
+    texts = staged(m.select("normalized_text").distinct(), "concept-texts").select(F.xxhash64("normalized_text").alias("query_id"), embed(F.col("normalized_text")).alias("v"))
     base = concepts.select("concept_row", "v")
     # the threshold holds for a text's best similarity, so texts below it end here
-    found = vector.exact_topk(texts, base, o.top_k, least=o.threshold) if index is None else vector.reaching(vector.ivf_topk(texts, index[0], index[1], o.top_k, index[2]), o.threshold)
-    found = staged(found, "concept-found")
+    found = vector.exact_topk(texts, base, o.top_k, least=o.threshold) if index is None else vector.reaching(vector.ivf_topk(staged(texts, "concept-vectors"), index[0], index[1], o.top_k, index[2]), o.threshold)
+    # a candidate below the threshold is never chosen, only listed
+    found = staged(found if o.include_candidates else found.filter(F.col("score") >= o.threshold), "concept-found")
     c = m.withColumn("query_id", F.xxhash64("normalized_text")).join(found, "query_id").join(_info(concepts), "concept_row")
     c = rerank.scored(c.withColumnsRenamed({"text": "raw", "expanded_text": "expanded"}), o)
     picked = rerank.choose(c, o)

@@ -1,4 +1,4 @@
-"""The cheap looks that spare most texts a pattern, against the patterns themselves."""
+"""The cheap looks that spare most texts a pattern, against the patterns themselves; what an extraction makes once."""
 
 import random
 import re
@@ -7,7 +7,8 @@ from conceptmill import constants as K
 from conceptmill.functions import mentions as M
 from conceptmill.functions import text as X
 from conceptmill.functions.pieces import SPACE, around, let, stripped, without_head, without_tail
-from conceptmill.operators import extract
+from conceptmill.operators import concepts, extract
+from conceptmill.options import ExtractOptions
 from conceptmill.plans import queries as Q
 from pyspark.sql import functions as F
 
@@ -69,3 +70,14 @@ def test_mentions_are_described_once_and_in_columns(spark, sf_dir):
     plan = extract.note_mentions(Q.notes(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "AS expanded_text" in plan and "AS modified" in plan
     assert not re.search(r"^\W*Filter", plan, re.M)
+
+
+def test_vectors_of_texts_are_not_staged(spark, monkeypatch):
+    seen = {}
+    real = concepts.staged
+    monkeypatch.setattr(concepts, "staged", lambda df, name: seen.setdefault(name, df) and real(df, name))
+    notes = spark.createDataFrame([(1, "Severe knee pain, COPD. Rash.")], "note_id long, text string")
+    found = concepts.extract_concepts(notes, Q.term_concepts(spark), ExtractOptions(threshold=0.9)).collect()
+    assert {r.preferred_term for r in found} >= {"knee pain", "rash"}
+    assert seen["concept-texts"].columns == ["normalized_text"] and "mention_id" not in seen["concept-mentions"].columns
+    assert seen["concept-found"].filter("score < 0.9").count() == 0
